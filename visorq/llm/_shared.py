@@ -61,3 +61,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now rather than at some later GC."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
