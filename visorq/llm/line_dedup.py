@@ -140,20 +140,22 @@ def duplicate_lines(
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Per document: doc_id, text without its duplicate lines, n_lines and n_removed."""
+    """The rows of ``docs`` with all their columns, the text without its duplicate lines, and n_lines
+    and n_removed in a struct column ``line_dedup``."""
     gone = materialize(duplicate_lines(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
     release(docs.sparkSession)
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # only texts with removals are taken apart; all others pass unchanged
-    none = F.array().cast("array<int>")
-    lines = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left").select(
-        "doc_id", "text", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.coalesce("gone", none).alias("gone")
+    rows = docs.select(F.struct("*").alias("row"))
+    key = F.col(f"row.`{id_col}`").cast("long")
+    text = F.col(f"row.`{text_col}`")
+    # only texts with removals are put together anew; all others pass unchanged
+    both = rows.join(gone, key.eqNullSafe(gone["doc_id"]), "left").select(
+        "row", F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")
     )
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
-    return lines.select(
-        "doc_id",
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.size(F.filter("lines", lambda x: x != "")).cast("long").alias("n_lines"),
-        F.size("gone").cast("long").alias("n_removed"),
-    )
+    counts = F.struct(F.size(F.filter("lines", lambda x: x != "")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    cols = [
+        F.when(F.size("gone") == 0, text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+        if c != "line_dedup"
+    ]
+    return both.select(*cols, counts.alias("line_dedup"))

@@ -76,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     done = dedup_lines(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,6 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -95,3 +94,25 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = removed_words(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed_bytes
+
+    done = removed_bytes(table(spark, sf_dir, "documents"))
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return done.select("doc_id", "n_bytes", "n_removed", n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def queries():
+    """All registered queries of this subpackage but the pipeline, which lives beside the package."""
+    return {f.__name__: f for f in (
+        op1_suffix_dedup, op2_warc, op3_bpe, op4_secret_scan, op5_decontaminate, op6_near_duplicates, op7_pii, op8_quality_rules,
+        op9_substring_dedup, op10_line_dedup,
+    )}
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import oracle
+
+    return dict(oracle.SQL)
