@@ -1,11 +1,571 @@
-"""Named queries over the standard tables."""
+"""Named queries over the standard tables, each with the same question in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..operators import detect, evaluate, imaging, serving, vectors
+from ..sources import tables as T
+from . import pipeline as P
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+PATCH = """patch AS (SELECT vec_id, vec_id // 16 AS image_id, ((vec_id % 16) // 8)::INT AS layer_idx, ((vec_id % 8) // 4)::INT AS patch_row,
+ (vec_id % 4)::INT AS patch_col, embedding::DOUBLE[] AS f, label FROM embeddings),
+bank AS (SELECT * FROM patch WHERE label < 8 AND vec_id % 2 = 0), probe AS (SELECT * FROM patch WHERE vec_id % 2 = 1)"""
+DETS = """det AS (SELECT event_id // 20 AS frame_id, event_id AS det_id, event_type AS label, least(value / 330, 1.0) AS confidence,
+ ((event_id * 37) % 640)::DOUBLE AS cx, ((event_id * 53) % 640)::DOUBLE AS cy, (40 + (event_id * 7) % 80)::DOUBLE AS w, (40 + (event_id * 11) % 80)::DOUBLE AS h FROM events)"""
+NN = f"""{PATCH}, nn AS (SELECT p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p, bank b GROUP BY 1)"""
+SAMPLE = "s AS (SELECT l.doc_id, toxic AS truth, n_chars / 20000.0::DOUBLE AS score FROM labels l JOIN documents d USING (doc_id))"
+PIX = """pix AS (SELECT image_id, r::INT AS row, c::INT AS col, ch::INT AS ch, ((image_id * 7 + r * 13 + c * 29 + ch * 5) % 256)::DOUBLE AS v
+ FROM (SELECT s_suppkey AS image_id FROM supplier), range(16) a(r), range(16) b(c), range(3) d(ch))"""
+
+
+def taps(name: str, n_in: int, n_out: int) -> str:
+    return f"""{name} AS (SELECT o, i, sum(w) AS w FROM (SELECT o, lo AS i, 1 - (s - lo) AS w FROM (SELECT o, s, floor(s)::INT AS lo FROM (SELECT o, greatest(0.0, least({n_in - 1}.0, (o + 0.5) * {n_in / n_out!r} - 0.5)) AS s FROM range({n_out}) t(o)))
+ UNION ALL SELECT o, least(lo + 1, {n_in - 1}) AS i, s - lo AS w FROM (SELECT o, s, floor(s)::INT AS lo FROM (SELECT o, greatest(0.0, least({n_in - 1}.0, (o + 0.5) * {n_in / n_out!r} - 0.5)) AS s FROM range({n_out}) t(o)))) GROUP BY o, i HAVING sum(w) > 0)"""
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def r4(name: str, col=None):
+    return F.round(F.col(name) if col is None else col, 4).alias(name)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- vectors
+
+def _nn(spark, sf, k=1):
+    return vectors.nn_exact(T.probes(spark, sf), T.bank(spark, sf), k=k)
+
+
+@query("l2_distance", f"WITH {PATCH} SELECT a.vec_id, round(list_distance(a.f, b.f), 4) AS dist FROM patch a JOIN patch b ON b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    p = T.patch_features(spark, sf)
+    nxt = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("features").alias("g"))
+    return p.join(nxt, "vec_id").select("vec_id", r4("dist", G.l2(F.col("features"), F.col("g"))))
+
+
+@query("nn_exact", f"WITH {NN} SELECT id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM nn")
+def _(spark, sf):
+    return _nn(spark, sf).select("id", "nn_id", r4("dist"))
+
+
+@query("nn_topk", f"WITH {PATCH}, x AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d FROM probe p, bank b) SELECT id, nn_id, rank::INT AS rank, round(d, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS rank FROM x) WHERE rank <= 3")
+def _(spark, sf):
+    return _nn(spark, sf, 3).select("id", "nn_id", "rank", r4("dist"))
+
+
+@query("roi_nn", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p JOIN bank b USING (label) GROUP BY 1, 2) SELECT g, id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM m")
+def _(spark, sf):
+    return vectors.nn_by_group(T.probes(spark, sf), T.bank(spark, sf), "label").select("g", "id", "nn_id", r4("dist"))
+
+
+@query("ivf_search_full_probe", _SQL["nn_exact"])
+def _(spark, sf):
+    return vectors.ivf_search(T.probes(spark, sf), T.bank(spark, sf), nlist=8, nprobe=8).select("id", "nn_id", r4("dist"))
+
+
+@query("ivf_search")
+def _(spark, sf):
+    return vectors.ivf_search(T.probes(spark, sf), T.bank(spark, sf), nlist=16, nprobe=8).select("id", "nn_id", r4("dist"))
+
+
+@query("hnsw_substitute")
+def _(spark, sf):
+    return vectors.lsh_search(T.probes(spark, sf), T.bank(spark, sf)).select("id", "nn_id", r4("dist"))
+
+
+@query("anomaly_score", f"WITH {NN} SELECT id // 16 AS image_id, round(max(m.d), 4) AS score, max(m.d) > 8.0 AS is_anomaly FROM nn GROUP BY 1")
+def _(spark, sf):
+    nn = _nn(spark, sf).select(F.expr("id div 16").alias("image_id"), "dist")
+    return nn.groupBy("image_id").agg(F.max("dist").alias("s")).select("image_id", r4("score", F.col("s")), (F.col("s") > 8.0).alias("is_anomaly"))
+
+
+@query("any_anomaly", f"WITH {NN} SELECT id // 16 AS image_id, bool_or(m.d > 8.0) AS any_anomaly FROM nn GROUP BY 1")
+def _(spark, sf):
+    return _nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.bool_or(F.col("dist") > 8.0).alias("any_anomaly"))
+
+
+@query("norm_params", f"WITH {PATCH}, d AS (SELECT unnest(f) AS x, generate_subscripts(f, 1) - 1 AS dim FROM bank) SELECT dim::INT AS dim, round(avg(x), 4) AS mean, round(sqrt(coalesce(var_samp(x), 0) + 1e-8), 4) AS std FROM d GROUP BY 1")
+def _(spark, sf):
+    return vectors.norm_params(T.bank(spark, sf)).select("dim", r4("mean"), r4("std"))
+
+
+@query("coreset")
+def _(spark, sf):
+    return vectors.coreset(T.bank(spark, sf), 32)
+
+
+@query("coreset_per_roi")
+def _(spark, sf):
+    return vectors.coreset(T.bank(spark, sf), 0.25, "label")
+
+
+@query("fast_sample")
+def _(spark, sf):
+    return vectors.coreset(T.bank(spark, sf), 16, most=100)
+
+
+@query("train_bank")
+def _(spark, sf):
+    return vectors.train_bank(T.bank(spark, sf), 0.1)[0].select("vec_id", "step")
+
+
+@query("thresholds", f"WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score FROM nn")
+def _(spark, sf):
+    out = evaluate.score_thresholds(_nn(spark, sf).select(F.col("dist").alias("score")))
+    return out.select(*[r4(c) for c in out.columns])
+
+
+# --- evaluation
+
+_COUNTS = "sum((score >= {t} AND truth = 1)::INT)::BIGINT AS tp, sum((score >= {t} AND truth <> 1)::INT)::BIGINT AS fp, sum((score < {t} AND truth <> 1)::INT)::BIGINT AS tn, sum((score < {t} AND truth = 1)::INT)::BIGINT AS fn"
+_RATES = "round((tp + tn) / (tp + fp + tn + fn), 4) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall"
+_F1 = "CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END"
+
+
+@query("confusion_at", f"WITH {SAMPLE}, c AS (SELECT {_COUNTS.format(t='0.1')} FROM s) SELECT tp, fp, tn, fn, {_RATES}, round({_F1}, 4) AS f1 FROM c")
+def _(spark, sf):
+    return evaluate.confusion(T.samples(spark, sf), 0.1).select("tp", "fp", "tn", "fn", *[r4(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+_SWEEP = f"WITH {SAMPLE}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM s), g AS (SELECT i, lo + (hi - lo) * i / 1000 AS t FROM e, range(1001) r(i)), c AS (SELECT i, t, {_COUNTS.format(t='t')} FROM g, s GROUP BY i, t)"
+
+
+@query("threshold_sweep", f"{_SWEEP} SELECT i::INT AS i, round(t, 9) AS threshold, tp, fp, tn, fn FROM c")
+def _(spark, sf):
+    return evaluate.threshold_sweep(T.samples(spark, sf)).select("i", F.round("threshold", 9).alias("threshold"), "tp", "fp", "tn", "fn")
+
+
+@query("best_threshold", f"{_SWEEP} SELECT round(t, 9) AS threshold, round({_F1}, 4) AS f1 FROM c ORDER BY {_F1} DESC, i LIMIT 1")
+def _(spark, sf):
+    return evaluate.best_threshold(T.samples(spark, sf)).select(F.round("threshold", 9).alias("threshold"), r4("f1"))
+
+
+@query("roc_curve", f"WITH {SAMPLE}, g AS (SELECT score, sum((truth = 1)::INT) AS p, sum((truth <> 1)::INT) AS n FROM s GROUP BY score) SELECT round(score, 6) AS score, (sum(p) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS fp FROM g WINDOW w AS (ORDER BY score DESC)")
+def _(spark, sf):
+    return evaluate.roc(T.samples(spark, sf)).select(F.round("score", 6).alias("score"), "tp", "fp")
+
+
+@query("auc", f"WITH {SAMPLE}, x AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS u FROM s a, s b WHERE a.truth = 1 AND b.truth <> 1), c AS (SELECT sum((truth = 1)::INT)::BIGINT AS pos, sum((truth <> 1)::INT)::BIGINT AS neg FROM s) SELECT round(CASE WHEN pos * neg > 0 THEN u / (pos * neg) ELSE 0 END, 6) AS auc, pos, neg FROM x, c")
+def _(spark, sf):
+    return evaluate.auc(T.samples(spark, sf)).select(F.round("auc", 6).alias("auc"), "pos", "neg")
+
+
+# --- maps and pixels
+
+def _cells(spark, sf):
+    return imaging.score_map(_nn(spark, sf), T.patch_features(spark, sf))
+
+
+_CELL = f"{NN}, cell AS (SELECT p.image_id, p.layer_idx, p.patch_row AS row, p.patch_col AS col, min(m.d) AS score FROM nn JOIN patch p ON p.vec_id = nn.id GROUP BY 1, 2, 3, 4)"
+
+
+@query("score_map", f"WITH {_CELL} SELECT image_id, layer_idx, row, col, round(score, 4) AS score FROM cell")
+def _(spark, sf):
+    return _cells(spark, sf).select("image_id", "layer_idx", "row", "col", r4("score"))
+
+
+_UP = f"WITH {_CELL}, {taps('ty', 2, 8)}, {taps('tx', 4, 8)}, up AS (SELECT image_id, layer_idx, ty.o AS row, tx.o AS col, sum(score * ty.w * tx.w) AS score FROM cell JOIN ty ON ty.i = row JOIN tx ON tx.i = col GROUP BY 1, 2, 3, 4)"
+
+
+@query("map_upsample", f"{_UP} SELECT image_id, layer_idx, row::INT AS row, col::INT AS col, round(score, 4) AS score FROM up")
+def _(spark, sf):
+    return imaging.resize(_cells(spark, sf), 2, 4, 8, 8, keys=("image_id", "layer_idx"), v="score").select("image_id", "layer_idx", "row", "col", r4("score"))
+
+
+@query("layer_fusion_max", f"{_UP} SELECT image_id, row::INT AS row, col::INT AS col, round(greatest(0.0, max(score)), 4) AS score FROM up GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return imaging.anomaly_map(_cells(spark, sf), 2, 4, 8, 8).select("image_id", "row", "col", r4("score"))
+
+
+@query("mask", f"{_UP} SELECT image_id, row::INT AS row, col::INT AS col, CASE WHEN greatest(0.0, max(score)) > 4.0 THEN 255 ELSE 0 END AS mask FROM up GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return imaging.anomaly_map(_cells(spark, sf), 2, 4, 8, 8).select("image_id", "row", "col", imaging.mask(F.col("score"), 4.0).alias("mask"))
+
+
+@query("colorize", f"WITH {_CELL}, l AS (SELECT image_id, layer_idx, row, col, floor(greatest(0.0, least(1.0, score / 12.0)) * 255)::INT AS level FROM cell) SELECT *, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 1))))::INT AS blue, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 2))))::INT AS green, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 3))))::INT AS red FROM l")
+def _(spark, sf):
+    return imaging.colorize(_cells(spark, sf), 12.0).drop("score")
+
+
+@query("overlay", f"WITH {PIX} SELECT image_id, row, col, ch, round(CASE WHEN v / 64 > 1.5 THEN v * 0.6 + (255 - v) * 0.4 ELSE v END, 4) AS v FROM pix")
+def _(spark, sf):
+    v = F.col("v")
+    return T.pixels(spark, sf).select("image_id", "row", "col", "ch", r4("v", imaging.overlay(v, 255 - v, 0.4, v / 64, 1.5)))
+
+
+@query("heat_blend", f"WITH {PIX}, s AS (SELECT image_id, row, col, v / 50 AS score FROM pix WHERE ch = 0), t AS (SELECT *, greatest(0.0, least(1.0, score / 3)) AS t FROM s), g AS (SELECT *, least(floor(t * 4), 3) AS seg FROM t) SELECT image_id, row, col, round(CASE seg WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN t * 4 - seg ELSE 1 END, 4) AS red, round(CASE seg WHEN 0 THEN t * 4 - seg WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 1 - (t * 4 - seg) END, 4) AS green, round(CASE seg WHEN 0 THEN 1 WHEN 1 THEN 1 - (t * 4 - seg) ELSE 0 END, 4) AS blue, least(trunc(score * 60)::INT, 180) AS alpha FROM g")
+def _(spark, sf):
+    c = imaging.heat_blend(F.col("v") / 50)
+    return T.pixels(spark, sf).filter("ch = 0").select("image_id", "row", "col", *[r4(k, c[k]) for k in ("red", "green", "blue")], c["alpha"].alias("alpha"))
+
+
+@query("resize_bilinear", f"WITH {PIX}, {taps('ty', 16, 24)}, {taps('tx', 16, 10)} SELECT image_id, ch, ty.o::INT AS row, tx.o::INT AS col, round(sum(v * ty.w * tx.w), 3) AS v FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col GROUP BY 1, 2, 3, 4")
+def _(spark, sf):
+    return imaging.resize(T.pixels(spark, sf), 16, 16, 24, 10).select("image_id", "ch", "row", "col", F.round("v", 3).alias("v"))
+
+
+@query("normalize", f"WITH {PIX} SELECT image_id, row, col, 2 - ch AS ch, round((v / 255 - [0.485, 0.456, 0.406][3 - ch]) / [0.229, 0.224, 0.225][3 - ch], 4) AS v FROM pix")
+def _(spark, sf):
+    return imaging.normalize(T.pixels(spark, sf)).select("image_id", "row", "col", "ch", r4("v"))
+
+
+@query("crop", f"WITH {PIX} SELECT image_id, row - 4 AS row, col - 3 AS col, ch, v FROM pix WHERE row BETWEEN 4 AND 11 AND col BETWEEN 3 AND 12")
+def _(spark, sf):
+    return imaging.crop(T.pixels(spark, sf), 3, 4, 10, 8).select("image_id", "row", "col", "ch", "v")
+
+
+@query("letterbox_pixels", f"WITH {PIX}, {taps('ty', 16, 12)}, {taps('tx', 16, 12)}, inner_px AS (SELECT image_id, ch, ty.o + 0 AS row, tx.o + 4 AS col, sum(v * ty.w * tx.w) AS v FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col GROUP BY 1, 2, 3, 4), canvas AS (SELECT image_id, ch, r AS row, c AS col FROM (SELECT DISTINCT image_id, ch FROM pix), range(12) a(r), range(20) b(c)) SELECT image_id, ch, row::INT AS row, col::INT AS col, round(coalesce(v, 114.0), 3) AS v FROM canvas LEFT JOIN inner_px USING (image_id, ch, row, col)")
+def _(spark, sf):
+    return imaging.letterbox_pixels(T.pixels(spark, sf), 16, 16, 12, 20).select("image_id", "ch", "row", "col", F.round("v", 3).alias("v"))
+
+
+@query("flip_pixels", f"WITH {PIX} SELECT image_id, row, 15 - col AS col, ch, v FROM pix")
+def _(spark, sf):
+    return T.pixels(spark, sf).withColumn("col", 15 - F.col("col"))
+
+
+def _sizes(spark, sf):
+    return T.table(spark, sf, "part").selectExpr("p_partkey as image_id", "int(320 + p_partkey % 1600) as w", "int(240 + (p_partkey * 7) % 1200) as h")
+
+
+_SIZES = "z AS (SELECT p_partkey AS image_id, (320 + p_partkey % 1600)::INT AS w, (240 + (p_partkey * 7) % 1200)::INT AS h FROM part)"
+
+
+@query("tile_grid", f"WITH {_SIZES}, g AS (SELECT image_id, w, h, least(1024, w) AS sw, least(1024, h) AS sh, unnest(range(0, h, least(1024, h))) AS ty FROM z), t AS (SELECT *, unnest(range(0, w, sw)) AS tx FROM g) SELECT image_id, tx::INT AS tx, ty::INT AS ty, greatest(0, tx - 32)::INT AS x1, greatest(0, ty - 32)::INT AS y1, least(w, tx + sw + 32)::INT AS x2, least(h, ty + sh + 32)::INT AS y2 FROM t")
+def _(spark, sf):
+    return imaging.tiles(_sizes(spark, sf))
+
+
+@query("multi_scale", f"WITH {_SIZES}, s AS (SELECT image_id AS roi_id, w, h, unnest([1.0, 0.75, 0.5]::DOUBLE[]) AS scale FROM z), c AS (SELECT roi_id, scale, trunc(40 * scale)::INT AS x, trunc(30 * scale)::INT AS y, least(trunc(500 * scale)::INT, trunc(w * scale)::INT - trunc(40 * scale)::INT) AS w, least(trunc(400 * scale)::INT, trunc(h * scale)::INT - trunc(30 * scale)::INT) AS h FROM s) SELECT * FROM c WHERE w > 0 AND h > 0")
+def _(spark, sf):
+    rois = _sizes(spark, sf).selectExpr("image_id as roi_id", "40 as x", "30 as y", "500 as w", "400 as h", "w as img_w", "h as img_h")
+    return imaging.scaled_rois(rois)
+
+
+@query("patch_rows", f"WITH {PATCH}, p AS (SELECT vec_id AS image_id, layer_idx, f, unnest(range(0, 16)) AS p FROM patch) SELECT image_id, layer_idx, (p // 4)::INT AS patch_row, (p % 4)::INT AS patch_col, round(f[p + 1] + f[p + 17] + f[p + 33] + f[p + 49], 4) AS total FROM p")
+def _(spark, sf):
+    maps = T.patch_features(spark, sf).select(F.col("vec_id").alias("image_id"), "layer_idx", F.col("features").alias("data"))
+    rows = imaging.patch_rows(maps, 4, 4, 4)
+    return rows.select("image_id", "layer_idx", "patch_row", "patch_col", r4("total", F.aggregate("features", F.lit(0.0), lambda a, x: a + x)))
+
+
+# --- boxes and detections
+
+@query("box_convert", f"WITH {DETS} SELECT det_id, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM det")
+def _(spark, sf):
+    d = T.detections(spark, sf)
+    return d.select("det_id", *[c.alias(n) for c, n in zip(G.corners(*(F.col(x) for x in ("cx", "cy", "w", "h"))), ("x1", "y1", "x2", "y2"), strict=True)])
+
+
+@query("box_clip", f"WITH {DETS} SELECT det_id, greatest(0, trunc(cx - w / 2)::INT) AS x1, greatest(0, trunc(cy - h / 2)::INT) AS y1, least(599, trunc(cx + w / 2)::INT) AS x2, least(479, trunc(cy + h / 2)::INT) AS y2 FROM det")
+def _(spark, sf):
+    return T.detections(spark, sf).select("det_id", *[c.alias(n) for n, c in detect.clip_to_image(600, 480).items()])
+
+
+_PAIR = f"WITH {DETS}, b AS (SELECT *, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM det), p AS (SELECT a.det_id AS id_a, b.det_id AS id_b, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, a.w * a.h AS aa, b.w * b.h AS ab FROM b a JOIN b ON a.frame_id = b.frame_id AND a.label = b.label AND a.det_id < b.det_id)"
+
+
+@query("iou_pairs", f"{_PAIR} SELECT id_a, id_b, round(inter / (aa + ab - inter + 1e-6), 4) AS iou FROM p")
+def _(spark, sf):
+    return detect.iou_pairs(T.detections(spark, sf)).select("id_a", "id_b", r4("iou"))
+
+
+@query("ciou", f"{_PAIR}, q AS (SELECT *, inter / (aa + ab - inter + 1e-7) AS iou, pow(greatest(ax2, bx2) - least(ax1, bx1), 2) + pow(greatest(ay2, by2) - least(ay1, by1), 2) + 1e-7 AS c2, pow((ax1 + ax2 - bx1 - bx2) / 2, 2) + pow((ay1 + ay2 - by1 - by2) / 2, 2) AS rho, 4 / pow(pi(), 2) * pow(atan((bx2 - bx1) / (by2 - by1 + 1e-7)) - atan((ax2 - ax1) / (ay2 - ay1 + 1e-7)), 2) AS v FROM p) SELECT id_a, id_b, round(1 - iou + rho / c2 + v * v / (1 - iou + v + 1e-7), 4) AS ciou FROM q")
+def _(spark, sf):
+    return detect.iou_pairs(T.detections(spark, sf)).select("id_a", "id_b", r4("ciou"))
+
+
+@query("confidence_filter", f"WITH {DETS} SELECT det_id, round(confidence, 4) AS confidence FROM det WHERE confidence >= 0.5")
+def _(spark, sf):
+    return detect.confidence_filter(T.detections(spark, sf)).select("det_id", r4("confidence"))
+
+
+_NMS = f"""WITH RECURSIVE {DETS}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_id, label ORDER BY confidence DESC, det_id) AS rn FROM det WHERE confidence >= 0.2),
+over_pair AS (SELECT a.det_id AS hi, b.det_id AS lo FROM o a JOIN o b ON a.frame_id = b.frame_id AND a.label = b.label AND a.rn < b.rn
+ WHERE greatest(0.0, least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2)) * greatest(0.0, least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2))
+ / (a.w * a.h + b.w * b.h - greatest(0.0, least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2)) * greatest(0.0, least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2)) + 1e-6) > 0.2),
+step AS (SELECT frame_id, label, 0 AS rn, []::BIGINT[] AS kept FROM (SELECT DISTINCT frame_id, label FROM o)
+ UNION ALL SELECT s.frame_id, s.label, s.rn + 1, CASE WHEN EXISTS (SELECT 1 FROM over_pair p WHERE p.lo = o.det_id AND list_contains(s.kept, p.hi)) THEN s.kept ELSE list_append(s.kept, o.det_id) END
+ FROM step s JOIN o ON o.frame_id = s.frame_id AND o.label = s.label AND o.rn = s.rn + 1)
+SELECT frame_id, label, unnest(arg_max(kept, rn)) AS det_id FROM step GROUP BY frame_id, label"""
+
+
+@query("nms", _NMS)
+def _(spark, sf):
+    return detect.nms(T.detections(spark, sf), 0.2, 0.2).select("frame_id", "label", "det_id")
+
+
+def _head(spark, sf):
+    return T.patch_features(spark, sf).select(
+        F.col("image_id").alias("frame_id"), F.col("vec_id").alias("cell"), F.lit(20).alias("grid_w"), F.concat("features", F.slice("features", 1, 3)).alias("data"),
+        F.lit(0.5).alias("scale"), F.lit(8).alias("pad_x"), F.lit(16).alias("pad_y"),
+    )
+
+
+_EXPECT = "(SELECT sum(j * exp(x)) / (sum(exp(x)) + 1e-9) FROM (SELECT unnest(f[{a}:{b}]) - list_max(f[{a}:{b}]) AS x, unnest(range(0, 16)) AS j))"
+_V8 = f"WITH {PATCH}, x AS (SELECT image_id AS frame_id, vec_id AS cell, f, list_transform(f[1:3], lambda v: 1 / (1 + exp(-v))) AS sc FROM patch), k AS (SELECT *, list_max(sc) AS confidence FROM x), d AS (SELECT frame_id, cell, (list_position(sc, confidence) - 1)::INT AS class_id, confidence, " + ", ".join(f"{_EXPECT.format(a=16 * i + 1, b=16 * i + 16)} AS {n}" for i, n in enumerate("ltrb")) + " FROM k WHERE confidence >= 0.5)"
+
+
+@query("decode_v8", f"{_V8} SELECT frame_id, cell, class_id, round(confidence, 4) AS confidence, round(((cell % 20 + 0.5 + (r - l) / 2) * 32 - 8) / 0.5, 3) AS cx, round(((cell // 20 + 0.5 + (b - t) / 2) * 32 - 16) / 0.5, 3) AS cy, round((l + r) * 32 / 0.5, 3) AS w, round((t + b) * 32 / 0.5, 3) AS h FROM d")
+def _(spark, sf):
+    out = detect.decode_v8(_head(spark, sf), 3)
+    return out.select("frame_id", "cell", "class_id", r4("confidence"), *[F.round(c, 3).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+@query("decode_v5", f"WITH {PATCH}, x AS (SELECT image_id AS frame_id, vec_id AS cell, f, list_transform(f[5:7], lambda v: 1 / (1 + exp(-v))) AS sc FROM patch), k AS (SELECT *, list_max(sc) AS confidence FROM x) SELECT frame_id, cell, (list_position(sc, confidence) - 1)::INT AS class_id, round(confidence, 4) AS confidence, round((f[1] - 8) / 0.5, 4) AS cx, round((f[2] - 16) / 0.5, 4) AS cy, round(f[3] / 0.5, 4) AS w, round(f[4] / 0.5, 4) AS h FROM k WHERE confidence >= 0.5")
+def _(spark, sf):
+    return detect.decode_v5(_head(spark, sf), 3).select("frame_id", "cell", "class_id", *[r4(c) for c in ("confidence", "cx", "cy", "w", "h")])
+
+
+@query("dfl_decode", f"WITH {PATCH} SELECT vec_id, round({_EXPECT.format(a=1, b=16)}, 4) AS expected FROM patch")
+def _(spark, sf):
+    return T.patch_features(spark, sf).select("vec_id", r4("expected", G.softmax_expectation(F.slice("features", 1, 16))))
+
+
+@query("dfl_loss", f"WITH {PATCH}, t AS (SELECT vec_id, f[1:16] AS f, ((vec_id * 7) % 150) / 10.0::DOUBLE AS t FROM patch), u AS (SELECT *, floor(t)::INT AS lo, least(floor(t)::INT + 1, 15) AS hi, ln(list_sum(list_transform(f, lambda x: exp(x - list_max(f))))) + list_max(f) AS z FROM t) SELECT vec_id, round((z - f[lo + 1]) * (lo + 1 - t) + (z - f[hi + 1]) * (t - lo), 4) AS loss FROM u")
+def _(spark, sf):
+    t = ((F.col("vec_id") * 7) % 150) / F.lit(10.0)
+    return T.patch_features(spark, sf).select("vec_id", r4("loss", G.dfl_loss(F.slice("features", 1, 16), t)))
+
+
+@query("bce_loss", f"WITH {PATCH} SELECT label, round(avg(greatest(f[1], 0) - f[1] * (label % 2) + ln(1 + exp(-abs(f[1])))), 4) AS loss FROM patch GROUP BY 1")
+def _(spark, sf):
+    p = T.patch_features(spark, sf)
+    return p.groupBy("label").agg(r4("loss", F.avg(G.bce_with_logits(F.get("features", F.lit(0)), F.col("label") % 2))))
+
+
+@query("total_loss", f"WITH {PATCH} SELECT vec_id, round(7.5 * abs(f[1]) + 0.5 * abs(f[2]) + 1.5 * abs(f[3]), 4) AS loss FROM patch")
+def _(spark, sf):
+    g = lambda i: F.abs(F.get("features", F.lit(i)))
+    return T.patch_features(spark, sf).select("vec_id", r4("loss", detect.total_loss(g(0), g(1), g(2))))
+
+
+@query("letterbox_params", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, round(w * scale)::INT AS new_w, round(h * scale)::INT AS new_h FROM s) SELECT image_id, round(scale, 6) AS scale, new_w, new_h, floor((640 - new_w) / 2.0)::INT AS pad_x, floor((640 - new_h) / 2.0)::INT AS pad_y FROM n")
+def _(spark, sf):
+    p = G.letterbox(F.col("w").cast("double"), F.col("h").cast("double"))
+    return _sizes(spark, sf).select("image_id", F.round(p["scale"], 6).alias("scale"), *[p[k].alias(k) for k in ("new_w", "new_h", "pad_x", "pad_y")])
+
+
+@query("train_letterbox_boxes", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, floor((640 - trunc(w * scale)) / 2.0) AS px FROM s) SELECT image_id, round((0.25 * w * scale + px) / 640, 4) AS cx FROM n")
+def _(spark, sf):
+    p = G.letterbox(F.col("w").cast("double"), F.col("h").cast("double"), train=True)
+    return _sizes(spark, sf).select("image_id", r4("cx", (0.25 * F.col("w") * p["scale"] + p["pad_x"]) / 640))
+
+
+@query("inverse_letterbox", f"WITH {DETS} SELECT det_id, round((cx - 12) / 0.75, 4) AS cx, round((cy - 20) / 0.75, 4) AS cy, round(w / 0.75, 4) AS w, round(h / 0.75, 4) AS h FROM det")
+def _(spark, sf):
+    return T.detections(spark, sf).select("det_id", r4("cx", (F.col("cx") - 12) / 0.75), r4("cy", (F.col("cy") - 20) / 0.75), r4("w", F.col("w") / 0.75), r4("h", F.col("h") / 0.75))
+
+
+@query("flip_boxes", f"WITH {DETS} SELECT det_id, CASE WHEN (det_id * 1103515245 + 12345) % 2147483648 < 1073741824 THEN round(1 - cx / 640, 7) ELSE round(cx / 640, 7) END AS cx FROM det")
+def _(spark, sf):
+    x = F.col("cx") / 640
+    return T.detections(spark, sf).select("det_id", F.when(serving.hash_order("det_id") < 1073741824, F.round(1 - x, 7)).otherwise(F.round(x, 7)).alias("cx"))
+
+
+_FUSE = f"WITH {DETS}, c AS (SELECT frame_id, g AS y, k AS x, ((frame_id * 31 + g * 17 + k * 13) % 100) / 100.0::DOUBLE AS score FROM (SELECT DISTINCT frame_id FROM det), range(5) a(g), range(5) b(k)), b AS (SELECT *, greatest(0, trunc(cx - w / 2)::INT) AS x1, greatest(0, trunc(cy - h / 2)::INT) AS y1, least(639, trunc(cx + w / 2)::INT) AS x2, least(639, trunc(cy + h / 2)::INT) AS y2 FROM det)"
+
+
+def _grid_cells(d):
+    g = d.select("frame_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return g.withColumns({"score": ((F.col("frame_id") * 31 + F.col("y") * 17 + F.col("x") * 13) % 100) / 100.0, "cell": F.lit(128)})
+
+
+@query("fusion", f"{_FUSE} SELECT b.det_id, round(coalesce(max(c.score), 0), 4) AS anomaly_score, coalesce(max(c.score), 0) > 0.5 AS is_anomaly FROM b LEFT JOIN c ON b.frame_id = c.frame_id AND c.x * 128 <= x2 AND (c.x + 1) * 128 > x1 AND c.y * 128 <= y2 AND (c.y + 1) * 128 > y1 AND x1 <= x2 AND y1 <= y2 GROUP BY 1")
+def _(spark, sf):
+    d = T.detections(spark, sf)
+    return detect.fuse_detections(d, _grid_cells(d), 0.5, 640, 640).select("det_id", r4("anomaly_score"), "is_anomaly")
+
+
+def _two(spark, sf):
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value").alias("score"), "event_type")
+    return e.filter("event_type = 'click'").drop("event_type"), e.filter("event_type = 'view'").drop("event_type")
+
+
+@query("merge_union", "SELECT user_id AS key, round(value, 4) AS score FROM events WHERE event_type IN ('click', 'view')")
+def _(spark, sf):
+    return detect.merge_union(*_two(spark, sf)).select("key", r4("score"))
+
+
+@query("merge_max", "SELECT user_id AS key, round(max(value), 4) AS score FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def _(spark, sf):
+    return detect.merge_scores("max", *_two(spark, sf)).select("key", r4("score"))
+
+
+@query("merge_avg", "SELECT user_id AS key, round(avg(value), 7) AS score FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def _(spark, sf):
+    return detect.merge_scores("avg", *_two(spark, sf)).select("key", F.round("score", 7).alias("score"))
+
+
+@query("map50")
+def _(spark, sf):
+    d = T.detections(spark, sf)
+    truth = d.filter("det_id % 3 = 0").select("frame_id", F.col("det_id").alias("truth_id"), "label", F.expr("cx + 4").alias("cx"), "cy", "w", "h")
+    return detect.average_precision(d, truth).select("label", r4("ap"))
+
+
+# --- datasets and training
+
+def _lines(spark, sf):
+    return T.table(spark, sf, "events").selectExpr("event_id", "concat_ws(' ', if(event_id % 11 = 0, 'x', string(event_id % 5)), (event_id % 13) / 10.0, 0.5, (event_id % 7 - 1) / 10.0, 0.25) as value")
+
+
+@query("label_parse", "SELECT event_id, (event_id % 5)::INT AS cls, round((event_id % 13) / 10.0, 4)::DOUBLE AS cx, round((event_id % 7 - 1) / 10.0, 4)::DOUBLE AS w FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <= 10 AND event_id % 7 > 1")
+def _(spark, sf):
+    from ..sources.files import parse_label_lines
+
+    return parse_label_lines(_lines(spark, sf)).select("event_id", "cls", r4("cx"), r4("w"))
+
+
+@query("num_classes", "SELECT (max(event_id % 5) + 1)::INT AS num_classes FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <= 10 AND event_id % 7 > 1")
+def _(spark, sf):
+    from ..sources.files import parse_label_lines
+
+    return parse_label_lines(_lines(spark, sf)).agg((F.max("cls") + 1).alias("num_classes"))
+
+
+@query("pair_join", "SELECT d.doc_id, lang, quality FROM documents d JOIN labels l USING (doc_id)")
+def _(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", "lang").join(T.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("roi_lookup_miss", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id").join(T.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("batch_assign", "SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+def _(spark, sf):
+    e = T.table(spark, sf, "events").select("event_type", "event_id")
+    return serving.assign_batches(e, "event_id", 16, "event_type").select("shard", "event_id", F.col("pos").cast("long").alias("pos"), "batch")
+
+
+@query("shuffle_limit", "SELECT event_id FROM events ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id LIMIT 100")
+def _(spark, sf):
+    return T.table(spark, sf, "events").select("event_id").orderBy(serving.hash_order("event_id"), "event_id").limit(100)
+
+
+@query("assign_targets", f"WITH {DETS}, s AS (SELECT det_id, cx / 640 AS cx, cy / 640 AS cy, unnest([8, 16, 32]) AS stride FROM det) SELECT det_id, stride, least(greatest(trunc(cx * 640 / stride)::INT, 0), 640 // stride - 1)::INT AS gx, least(greatest(trunc(cy * 640 / stride)::INT, 0), 640 // stride - 1)::INT AS gy FROM s")
+def _(spark, sf):
+    t = T.detections(spark, sf).select("det_id", (F.col("cx") / 640).alias("cx"), (F.col("cy") / 640).alias("cy"))
+    return detect.assign_targets(t).select("det_id", "stride", "gx", "gy")
+
+
+def _boxed(spark, sf):
+    box = F.struct(F.lit(1).alias("cls"), (F.col("cx") / 640).alias("cx"), (F.col("cy") / 640).alias("cy"), (F.col("w") / 640).alias("w"), (F.col("h") / 640).alias("h"))
+    return T.detections(spark, sf).select(F.col("det_id").alias("idx"), F.array(box).alias("boxes"))
+
+
+@query("mosaic_boxes", f"WITH {DETS} SELECT det_id // 4 AS mosaic, det_id AS idx, round((cx / 640 + det_id % 2) / 2, 4) AS cx, round((cy / 640 + (det_id % 4) // 2) / 2, 4) AS cy FROM det")
+def _(spark, sf):
+    return serving.mosaic_boxes(_boxed(spark, sf)).select("mosaic", "idx", r4("cx"), r4("cy"))
+
+
+@query("collate", f"WITH {DETS} SELECT det_id // 8 AS batch, det_id % 8 AS batch_idx, 1 AS cls, round(cx / 640, 4) AS cx FROM det")
+def _(spark, sf):
+    return serving.collate_targets(_boxed(spark, sf), 8).select("batch", "batch_idx", "cls", r4("cx"))
+
+
+@query("early_stop", "SELECT 1 AS run, 4 AS stop_epoch, 0.5::DOUBLE AS best")
+def _(spark, sf):
+    rows = spark.createDataFrame([(1, i, m) for i, m in enumerate([0.5, 0.45, 0.44, 0.43, 0.42], 0)], "run int, epoch int, metric double")
+    return serving.early_stopping(rows, "run", "epoch", "metric", 3)
+
+
+@query("lr_warmup", "SELECT i AS epoch, round(CASE WHEN i < 3 THEN 0.01 * greatest(0.01, i / 3.0::DOUBLE) ELSE 0.01 * pow(0.5, i // 100) END, 6) AS lr FROM range(300) t(i)")
+def _(spark, sf):
+    return spark.range(300).select(F.col("id").alias("epoch"), F.round(serving.warmup_rate(F.col("id"), F.lit(10), 0.01), 6).alias("lr"))
+
+
+# --- serving and graphs
+
+@query("micro_batch", "SELECT event_type AS model, event_id AS request_id, ((row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) - 1) // 32)::BIGINT AS batch FROM events")
+def _(spark, sf):
+    return serving.micro_batches(T.table(spark, sf, "events"), "event_type", "ts", "event_id").select("model", "request_id", "batch")
+
+
+@query("registry_latest", "SELECT event_type AS name, max(event_id) AS version, event_type || '/' || max(event_id) AS path FROM events GROUP BY 1")
+def _(spark, sf):
+    reg = T.table(spark, sf, "events").selectExpr("event_type as name", "event_id as version", "concat(event_type, '/', event_id) as path")
+    return serving.latest_versions(reg)
+
+
+@query("lru_evict", "WITH s AS (SELECT user_id % 10 AS g, user_id AS name, max(ts) AS used, 100 + user_id % 5 * 50 AS vram FROM events GROUP BY user_id), c AS (SELECT *, sum(vram) OVER (PARTITION BY g ORDER BY used, name ROWS UNBOUNDED PRECEDING) AS freed FROM s WHERE name % 3 <> 0) SELECT g AS \"group\", name, vram FROM c WHERE freed - vram < 700")
+def _(spark, sf):
+    s = T.table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last_used")).selectExpr("user_id % 10 as `group`", "user_id as name", "last_used", "100 + user_id % 5 * 50 as vram", "if(user_id % 3 = 0, 1, 0) as ref_count")
+    return serving.lru_evict(s, 700).select("group", "name", "vram")
+
+
+@query("round_robin", "SELECT event_type, event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 3)::INT AS device FROM events")
+def _(spark, sf):
+    return serving.round_robin(T.table(spark, sf, "events").select("event_type", "event_id"), "event_id", 3, "event_type")
+
+
+@query("device_rule", "SELECT i AS id, CASE WHEN i % 5 = 0 THEN 'cpu' WHEN i % 2 = 0 THEN CASE WHEN i % 3 <> 1 THEN 'gpu' ELSE 'cpu' END ELSE CASE WHEN i % 3 = 1 OR (i % 3 = 2 AND i * 1000 >= 9216) THEN 'gpu' ELSE 'cpu' END END AS device FROM range(60) t(i)")
+def _(spark, sf):
+    i = F.col("id")
+    mode = F.when(i % 3 == 1, "training").when(i % 3 == 2, "balanced").otherwise("inference")
+    return spark.range(60).select("id", serving.device_for(F.when(i % 2 == 0, "inference").otherwise("training"), mode, i % 5 != 0, i * 1000).alias("device"))
+
+
+GRAPH = """{"pipeline": {"name": "demo", "nodes": [
+ {"id": "low", "type": "filter", "params": {"confidence_threshold": 0.2}}, {"id": "high", "type": "filter", "params": {"confidence_threshold": 0.9}},
+ {"id": "all", "type": "merge"}, {"id": "best", "type": "filter", "params": {"confidence_threshold": "0.95"}}],
+ "edges": [{"from": "low", "to": "all"}, {"from": "high", "to": "all"}, {"from": "all", "to": "best"}]}}"""
+
+
+@query("dag_run", f"WITH {DETS} SELECT det_id, 'best' AS node_id, count(*) AS n FROM (SELECT det_id FROM det WHERE confidence >= 0.95 UNION ALL SELECT det_id FROM det WHERE confidence >= 0.95) GROUP BY 1")
+def _(spark, sf):
+    return P.execute(P.parse(GRAPH), T.detections(spark, sf)).groupBy("det_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dag_layers", "WITH RECURSIVE e(f, t) AS (VALUES ('low', 'all'), ('high', 'all'), ('all', 'best')), n(id) AS (VALUES ('low'), ('high'), ('all'), ('best')), d AS (SELECT id, 0 AS layer FROM n WHERE id NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, d.layer + 1 FROM d JOIN e ON e.f = d.id) SELECT id, max(layer)::INT AS layer FROM d GROUP BY id")
+def _(spark, sf):
+    rows = [(n, i) for i, layer in enumerate(P.parse(GRAPH).layers) for n in layer]
+    return spark.createDataFrame(rows, "id string, layer int")
+
+
+@query("node_metrics", f"WITH {DETS}, a AS (SELECT confidence AS c FROM det) SELECT 'low' AS node_id, count(*) AS rows FROM a WHERE c >= 0.2 UNION ALL SELECT 'high', count(*) FROM a WHERE c >= 0.9 UNION ALL SELECT 'all', sum((c >= 0.2)::INT + (c >= 0.9)::INT)::BIGINT FROM a UNION ALL SELECT 'best', (2 * count(*))::BIGINT FROM a WHERE c >= 0.95")
+def _(spark, sf):
+    return P.node_metrics(P.parse(GRAPH), T.detections(spark, sf))
+
+
+@query("result_json")
+def _(spark, sf):
+    return P.result_json(detect.nms(T.detections(spark, sf), 0.2, 0.2))
+
+
+@query("multi_roi", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(list_distance(p.f, b.f)) AS d FROM probe p JOIN bank b USING (label) GROUP BY 1, 2), r AS (SELECT id // 16 AS image_id, g, max(d) AS s FROM m GROUP BY 1, 2) SELECT image_id, count(*) AS rois, round(max(s), 4) AS worst, bool_or(s > 8.5) AS any_anomaly FROM r GROUP BY 1")
+def _(spark, sf):
+    nn = vectors.nn_by_group(T.probes(spark, sf), T.bank(spark, sf), "label")
+    per = nn.groupBy(F.expr("id div 16").alias("image_id"), "g").agg(F.max("dist").alias("s"))
+    return per.groupBy("image_id").agg(F.count(F.lit(1)).alias("rois"), r4("worst", F.max("s")), F.bool_or(F.col("s") > 8.5).alias("any_anomaly"))
+
+
+@query("windowed_requests", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS requests FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    e = T.table(spark, sf, "events")
+    return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("requests"))
