@@ -16,37 +16,39 @@ def confidence_filter(det: DataFrame, threshold: float = 0.5) -> DataFrame:
     return det.filter(F.col("confidence") >= threshold)
 
 
-def _suppress(box: np.ndarray, iou: float) -> np.ndarray:
-    """Which of the boxes (sorted, best first) stay; corner boxes."""
-    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    keep = np.ones(len(box), bool)
-    for i in range(len(box)):
-        if keep[i]:
-            r = box[i + 1 :]
-            iw = np.clip(np.minimum(box[i, 2], r[:, 2]) - np.maximum(box[i, 0], r[:, 0]), 0, None)
-            ih = np.clip(np.minimum(box[i, 3], r[:, 3]) - np.maximum(box[i, 1], r[:, 1]), 0, None)
-            inter = iw * ih
-            keep[i + 1 :] &= inter / (area[i] + area[i + 1 :] - inter + 1e-6) <= iou
-    return keep
-
-
-def nms(det: DataFrame, iou: float = 0.45, confidence: float = 0.5) -> DataFrame:
+def _suppress(box: list[tuple], iou: float) -> list[int]:
+    """Places of the boxes that stay, of boxes (x1, y1, x2, y2) sorted best first."""
+    kept: list[int] = []
+    for i, (x1, y1, x2, y2) in enumerate(box):
+        area = (x2 - x1) * (y2 - y1)
+        for k in kept:
+            u1, v1, u2, v2 = box[k]
+            inter = max(0.0, min(x2, u2) - max(x1, u1)) * max(0.0, min(y2, v2) - max(y1, v1))
+            if inter / (area + (u2 - u1) * (v2 - v1) - inter + 1e-6) > iou:
+                break
+        else:
+            kept.append(i)
+    return kept
+
+
+def nms(det: DataFrame, iou: float = 0.45, confidence: float = 0.5, lots: int | None = None) -> DataFrame:
     """Greedy per-label suppression inside each frame, by confidence and then det_id.
 
-    The decision is sequential inside a frame; frames are independent, so many frames share a task."""
+    The decision is sequential inside a frame; frames are independent and are dealt in lots (four per
+    shuffle partition), so that starting a group costs little against its rows."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["confidence", "det_id"], ascending=[False, True])
-        kept = []
-        for _, g in part.groupby(["frame_id", "label"], sort=False):
-            x, y, w, h = (g[c].to_numpy() for c in ("cx", "cy", "w", "h"))
-            kept.append(g[_suppress(np.column_stack((x - w / 2, y - h / 2, x + w / 2, y + h / 2)), iou)])
-        return pd.concat(kept) if kept else part
+        part = part.sort_values(["frame_id", "label", "confidence", "det_id"], ascending=[True, True, False, True])
+        x, y, w, h = (part[c].to_numpy() for c in ("cx", "cy", "w", "h"))
+        box = list(zip((x - w / 2).tolist(), (y - h / 2).tolist(), (x + w / 2).tolist(), (y + h / 2).tolist(), strict=True))
+        frame, label = part["frame_id"].to_numpy(), part["label"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], (frame[1:] != frame[:-1]) | (label[1:] != label[:-1]), [True]))).tolist()
+        keep = [a + i for a, b in zip(cut, cut[1:]) for i in (_suppress(box[a:b], iou) if b - a > 1 else (0,))]
+        return part.iloc[keep].drop(columns="lot")
 
     likely = confidence_filter(det, confidence).select("frame_id", "det_id", "label", "confidence", "cx", "cy", "w", "h")
-    # frames are dealt in lots, so that starting a group costs little against its rows
-    lots = likely.withColumn("lot", F.pmod(F.xxhash64("frame_id"), F.lit(4096)))
-    return lots.groupBy("lot").applyInPandas(lambda p: run(p.drop(columns="lot")), DET)
+    lots = lots or 4 * int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return likely.withColumn("lot", F.pmod(F.xxhash64("frame_id"), F.lit(lots))).groupBy("lot").applyInPandas(run, DET)
 
 
 def iou_pairs(det: DataFrame) -> DataFrame:
