@@ -51,7 +51,7 @@ class _Slice:
 def _slices(table: pa.Table, length: int) -> list[_Slice]:
     ids = K.ids_of(table["doc_id"])
     buf, offs = K.text_buffer(table["text"])
-    return [_Slice(part, at, ids[i:j], length) for i, j, part, at in K.slices(buf, offs, 1_500_000)]
+    return [_Slice(part, at, ids[i:j], length) for i, j, part, at in K.slices(buf, offs, 1_000_000)]
 
 
 def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -215,15 +215,20 @@ def least_per_string(rows: np.ndarray, group: np.ndarray, least: np.ndarray, len
     row = np.repeat(np.arange(len(rows)), n)
     start = np.repeat(left - llen, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     p, inverse = K.powers(K._BASE, text.shape[1])
-    prefix = np.zeros((len(rows), text.shape[1] + 1), np.uint64)
-    np.cumsum(K.BYTE_HASH[text] * p, axis=1, out=prefix[:, 1:])
-    h = (prefix[row, start + length] - prefix[row, start]) * inverse[start]
+    h = np.empty(len(row), np.uint64)
+    ends = np.cumsum(n)
+    for a in range(0, len(rows), 8192):  # some rows at a time: a row's prefix sums take 700 bytes
+        b = min(a + 8192, len(rows))
+        prefix = np.zeros((b - a, text.shape[1] + 1), np.uint64)
+        np.cumsum(K.BYTE_HASH[text[a:b]] * p, axis=1, out=prefix[:, 1:])
+        own = slice(ends[a] - n[a], ends[b - 1])
+        h[own] = (prefix[row[own] - a, start[own] + length] - prefix[row[own] - a, start[own]]) * inverse[start[own]]
     h = K.mix64(h) ^ K.mix64(group[row].astype(np.uint64) + K.U(0x632BE59BD9B4E019))
     _, ids, _, place = least_ids(h, least[row])
     return row, ids[place]
 
 
-def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, chunk_bytes: int = 2_500_000, bucket_bytes: int = 8_000_000) -> DataFrame:
+def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, chunk_bytes: int = 2_000_000, bucket_bytes: int = 3_000_000) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, kept (binary, the remaining bytes) and spans (removed
     byte ranges as start:end, comma-joined)."""
     if not _GRAM < length < 120:
