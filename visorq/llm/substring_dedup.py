@@ -33,7 +33,8 @@ class _Slice:
         last = np.searchsorted(self.rows, self.rows, "right")
         grams = K.window_hash(self.words, half)
         self.anchor, self.first, self.count = K.anchor_units(grams, last, len(self.words), window, half)
-        self.anchor_hash = grams[self.anchor]
+        # mixed anew: the hashes of anchors are least ones and would crowd the first buckets
+        self.anchor_hash = K.mix64(grams[self.anchor])
         self.anchor_ids = ids[self.rows[self.anchor]]
 
     def windows(self, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -44,7 +44,8 @@ class _Slice:
         ends = np.repeat(offs[1:], np.diff(offs))
         grams = K.gram_hash(buf, _GRAM)
         self.anchor, self.first, self.count = K.anchor_units(grams, ends, len(buf), length, _GRAM)
-        self.hash = grams[self.anchor]
+        # mixed anew: the hashes of anchors are least ones and would crowd the first buckets
+        self.hash = K.mix64(grams[self.anchor])
         self.owner = ids[np.searchsorted(offs, self.anchor, "right") - 1]
 
 
