@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, release, shuffle_partitions
@@ -18,36 +18,38 @@ from .components import connected_components
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """Rows (key, id, size) of the buckets with two members or more, with the bucket's hub."""
+    """Rows (key, id, mark) of the buckets with two members or more, with the bucket's hub."""
     dealt = members.repartition(shuffle_partitions(members.sparkSession), "key")
     hubs = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
     return dealt.join(hubs, "key")
 
 
-def _close(pairs: DataFrame, percent: int) -> DataFrame:
-    """A Jaccard similarity is at most the ratio of the set sizes; size 0 means unknown."""
-    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    return pairs.filter((least == 0) | (100 * least >= percent * most))
+def similar_sizes(percent: int) -> Callable[[Column, Column], Column]:
+    """For marks that are set sizes: a Jaccard similarity is at most their ratio."""
+    return lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def link(members: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], hub_rounds: int = 2) -> DataFrame:
+def link(
+    members: DataFrame, possible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], hub_rounds: int = 2
+) -> DataFrame:
     """(node, component) of the ids that verified links connect.
 
-    members: key, id, size; verify: DataFrame (a, b) -> the same rows that are links.
+    members: key, id, mark; possible: whether members of two marks may be linked, asked before a pair
+    is made; verify: DataFrame (a, b) -> the same rows that are links.
     """
     spark = members.sparkSession
     groups = materialize(shared_buckets(members), "buckets")
     release(spark)
-    sizes = groups.select("id", "size").distinct()
-    first = groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("size").alias("size_b")).distinct()
-    first = _close(first.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a"), percent)
+    marks = groups.select("id", "mark").distinct()
+    first = groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("mark").alias("mark_b")).distinct()
+    first = first.join(marks.select(F.col("id").alias("a"), F.col("mark").alias("mark_a")), "a").filter(possible(F.col("mark_a"), F.col("mark_b")))
     tested = materialize(first.select("a", "b"), "pairs")
     links = materialize(verify(tested), "links")
     release(spark)
     for step in range(hub_rounds + 1):
         comps = materialize(connected_components(links), "components")
         marked = groups.drop("hub").join(comps, groups["id"] == comps["node"], "left").select(
-            "key", "id", "size", F.coalesce("component", "id").alias("comp")
+            "key", "id", "mark", F.coalesce("component", "id").alias("comp")
         )
         open_keys = marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2")
         marked = materialize(marked.join(open_keys, "key"), "open")
@@ -55,17 +57,15 @@ def link(members: DataFrame, percent: int, verify: Callable[[DataFrame], DataFra
             # one hub from the bucket's first and one from its last component, against all others
             pairs = None
             for side in ("c1", "c2"):
-                hubs = marked.filter(F.col("comp") == F.col(side)).groupBy("key").agg(F.min(F.struct("id", "size", "comp")).alias("h"))
-                more = marked.join(hubs, "key").filter(F.col("comp") != F.col("h.comp")).select(
-                    F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"), F.col("size").alias("size_a"), F.col("h.size").alias("size_b")
-                )
+                hubs = marked.filter(F.col("comp") == F.col(side)).groupBy("key").agg(F.min(F.struct("id", "mark", "comp")).alias("h"))
+                apart = (F.col("comp") != F.col("h.comp")) & possible(F.col("mark"), F.col("h.mark"))
+                more = marked.join(hubs, "key").filter(apart).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
                 pairs = more if pairs is None else pairs.unionAll(more)
         else:
-            other = marked.select("key", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-            pairs = marked.join(other, "key").filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).select(
-                F.col("id").alias("a"), F.col("id2").alias("b"), F.col("size").alias("size_a"), F.col("size2").alias("size_b")
-            )
-        pairs = materialize(_close(pairs, percent).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            other = marked.select("key", F.col("id").alias("id2"), F.col("mark").alias("mark2"), F.col("comp").alias("comp2"))
+            apart = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & possible(F.col("mark"), F.col("mark2"))
+            pairs = marked.join(other, "key").filter(apart).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return comps
         found = materialize(verify(pairs), "links")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import _kernel as K
 from ._shared import materialize, small_batches
-from .lsh import link
+from .lsh import link, similar_sizes
 
 #: Seeds of the two permutations.
 _SIGMA, _PI = np.uint32(0x5BD1E995), np.uint32(0x1B873593)
@@ -162,9 +162,9 @@ def near_duplicates(
     sig = materialize(signatures(docs, shingle, bands, rows), "signatures")
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     reps = named.groupBy("n_shingles", "k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    members = reps.select(F.explode("r.bands").alias("key"), F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("size"))
+    members = reps.select(F.explode("r.bands").alias("key"), F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("mark"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    comps = link(members, percent, verifier(texts, lambda b, o: shingle_sets(b, o, shingle), percent))
+    comps = link(members, similar_sizes(percent), verifier(texts, lambda b, o: shingle_sets(b, o, shingle), percent))
     classes = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(comps, classes["rep"] == comps["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("component")
