@@ -139,8 +139,7 @@ def duplicate_lines(
         F.xxhash64("band", "h").alias("key"), "id", "mark"
     )
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    def prepare(ids: DataFrame):
         spots = materialize(sig.join(ids, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")).select("id", "place.*"), "spots")
         per_doc = spots.groupBy("d").agg(F.collect_list(F.struct("l", "id")).alias("wanted"))
         lines = F.split("text", "\n")
@@ -150,9 +149,9 @@ def duplicate_lines(
             .select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["l"]).alias("text")))).alias("x"))
             .select("x.id", "x.text")
         )
-        return verifier(texts, _sets(shingle), percent)(pairs)
+        return verifier(materialize(texts, "line-texts"), _sets(shingle), percent)
 
-    comps = link(members, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= SKETCH_APART, verify)
+    comps = link(members, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= SKETCH_APART, prepare)
     release(docs.sparkSession)
     lines = sig.drop("bands", "sketch").join(comps, sig["id"] == comps["node"], "left").select("doc_id", "line", F.coalesce("component", "id").alias("component"))
     lines = lines.withColumn("place", place)

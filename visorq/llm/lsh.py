@@ -30,12 +30,16 @@ def similar_sizes(percent: int) -> Callable[[Column, Column], Column]:
 
 
 def link(
-    members: DataFrame, possible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], hub_rounds: int = 2
+    members: DataFrame,
+    possible: Callable[[Column, Column], Column],
+    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    hub_rounds: int = 2,
 ) -> DataFrame:
     """(node, component) of the ids that verified links connect.
 
     members: key, id, mark; possible: whether members of two marks may be linked, asked before a pair
-    is made; verify: DataFrame (a, b) -> the same rows that are links.
+    is made; prepare: gets all ids (id) that pairs may have, once, and returns the function that keeps
+    those rows of a DataFrame (a, b) that are links.
     """
     spark = members.sparkSession
     groups = materialize(shared_buckets(members), "buckets")
@@ -44,6 +48,7 @@ def link(
     first = groups.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("mark").alias("mark_b")).distinct()
     first = first.join(marks.select(F.col("id").alias("a"), F.col("mark").alias("mark_a")), "a").filter(possible(F.col("mark_a"), F.col("mark_b")))
     tested = materialize(first.select("a", "b"), "pairs")
+    verify = prepare(groups.select("id").distinct())
     links = materialize(verify(tested), "links")
     release(spark)
     for step in range(hub_rounds + 1):

@@ -140,10 +140,8 @@ def verifier(texts: DataFrame, sets, percent: int):
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        needed = materialize(texts.join(ids, "id", "left_semi"), "pair-texts")
-        left = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        right = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
     return verify
@@ -164,7 +162,12 @@ def near_duplicates(
     reps = named.groupBy("n_shingles", "k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
     members = reps.select(F.explode("r.bands").alias("key"), F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("mark"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    comps = link(members, similar_sizes(percent), verifier(texts, lambda b, o: shingle_sets(b, o, shingle), percent))
+
+    def prepare(ids: DataFrame):
+        needed = materialize(texts.join(ids, "id", "left_semi"), "pair-texts")
+        return verifier(needed, lambda b, o: shingle_sets(b, o, shingle), percent)
+
+    comps = link(members, similar_sizes(percent), prepare)
     classes = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(comps, classes["rep"] == comps["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("component")
