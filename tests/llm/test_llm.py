@@ -16,7 +16,7 @@ from visorq.llm import (  # noqa: E402
     bpe,
     components,
     decontaminate,
-    line_dedup,
+    line_dedup, lsh,
     near_dup,
     pii,
     quality_rules,
@@ -114,6 +114,18 @@ def test_chain_of_near_copies_in_shared_buckets(spark):
     assert got == B.near(rows, 80)
 
 
+@pytest.mark.parametrize("linked", [{(3, 4)}, {(2, 5), (5, 7)}, set(), {(1, 8), (3, 4), (4, 6)}])
+def test_links_that_no_hub_has(spark, linked):
+    """Members of one bucket whose only links are with members that never become hubs."""
+    members = spark.createDataFrame([(1, i, 0) for i in range(1, 9)], "key long, id long, mark long")
+    known = spark.createDataFrame([*linked], "a long, b long")
+    got = lsh.link(members, lambda x, y: x == y, lambda ids: lambda pairs: pairs.join(known, ["a", "b"], "left_semi"))
+    least = {}
+    for a, b in sorted(linked):
+        least[b] = least[a] = least.get(a, a)
+    assert {r.node: r.component for r in got.collect()} == least
+
+
 def test_line_dedup(spark, rows):
     got = {tuple(r) for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
     assert got == B.lines(rows)

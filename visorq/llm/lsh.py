@@ -29,6 +29,24 @@ def similar_sizes(percent: int) -> Callable[[Column, Column], Column]:
     return lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _hub_pairs(marked: DataFrame, possible: Callable[[Column, Column], Column]) -> DataFrame:
+    """One hub from each bucket's first and one from its last component, against all members of others."""
+    pairs = None
+    for side in ("c1", "c2"):
+        hubs = marked.filter(F.col("comp") == F.col(side)).groupBy("key").agg(F.min(F.struct("id", "mark", "comp")).alias("h"))
+        apart = (F.col("comp") != F.col("h.comp")) & possible(F.col("mark"), F.col("h.mark"))
+        more = marked.join(hubs, "key").filter(apart).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
+        pairs = more if pairs is None else pairs.unionAll(more)
+    return pairs
+
+
+def _all_pairs(marked: DataFrame, possible: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs of a bucket's members that are in different components."""
+    other = marked.select("key", F.col("id").alias("id2"), F.col("mark").alias("mark2"), F.col("comp").alias("comp2"))
+    apart = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & possible(F.col("mark"), F.col("mark2"))
+    return marked.join(other, "key").filter(apart).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def link(
     members: DataFrame,
     possible: Callable[[Column, Column], Column],
@@ -51,29 +69,27 @@ def link(
     verify = prepare(groups.select("id").distinct())
     links = materialize(verify(tested), "links")
     release(spark)
-    for step in range(hub_rounds + 1):
-        comps = materialize(connected_components(links), "components")
-        marked = groups.drop("hub").join(comps, groups["id"] == comps["node"], "left").select(
-            "key", "id", "mark", F.coalesce("component", "id").alias("comp")
-        )
-        open_keys = marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2")
-        marked = materialize(marked.join(open_keys, "key"), "open")
-        if step < hub_rounds:
-            # one hub from the bucket's first and one from its last component, against all others
-            pairs = None
-            for side in ("c1", "c2"):
-                hubs = marked.filter(F.col("comp") == F.col(side)).groupBy("key").agg(F.min(F.struct("id", "mark", "comp")).alias("h"))
-                apart = (F.col("comp") != F.col("h.comp")) & possible(F.col("mark"), F.col("h.mark"))
-                more = marked.join(hubs, "key").filter(apart).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-                pairs = more if pairs is None else pairs.unionAll(more)
-        else:
-            other = marked.select("key", F.col("id").alias("id2"), F.col("mark").alias("mark2"), F.col("comp").alias("comp2"))
-            apart = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & possible(F.col("mark"), F.col("mark2"))
-            pairs = marked.join(other, "key").filter(apart).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    comps, hubs_left = None, hub_rounds
+    while True:
+        if comps is None:
+            comps = materialize(connected_components(links), "components")
+            marked = groups.drop("hub").join(comps, groups["id"] == comps["node"], "left").select(
+                "key", "id", "mark", F.coalesce("component", "id").alias("comp")
+            )
+            open_keys = marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2")
+            marked = materialize(marked.join(open_keys, "key"), "open")
+        pairs = _hub_pairs(marked, possible) if hubs_left else _all_pairs(marked, possible)
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return comps
-        found = materialize(verify(pairs), "links")
-        tested, links = tested.unionAll(pairs), links.unionAll(found)
-        release(spark)
-    return materialize(connected_components(links), "components")
+        n_pairs, n_found = pairs.count(), 0
+        if n_pairs:
+            found = materialize(verify(pairs), "links")
+            n_found = found.count()
+            release(spark)
+        if n_found:
+            links = links.unionAll(found)
+        if not hubs_left:
+            return materialize(connected_components(links), "components") if n_found else comps
+        tested = tested.unionAll(pairs)
+        # hubs that link few members leave nothing for more hubs to save: the last step is next
+        hubs_left = hubs_left - 1 if 20 * n_found >= n_pairs > 0 else 0
+        comps = None if n_found else comps
