@@ -43,6 +43,23 @@ def test_greedy_coreset():
     assert vectors.greedy_coreset(v, 9) == [0, 1, 2, 3, 4] and vectors.greedy_coreset(v, 0) == []
 
 
+def test_coreset_of_a_large_group_is_whole(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.integers(0, 9, (20_400, 3)).astype(float), rng.normal(0, 30, (100, 3))])
+    pool = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, features array<double>")
+    got = vectors.coreset(pool, 0.01).orderBy("step").collect()
+    assert [r.id for r in got] == vectors.greedy_coreset(v, 205) and [r.step for r in got] == list(range(205))
+
+
+def test_coreset_rounds_of_groups(spark, monkeypatch):
+    bank = T.bank(spark, SF)
+    whole = [vectors.coreset(bank, t, g).orderBy("g", "step").collect() for t, g in ((32, None), (0.25, "label"), (10**6, None))]
+    monkeypatch.setattr(vectors, "HELD", 10)
+    monkeypatch.setattr(vectors, "ROUND_ROWS", 1)
+    monkeypatch.setattr(vectors, "REBASE", 3)
+    assert [vectors.coreset(bank, t, g).orderBy("g", "step").collect() for t, g in ((32, None), (0.25, "label"), (10**6, None))] == whole
+
+
 def test_evaluation_of_one_class_and_of_perfect_scores(spark):
     rows = lambda x: spark.createDataFrame(x, "truth int, score double")
     assert evaluate.auc(rows([(1, 0.9), (1, 0.2)])).first().auc == 0.0

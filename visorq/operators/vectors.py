@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from ..functions.geometry import l2
 
 #: Bytes of bank vectors that one task holds at once; a larger bank is searched in blocks.
 BLOCK_BYTES = 64_000_000
+#: Rows of a coreset's group that one task selects from; a larger group is selected in distributed rounds.
+HELD = 20_000
+#: Rows that a round takes to the driver, and the rounds after which distances start from the rows again.
+ROUND_ROWS, REBASE = 8192, 20
 
 
 def check_bank(bank: DataFrame, vec: str = "features") -> tuple[int, int]:
@@ -131,23 +137,128 @@ def greedy_coreset(v: np.ndarray, target: int) -> list[int]:
     return chosen
 
 
-def coreset(pool: DataFrame, target: int | float, group: str | None = None, id_col: str = "vec_id", vec: str = "features", most: int = 20_000) -> DataFrame:
-    """g, step, id: the greedy coreset of each group; target is a count or a fraction.
+def _lower(v: np.ndarray, near: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances to the nearest centre, at most ``near``; in slices that fit a core's cache."""
+    near = near.copy()
+    for i in range(0, len(v), 512):
+        part, at = v[i : i + 512], near[i : i + 512]
+        for c in centres:
+            np.minimum(at, ((part - c) ** 2).sum(1), out=at)
+    return near
 
-    The selection is sequential by definition, so a group is first cut to ``most`` rows by a hash of
-    the id, the reference semantics of its fast sampler; that bounds what one task holds.
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _state(rows: DataFrame, ids: list[int], centres: np.ndarray) -> DataFrame:
+    """id, v, near: rows with their squared distance to the nearest centre; -1 for the centres themselves."""
+    sent = rows.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, c = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                near = _lower(_matrix(batch), batch.column("near").to_numpy(), c)
+                near[np.isin(batch.column("id").to_numpy(), own)] = -1
+                yield pa.record_batch([batch.column("id"), batch.column("v"), pa.array(near)], names=["id", "v", "near"])
+
+    return rows.mapInArrow(run, "id long, v array<double>, near double")
+
+
+def _farthest(state: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(ids, near, vectors, bound): the ``most`` farthest rows of each partition, sorted by id. No other row
+    comes before ``bound`` = (near, -id) in the order of selection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, more = None, False
+        for batch in batches:
+            best = pa.Table.from_batches([batch]) if best is None else pa.concat_tables([best, pa.Table.from_batches([batch])])
+            if len(best) > most:
+                order = np.lexsort((best["id"].to_numpy(), -best["near"].to_numpy()))[:most]
+                best, more = best.take(pa.array(order)), True
+        if best is not None and len(best):
+            last = np.zeros(len(best), bool)
+            last[-1] = more
+            yield from best.append_column("last", pa.array(last)).combine_chunks().to_batches()
+
+    held = state.mapInArrow(run, "id long, v array<double>, near double, last boolean").toArrow().sort_by("id").combine_chunks()
+    ids, near = held["id"].to_numpy(), held["near"].to_numpy().copy()
+    last = np.flatnonzero(held["last"].to_numpy())
+    bound = max(((near[i], -ids[i]) for i in last), default=(-np.inf, 0))
+    return ids, near, np.concatenate([_matrix(b) for b in held.to_batches()]), bound
+
+
+def _greedy_rounds(rows: DataFrame, want: int) -> list[int]:
+    """Ids in the order of ``greedy_coreset`` over rows (id, v) of any number; want is below that number.
+
+    Each round takes the farthest rows of every partition to the driver, which selects among them for as
+    long as no other row can come before; distances only fall, so the order is exact. The new centres are
+    then sent to all rows. The distances start anew from the rows every REBASE rounds, which bounds the lineage.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = rows.select("id", "v", F.lit(float("inf")).alias("near")).repartition(parts, "id").persist()
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    first = base.agg(F.max(norm)).first()[0]
+    # Spark adds in another order than numpy: rows within rounding of the largest norm are compared by numpy
+    heads = base.filter(norm >= F.lit(first * (1 - 1e-9))).select("id", "v").toArrow().sort_by("id").combine_chunks()
+    v = np.concatenate([_matrix(b) for b in heads.to_batches()])
+    at = int(np.argmax((v * v).sum(1)))
+    picked, centres, new = [heads["id"][at].as_py()], [v[at]], 1
+    state, rounds = None, 0
+    while len(picked) < want:
+        last, rounds = state, rounds + 1
+        start, since = (base, 0) if last is None or rounds % REBASE == 0 else (last, len(picked) - new)
+        state = _state(start, picked[since:], np.stack(centres[since:])).persist()
+        ids, near, v, bound = _farthest(state, max(8, ROUND_ROWS // parts))
+        if last is not None:
+            last.unpersist()
+        new = 0
+        while len(picked) < want:
+            i = int(np.argmax(near))
+            if (near[i], -ids[i]) < bound:
+                break
+            picked.append(int(ids[i]))
+            centres.append(v[i])
+            near[i] = -1
+            near, new = np.minimum(near, ((v - v[i]) ** 2).sum(1)), new + 1
+    for held in (state, base):
+        if held is not None:
+            held.unpersist()
+    return picked
+
+
+def coreset(pool: DataFrame, target: int | float, group: str | None = None, id_col: str = "vec_id", vec: str = "features", most: int | None = None) -> DataFrame:
+    """g, step, id: the greedy coreset of each group; target is a count or a fraction of the whole group.
+
+    A group of up to HELD rows is selected by one task, a larger one by distributed rounds with the same
+    result. ``most`` is the fast sampler's limit: groups are first cut to so many rows by a hash of the id.
     """
     rows = pool.select((F.col(group).cast("string") if group else F.lit("all")).alias("g"), F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
-    rows = rows.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
+        rows = rows.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+
+    def wanted(n: int) -> int:
+        return target if isinstance(target, int) else max(1, int(n * target))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        want = target if isinstance(target, int) else max(1, int(len(part) * target))
-        picked = greedy_coreset(np.stack(part["v"].to_numpy()), want)
+        picked = greedy_coreset(np.stack(part["v"].to_numpy()), wanted(len(part)))
         return pd.DataFrame({"g": part["g"].iloc[0], "step": range(len(picked)), "id": part["id"].to_numpy()[picked]})
 
-    return rows.groupBy("g").applyInPandas(run, "g string, step int, id long")
+    schema = "g string, step int, id long"
+    small, parts = rows, []
+    for g, n in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HELD).collect():
+        own = F.col("g").eqNullSafe(F.lit(g))
+        mine, small, want = rows.filter(own), small.filter(~own), wanted(n)
+        if want >= n:
+            numbered = mine.select("id").sort("id").rdd.zipWithIndex().map(lambda x, g=g: (g, x[1], x[0][0]))
+            parts.append(pool.sparkSession.createDataFrame(numbered, schema))
+        elif want > 0:
+            picked = _greedy_rounds(mine.select("id", "v"), want)
+            parts.append(pool.sparkSession.createDataFrame([(g, i, x) for i, x in enumerate(picked)], schema))
+    return reduce(DataFrame.unionAll, parts, small.groupBy("g").applyInPandas(run, schema))
 
 
 def norm_params(pool: DataFrame, vec: str = "features") -> DataFrame:
