@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from visorq.operators import detect, evaluate, imaging, serving, vectors
 from visorq.plans import pipeline as P
+from visorq.plans import queries as Q
 from visorq.sources import files
 from visorq.sources import tables as T
 from visorq.streaming import serving as stream
@@ -51,6 +53,16 @@ def test_coreset_of_a_large_group_is_whole(spark):
     assert [r.id for r in got] == vectors.greedy_coreset(v, 205) and [r.step for r in got] == list(range(205))
 
 
+def test_training_queries_see_all_normal_rows(spark):
+    rows = sorted((r.vec_id, r.embedding, r.label) for r in T.table(spark, SF, "embeddings").filter("label < 8").collect())
+    v = np.array([r[1] for r in rows], dtype=float)
+    for name, col, want in (("coreset", "id", 32), ("train_bank", "vec_id", len(rows) // 10)):
+        got = Q.queries()[name](spark, SF).orderBy("step").collect()
+        assert [r[col] for r in got] == [rows[i][0] for i in vectors.greedy_coreset(v, want)]
+    per = Counter(r[2] for r in rows)
+    assert Q.queries()["coreset_per_roi"](spark, SF).count() == sum(max(1, n // 4) for n in per.values())
+
+
 def test_coreset_rounds_of_groups(spark, monkeypatch):
     bank = T.bank(spark, SF)
     whole = [vectors.coreset(bank, t, g).orderBy("g", "step").collect() for t, g in ((32, None), (0.25, "label"), (10**6, None))]

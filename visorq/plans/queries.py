@@ -114,22 +114,22 @@ def _(spark, sf):
 
 @query("coreset")
 def _(spark, sf):
-    return vectors.coreset(T.bank(spark, sf), 32)
+    return vectors.coreset(T.normal(spark, sf), 32)
 
 
 @query("coreset_per_roi")
 def _(spark, sf):
-    return vectors.coreset(T.bank(spark, sf), 0.25, "label")
+    return vectors.coreset(T.normal(spark, sf), 0.25, "label")
 
 
 @query("fast_sample")
 def _(spark, sf):
-    return vectors.coreset(T.bank(spark, sf), 16, most=100)
+    return vectors.coreset(T.normal(spark, sf), 16, most=100)
 
 
 @query("train_bank")
 def _(spark, sf):
-    return vectors.train_bank(T.bank(spark, sf), 0.1)[0].select("vec_id", "step")
+    return vectors.train_bank(T.normal(spark, sf), 0.1)[0].select("vec_id", "step")
 
 
 @query("thresholds", f"WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score FROM nn")

@@ -23,6 +23,11 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patch_features(spark, sf_dir).filter("label < 8 and vec_id % 2 = 0")
 
 
+def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All normal patches, what banks are trained from; ``bank`` is the half that the searches' SQL names."""
+    return patch_features(spark, sf_dir).filter("label < 8")
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patch_features(spark, sf_dir).filter("vec_id % 2 = 1")
 
