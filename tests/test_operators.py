@@ -39,6 +39,14 @@ def test_clustered_search_recall(spark):
         assert near >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("name", ["ivf_search", "hnsw_substitute"])
+def test_registered_search_finds_the_true_neighbour(spark, name, sf):
+    exact = {r.id: r.dist for r in Q.queries()["nn_exact"](spark, sf).collect()}
+    hits = sum(r.dist == exact[r.id] for r in Q.queries()[name](spark, sf).collect())
+    assert hits >= 0.9 * len(exact)
+
+
 def test_greedy_coreset():
     v = np.array([[0.0, 0], [1, 0], [10, 0], [0, 9], [5, 5]])
     assert vectors.greedy_coreset(v, 3) == [2, 3, 0]

@@ -88,7 +88,7 @@ def _(spark, sf):
 
 @query("ivf_search")
 def _(spark, sf):
-    return vectors.ivf_search(T.probes(spark, sf), T.bank(spark, sf), nlist=16, nprobe=8).select("id", "nn_id", r4("dist"))
+    return vectors.ivf_search(T.probes(spark, sf), T.bank(spark, sf), nlist=16, nprobe=12).select("id", "nn_id", r4("dist"))
 
 
 @query("hnsw_substitute")
