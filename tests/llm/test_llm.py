@@ -237,6 +237,25 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(index.filter("page_id = 2")).count() == 1
 
 
+def short_copies(rows):
+    places = {}
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            if len(x) < 20 and B.words(x):
+                places.setdefault(x, []).append((d, i))
+    return {p for g in places.values() for p in g if p != min(g)}
+
+
+def test_equal_short_lines(spark, rows, tmp_path):
+    rows = rows + [(70, "short\nkürz\n\n--\n日本"), (71, "kürz\nshort \n日本\n\n")]
+    want = B.lines(rows) | short_copies(rows)
+    assert {(61, 3), (70, 0), (71, 0), (71, 2)} <= want
+    assert {tuple(r) for r in line_dedup.duplicate_lines(frame(spark, rows), short=True).collect()} == want
+    frame(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: sum(p[0] == d for p in want) for d, _ in rows}
+
+
 @pytest.mark.parametrize("name", ["suffix", "substring", "near", "line", "bench", "bpe", "secret", "pii", "quality", "warc"])
 def test_empty_tables(spark, name):
     none = frame(spark, []) if name != "warc" else spark.createDataFrame([], "page_id long, url string, html string")

@@ -5,8 +5,8 @@ shingles give a MinHash signature, whose bands propose candidates; candidates ar
 Jaccard similarity of their shingle sets; distributed union-find closes the links; and the first line of
 each component, by document id and line number, stays.
 
-Defined cases: null text counts as empty (no lines); lines of fewer than ``min_chars`` characters and
-lines without a word always stay; lines of rows with a null id come last in the order; rows that share
+Defined cases: null text counts as empty (no lines); lines without a word always stay; lines of fewer than
+``min_chars`` characters stay too, or with ``short`` lose their equal copies, by fingerprint; lines of rows with a null id come last in the order; rows that share
 an id are one document with the removals of each, so repeated rows lose the same lines; an empty table
 gives an empty result; other input columns are not read.
 """
@@ -73,8 +73,8 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_signatures(docs: DataFrame, shingle: int, min_chars: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, line, id (the line's fingerprint), sketch and bands (32-bit keys, one per band)."""
+def line_signatures(docs: DataFrame, shingle: int, min_chars: int, bands: int, rows: int, short: bool = False) -> DataFrame:
+    """doc_id, line, id (the line's fingerprint), sketch and bands (32-bit keys, one per band; none for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,15 @@ def line_signatures(docs: DataFrame, shingle: int, min_chars: int, bands: int, r
                 line = breaks[starts] - breaks[at[owner]]
                 worded = np.concatenate(([0], np.cumsum(K.WORDS[part])))
                 chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-                good = (worded[ends] > worded[starts]) & (chars[ends] - chars[starts] >= min_chars)
+                some, long = worded[ends] > worded[starts], chars[ends] - chars[starts] >= min_chars
+                if short and (brief := some & ~long).any():
+                    n = int(brief.sum())
+                    yield pa.record_batch(
+                        [ids.take(pa.array(owner[brief] + i)), pa.array(line[brief].astype(np.int32)), pa.array(K.span_hash(part, starts[brief], ends[brief]).view(np.int64)), pa.array(np.zeros(n, np.int64)),
+                         pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))],
+                        names=["doc_id", "line", "id", "sketch", "bands"],
+                    )
+                good = some & long
                 starts, ends, owner, line = starts[good], ends[good], owner[good], line[good]
                 if not len(starts):
                     continue
@@ -124,17 +132,18 @@ def _sets(shingle: int):
 
 
 def duplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 7, percent: int = 80, min_chars: int = 20, bands: int = 16, rows: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 7, percent: int = 80, min_chars: int = 20, bands: int = 16, rows: int = 5, short: bool = False
 ) -> DataFrame:
     """(doc_id, line): the lines to remove. With 16 bands of 5 rows a pair at similarity 0.8 shares a
     bucket with probability 0.998, one at 0.9 with 0.999999. Pairs whose sketches lie far apart are not
-    verified, which loses a pair at 0.8 once in 100 thousand."""
+    verified, which loses a pair at 0.8 once in 100 thousand. short: also the later copies of equal lines
+    below ``min_chars``."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(line_signatures(docs, shingle, min_chars, bands, rows), "lines")
+    sig = materialize(line_signatures(docs, shingle, min_chars, bands, rows, short), "lines")
     release(docs.sparkSession)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("line").alias("l"))
-    reps = sig.groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("r"))
+    reps = sig.filter(F.size("bands") > 0).groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("r"))
     members = reps.select(F.posexplode("r.bands").alias("band", "h"), "id", F.col("r.sketch").alias("mark")).select(
         F.xxhash64("band", "h").alias("key"), "id", "mark"
     )

@@ -75,7 +75,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    done = dedup_lines(table(spark, sf_dir, "documents"))
+    done = dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
