@@ -71,6 +71,13 @@ def test_training_queries_see_all_normal_rows(spark):
     assert Q.queries()["coreset_per_roi"](spark, SF).count() == sum(max(1, n // 4) for n in per.values())
 
 
+def test_fast_sample_takes_all_rows_below_its_limit(spark):
+    whole = vectors.coreset(T.normal(spark, SF), 16).orderBy("step").collect()
+    assert Q.queries()["fast_sample"](spark, SF).orderBy("step").collect() == whole
+    ids = [r.id for r in vectors.coreset(T.normal(spark, SF), 200, most=100).collect()]
+    assert len(ids) == len(set(ids)) == 100
+
+
 def test_coreset_rounds_of_groups(spark, monkeypatch):
     bank = T.bank(spark, SF)
     whole = [vectors.coreset(bank, t, g).orderBy("g", "step").collect() for t, g in ((32, None), (0.25, "label"), (10**6, None))]

@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("fast_sample")
 def _(spark, sf):
-    return vectors.coreset(T.normal(spark, sf), 16, most=100)
+    return vectors.coreset(T.normal(spark, sf), 16, most=20_000)
 
 
 @query("train_bank")
