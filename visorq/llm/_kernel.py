@@ -14,6 +14,8 @@ import zstandard
 U = np.uint64
 _BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 BYTE_HASH = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
+#: For second hashes, where two together tell contents apart.
+_BASE2, BYTE_HASH2 = 0xA24BAED4963EE407, np.random.default_rng(20250311).integers(0, 2**64, 256, dtype=np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -102,19 +104,19 @@ def spans(buf: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    p, _ = powers(_BASE, len(buf))
+def prefix_hash(buf: np.ndarray, second: bool = False) -> np.ndarray:
+    p, _ = powers(_BASE2 if second else _BASE, len(buf))
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_HASH[buf] * p, out=out[1:])
+    np.cumsum((BYTE_HASH2 if second else BYTE_HASH)[buf] * p, out=out[1:])
     return out
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    """Hash of each byte span; equal bytes have equal hashes at any place."""
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of each byte span; equal bytes have equal hashes at any place. second: another, independent hash."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    prefix = prefix_hash(buf) if prefix is None else prefix
-    _, inverse = powers(_BASE, len(buf))
+    prefix = prefix_hash(buf, second)
+    _, inverse = powers(_BASE2 if second else _BASE, len(buf))
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
     return mix64(h + (ends - starts).astype(np.uint64))
 
@@ -212,6 +214,27 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct_in_rows(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds): each row's distinct values, sorted; rows are h[bounds[r]:bounds[r + 1]]. Sorts ``h``."""
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a > 1:
+            h[a:b].sort()
+    new = np.ones(len(h), bool)
+    if len(h):
+        new[1:] = h[1:] != h[:-1]
+        new[bounds[:-1][bounds[:-1] < len(h)]] = True
+    kept = np.concatenate(([0], np.cumsum(new)))
+    return h[new], kept[bounds]
+
+
+def equal_runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of equal neighbours."""
+    if not len(x):
+        return []
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return list(zip(cut.tolist(), np.append(cut[1:], len(x)).tolist(), strict=True))
+
+
 def ids_of(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Integer ids; null counts as the largest, so that it never precedes another."""
     if isinstance(col, pa.ChunkedArray):

@@ -1,14 +1,16 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
-Lines are split at newlines. Equal lines form one node by a 64-bit fingerprint; each node's character
-shingles give a MinHash signature, whose bands propose candidates; candidates are verified by the exact
-Jaccard similarity of their shingle sets; distributed union-find closes the links; and the first line of
-each component, by document id and line number, stays.
-
-Defined cases: null text counts as empty (no lines); lines without a word always stay; lines of fewer than
-``min_chars`` characters stay too, or with ``short`` lose their equal copies, by fingerprint; lines of rows with a null id come last in the order; rows that share
-an id are one document with the removals of each, so repeated rows lose the same lines; an empty table
-gives an empty result; other input columns are not read.
+Lines are split at newlines. Equal lines, told by 128 bits, form one node; each node's character shingles
+give a MinHash signature, whose bands propose candidates with high recall; candidates are verified by the
+exact Jaccard similarity of their shingle sets (``lsh``); distributed union-find closes the links; and the
+first line of each component, by document id and line number, stays.
+
+Defined cases: null text counts as empty (no lines); lines without a word always stay; a line of fewer
+characters than a shingle is one shingle; rows are told apart by id and text together, so rows with a
+null id or that share an id lose only lines of their own, while rows that agree in both are one document
+and lose the same lines; lines of rows with a null id come last in the order, those of rows that share an
+id in the order of a hash of their texts; an empty table gives an empty result; other input columns are
+returned as they are.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import materialize, release, small_batches
-from .lsh import link
-from .near_dup import verifier
+from ._shared import discard, join_by_counts, materialize, row_key, split_by_slots
+from .lsh import GROUP_ROWS, hub_members, link
+from .near_dup import band_keys
 
 _NOT_NEWLINE = K.byte_set(b"\n")
 
@@ -41,9 +43,6 @@ def char_shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: i
     return K.span_hash(buf, first, np.minimum(stop, np.repeat(ends, n))), heads
 
 
-#: Bits of a line's sketch, and how many of them two lines may differ in to become a pair. At a
-#: similarity of 0.8 a bit differs with probability 0.1, more than 18 bits do with 1 in 100 thousand.
-SKETCH_BITS, SKETCH_APART = 64, 18
 #: Shingles that are hashed at a time, few enough for a core's cache.
 _BLOCK = 1 << 16
 
@@ -65,56 +64,38 @@ def _minima(x: np.ndarray, heads: np.ndarray, coordinates: int) -> np.ndarray:
     return sig
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each of the first coordinates, as an integer per line."""
-    out = np.zeros(sig.shape[1], np.uint64)
-    for k in range(SKETCH_BITS):
-        out |= (K.mix32(sig[k]) >> np.uint32(31)).astype(np.uint64) << K.U(k)
-    return out
-
-
-def line_signatures(docs: DataFrame, shingle: int, min_chars: int, bands: int, rows: int, short: bool = False) -> DataFrame:
-    """doc_id, line, id (the line's fingerprint), sketch and bands (32-bit keys, one per band; none for short lines)."""
+def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """The columns of ``docs`` but its last, the text; line (number), h1 and h2 (the line's 128-bit name)
+    and bands (keys, one per band, which equal lines of a slice have once)."""
+    kept = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = K.text_buffer(batch.column(1))
-            ids = batch.column(0)
-            for i, j, part, at in K.slices(buf, offs, 1_000_000):
+            buf, offs = K.text_buffer(batch.column(len(kept)))
+            for i, _, part, at in K.slices(buf, offs, 1_000_000):
                 starts, ends, owner = K.spans(part, at, _NOT_NEWLINE)
+                worded = np.concatenate(([0], np.cumsum(K.WORDS[part])))
+                some = worded[ends] > worded[starts]
+                starts, ends, owner = starts[some], ends[some], owner[some]
                 if not len(starts):
                     continue
                 breaks = np.concatenate(([0], np.cumsum(part == 10)))
                 line = breaks[starts] - breaks[at[owner]]
-                worded = np.concatenate(([0], np.cumsum(K.WORDS[part])))
-                chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-                some, long = worded[ends] > worded[starts], chars[ends] - chars[starts] >= min_chars
-                if short and (brief := some & ~long).any():
-                    n = int(brief.sum())
-                    yield pa.record_batch(
-                        [ids.take(pa.array(owner[brief] + i)), pa.array(line[brief].astype(np.int32)), pa.array(K.span_hash(part, starts[brief], ends[brief]).view(np.int64)), pa.array(np.zeros(n, np.int64)),
-                         pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))],
-                        names=["doc_id", "line", "id", "sketch", "bands"],
-                    )
-                good = some & long
-                starts, ends, owner, line = starts[good], ends[good], owner[good], line[good]
-                if not len(starts):
-                    continue
-                h, heads = char_shingles(part, starts, ends, shingle)
-                sig = _minima(K.mix32((h >> K.U(32)).astype(np.uint32)), heads, max(bands * rows, SKETCH_BITS))
-                keys = np.empty((len(starts), bands), np.int32)
-                for b in range(bands):
-                    g = np.full(len(starts), b + 1, np.uint64)
-                    for r in range(rows):
-                        g = K.mix64(g * K.U(0x9E3779B97F4A7C15) + sig[b * rows + r])
-                    keys[:, b] = (g >> K.U(32)).astype(np.uint32).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                h1, h2 = K.span_hash(part, starts, ends), K.span_hash(part, starts, ends, second=True)
+                new = np.zeros(len(starts), bool)
+                new[np.unique(h1, return_index=True)[1]] = True
+                h, heads = char_shingles(part, starts[new], ends[new], shingle)
+                sig = _minima(K.mix32((h >> K.U(32)).astype(np.uint32)), heads, bands * rows)
+                keys = np.ascontiguousarray(band_keys(sig, rows).T).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(new * bands))).astype(np.int32)), pa.array(keys))
+                from_row = pa.array(owner + i)
                 yield pa.record_batch(
-                    [ids.take(pa.array(owner + i)), pa.array(line.astype(np.int32)), pa.array(K.span_hash(part, starts, ends).view(np.int64)), pa.array(_sketch(sig).view(np.int64)), lists],
-                    names=["doc_id", "line", "id", "sketch", "bands"],
+                    [*(c.take(from_row) for c in batch.columns[:-1]), pa.array(line.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists],
+                    names=[*kept, "line", "h1", "h2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, line int, id long, sketch long, bands array<int>")
+    ahead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(run, f"{ahead}, line int, h1 long, h2 long, bands array<long>")
 
 
 def _sets(shingle: int):
@@ -122,69 +103,84 @@ def _sets(shingle: int):
         starts, ends = offs[:-1], offs[1:]
         some = ends > starts
         h, heads = char_shingles(buf, starts[some], ends[some], shingle)
-        owner = np.repeat(np.flatnonzero(some), np.diff(np.append(heads, len(h))))
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
-        return h[new], np.searchsorted(owner[new], np.arange(len(offs)))
+        bounds = np.zeros(len(offs), np.int64)
+        bounds[1:][some] = np.diff(np.append(heads, len(h)))
+        return K.distinct_in_rows(h, np.cumsum(bounds))
 
     return sets
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__r1, __r2 (the row's key), d (the id, null as the largest) and text."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(*row_key(doc_id, text), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("d"), text.alias("text"))
+
+
+def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the lines (id, place): they are cut from the documents that hold them."""
+    per_row = wanted.groupBy("place.__r1", "place.__r2").agg(F.collect_list(F.struct("place.line", "id")).alias("wanted"))
+    likely, _ = split_by_slots(docs, F.col("__r1"), wanted, F.col("place.__r1"))
+    found = likely.join(per_row, ["__r1", "__r2"]).select("wanted", F.split("text", "\n").alias("lines"))
+    cut = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line"]).alias("text")))).alias("x"))
+    return cut.select("x.id", "x.text").dropDuplicates(["id"])
+
+
 def duplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 7, percent: int = 80, min_chars: int = 20, bands: int = 16, rows: int = 5, short: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 7, percent: int = 80, bands: int = 16, rows: int = 5, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """(doc_id, line): the lines to remove. With 16 bands of 5 rows a pair at similarity 0.8 shares a
-    bucket with probability 0.998, one at 0.9 with 0.999999. Pairs whose sketches lie far apart are not
-    verified, which loses a pair at 0.8 once in 100 thousand. short: also the later copies of equal lines
-    below ``min_chars``."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(line_signatures(docs, shingle, min_chars, bands, rows, short), "lines")
-    release(docs.sparkSession)
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("line").alias("l"))
-    reps = sig.filter(F.size("bands") > 0).groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("r"))
-    members = reps.select(F.posexplode("r.bands").alias("band", "h"), "id", F.col("r.sketch").alias("mark")).select(
-        F.xxhash64("band", "h").alias("key"), "id", "mark"
-    )
-
-    def prepare(ids: DataFrame):
-        spots = materialize(sig.join(ids, "id", "left_semi").groupBy("id").agg(F.min(place).alias("place")).select("id", "place.*"), "spots")
-        per_doc = spots.groupBy("d").agg(F.collect_list(F.struct("l", "id")).alias("wanted"))
-        lines = F.split("text", "\n")
-        texts = (
-            docs.join(per_doc, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == per_doc["d"])
-            .select("wanted", lines.alias("lines"))
-            .select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["l"]).alias("text")))).alias("x"))
-            .select("x.id", "x.text")
-        )
-        return verifier(materialize(texts, "line-texts"), _sets(shingle), percent)
-
-    comps = link(members, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= SKETCH_APART, prepare)
-    release(docs.sparkSession)
-    lines = sig.drop("bands", "sketch").join(comps, sig["id"] == comps["node"], "left").select("doc_id", "line", F.coalesce("component", "id").alias("component"))
-    lines = lines.withColumn("place", place)
-    keep = lines.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return lines.join(keep, "component").filter("place <> first").select("doc_id", "line")
+    """(__r1, __r2, line), stored: the lines to remove, by their row's key (``row_key`` of id and text). With
+    16 bands of 5 rows a pair at similarity 0.8 shares a bucket with probability 0.998, one at 0.9 with 0.999999."""
+    docs = _keyed(docs, id_col, text_col)
+    lines = materialize(line_signatures(docs, shingle, bands, rows), "lines")
+    total = lines.count()
+    place = F.struct("d", "__r1", "__r2", "line")
+    by_h1 = lines.groupBy("h1").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.min("h2").alias("h2"), F.max("h2").alias("x2"))
+    by_h1 = materialize(by_h1, "line-classes")
+    pure, mixed = by_h1.filter("h2 = x2").drop("x2"), by_h1.filter("h2 <> x2").select("h1")
+    classes = pure.select("h1", "h2", "place", "n")
+    banded = lines.filter(F.size("bands") > 0)
+    if mixed.count():  # different lines with one h1: they lose equal copies only
+        banded = banded.join(mixed, "h1", "left_anti")
+        classes = classes.unionByName(lines.join(mixed, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")))
+    members = hub_members(banded.select(F.col("h1").alias("id"), "bands"))
+    ids = members.select("id").unionAll(members.select(F.col("hub").alias("id"))).distinct()
+    likely, _ = split_by_slots(pure, F.col("h1"), ids, F.col("id"))
+    wanted = materialize(likely.join(ids, likely["h1"] == ids["id"]).select("id", "place"), "wanted")
+    texts = materialize(_line_texts(docs, wanted), "line-texts")
+    comps = link(members, texts, _sets(shingle), percent, group_rows)
+    discard(members, wanted, texts)
+    likely, rest = split_by_slots(classes, F.col("h1"), comps, F.col("node"))
+    placed = likely.join(comps, likely["h1"] == comps["node"], "left").drop("node").unionByName(rest.withColumn("component", F.lit(None).cast("long")))
+    other = F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0))  # tells classes apart that are in no component
+    placed = placed.filter("component is not null or n > 1").select("h1", "h2", "place", "n", F.coalesce("component", "h1").alias("comp"), other.alias("other"))
+    first = placed.groupBy("comp", "other").agg(F.min("place").alias("first"))
+    info = materialize(placed.join(first, ["comp", "other"]).select("h1", "h2", "n", "first"), "placed")
+    discard(comps, by_h1)
+    likely, _ = split_by_slots(lines.drop("bands"), F.col("h1"), info, F.col("h1"))
+    gone = join_by_counts(likely, info, ["h1", "h2"], "n", total).filter(place != F.col("first")).select("__r1", "__r2", "line")
+    out = materialize(gone, "gone")
+    discard(info, lines)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with all their columns, the text without its duplicate lines, and n_lines
-    and n_removed in a struct column ``line_dedup``."""
-    gone = materialize(duplicate_lines(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
-    release(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"))
-    key = F.col(f"row.`{id_col}`").cast("long")
+    and n_removed in a struct column ``line_dedup`` (with underscores after it while ``docs`` has that name)."""
+    stats = "line_dedup"
+    while stats.lower() in (c.lower() for c in docs.columns):
+        stats += "_"
+    lost = duplicate_lines(docs, id_col, text_col, **how)
+    gone = materialize(lost.groupBy("__r1", "__r2").agg(F.collect_set("line").alias("gone")), "gone-lines")
+    discard(lost)
     text = F.col(f"row.`{text_col}`")
-    # only texts with removals are put together anew; all others pass unchanged
-    both = rows.join(gone, key.eqNullSafe(gone["doc_id"]), "left").select(
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", *row_key(F.col(f"row.`{id_col}`").cast("long"), text))
+    # only texts with removals are put together anew; all others pass unchanged, and mostly without a shuffle
+    likely, rest = split_by_slots(rows, F.col("__r1"), gone, F.col("__r1"))
+    both = likely.join(gone, ["__r1", "__r2"], "left").unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>"))).select(
         "row", F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")
     )
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     counts = F.struct(F.size(F.filter("lines", lambda x: x != "")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
-    cols = [
-        F.when(F.size("gone") == 0, text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
-        for c in docs.columns
-        if c != "line_dedup"
-    ]
-    return both.select(*cols, counts.alias("line_dedup"))
+    cols = [F.when(F.size("gone") == 0, text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return both.select(*cols, counts.alias(stats))

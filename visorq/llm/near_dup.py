@@ -3,12 +3,13 @@
 A document's set holds its distinct word shingles (one shingle of all its words if it has fewer). The
 signature needs two permutations only: sigma shuffles the shingle hashes, and coordinate k is the
 minimum of pi(sigma(x) + k), pi's argument shifted circularly by k in the 32-bit universe. Documents
-with equal sets form a class with one representative; only representatives are banded, their candidate
-pairs are verified on the full sets, and links are closed by distributed union-find.
+with equal sets form a class, told by 128 bits; classes are banded, candidates are verified on the full
+sets (``lsh``), links are closed by distributed union-find, and a component is named by its least doc_id.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; rows with a
-null id are linked with nothing, have a null component and are kept; rows that share an id count as one
-node, with the links of each; an empty table gives an empty result; other input columns are not read.
+null id are linked with nothing, have a null component and are kept; rows that share an id are linked
+each by its own text, so an id may have several components; an empty table gives an empty result; other
+input columns are not read, but those named in ``carry`` are returned.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import materialize, small_batches
-from .lsh import link, similar_sizes
+from ._shared import discard, join_by_counts, materialize, split_by_slots
+from .lsh import GROUP_ROWS, hub_members, link
 
 #: Seeds of the two permutations.
 _SIGMA, _PI = np.uint32(0x5BD1E995), np.uint32(0x1B873593)
@@ -38,21 +39,17 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     n_rows = len(offs) - 1
     counts = np.bincount(rows, minlength=n_rows)
     first = np.concatenate(([0], np.cumsum(counts)))
+    sizes = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.empty(bounds[-1], np.uint64)
     grams = K.window_hash(words, size)
-    whole = rows[: len(grams)] == rows[size - 1 :] if len(grams) else np.zeros(0, bool)
-    hashes, owner = [grams[whole]], [rows[: len(grams)][whole]]
+    long = np.repeat(counts >= size, sizes)
+    out[long] = grams[rows[: len(grams)] == rows[size - 1 :]] if len(grams) else out[:0]
     for m in range(1, size):
         short = np.flatnonzero(counts == m)
         if len(short):
-            hashes.append(K.window_hash(words, m)[first[short]])
-            owner.append(short)
-    h, r = np.concatenate(hashes), np.concatenate(owner)
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
-    if len(h):
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
-        h, r = h[new], r[new]
-    return h, np.searchsorted(r, np.arange(n_rows + 1))
+            out[bounds[short]] = K.window_hash(words, m)[first[short]]
+    return K.distinct_in_rows(out, bounds)
 
 
 def circulant_signature(h: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
@@ -89,92 +86,95 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (identity of the set) and the bucket keys."""
+    """The columns of ``docs`` (doc_id first) but its last, the text; n_shingles, set_id, k1, k2 (names of
+    the set) and the bucket keys, which equal sets of a slice have once."""
+    kept = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = K.text_buffer(batch.column(1))
+            buf, offs = K.text_buffer(batch.column(len(kept)))
             for i, j, part, at in K.slices(buf, offs, 1_000_000):
                 h, bounds = shingle_sets(part, at, shingle)
-                n = np.diff(bounds)
-                some = n > 0
-                k1, k2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                if some.any():
-                    heads = bounds[:-1][some]
-                    k1[some] = np.add.reduceat(h, heads)
-                    k2[some] = np.add.reduceat(K.mix64(h ^ K.U(0xA0761D6478BD642F)), heads)
-                    keys = band_keys(circulant_signature(h, bounds, bands * rows), rows)
-                else:
-                    keys = np.zeros((bands, 0), np.uint64)
+                n, set_id, k1, k2 = set_names(h, bounds)
+                usable = np.flatnonzero((n > 0) & batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False))
+                new = np.zeros(j - i, bool)
+                new[usable[np.unique(set_id[usable], return_index=True)[1]]] = True
+                own = np.repeat(new, n)
+                keys = np.zeros((bands, 0), np.uint64)
+                if new.any():
+                    keys = band_keys(circulant_signature(h[own], np.concatenate(([0], np.cumsum(n[new]))), bands * rows), rows)
                 flat = pa.array(np.ascontiguousarray(keys.T).reshape(-1).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)), flat)
-                yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(new * bands))).astype(np.int32)), flat)
+                names = (pa.array(x.view(np.int64)) for x in (set_id, k1, k2))
+                yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(n), *names, lists], names=[*kept, "n_shingles", "set_id", "k1", "k2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    ahead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(run, f"{ahead}, n_shingles long, set_id long, k1 long, k2 long, bands array<long>")
 
 
-def verifier(texts: DataFrame, sets, percent: int):
-    """A function (a, b) -> links: joins the texts of both sides and compares their full sets.
+def set_names(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(size, set_id, k1, k2) of each row's set: k1 and k2 are its 128-bit name, set_id a 64-bit digest of that."""
+    n = np.diff(bounds).astype(np.int64)
+    some = n > 0
+    k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if some.any():
+        heads = bounds[:-1][some]
+        k1[some] = np.add.reduceat(h, heads)
+        k2[some] = np.add.reduceat(K.mix64(h ^ K.U(0xA0761D6478BD642F)), heads)
+    return n, K.mix64(k1 ^ K.mix64(k2 + n.astype(np.uint64))), k1, k2
 
-    texts: id, text; sets: (bytes, offsets) -> (hashes, bounds).
-    """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_texts(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(id, text) of each wanted class: rows (id, doc, k1, k2) name a document that has the set."""
+    likely, _ = split_by_slots(docs.select("doc_id", "text"), F.col("doc_id"), classes, F.col("doc"))
+    found = likely.join(classes.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = pa.concat_arrays([batch.column(2), batch.column(3)])
-            buf, offs = K.text_buffer(both)
-            n = batch.num_rows
-            all_sets = [None] * (2 * n)
+            buf, offs = K.text_buffer(batch.column(1))
             for i, j, part, at in K.slices(buf, offs, 1_000_000):
-                h, bounds = sets(part, at)
-                for r in range(i, j):
-                    all_sets[r] = h[bounds[r - i] : bounds[r - i + 1]]
-            keep = np.zeros(n, bool)
-            for r in range(n):
-                x, y = all_sets[r], all_sets[n + r]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[r] = common and 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+                _, set_id, k1, k2 = set_names(*shingle_sets(part, at, shingle))
+                names = (pa.array(x.view(np.int64)) for x in (set_id, k1, k2))
+                yield pa.record_batch([*names, batch.column(1).slice(i, j - i)], names=["id", "k1", "k2", "text"])
 
-    return verify
+    named = found.mapInArrow(run, "id long, k1 long, k2 long, text string")
+    return named.join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"]).select("id", "text")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 6,
+    carry: tuple[str, ...] = (), group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least linked doc_id) and kept.
+    """Per document: doc_id, the columns named in ``carry``, n_shingles, component_id (least linked
+    doc_id) and kept.
 
     With 32 bands of 6 rows a pair at similarity 0.85 shares no bucket once in 3.8 million, one at
     0.8 once in 19 thousand.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).alias("text"))
     sig = materialize(signatures(docs, shingle, bands, rows), "signatures")
+    total = sig.count()
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    reps = named.groupBy("n_shingles", "k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    members = reps.select(F.explode("r.bands").alias("key"), F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("mark"))
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-
-    def prepare(ids: DataFrame):
-        needed = materialize(texts.join(ids, "id", "left_semi"), "pair-texts")
-        return verifier(needed, lambda b, o: shingle_sets(b, o, shingle), percent)
-
-    comps = link(members, similar_sizes(percent), prepare)
-    classes = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(comps, classes["rep"] == comps["node"], "left").select(
-        F.col("n_shingles").alias("n"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("component")
-    )
-    s = sig.drop("bands")
-    joined = s.join(classes, (s["n_shingles"] == classes["n"]) & (s["k1"] == classes["c1"]) & (s["k2"] == classes["c2"]), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
+    classes = materialize(named.groupBy("set_id", "k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_rows")), "classes")
+    # sets that share a set_id under other names are linked with equal sets only
+    clash = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("set_id").alias("id"))
+    banded = named.filter(F.size("bands") > 0).select(F.col("set_id").alias("id"), "bands")
+    members = hub_members(banded.join(clash, "id", "left_anti"))
+    wanted = members.select("id").unionAll(members.select(F.col("hub").alias("id"))).distinct()
+    wanted = materialize(classes.join(wanted, classes["set_id"] == wanted["id"]).select("id", "doc", "k1", "k2"), "wanted")
+    texts = materialize(_class_texts(docs, wanted, shingle), "class-texts")
+    comps = link(members, texts, lambda b, o: shingle_sets(b, o, shingle), percent, group_rows)
+    discard(members, wanted, texts)
+    other = lambda c: F.when(F.col("component").isNull(), F.col(c))  # noqa: E731  tells classes apart that are in no component
+    placed = classes.join(comps, classes["set_id"] == comps["node"], "left").select(
+        "set_id", "k1", "k2", "doc", "n_rows", F.coalesce("component", "set_id").alias("comp"), other("k1").alias("o1"), other("k2").alias("o2")
+    ).fillna(0, ["o1", "o2"])
+    comp = ["comp", "o1", "o2"]
+    whole = placed.groupBy(*comp).agg(F.min("doc").alias("component_id"), F.sum("n_rows").alias("n_comp")).filter("n_comp > 1")
+    info = materialize(placed.join(whole, comp).select("set_id", "k1", "k2", "n_rows", "component_id"), "placed")
+    discard(comps, classes)
+    out = ["doc_id", *carry, "n_shingles"]
+    found = join_by_counts(sig.drop("bands").filter("n_shingles > 0 and doc_id is not null"), info, ["set_id", "k1", "k2"], "n_rows", total, "left")
+    found = found.select(*out, F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = sig.filter("n_shingles = 0 or doc_id is null").select(*out, F.col("doc_id").alias("component_id"))
+    return found.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
