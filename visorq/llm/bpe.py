@@ -1,15 +1,17 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes sets chunk boundaries, so that documents which share a passage share its
-chunks. The interior of a chunk, from its first to its last agreed place, is encoded once and reused
-from a bounded cache of the worker. An agreed place is one before a space or newline that
-no white space precedes, or between an ASCII letter and one of ``.,;:!?``: there every pre-token ends
-whatever stands around it, so the encodings to the left and right agree exactly with the encoding of
-the whole. The join of two chunks is repaired by re-encoding from
-the last agreed place before the boundary to the first one after it; where a chunk has no agreed place
-the re-encoding runs on into the next chunk until there is one, at most to the ends of the text.
-
-Defined cases: null text counts as empty (no ids, empty decoded text); special strings in a text are
+chunks. Each chunk is encoded by itself, once per worker while its bounded cache holds it. A join of two
+chunks is then compared: by the rules of BPE a row of tokens is the encoding of its text exactly if each
+two neighbours are the encoding of theirs, so the last token before the join and the first after it are
+encoded together, and if that gives other tokens, the text around the join is encoded again, from ever
+more tokens on both sides, until its first and last token agree with their outer neighbours (or the text
+ends). Answers for pairs of tokens are kept.
+
+That rule holds for BPE files without a normalizer and with the byte-level pre-tokenizer or none; with
+other files, and where a text holds one of the file's added tokens, the whole text is encoded at once.
+
+Defined cases: null text counts as empty (no ids, empty decoded text); added tokens in a text are
 encoded as the tokenizer file says; repeated rows are returned one by one; a null id is returned as
 null; an empty table gives an empty result; other input columns are not read.
 """
@@ -28,10 +30,6 @@ from pyspark.sql import functions as F
 from ._kernel import U, gram_hash, slices, text_buffer
 
 _TOKENIZERS: dict = {}
-_PRINT, _LETTER, _HIGH, _LEAD, _GAP, _MARK = (np.zeros(256, bool) for _ in range(6))
-_PRINT[0x21:0x7F] = _HIGH[0x80:0xC0] = _LEAD[0xC3:0xE0] = True
-_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
-_GAP[list(b" \n")] = _MARK[list(b".,;:!?")] = True
 _GRAM = 16
 
 
@@ -48,25 +46,51 @@ def _rank_encoder(tok):
 
     spec = json.loads(tok.to_str())
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
-    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False or spec["normalizer"]:
         return None
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
     merged = [x if isinstance(x, str) else " ".join(x) for x in model["merges"]]
     if any(model["vocab"].get(x.replace(" ", "")) != 256 + i for i, x in enumerate(merged)):
         return None
     special = {x["content"] for x in spec["added_tokens"]}
-    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    ranks = {_from_byte_level(t): i for t, i in model["vocab"].items() if t not in special}
     enc = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-    marks = [x.encode() for x in special]
+    return lambda piece: enc.encode_ordinary(piece.decode()) if _PLAIN(piece) else None
+
+
+def _token_bytes(tok) -> list[bytes] | None:
+    """The bytes of each id, if the file is one whose joins can be compared; else None."""
+    import json
+
+    spec = json.loads(tok.to_str())
+    model, pre, decoder = spec["model"], spec["pre_tokenizer"], spec["decoder"]
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model["type"] != "BPE" or spec["normalizer"] or any(model.get(k) for k in odd):
+        return None
+    if pre is None:
+        text = str.encode
+    elif pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and decoder and decoder["type"] == "ByteLevel":
+        text = _from_byte_level
+    else:
+        return None
+    table = [b""] * (max([*model["vocab"].values(), *(x["id"] for x in spec["added_tokens"])], default=-1) + 1)
+    added = {x["id"] for x in spec["added_tokens"]}
+    for t, i in model["vocab"].items():
+        if i not in added:
+            table[i] = text(t)
+    return table
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level files write bytes."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
+
 
-    def encode(piece: bytes) -> tuple[bytes, str] | None:
-        if not _PLAIN(piece) or any(m in piece for m in marks):
-            return None
-        ids = enc.encode_ordinary(piece.decode())
-        return array("I", ids).tobytes(), enc.decode_bytes(ids).decode("utf-8", "replace")
+_LETTERS = _byte_letters()
 
-    return encode
+
+def _from_byte_level(token: str) -> bytes:
+    return bytes(_LETTERS[c] for c in token)
 
 
 def _tokenizer(path: str):
@@ -79,26 +103,22 @@ def _tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _TOKENIZERS[path] = t, _rank_encoder(t)
+        _TOKENIZERS[path] = t, _rank_encoder(t), _token_bytes(t)
     return _TOKENIZERS[path]
 
 
 def cut_places(buf: np.ndarray, offs: np.ndarray, mean: int) -> np.ndarray:
-    """Sorted places at which the texts are cut: text ends, and around each chunk boundary the last
-    agreed place up to it and the first one after it."""
+    """Sorted places at which the texts are cut: text ends, and where the hash of the bytes before says so.
+    It says so more often before a space, where joins mostly agree at once; never inside a character."""
     n = len(buf)
     edges = offs[np.concatenate(([True], offs[1:] != offs[:-1]))]
-    if n <= _GRAM:
-        return edges
-    safe = np.zeros(n, bool)
-    safe[1:] = _PRINT[buf[:-1]] & _GAP[buf[1:]] | _LETTER[buf[:-1]] & _MARK[buf[1:]]
-    safe[2:] |= _LEAD[buf[:-2]] & _HIGH[buf[1:-1]] & _GAP[buf[2:]]
-    safe[edges[edges < n]] = True
-    safe = np.append(np.flatnonzero(safe), n)
-    bounds = np.flatnonzero((gram_hash(buf, _GRAM) >> U(20)) % U(mean) == U(0)) + _GRAM
-    after = np.searchsorted(safe, bounds, "right")
     cut = np.zeros(n + 1, bool)
-    cut[edges] = cut[safe[after - 1]] = cut[safe[np.minimum(after, len(safe) - 1)]] = True
+    cut[edges] = True
+    if n > _GRAM:
+        h = gram_hash(buf, _GRAM)[:-1] >> U(20)
+        here = buf[_GRAM:]
+        # about one byte in six of a text is a space
+        cut[_GRAM:n] |= (here == 32) & (h % U(max(1, mean // 6)) == U(0)) | ((here & 0xC0) != 0x80) & (h % U(8 * mean) == U(1))
     return np.flatnonzero(cut)
 
 
@@ -107,7 +127,7 @@ _PLAIN = re.compile(rb"(?:[\n\x20-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-
 
 
 class ChunkCache:
-    """Encodings of chunks, each computed once while it is kept.
+    """Encodings of chunks, each computed once while it is kept, and which pairs of tokens stay as they are.
 
     Two generations: when the young one holds ``most`` bytes it becomes the old one, and what is used
     again moves on, so memory stays bounded and shared chunks stay.
@@ -115,48 +135,114 @@ class ChunkCache:
 
     def __init__(self, path: str, most: int):
         self.most = most
-        self.tok, self.fast = _tokenizer(path)
+        self.tok, self.fast, self.table = _tokenizer(path)
+        self.added = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
         self.chunks, self.old_chunks, self.size = {}, {}, 0
+        self.pairs: dict[tuple[int, int], bool] = {}
 
-    def encode(self, chunks: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """(ids, decoded text) of each chunk; the chunks begin and end at agreed places."""
+    def encode(self, chunks: list[bytes]) -> dict[bytes, array | None]:
+        """The ids of each chunk by itself; None where they don't hold the chunk's bytes."""
         out, new = {}, []
         for c in dict.fromkeys(chunks):
             x = self.chunks.get(c)
             if x is None and (x := self.old_chunks.get(c)) is not None:
                 self._keep(c, x)
             if x is None and self.fast and (x := self.fast(c)) is not None:
+                x = array("I", x)
                 self._keep(c, x)
             if x is None:
                 new.append(c)
             else:
                 out[c] = x
         if new:
-            ids = [e.ids for e in self.tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-            for c, i, text in zip(new, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
-                out[c] = array("I", i).tobytes(), text
-                self._keep(c, out[c])
+            for c, e in zip(new, self.tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
+                # a file that has no token for some character drops it or writes another: no joins then
+                out[c] = array("I", e.ids) if b"".join([self.table[t] for t in e.ids]) == c else None
+                if out[c] is not None:
+                    self._keep(c, out[c])
         return out
 
-    def _keep(self, chunk: bytes, x: tuple[bytes, str]) -> None:
+    def _keep(self, chunk: bytes, x: array) -> None:
         if self.size > self.most:
             self.old_chunks, self.chunks, self.size = self.chunks, {}, 0
         self.chunks[chunk] = x
-        self.size += 250 + len(chunk) + len(x[0]) + len(x[1])
+        self.size += 250 + len(chunk) + 4 * len(x)
+
+    def _ids(self, piece: bytes) -> list[int]:
+        x = self.fast(piece) if self.fast else None
+        return x if x is not None else self.tok.encode(piece.decode(), add_special_tokens=False).ids
+
+    def stays(self, a: int, b: int) -> bool:
+        """Whether the two tokens' text is encoded as these two tokens."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            piece = self.table[a] + self.table[b]
+            try:
+                known = self._ids(piece) == [a, b]
+            except UnicodeDecodeError:  # cut inside a character: not decided by these two
+                known = False
+            if len(self.pairs) > 100_000:
+                self.pairs.clear()
+            self.pairs[a, b] = known
+        return known
+
+    def join(self, left: array, right: array) -> None:
+        """Append ``right`` to ``left`` and encode the text around the join until both sides agree."""
+        if not left or not right or self.stays(left[-1], right[0]):
+            left.extend(right)
+            return
+        n = 2
+        while True:
+            i, j = max(len(left) - n, 0), min(n, len(right))
+            try:
+                ids = self._ids(b"".join([self.table[t] for t in left[i:]] + [self.table[t] for t in right[:j]]))
+            except UnicodeDecodeError:
+                ids = None
+            if ids and (not i or self.stays(left[i - 1], ids[0])) and (j == len(right) or self.stays(ids[-1], right[j])):
+                del left[i:]
+                left.extend(ids)
+                left.extend(right[j:])
+                return
+            n *= 2
+
+    def whole(self, text: bytes) -> tuple[bytes, str]:
+        """(ids as bytes, decoded text) of a text that is encoded at once."""
+        ids = self.tok.encode(text.decode(), add_special_tokens=False).ids
+        return array("I", ids).tobytes(), self.tok.decode(ids, skip_special_tokens=False)
+
+    def decode(self, ids: array) -> str:
+        if self.tok.pre_tokenizer is None:
+            return self.tok.decode(list(ids), skip_special_tokens=False)
+        return b"".join([self.table[t] for t in ids]).decode("utf-8", "replace")  # byte-level decoding
 
 
 def encode_texts(col: pa.Array, cache: ChunkCache, mean: int) -> Iterator[tuple[int, bytes, str]]:
     """(row, ids as little-endian 32-bit integers, decoded text) of each text."""
     buf, offs = text_buffer(col)
     for first, last, part, at in slices(buf, offs, 1_000_000):
-        cuts = cut_places(part, at, mean)
         raw = part.tobytes()
-        chunks = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        known = cache.encode(chunks)
+        texts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        at_once = [cache.table is None or any(x in t for x in cache.added) for t in texts]
+        if all(at_once):
+            yield from ((first + r, *cache.whole(t)) for r, t in enumerate(texts))
+            continue
+        cuts = cut_places(part, at, mean)
         ends = np.searchsorted(cuts, at).tolist()
+        places = cuts.tolist()
+        chunks = [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+        known = cache.encode([c for r, skip in enumerate(at_once) if not skip for c in chunks[ends[r] : ends[r + 1]]])
         for row in range(first, last):
-            mine = [known[c] for c in chunks[ends[row - first] : ends[row - first + 1]]]
-            yield row, b"".join([x[0] for x in mine]), "".join([x[1] for x in mine])
+            r = row - first
+            if at_once[r]:
+                yield row, *cache.whole(texts[r])
+                continue
+            ids, mine = array("I"), [known[c] for c in chunks[ends[r] : ends[r + 1]]]
+            if any(x is None for x in mine):
+                yield row, *cache.whole(texts[r])
+                continue
+            for x in mine:
+                cache.join(ids, x)
+            yield row, ids.tobytes(), cache.decode(ids)
 
 
 _CACHES: dict = {}
@@ -169,8 +255,10 @@ def _cache(path: str, most: int) -> ChunkCache:
     return _CACHES[path, most]
 
 
-def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 512, cache_bytes: int = 48_000_000) -> DataFrame:
-    """Per document: doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (string)."""
+def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 512, cache_bytes: int = 24_000_000) -> DataFrame:
+    """Per document: doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (string).
+
+    chunk_bytes: about a chunk's length; cache_bytes: of the chunks that a worker keeps (twice that at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(tokenizer_path, cache_bytes)
