@@ -6,15 +6,20 @@ one anchor make one unit, so about one suffix in nineteen is sorted and no strin
 
 Distinguishing prefixes: as in prefix-doubling string sorting, a hash exchange first finds the suffixes
 whose 14-byte prefix occurs in one document only. They differ from all others within those bytes and
-need not be exchanged.
+need not be exchanged. (A chance agreement of hashes only lets a suffix through.)
 
 Merge sort: each chunk sorts its units (bucket of the prefix, then the bytes from the anchor on, then the
 bytes before it, backwards), merges equal ones and sends per bucket a front-coded run: common prefix
 lengths and the bytes beyond them. A bucket merges its runs with a loser tree over offset-value codes:
-a code holds where a string first differs from the last output and the bytes there, so that most
-matches are decided by one integer comparison and prefixes known to be common are never compared again.
-The merge yields the common prefix of neighbours, hence the groups with equal anchors and the equal
-strings, and in groups with different strings their 50-byte strings are compared one by one.
+a code holds where a string first differs from the last output and the bytes there. The codes of a run
+come from the common prefix lengths that were sent, most matches are decided by one integer comparison,
+and prefixes known to be common are never compared again.
+
+Answers: the merge also yields the common prefix of neighbours. For a string whose anchor is preceded by o
+of its bytes, the units that share its bytes from the anchor on are an interval of the merged order whose
+common prefixes reach 50 - o, and those that share the bytes before are an interval of the same kind in the
+order of the backward prefixes. Equal pairs of intervals are equal strings, byte for byte; the least document
+id of each is the answer.
 
 Defined cases: null or empty texts, and texts of fewer than 50 bytes, lose nothing; ties do not arise, as
 rows that share an id never remove from each other; a null id counts as larger than all others; rows are
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _kernel as K
-from .exchange import Plan, answer, answers, blocks, least_ids, resolve_hashes, send_hashes, split_sorted
+from .exchange import Plan, Prints, answers, blocks, distinct, least_ids, note, notes, pack_bits, split_sorted
 
 _GRAM = 14
 _STEP = 7
@@ -123,22 +128,15 @@ def _words(rows: np.ndarray) -> np.ndarray:
     return wide.reshape(n, -1).view(">u8").astype(np.int64)
 
 
-def _codes(words: np.ndarray) -> np.ndarray:
-    """Offset-value code of each row against the row before it; the first against nothing."""
-    n, arity = words.shape
-    at = np.zeros(n, np.int64)
-    same = np.zeros(n, bool)
-    if n > 1:
-        differ = words[1:] != words[:-1]
-        at[1:] = differ.argmax(1)
-        same[1:] = ~differ.any(1)
-    code = (arity - at) << _TOP | words[np.arange(n), at]
-    code[same] = 0
-    return code
+def codes_of(words: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Offset-value code of each row of a run against the row before it, from their common prefix in bytes
+    (nothing for the first); the rows of a run are distinct."""
+    at = lcp.astype(np.int64) // _STEP
+    return (words.shape[1] - at) << _TOP | words[np.arange(len(words)), at]
 
 
-def loser_tree_merge(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge sorted runs of word rows: (run, place in it, common words with the output before).
+def loser_tree_merge(runs: list[np.ndarray], run_codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge sorted runs of word rows with their codes: (run, place in it, common words with the output before).
 
     A tree node keeps the loser of its match with its code against the winner. The winner's successor
     carries its code against the winner, so all codes on its path share one base: different codes decide
@@ -148,7 +146,7 @@ def loser_tree_merge(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     while size < runs_n:
         size *= 2
     end = (arity + 1) << _TOP
-    codes = [_codes(r).tolist() + [end] for r in runs] + [[end]] * (size - runs_n)
+    codes = [c.tolist() + [end] for c in run_codes] + [[end]] * (size - runs_n)
     pos = [0] * size
     now = [c[0] for c in codes]
     tree = [0] * size
@@ -205,28 +203,50 @@ def loser_tree_merge(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return run, place, np.where(code == 0, arity, arity - (code >> _TOP))
 
 
-def least_per_string(rows: np.ndarray, group: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct rows in groups with one anchor: (row, least id among all rows of the group that hold
-    the string) of each ``length``-byte string, in the order of the rows and of the strings in them."""
+def common_bytes(rows: np.ndarray, words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Common prefix of each row with the row before, in bytes: ``common`` words are known to agree, so only
+    the word after them is looked at."""
+    n, arity = words.shape
+    out = common * _STEP
+    some = np.flatnonzero((common < arity) & (np.arange(n) > 0))
+    at = common[some]
+    differ = words[some, at] ^ words[some - 1, at]
+    for byte in range(1, _STEP):
+        out[some] += differ >> (8 * (_STEP - byte)) == 0
+    return out
+
+
+def interval_least(rows: np.ndarray, lcp: np.ndarray, group: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """For merged distinct rows, their common prefixes and groups (rows with one anchor): the least id among all rows
+    that hold the string, for each ``length``-byte string, in the order of the rows and of the strings in them."""
     right, _ = _layout(length)
     left = length - _GRAM
     rlen, llen = rows[:, right].astype(np.int64), rows[:, right + 1 + left].astype(np.int64)
-    text = np.concatenate((rows[:, right + 1 : right + 1 + left][:, ::-1], rows[:, :right]), axis=1)
     n = rlen + llen - length + 1
-    row = np.repeat(np.arange(len(rows)), n)
-    start = np.repeat(left - llen, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    p, inverse = K.powers(K._BASE, text.shape[1])
-    h = np.empty(len(row), np.uint64)
-    ends = np.cumsum(n)
-    for a in range(0, len(rows), 8192):  # some rows at a time: a row's prefix sums take 700 bytes
-        b = min(a + 8192, len(rows))
-        prefix = np.zeros((b - a, text.shape[1] + 1), np.uint64)
-        np.cumsum(K.BYTE_HASH[text[a:b]] * p, axis=1, out=prefix[:, 1:])
-        own = slice(ends[a] - n[a], ends[b - 1])
-        h[own] = (prefix[row[own] - a, start[own] + length] - prefix[row[own] - a, start[own]]) * inverse[start[own]]
-    h = K.mix64(h) ^ K.mix64(group[row].astype(np.uint64) + K.U(0x632BE59BD9B4E019))
-    _, ids, _, place = least_ids(h, least[row])
-    return row, ids[place]
+    first = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.int64)
+    # the order of the backward prefixes, and the common prefix of neighbours in it
+    back = np.ascontiguousarray(rows[:, right + 1 : right + 1 + left])
+    by_back = np.argsort(back.view(f"S{left}").reshape(-1), kind="stable")
+    by_back = by_back[np.argsort(group[by_back], kind="stable")]
+    sorted_back, sorted_group = back[by_back], group[by_back]
+    back_lcp = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = sorted_back[1:] != sorted_back[:-1]
+        back_lcp[1:] = np.where(differ.any(1), differ.argmax(1), left)
+        back_lcp[1:][sorted_group[1:] != sorted_group[:-1]] = -1
+    for o in range(left + 1):
+        rows_o = np.flatnonzero((llen >= o) & (rlen >= length - o))
+        if not len(rows_o):
+            continue
+        forward = np.cumsum(lcp < length - o)
+        backward = np.empty(len(rows), np.int64)
+        backward[by_back] = np.cumsum(back_lcp < o)
+        key = forward[rows_o] * (len(rows) + 1) + backward[rows_o]
+        order, head, place = distinct(key.astype(np.uint64))
+        ids, _ = least_ids(least[rows_o], order, head)
+        out[first[rows_o] + llen[rows_o] - o] = ids[place]
+    return out
 
 
 def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, chunk_bytes: int = 2_000_000, bucket_bytes: int = 3_000_000) -> DataFrame:
@@ -235,20 +255,24 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not _GRAM < length < 120:
         raise ValueError("length must lie between 15 and 119")
     plan = Plan(docs, id_col, text_col, chunk_bytes, bucket_bytes)
-    buckets = plan.buckets
+    buckets, prints = plan.buckets, Prints(plan.total, plan.buckets)
 
     def anchors(parts: list[_Slice]):
-        return least_ids(_cat([s.hash for s in parts], np.uint64), _cat([s.owner for s in parts], np.int64))
+        f = prints.of(_cat([s.hash for s in parts], np.uint64))
+        return f, *distinct(f)
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        h, least, several, _ = anchors(_slices(table, length))
-        return send_hashes(table["chunk"][0].as_py(), h, least, several, buckets)
-
-    def units(docs: pa.Table, known: pa.Table):
-        """(slices, per slice its living units, bucket of each distinct unit, their rows, least ids, place of each unit)."""
+    def send_anchors(docs: pa.Table) -> pa.Table:
         parts = _slices(docs, length)
+        f, order, first, _ = anchors(parts)
+        _, several = least_ids(_cat([s.owner for s in parts], np.int64), order, first)
+        return blocks(prints.send(docs["chunk"][0].as_py(), f[order][first], several))
+
+    def living(parts: list[_Slice], known: pa.Table) -> np.ndarray:
         *_, place = anchors(parts)
-        flags = answers(known, buckets, 0)[place]
+        return answers(known)[place] if len(place) else np.zeros(0, bool)
+
+    def units(parts: list[_Slice], flags: np.ndarray):
+        """(per slice its living units, bucket of each distinct unit, their rows, least ids, place of each unit)."""
         alive = np.split(flags, np.cumsum([len(s.anchor) for s in parts])[:-1]) if parts else []
         rows = np.concatenate([unit_rows(s, a, length) for s, a in zip(parts, alive, strict=True)]) if parts else np.zeros((0, _layout(length)[1]), np.uint8)
         bucket = K.bucket_of(_cat([s.hash[a] for s, a in zip(parts, alive, strict=True)], np.uint64), buckets)
@@ -260,51 +284,56 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         unit = np.empty(len(order), np.int64)
         unit[order] = np.cumsum(new) - 1
         least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(rows) else ids
-        return parts, alive, bucket[new], rows[new], least, unit
+        return alive, bucket[new], rows[new], least, unit
 
     def send_units(docs: pa.Table, known: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return blocks([])
-        _, _, bucket, rows, least, _ = units(docs, known)
+        parts = _slices(docs, length)
+        flags = living(parts, known)
+        _, bucket, rows, least, _ = units(parts, flags)
         chunk = docs["chunk"][0].as_py()
-        return blocks([(b, chunk, K.pack(*front_code(rows[x:y], length), least[x:y])) for b, x, y in split_sorted(bucket, buckets)])
+        return blocks([note(chunk, flags), *((b, chunk, K.pack(*front_code(rows[x:y], length), least[x:y])) for b, x, y in split_sorted(bucket))])
 
     def resolve_units(table: pa.Table) -> pa.Table:
         bucket, chunks = table["bucket"][0].as_py(), table["chunk"].to_pylist()
-        rows, least = [], []
+        if bucket < 0:
+            return table.select(["bucket", "chunk", "payload"])
+        rows, least, codes, words = [], [], [], []
         for p in table["payload"].to_pylist():
-            *coded, ids = K.unpack(p)
-            rows.append(front_decode(*coded, length))
+            lcp, rlen, llen, tail, ids = K.unpack(p)
+            rows.append(front_decode(lcp, rlen, llen, tail, length))
+            words.append(_words(rows[-1]))
+            codes.append(codes_of(words[-1], lcp))
             least.append(ids)
-        run, place, common = loser_tree_merge([_words(r) for r in rows])
+        run, place, common = loser_tree_merge(words, codes)
         sizes = np.array([len(r) for r in rows])
         every, ids = np.concatenate(rows), np.concatenate(least)
         at = (np.cumsum(sizes) - sizes)[run] + place
         arity = every.shape[1] // _STEP
-        string = np.cumsum(common < arity) - 1
+        unit = np.cumsum(common < arity) - 1
         heads = np.flatnonzero(common < arity)
-        group = (np.cumsum(common < _GRAM // _STEP) - 1)[heads]
-        string_least = np.minimum.reduceat(ids[at], heads)
+        merged, unit_least = every[at[heads]], np.minimum.reduceat(ids[at], heads)
+        lcp = common_bytes(merged, np.concatenate(words)[at[heads]], common[heads])
+        group = np.cumsum(lcp < _GRAM) - 1
         right, left = length, length - _GRAM
-        n = every[:, right].astype(np.int64) + every[:, right + 1 + left] - length + 1
-        alone = np.bincount(group)[group] == 1
-        # for each sent unit, the least id of each of its strings: that of the unit where it is alone
-        first = np.empty(len(heads), np.int64)
-        string_n = n[at[heads]]
-        first[:] = np.cumsum(string_n) - string_n
-        ids_of = np.repeat(string_least, string_n)
-        mixed = np.flatnonzero(~alone)
+        n = merged[:, right].astype(np.int64) + merged[:, right + 1 + left] - length + 1
+        # for each string of a unit, the least id that has it: the unit's own where no other has its anchor
+        first = np.cumsum(n) - n
+        string_least = np.repeat(unit_least, n)
+        mixed = np.flatnonzero(np.bincount(group)[group] > 1)
         if len(mixed):
-            row, found = least_per_string(every[at[heads[mixed]]], group[mixed], string_least[mixed], length)
-            m = string_n[mixed]
-            ids_of[np.repeat(first[mixed] - (np.cumsum(m) - m), m) + np.arange(m.sum())] = found
+            m = n[mixed]
+            found = interval_least(merged[mixed], lcp[mixed], group[mixed], unit_least[mixed], length)
+            string_least[np.repeat(first[mixed] - (np.cumsum(m) - m), m) + np.arange(m.sum())] = found
         mine = np.empty(len(every), np.int64)
-        mine[at] = string
-        spot = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bits = ids_of[spot] < np.repeat(ids, n)
-        ends = np.cumsum(n)[np.cumsum(sizes) - 1]
+        mine[at] = unit
+        count = n[mine]
+        spot = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        bits = string_least[spot] < np.repeat(ids, count)
+        ends = np.cumsum(count)[np.cumsum(sizes) - 1]
         begins = np.concatenate(([0], ends[:-1]))
-        return blocks([(bucket + buckets, c, answer(bits[x:y])) for c, x, y in zip(chunks, begins.tolist(), ends.tolist(), strict=True)])
+        return blocks([(bucket, c, pack_bits(bits[x:y])) for c, x, y in zip(chunks, begins.tolist(), ends.tolist(), strict=True)])
 
     def apply(docs: pa.Table, known: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -313,8 +342,9 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n_bytes = pc.binary_length(texts).cast(pa.int64())
         removed, kept, spans = [], [], []
         if docs.num_rows:
-            parts, alive, _, rows, least, unit = units(docs, known)
-            bits, done = answers(known, buckets, 1), 0
+            parts = _slices(docs, length)
+            alive, _, rows, least, unit = units(parts, notes(known))
+            bits, done = answers(known), 0
             right, left = length, length - _GRAM
             size = rows[:, right].astype(np.int64) + rows[:, right + 1 + left] - length + 1
             begin = np.cumsum(size) - size
@@ -350,6 +380,6 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cols = [docs["doc_id"].cast(pa.int64()), n_bytes, pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.string())]
         return pa.table(cols, names=["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
-    first = plan.ask(send_anchors, lambda t: resolve_hashes(t, True, 0), None)
+    first = plan.ask(send_anchors, prints.resolve, None)
     second = plan.ask(send_units, resolve_units, first)
-    return plan.finish(apply, first.unionAll(second), "doc_id long, n_bytes long, n_removed long, kept binary, spans string")
+    return plan.finish(apply, second, "doc_id long, n_bytes long, n_removed long, kept binary, spans string")
