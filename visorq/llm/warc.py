@@ -4,12 +4,15 @@ Writing: equal payloads are found by digest (a map-side combined aggregation ove
 record with the smallest page id becomes the response and the others revisit it. Each task writes its
 own archive, one gzip member per record, under a name of its own attempt, and returns the index rows
 (file, offset, length, URL, digest). The index is stored first; a retried task's earlier file is never
-named by it. Reading: the selected index rows are sorted by file and offset, neighbouring byte ranges
-are coalesced into one read, and each record is parsed and checked against its digest.
+named by it. Reading: the selected index rows are dealt out by the archive bytes that they stand for and
+sorted by file and offset, neighbouring byte ranges are coalesced into one read, and each record is parsed
+and checked against its digest.
 
 Defined cases: null html is an empty payload; null url is written as an empty target; rows with equal
-payload and equal id are all written, one of them as response; a null id counts as the largest; an
-empty table gives no archive and an empty result; other input columns are not read.
+payload and equal id are all written, and those with the least id are all responses, as there is no other
+record that they could refer to; a null id counts as the largest, and where all records of a payload have
+none, all are responses; an empty table gives no archive and an empty result; other input columns are not
+read.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, materialize
+from ._shared import discard, fresh_path, join_by_counts, materialize, shuffle_partitions, split_by_slots
 
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
-_TARGET = 4_000_000
+#: Archive bytes that stand together when records are dealt out to readers, read by one task, and read at once.
+_TARGET, _TASK, _READ = 4_000_000, 64_000_000, 16_000_000
 
 
 def filesystem(path: str):
@@ -98,12 +102,15 @@ def write_warc(
     rows = rows.withColumn("sha", F.when(F.octet_length("html") >= min_revisit_bytes, F.sha1(F.col("html").cast("binary"))))
     # one row per task and digest is shuffled here; only digests that repeat go on
     firsts = (
-        rows.filter("sha is not null").groupBy(F.col("sha").alias("d"))
+        rows.filter("sha is not null").groupBy("sha")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("page_id", F.lit(2**63 - 1)), F.col("page_id"), F.col("url"))).alias("first"))
-        .filter("n > 1").select("d", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+        .filter("n > 1").select("sha", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
-    linked = rows.join(firsts, rows["sha"] == firsts["d"], "left").select(
-        "page_id", "url", "html", F.col("d").isNotNull().alias("shared"), "first_id", "first_url"
+    firsts = materialize(firsts, "first-pages")
+    likely, rest = split_by_slots(rows, F.col("sha"), firsts, F.col("sha"))
+    alone = rest.select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
+    linked = join_by_counts(likely, firsts, ["sha"], "n", rows.count(), "left").unionByName(alone).select(
+        "page_id", "url", "html", F.col("n").isNotNull().alias("shared"), "first_id", "first_url"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,37 +140,48 @@ def write_warc(
             out.close()
 
     index = materialize(linked.mapInArrow(run, INDEX), "warc-index")
+    discard(firsts)
     return index.withColumn("file", F.concat(F.lit(folder + "/"), F.col("file")))
 
 
 def read_warc(index: DataFrame, gap: int = 65_536, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` names: page_id, url, record_type, payload_digest, payload_bytes,
     refers_to and payload (null for revisits). Rows of ``index`` may be any selection of an index."""
-    work = index.select("file", "offset", "length", F.floor(F.col("offset") / _TARGET).alias("block"))
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
 
-    def read(block: pa.Table) -> pa.Table:
-        block = block.sort_by([("file", "ascending"), ("offset", "ascending")])
-        path = block["file"][0].as_py()
-        fs, base = filesystem(path)
-        places = list(zip(block["offset"].to_pylist(), block["length"].to_pylist(), strict=True))
-        rows, i = [], 0
-        with fs.open_input_file(base) as f:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, f = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            places = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            i = 0
             while i < len(places):
-                first, j = places[i][0], i
-                end = first + places[i][1]
-                while j + 1 < len(places) and places[j + 1][0] <= end + gap:
+                if places[i][0] != path:
+                    if f is not None:
+                        f.close()
+                    path = places[i][0]
+                    fs, base = filesystem(path)
+                    f = fs.open_input_file(base)
+                first, j = places[i][1], i
+                end = first + places[i][2]
+                while j + 1 < len(places) and places[j + 1][0] == path and places[j + 1][1] <= end + gap and places[j + 1][1] - first < _READ:
                     j += 1
-                    end = max(end, places[j][0] + places[j][1])
+                    end = max(end, places[j][1] + places[j][2])
                 data = memoryview(f.read_at(end - first, first))
-                for at, n in places[i : j + 1]:
+                for _, at, n in places[i : j + 1]:
                     r = parse(zlib.decompress(data[at - first : at - first + n], 31))
                     full = r["payload"] if with_payload and r["record_type"] == "response" else None
                     rows.append((r["page_id"], r["url"], r["record_type"], r["digest"], r["payload_bytes"], r["refers_to"], full))
                 i = j + 1
-        cols = list(zip(*rows, strict=True))
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
-    return work.groupBy("file", "block").applyInArrow(read, schema)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], schema=schema)
+        if f is not None:
+            f.close()
+
+    # as many tasks as the records' bytes ask for: the rows of the index say little of the work behind them
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // _TASK), min(shuffle_partitions(index.sparkSession), -(-total // _TARGET)), 1)
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / _TARGET)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
