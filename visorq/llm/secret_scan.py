@@ -20,7 +20,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import discard, materialize, split_by_slots
 
 
 @dataclass(frozen=True)
@@ -126,12 +126,19 @@ def _tagger(rank: Column, kind: Column):
     return lambda s: F.struct(s["start"].alias("start"), rank, kind, s["end"].alias("end"))
 
 
-def trigram_postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Up to so many trigrams a text is searched for each; with more, its own trigrams are listed once.
+SCANS = 64
+
+
+def trigram_postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text", scans: int = SCANS) -> DataFrame:
     """(gram, doc_id): the inverted index of the given lower-case trigrams."""
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = F.filter(
-        F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull()
-    )
+    wanted = [F.lit(g) for g in grams]
+    if len(grams) <= scans:
+        found = F.filter(F.array(*[F.when(F.contains(F.col("low"), g), g) for g in wanted]), lambda g: g.isNotNull())
+    else:
+        # a look-ahead matches at every place, so that the trigrams overlap
+        found = F.array_intersect(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)), F.array(*wanted))
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("low")).select("doc_id", F.explode(found).alias("gram"))
 
 
@@ -152,8 +159,12 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     if indexed:
         grams = sorted({g for r in rules if r.kind in indexed for c in trigram_clauses(r.pattern) for g in c})
         postings = materialize(trigram_postings(docs, grams, id_col, text_col), "postings")
-        likely = candidates(postings, rules).withColumnRenamed("doc_id", "cand_id")
-        rows = rows.join(likely, rows["doc_id"] == likely["cand_id"], "left").select("doc_id", "text", "kinds")
+        found = materialize(candidates(postings, rules).withColumnRenamed("doc_id", "cand_id"), "candidates")
+        discard(postings)
+        # the texts of documents that are surely no candidates pass without a shuffle
+        likely, rest = split_by_slots(rows, F.col("doc_id"), found, F.col("cand_id"))
+        likely = likely.join(found, F.col("doc_id") == F.col("cand_id"), "left").select("doc_id", "text", "kinds")
+        rows = likely.unionByName(rest.withColumn("kinds", F.lit(None).cast("array<string>")))
     else:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
     per_kind = []
@@ -162,7 +173,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         tagged = F.transform(_spans(F.col("text"), rule), _tagger(rank, kind))
         if rule.kind in indexed:
             none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-            tagged = F.when(F.array_contains("kinds", rule.kind) | F.col("doc_id").isNull(), tagged).otherwise(none)
+            tagged = F.when(F.coalesce(F.array_contains("kinds", rule.kind), F.col("doc_id").isNull()), tagged).otherwise(none)
         per_kind.append(tagged)
     return rows.select("doc_id", F.sort_array(F.concat(*per_kind)).alias("found"))
 
