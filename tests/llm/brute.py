@@ -82,14 +82,14 @@ def near(rows, percent):
     return {(d, len(sets[d]), comp[d], comp[d] == d) for d in sets}
 
 
-def lines(rows, percent=80, n=7, least=20):
+def lines(rows, percent=80, n=7):
     places = defaultdict(list)
     for d, t in rows:
         for i, x in enumerate((t or "").split("\n")):
-            if len(x) >= least and words(x):
+            if words(x):
                 places[x].append((d, i))
     keys = sorted(places)
-    sets = {k: {k[i : i + n] for i in range(len(k) - n + 1)} for k in keys}
+    sets = {k: {k[i : i + n] for i in range(max(1, len(k) - n + 1))} for k in keys}
     comp = components(keys, lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
     groups = defaultdict(list)
     for k in keys:

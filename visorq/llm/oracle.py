@@ -62,3 +62,57 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op6_near_duplicates"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS shingle FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+edge AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+link AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.doc_id WHERE reach.root < link.b),
+comp AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+SQL["op1_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS gram FROM d, unnest(range(0, length(h) // 2 - 49)) AS u(i)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM g),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f WHERE first < doc_id),
+run AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, k, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS a, a AS b FROM span
+        UNION ALL SELECT d.doc_id, coalesce(max(k), 0) + 1, coalesce(max(b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a::BIGINT + 1, 2 * (b - a)::BIGINT), '' ORDER BY k) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def _secrets() -> str:
+    """Matches by kind: the text is split at them, so that the lengths of pieces and matches add up to their places."""
+    from .secret_scan import BASE_KINDS, RULES
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    cut = [
+        f"SELECT doc_id, {n} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}) AS hits, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS keys FROM d"
+        for n, r in enumerate(RULES)
+    ]
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS ({" UNION ALL ".join(cut)}),
+m AS (SELECT doc_id, rank, kind, least, hits[i] AS hit, keys[i] AS key,
+             list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS a
+      FROM c, unnest(range(1, len(hits) + 1)) AS u(i)),
+s AS (SELECT doc_id, rank, kind, a::BIGINT AS a, kind || ':' || a::BIGINT || ':' || (a + length(hit))::BIGINT AS said FROM m WHERE length(key) >= least),
+g AS (SELECT doc_id, {counts}, string_agg(said, ',' ORDER BY a, rank) FILTER (kind IN ({base})) AS base, string_agg(said, ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+SQL["op4_secret_scan"] = _secrets()

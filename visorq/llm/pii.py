@@ -4,12 +4,17 @@ Numbers and dates that pass their validity check (Luhn, ISO 7064 mod 97, octet r
 mapped to an index within the values that have the same format, the index is permuted by a Feistel
 network under a secret key (with cycle walking to stay inside the domain), and the result is written in
 the same format with fresh check digits. The permutation depends on the key and the format alone, so
-equal values stay linked across documents, different values stay different, and ``restore=True``
-undoes it.
+equal values stay linked across documents, and different values stay different. ``restore=True`` undoes
+it value by value; a whole text comes back where its values stand apart, as a pseudonym beside other
+digits may read differently.
+
+What stays in clear: dates outside of 1900 to 2099, the first digit of phone numbers, the domain of mail
+addresses and the punctuation of their local part (so a local part of punctuation alone), country letters
+of IBANs, and whatever fails its validity check.
 
 Defined cases: null text stays null with zero counts; empty text stays empty; texts are processed
-whole; repeated rows are returned one by one; an empty table gives an empty result; other input columns
-are not read.
+whole; repeated rows are returned one by one; a null id is returned as null; an empty table gives an empty
+result; other input columns are not read.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,19 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def pii_key() -> bytes:
+    """The secret of the pseudonyms: VISORQ_PII_KEY, or a new one for this process, which nobody can undo later."""
+    return os.environ["VISORQ_PII_KEY"].encode() if "VISORQ_PII_KEY" in os.environ else _SESSION_KEY
+
+
+_SESSION_KEY = secrets.token_bytes(32)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii
 
     _shared.small_batches(spark)
-    return pii(table(spark, sf_dir, "documents"), b"demonstration key: set your own")
+    return pii(table(spark, sf_dir, "documents"), pii_key())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +84,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    done = dedup_lines(table(spark, sf_dir, "documents"), short=True)
+    done = dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
