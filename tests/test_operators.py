@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visorq.operators import detect, evaluate, imaging, serving, vectors
+from visorq.operators import detect, evaluate, imaging, model, patchcore, serving, vectors
 from visorq.plans import pipeline as P
 from visorq.plans import queries as Q
 from visorq.sources import files
@@ -32,11 +32,34 @@ def test_empty_bank_is_an_error(spark):
         vectors.nn_exact(T.probes(spark, SF), T.bank(spark, SF).limit(0))
 
 
-def test_clustered_search_recall(spark):
-    exact = {r.id: r.dist for r in vectors.nn_exact(T.probes(spark, SF), T.bank(spark, SF)).collect()}
-    for found in (vectors.ivf_search(T.probes(spark, SF), T.bank(spark, SF), 16, 12), vectors.lsh_search(T.probes(spark, SF), T.bank(spark, SF), 8.0, 8)):
-        near = sum(r.dist <= 1.1 * exact[r.id] + 1e-9 for r in found.collect())
-        assert near >= 0.9 * len(exact)
+def test_queries_of_another_dimension_are_an_error(spark):
+    bank = spark.createDataFrame([(1, [0.0, 1.0])], "vec_id long, features array<double>")
+    with pytest.raises(ValueError):
+        vectors.nn_exact(T.probes(spark, SF), bank)
+
+
+def test_hashed_search_loses_no_query(spark):
+    bank = spark.createDataFrame([(i, [float(100 * i), 0.0]) for i in range(5)], "vec_id long, features array<double>")
+    q = spark.createDataFrame([(9, [30.0, 1e6]), (10, [401.0, 0.0])], "vec_id long, features array<double>")
+    assert {r.id: r.nn_id for r in vectors.lsh_search(q, bank, 0.5, 2).collect()} == {9: 0, 10: 4}
+
+
+def test_search_dispatch_and_stored_index(spark, tmp_path):
+    q, rows = T.search_queries(spark, SF), T.patch_features(spark, SF)
+    key = lambda df: sorted((r.id, r.nn_id, round(r.dist, 9)) for r in df.collect())
+    exact = key(vectors.search(q, rows, "BRUTE_FORCE", skip_self=True))
+    assert key(vectors.search(q, rows, "what", skip_self=True)) == exact
+    path = f"file://{tmp_path}/index"
+    first = key(vectors.search(q, rows, "IVF", path, nlist=8, nprobe=8, skip_self=True))
+    assert first == exact
+    centers, lists = vectors.load_index(spark, path)
+    assert len(centers) == 8 and lists.count() == rows.count()
+    # the stored index is what later searches use, whatever the bank given
+    assert key(vectors.search(q, rows.limit(1), "ivf", path, nprobe=8, skip_self=True)) == exact
+    # an index that can't be trained falls back to brute force
+    one = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, features array<double>")
+    got = vectors.search(spark.createDataFrame([(2, [3.0, 4.0])], "vec_id long, features array<double>"), one, "ivf", nlist=4)
+    assert [(r.nn_id, r.dist) for r in got.collect()] == [(1, 5.0)]
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
@@ -72,9 +95,9 @@ def test_training_queries_see_all_normal_rows(spark):
 
 
 def test_fast_sample_takes_all_rows_below_its_limit(spark):
-    whole = vectors.coreset(T.normal(spark, SF), 16).orderBy("step").collect()
+    whole = vectors.coreset(T.bank(spark, SF), 16).orderBy("step").collect()
     assert Q.queries()["fast_sample"](spark, SF).orderBy("step").collect() == whole
-    ids = [r.id for r in vectors.coreset(T.normal(spark, SF), 200, most=100).collect()]
+    ids = [r.id for r in vectors.coreset(T.bank(spark, SF), 200, most=100).collect()]
     assert len(ids) == len(set(ids)) == 100
 
 
@@ -134,14 +157,44 @@ def test_bank_files(spark, tmp_path):
     got = files.read_banks(spark, str(tmp_path)).orderBy("layer_idx").collect()
     assert [(r.features, r.layer_idx, r.patch_row, r.patch_col) for r in got] == rows
     assert files.decode_bank(files.encode_bank(rows, [0.5, 0.5], [1.0, 2.0]))[1:] == ([0.5, 0.5], [1.0, 2.0])
+    assert (got[0].mean, got[0].std) == ([0.5, 0.5], [1.0, 2.0])
+    frame = spark.createDataFrame([("r1", *rows[0]), ("r2", *rows[1]), ("r1", *rows[1])], "roi string, features array<double>, layer_idx int, patch_row int, patch_col int")
+    written = files.write_bank_files(files.bank_files(frame, "roi", normalize=True), str(tmp_path / "out")).orderBy("name").collect()
+    assert [r.name for r in written] == ["r1", "r2"] and all(r.bytes > 17 for r in written)
+    again = files.read_banks(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.path[-6:], r.features, r.layer_idx) for r in again) == [("r1.bin", [1.0, 2.0], 0), ("r1.bin", [3.0, 4.0], 1), ("r2.bin", [3.0, 4.0], 1)]
+    assert next(r.mean for r in again if r.path.endswith("r1.bin")) == [2.0, 3.0]
 
 
 def test_image_lists_and_labels(spark, tmp_path):
     for n in ("b.PNG", "a.jpg", "c.txt"):
         (tmp_path / n).write_bytes(b"x")
     assert [r.path.rsplit("/", 1)[1] for r in files.list_images(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PNG"]
-    lines = spark.createDataFrame([("0 .5 .5 .2 .2",), ("x 1 1 1 1",), ("1 .5 .5 0 .1",), ("2 1.5 .5 .1 .1",), ("3 .1",)], "value string")
-    assert [r.cls for r in files.parse_label_lines(lines).collect()] == [0]
+    assert files.list_images(spark, str(tmp_path / "none")).count() == 0 and files.image_folder(spark, str(tmp_path / "none")).count() == 0
+    lines = spark.createDataFrame([("0 .5 .5 .2 .2",), ("x 1 1 1 1",), ("1 .5 .5 0 .1",), ("2 1.5 .5 .1 .1",), ("3 .1",), ("4.0 .5 .5 .1 .1",)], "value string")
+    assert [r.cls for r in files.parse_label_lines(lines).collect()] == [0, 4]
+
+
+def test_image_folder_drops_what_is_no_image(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A00"))
+    (tmp_path / "b.jpg").write_bytes(bytes.fromhex("FFD8FFE000"))
+    (tmp_path / "c.bmp").write_bytes(b"not an image")
+    (tmp_path / "d.tif").write_bytes(b"")
+    assert sorted(r.path[-5:] for r in files.image_folder(spark, str(tmp_path)).collect()) == ["a.png", "b.jpg"]
+    images = files.list_images(spark, str(tmp_path))
+    assert not files.large_files(images) and files.large_files(images, mb=0)
+
+
+def test_detection_dataset(spark, tmp_path):
+    images, labels = tmp_path / "i", tmp_path / "l"
+    images.mkdir()
+    labels.mkdir()
+    for n in ("a.jpg", "b.png", "c.bmp", "d.JPG", "e.tiff", "f.jpeg"):
+        (images / n).write_bytes(b"x")
+    for n, t in (("a", "0 .5 .5 .2 .2\n6.0 .1 .1 .1 .1\nbad"), ("b", "1 .5 .5 0 0"), ("c", ""), ("d", "3 .5 .5 .1 .1"), ("e", "3 .5 .5 .1 .1"), ("z", "9 .5 .5 .1 .1")):
+        (labels / f"{n}.txt").write_text(t)
+    data = files.detection_dataset(spark, str(images), str(labels))
+    assert [(r.stem, [b.cls for b in r.boxes]) for r in data.collect()] == [("a", [0, 6])] and files.num_classes(data) == 7
 
 
 def test_roi_config():
@@ -150,6 +203,143 @@ def test_roi_config():
     with pytest.raises(ValueError):
         files.parse_roi_config('{"backbone": {}}')
     assert files.parse_roi_config('{"rois": []}', "p.png")["image"] == "p.png"
+    roi = {"id": "a", "x": 1, "y": 2, "width": 3, "height": 4}
+    for text in (json.dumps({"image": "p.png", "rois": [roi]}), json.dumps({"roi_source": "fixed", "rois": [roi], "train": {"max_features": 5}})):
+        config = files.parse_roi_config(text)
+        assert files.parse_roi_config(files.roi_config_json(config)) == config
+
+
+def test_roi_json_of_images(spark):
+    rois = spark.createDataFrame([("p.png", "b", 1, 2, 3, 4), ("p.png", "a", 0, 0, 9, 9)], "image string, roi_id string, x int, y int, w int, h int")
+    text = files.image_rois_json(rois).first()["json"]
+    assert [r["id"] for r in files.parse_roi_config(text)["rois"]] == ["a", "b"] and json.loads(text)["rois"][1] == {"id": "b", "x": 1, "y": 2, "width": 3, "height": 4}
+
+
+def flat_image(image_id, h, w, v, spot=None):
+    return [(image_id, r, c, ch, 200.0 if spot and abs(r - spot[0]) < 2 and abs(c - spot[1]) < 2 else v) for r in range(h) for c in range(w) for ch in range(3)]
+
+
+PIXELS = "image_id long, row int, col int, ch int, v double"
+
+
+def test_patchcore_finds_the_spot(spark):
+    bank = spark.createDataFrame([(i, [10.0 + i] * 3) for i in range(3)], "vec_id long, features array<double>")
+    pix = spark.createDataFrame(flat_image(1, 12, 20, 11.0) + flat_image(2, 12, 20, 11.0, (3, 15)), PIXELS)
+    for params in ({}, {"max_tile_size": 8, "overlap": 2}, {"multi_scale": 1}, {"max_tile_size": "8", "overlap": "2", "multi_scale": "1"}):
+        got = {r.image_id: r for r in patchcore.patchcore(pix, bank, 5.0, params=params).collect()}
+        assert got[1].anomaly_score < 1e-9 and not got[1].is_anomaly and got[2].is_anomaly
+        heat = patchcore.patchcore_map(pix, bank, params=params).collect()
+        assert len(heat) == 2 * 12 * 20
+        top = max((r for r in heat if r.image_id == 2), key=lambda r: r.score)
+        assert abs(top.row - 3) <= 4 and abs(top.col - 15) <= 5
+
+
+def test_threshold_file(spark, tmp_path):
+    bank = spark.createDataFrame([(1, [10.0] * 3)], "vec_id long, features array<double>")
+    pix = spark.createDataFrame(flat_image(1, 8, 8, 11.0), PIXELS)
+    path = str(tmp_path / "bank.threshold.json")
+    assert patchcore.read_threshold(spark, path) is None
+    verdict = lambda **kw: patchcore.patchcore(pix, bank, **kw).first().is_anomaly
+    assert verdict(sidecar=path)  # sqrt(3) is above 0.5
+    scores = spark.createDataFrame([(float(i),) for i in range(1, 11)], "score double")
+    made = patchcore.train_threshold(scores, "percentile", percentile=80.0)
+    assert (made["anomaly_threshold"], made["num_samples"], made["threshold_params"]) == (8.0, 10, {"percentile": 80.0})
+    patchcore.write_threshold(spark, path, made)
+    assert patchcore.read_threshold(spark, path) == 8.0 and not verdict(sidecar=path) and verdict(threshold=1.0, sidecar=path)
+    images = spark.range(40).withColumnRenamed("id", "image_id")
+    assert patchcore.sampled_images(images, 0.25).count() == 10 and patchcore.sampled_images(images, 0.0).count() == 1
+    with pytest.raises(ValueError):
+        patchcore.train_threshold(scores.limit(0))
+
+
+def test_multi_roi(spark):
+    pix = spark.createDataFrame(flat_image(1, 12, 20, 11.0) + flat_image(2, 12, 20, 11.0, (3, 15)), PIXELS)
+    rois = spark.createDataFrame([("l", 0, 0, 8, 8), ("r", 11, 0, 9, 9), ("out", 15, 0, 9, 9)], "roi_id string, x int, y int, w int, h int")
+    banks = spark.createDataFrame([("l", 1, [11.0] * 3), ("r", 1, [11.0] * 3), ("out", 1, [11.0] * 3)], "roi_id string, vec_id long, features array<double>")
+    got = {(r.image_id, r.roi_id): (r.is_anomaly, r.any_anomaly) for r in patchcore.multi_roi(pix, rois, banks, 5.0).collect()}
+    assert got == {(1, "l"): (False, False), (1, "r"): (False, False), (2, "l"): (False, True), (2, "r"): (True, True)}
+    own = spark.createDataFrame([(2, "l", 0, 0, 8, 8), (1, "r", -1, 0, 9, 9)], "image_id long, roi_id string, x int, y int, w int, h int")
+    assert [(r.image_id, r.roi_id) for r in patchcore.multi_roi(pix, own, banks, 5.0, per_image=True).collect()] == [(2, "l")]
+    with pytest.raises(ValueError):
+        patchcore.multi_roi(pix, rois, banks.filter("roi_id <> 'r'"))
+
+
+def test_nodes_of_graphs(spark, tmp_path):
+    pix = spark.createDataFrame(flat_image(1, 8, 8, 11.0), PIXELS)
+    spark.createDataFrame([(1, [10.0] * 3)], "vec_id long, features array<double>").write.parquet(str(tmp_path / "bank"))
+    one = lambda kind, **params: json.dumps({"pipeline": {"nodes": [{"id": "n", "type": kind, "params": params}]}})
+    row = P.execute(P.parse(one("patchcore", memory_bank_path=str(tmp_path / "bank"), anomaly_threshold="3")), pix).first()
+    assert row.node_id == "n" and not row.is_anomaly and abs(row.anomaly_score - 3**0.5) < 1e-9
+    frames = spark.createDataFrame([(7, [2, 1, 3], [1.0, 2.0, 3.0, 3.0, 4.0, 5.0])], "frame_id long, shape array<int>, data array<double>")
+    out = P.execute(P.parse(one("model", model_path="stub")), frames).first().outputs
+    assert [(o.shape, o.data) for o in out] == [([1, 3], [2.0, 3.0, 4.0]), ([1, 1], [3.0])]
+
+
+def test_idle_models_are_kept_up_to_a_limit():
+    made = [model.acquire("m", lambda name: object()) for _ in range(6)]
+    for x in made:
+        model.release("m", x)
+    assert len(model._IDLE["m"]) == model.MOST_IDLE and model.acquire("m", lambda name: None) is made[-1]
+
+
+def test_skipped_nodes_and_profile(spark):
+    P.processor("skip_test")(lambda inputs, params: None)
+    text = json.dumps({"pipeline": {"nodes": [{"id": "a", "type": "skip_test"}, {"id": "b", "type": "merge"}, {"id": "c", "type": "merge"}, {"id": "d", "type": "merge"}],
+                                    "edges": [{"from": "a", "to": "b"}, {"from": "b", "to": "c"}, {"from": "d", "to": "c"}]}})
+    graph = P.parse(text)
+    assert P.execute(graph, spark.range(4)).count() == 4
+    rows = {r.node_id: r for r in P.profile(graph, spark.range(4)).collect()}
+    assert (rows["a"].status, rows["b"].status, rows["c"].rows, rows["c"].bytes) == ("skip", "skip", 4, 4 * len('{"id":0}'))
+    assert abs(rows["total"].latency_ms - rows["c"].latency_ms - rows["d"].latency_ms) < 1e-6
+    with pytest.raises(ValueError):
+        P.execute(P.parse(json.dumps({"pipeline": {"nodes": [{"id": "a", "type": "skip_test"}]}})), spark.range(1))
+
+
+def test_composite_node_and_input_limit(spark):
+    inner = {"pipeline": {"nodes": [{"id": "x", "type": "filter", "params": {"confidence_threshold": 0.5}}]}}
+    text = json.dumps({"pipeline": {"nodes": [{"id": "c", "type": "composite", "params": {"pipeline": inner}}]}})
+    rows = spark.createDataFrame([(0.4,), (0.6,)], "confidence double")
+    assert [(r.confidence, r.node_id) for r in P.execute(P.parse(text), rows).collect()] == [(0.6, "c")]
+    two = {"nodes": [{"id": "a", "type": "merge"}, {"id": "b", "type": "merge"}, {"id": "m", "type": "merge", "params": {"max_inputs": "1"}}], "edges": [{"from": "a", "to": "m"}, {"from": "b", "to": "m"}]}
+    with pytest.raises(ValueError):
+        P.execute(P.parse(json.dumps({"pipeline": two})), rows)
+
+
+def test_eviction_that_frees_too_little(spark):
+    slots = spark.createDataFrame([("g", "a", 100, 0, 1), ("g", "b", 100, 0, 2), ("g", "c", 100, 1, 0)], "group string, name string, vram long, ref_count int, last_used long")
+    assert [r.name for r in serving.lru_evict(slots, 150, strict=True).orderBy("last_used").collect()] == ["a", "b"]
+    assert [r.enough for r in serving.lru_evict(slots, 250).collect()] == [False, False]
+    with pytest.raises(Exception, match="frees too little"):
+        serving.lru_evict(slots, 250, strict=True).collect()
+
+
+def test_mosaic_of_few_samples_is_the_first(spark):
+    box = lambda i: (i, 100, 50, [(i, 0.5, 0.5, 0.2, 0.2)])
+    rows = spark.createDataFrame([box(i) for i in range(7)], "idx long, w int, h int, boxes array<struct<cls:int,cx:double,cy:double,w:double,h:double>>")
+    got = serving.mosaic_boxes(rows).collect()
+    assert [(r.idx, r.cx, r.x2) for r in got if r.mosaic == 1] == [(4, 0.5, 100)]
+    assert all(0 <= r.cx - r.w / 2 and r.cx + r.w / 2 <= 1 and r.w > 0 for r in got)
+
+
+def test_hsv_jitter_and_chain(spark):
+    colours = [(1, 10.0, 20.0, 30.0), (1, 200.0, 100.0, 50.0), (1, 0.0, 0.0, 0.0), (1, 90.0, 90.0, 90.0), (1, 5.0, 250.0, 120.0), (1, 120.0, 5.0, 250.0)]
+    pix = spark.createDataFrame(colours, "image_id long, b double, g double, r double")
+    same = serving.augment(pix, [lambda d: serving.hsv_jitter(d, "image_id", 0, 0, 0), lambda d: d.withColumn("seen", F.lit(1))]).collect()
+    assert all(abs(x - y) < 1e-6 for r, c in zip(same, colours) for x, y in zip((r.b, r.g, r.r), c[1:])) and same[0].seen == 1
+    other = serving.hsv_jitter(pix, "image_id").collect()
+    assert [round(max(r.b, r.g, r.r) / max(c[1:]), 6) for r, c in zip(other, colours) if max(c[1:]) < 150 and max(c[1:])].count(round(max(other[0].b, other[0].g, other[0].r) / 30, 6)) == 2
+    assert all(0 <= x <= 255 for r in other for x in (r.b, r.g, r.r))
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    events = T.table(spark, SF, "events")
+    events.repartition(2).write.parquet(str(tmp_path / "in"))
+    counted = stream.windowed_counts(stream.request_stream(spark, str(tmp_path / "in"), events.schema), "ts", "event_type", late="3650 days")
+    q = counted.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(str(r.window.start)[:10], r.event_type): r.requests for r in spark.table("windows").collect()}
+    assert got == {(str(r.day)[:10], r.event_type): r.requests for r in Q.queries()["windowed_requests"](spark, SF).collect()}
 
 
 def test_stream_matches_batch(spark, tmp_path):
@@ -171,4 +361,77 @@ def test_registry_state(spark, tmp_path):
     q = state.writeStream.outputMode("update").format("memory").queryName("registry").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(tuple(r) for r in spark.table("registry").collect()) == [("a", 1, 3), ("b", 1, 4)]
+    assert sorted(tuple(r)[:3] for r in spark.table("registry").collect()) == [("a", 1, 3), ("b", 1, 4)]
+
+
+def test_registry_replaces_when_nobody_holds_the_model(spark, tmp_path):
+    rows = [("a", "load", 1, None), ("a", "acquire", 2, None), ("a", "replace", 3, None), ("a", "acquire", 4, None), ("a", "release", 5, None), ("b", "load", 1, 7), ("b", "replace", 2, None),
+            ("c", "acquire", 1, None), ("d", "load", 1, None), ("d", "unload", 2, None), ("d", "release", 3, None)]
+    log = spark.createDataFrame(rows, "name string, op string, ts long, version long")
+    log.write.parquet(str(tmp_path / "one"))
+    source = spark.readStream.schema(log.schema).parquet(str(tmp_path / "one*"))
+    q = stream.registry_state(source).writeStream.outputMode("update").format("memory").queryName("versions").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    now = lambda: {r.name: (r.version, r.waiting, r.ref_count, r.errors) for r in spark.table("versions").collect()}
+    assert now() == {"a": (1, 2, 1, 0), "b": (8, 0, 0, 0), "c": (0, 0, 1, 1), "d": (0, 0, 0, 1)}
+    q.stop()
+
+
+def test_engine(spark):
+    engine, seen = stream.Engine(2), []
+    with pytest.raises(KeyError):
+        engine.infer("m", spark.range(2))
+    assert engine.load("m", lambda d: d.withColumn("y", F.col("id") + 1)) == 1
+    futures = [engine.submit("m", spark.range(n), seen.append) for n in (1, 2, 3)]
+    assert [len(f.result(60)) for f in futures] == [1, 2, 3] and sorted(map(len, seen)) == [1, 2, 3]
+    assert engine.load("m", lambda d: d.withColumn("y", F.lit(0))) == 2 and engine.versions() == {"m": 2}
+    assert [r.y for r in engine.infer("m", spark.range(2))] == [0, 0]
+    engine.unload("m")
+    engine.shutdown()
+    with pytest.raises(RuntimeError):
+        engine.submit("m", spark.range(1)).result(1)
+
+
+def test_coco_and_images_in_memory(spark, tmp_path):
+    coco = {"images": [{"id": 1, "file_name": "a.jpg", "width": 100, "height": 50}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}],
+            "annotations": [{"image_id": 1, "category_id": 3, "bbox": [10, 10, 20, 10]}, {"image_id": 1, "category_id": 5, "bbox": [0, 0, 0, 9]}], "categories": [{"id": 3}, {"id": 5}]}
+    (tmp_path / "coco.json").write_text(json.dumps(coco))
+    rows = files.coco_dataset(spark, str(tmp_path / "coco.json")).collect()
+    assert [(r.path, r.stem, [tuple(b) for b in r.boxes]) for r in rows] == [("a.jpg", "a", [(3, 0.2, 0.3, 0.2, 0.2)])]
+    pix = files.image_pixels(spark, bytes(range(12)), 2, 2, 3).collect()
+    assert [(r.row, r.col, r.ch, r.v) for r in pix if r.v in (0, 5, 11)] == [(0, 0, 0, 0.0), (0, 1, 2, 5.0), (1, 1, 2, 11.0)]
+    with pytest.raises(ValueError):
+        files.image_pixels(spark, b"123", 2, 2, 3)
+    t = imaging.tensors(files.image_pixels(spark, bytes(range(12)), 2, 2, 3)).first()
+    assert (t.shape, t.data) == ([3, 2, 2], [0.0, 3.0, 6.0, 9.0, 1.0, 4.0, 7.0, 10.0, 2.0, 5.0, 8.0, 11.0])
+
+
+def test_hash_sample_is_the_first_by_hash(spark):
+    rows = spark.range(5000).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("g"))
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31))
+    for n in (100, 1666, 5000, 9000):
+        want = [r.vec_id for r in rows.orderBy(place, "vec_id").limit(n).collect()]
+        assert sorted(r.vec_id for r in vectors.hash_sample(rows, n, "vec_id").collect()) == sorted(want)
+    per = vectors.hash_sample(rows, 50, "vec_id", "g").groupBy("g").count().collect()
+    assert sorted(tuple(r) for r in per) == [(0, 50), (1, 50), (2, 50)]
+
+
+def test_command_line(spark, tmp_path):
+    from visorq.__main__ import main
+
+    out = str(tmp_path / "out")
+    assert main(["what"], spark) == 2 and main(["query", "box_clip", SF, out], spark) == 0
+    assert spark.read.parquet(out).count() == T.detections(spark, SF).count()
+    T.samples(spark, SF).write.parquet(str(tmp_path / "samples"))
+    main(["evaluate", str(tmp_path / "samples"), out], spark)
+    row = spark.read.parquet(out).first()
+    assert row.tp + row.fp + row.tn + row.fn == T.samples(spark, SF).count() and 0 <= row.auc <= 1
+    main(["threshold", str(tmp_path / "samples"), str(tmp_path / "t.json"), "percentile"], spark)
+    assert patchcore.read_threshold(spark, str(tmp_path / "t.json")) is not None
+    (tmp_path / "g.json").write_text(json.dumps({"pipeline": {"nodes": [{"id": "n", "type": "filter"}]}}))
+    T.detections(spark, SF).write.parquet(str(tmp_path / "det"))
+    main(["graph", str(tmp_path / "g.json"), str(tmp_path / "det"), out], spark)
+    assert spark.read.parquet(out).filter("node_id = 'n'").count() == T.detections(spark, SF).filter("confidence >= 0.5").count()
+    T.bank(spark, SF).select("vec_id", "features").write.parquet(str(tmp_path / "pool"))
+    main(["train", str(tmp_path / "pool"), out, "0.05"], spark)
+    assert spark.read.parquet(f"{out}/bank").count() == T.bank(spark, SF).count() // 20 and spark.read.parquet(f"{out}/norm").count() == 64

@@ -66,6 +66,13 @@ def letterbox(w: Column, h: Column, tw: int = 640, th: int = 640, train: bool =
     return {"scale": scale, "new_w": nw, "new_h": nh, "pad_x": pad(tw, nw), "pad_y": pad(th, nh)}
 
 
+def letterbox_box(box, w: Column, h: Column, fit: dict[str, Column], tw: int = 640, th: int = 640) -> tuple[Column, Column, Column, Column]:
+    """A box in fractions of a w x h image as fractions of the letterboxed one."""
+    cx, cy, bw, bh = box
+    scale = fit["scale"]
+    return (cx * w * scale + fit["pad_x"]) / tw, (cy * h * scale + fit["pad_y"]) / th, bw * w * scale / tw, bh * h * scale / th
+
+
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
 

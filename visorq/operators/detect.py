@@ -132,19 +132,73 @@ def total_loss(box: Column, cls: Column, dfl: Column) -> Column:
     return 7.5 * box + 0.5 * cls + 1.5 * dfl
 
 
-def average_precision(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
-    """label, ap: each truth box is matched by the most confident detection that overlaps it enough.
+def detection_loss(rows: DataFrame, bins: int = 16) -> DataFrame:
+    """One row: box, dfl, cls and total loss of assigned cells.
+
+    rows: reg (4 * bins logits, sides l, t, r, b), cls (class logits), gx, gy (the cell's centre as a fraction), grid
+    (cells per side), x1, y1, x2, y2 (the target as fractions), target (its class)."""
+    side = lambda i: F.slice("reg", i * bins + 1, bins)
+    far = [G.softmax_expectation(side(i)) / F.col("grid") for i in range(4)]
+    gx, gy, grid = F.col("gx"), F.col("gy"), F.col("grid")
+    box = G.ciou_loss((gx - far[0], gy - far[1], gx + far[2], gy + far[3]), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    reach = [(gx - F.col("x1")) * grid, (gy - F.col("y1")) * grid, (F.col("x2") - gx) * grid, (F.col("y2") - gy) * grid]
+    inside = [F.greatest(F.lit(0.0), F.least(F.lit(bins - 0.01), t)) for t in reach]
+    dfl = sum((G.dfl_loss(side(i), t, bins) for i, t in enumerate(inside)), F.lit(0.0)) / 4
+    per_class = F.transform("cls", lambda x, i: G.bce_with_logits(x, (i == F.col("target")).cast("double")))
+    cls = F.aggregate(per_class, F.lit(0.0), lambda a, x: a + x) / F.size("cls")
+    return rows.agg(F.avg(box).alias("box"), F.avg(dfl).alias("dfl"), F.avg(cls).alias("cls")).withColumn("total", total_loss(F.col("box"), F.col("cls"), F.col("dfl")))
+
+
+def tensor_valid(shape: str = "shape", data: str = "data") -> Column:
+    """Whether an output tensor can be decoded: four dimensions, a batch of one, and data."""
+    size = F.size(shape)
+    return F.coalesce((size == 4) & (F.get(shape, F.lit(0)) == 1) & F.col(data).isNotNull() & (F.size(data) > 0), F.lit(False))
+
+
+def label_text(label: Column, confidence: Column, score: Column | None = None) -> Column:
+    """The text beside a drawn box: the label and whole percents, cut and not rounded."""
+    percent = lambda x: F.concat((x * 100).cast("int").cast("string"), F.lit("%"))
+    text = F.concat(label, F.lit(": "), percent(confidence))
+    return text if score is None else F.concat(text, F.coalesce(F.concat(F.lit(" score:"), percent(score)), F.lit("")))
+
+
+def roi_text(label: Column, score: Column, is_anomaly: Column) -> Column:
+    return F.concat(label, F.lit(": "), F.when(is_anomaly, "NG ").otherwise("OK "), (score * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def detection_metrics(det: DataFrame, truth: DataFrame, confidence: float = 0.25, ious: tuple[float, ...] = tuple(0.5 + 0.05 * i for i in range(10))) -> DataFrame:
+    """label, map50, map50_95 (the mean over the overlaps), precision and recall at the least overlap and the
+    confidence. Every label of the truth has a row."""
+    each = None
+    for i, iou in enumerate(ious):
+        one = average_precision(det, truth, iou).select("label", F.lit(i).alias("i"), "ap")
+        each = one if each is None else each.unionByName(one)
+    maps = each.groupBy("label").agg(F.max(F.when(F.col("i") == 0, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95"))
+    sure = det.filter(F.col("confidence") >= confidence)
+    counted = matched(sure, truth, ious[0]).groupBy("label").agg(F.sum("tp").alias("hits"), F.count(F.lit(1)).alias("found"))
+    total = truth.groupBy("label").agg(F.count(F.lit(1)).alias("truths"))
+    share = lambda a, b: F.when(F.coalesce(F.col(b), F.lit(0)) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return maps.join(total, "label").join(counted, "label", "left").select("label", "map50", "map50_95", share("hits", "found").alias("precision"), F.coalesce(F.col("hits") / F.col("truths"), F.lit(0.0)).alias("recall"))
 
-    det and truth share frame_id and label; ids are det_id and truth_id."""
+
+def matched(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
+    """det_id, label, confidence, tp: a detection goes to the truth box that it overlaps most, and a truth box to
+    its most confident detection; overlaps below ``iou`` don't count. Ids are det_id and truth_id."""
     d, t = det.alias("d"), truth.alias("t")
     box = lambda x: G.corners(*(F.col(f"{x}.{c}") for c in ("cx", "cy", "w", "h")))
     over = d.join(t, (F.col("d.frame_id") == F.col("t.frame_id")) & (F.col("d.label") == F.col("t.label"))).select(
         F.col("d.det_id").alias("det_id"), F.col("d.confidence").alias("confidence"), F.col("t.truth_id").alias("truth_id"), G.iou_corners(box("d"), box("t")).alias("iou")
     ).filter(F.col("iou") >= iou)
-    # a detection goes to its best truth box, and a truth box to its most confident detection
     best = over.groupBy("det_id").agg(F.max(F.struct("iou", (-F.col("truth_id")).alias("k"), "confidence")).alias("b")).select("det_id", (-F.col("b.k")).alias("truth_id"), "b.confidence")
     hits = best.groupBy("truth_id").agg(F.max(F.struct("confidence", (-F.col("det_id")).alias("k"))).alias("b")).select((-F.col("b.k")).alias("det_id"), F.lit(1).alias("tp"))
-    marked = det.select("det_id", "label", "confidence").join(hits, "det_id", "left").fillna(0, ["tp"])
+    return det.select("det_id", "label", "confidence").join(hits, "det_id", "left").fillna(0, ["tp"])
+
+
+def average_precision(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
+    """label, ap: each truth box is matched by the most confident detection that overlaps it enough.
+
+    det and truth share frame_id and label; ids are det_id and truth_id."""
+    marked = matched(det, truth, iou)
     up = Window.partitionBy("label").orderBy(F.col("confidence").desc(), "det_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = marked.withColumns({"ctp": F.sum("tp").over(up), "n": F.row_number().over(Window.partitionBy("label").orderBy(F.col("confidence").desc(), "det_id"))})
     later = Window.partitionBy("label").orderBy(F.col("confidence").desc(), "det_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)

@@ -58,6 +58,18 @@ def letterbox_pixels(pix: DataFrame, in_h: int, in_w: int, out_h: int, out_w: in
     return inner.unionByName(border.withColumn("v", F.lit(pad)))
 
 
+def flip(pix: DataFrame, width: int) -> DataFrame:
+    """Mirrored left to right."""
+    return pix.withColumn("col", width - 1 - F.col("col"))
+
+
+def tensors(pix: DataFrame, channels: int = 3) -> DataFrame:
+    """image_id, shape (channels, height, width) and data in that order, from whole images."""
+    at = F.struct("ch", "row", "col", "v")
+    listed = pix.groupBy("image_id").agg(F.sort_array(F.collect_list(at)).alias("p"), (F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    return listed.select("image_id", F.array(F.lit(channels), F.col("h"), F.col("w")).alias("shape"), F.col("p.v").alias("data"))
+
+
 def tiles(sizes: DataFrame, tile: int = 1024, overlap: int = 32) -> DataFrame:
     """Overlapping tiles of each image: (image_id, w, h) to clipped top-left and bottom-right corners."""
     step = lambda n: F.least(F.lit(tile), F.col(n))
@@ -79,7 +91,7 @@ def scaled_rois(rois: DataFrame, scales: tuple[float, ...] = (1.0, 0.75, 0.5)) -
 def colorize(scores: DataFrame, most: float | None = None, v: str = "score") -> DataFrame:
     """Adds level (0..255) and the blue, green and red of a jet ramp, computed by rule."""
     top = F.lit(most) if most else F.lit(scores.agg(F.max(v)).first()[0] or 1.0)
-    level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(v) / top)) * 255).cast("int")
+    level = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(v) / top)) * 255).cast("int")
     ramp = lambda shift: F.round(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(4 * F.col("level") / 255 - shift)))).cast("int")
     return scores.withColumn("level", level).withColumns({"blue": ramp(1.0), "green": ramp(2.0), "red": ramp(3.0)})
 

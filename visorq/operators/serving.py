@@ -19,11 +19,16 @@ def latest_versions(registry: DataFrame) -> DataFrame:
     return registry.groupBy("name").agg(F.max(F.struct("version", "path")).alias("m")).select("name", "m.version", "m.path")
 
 
-def lru_evict(slots: DataFrame, need: float, by: str = "group") -> DataFrame:
-    """The idle slots to evict, oldest first, until ``need`` is freed; eviction runs per group."""
+def lru_evict(slots: DataFrame, need: float, by: str = "group", strict: bool = False) -> DataFrame:
+    """The idle slots to evict, oldest first, until ``need`` is freed; eviction runs per group. ``enough``
+    says whether the group's idle slots free that much; with ``strict`` it is an error where they don't."""
     idle = slots.filter("ref_count = 0")
     order = Window.partitionBy(by).orderBy("last_used", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return idle.withColumn("freed", F.sum("vram").over(order)).filter(F.col("freed") - F.col("vram") < need)
+    out = idle.withColumns({"freed": F.sum("vram").over(order), "enough": F.sum("vram").over(Window.partitionBy(by)) >= need}).filter(F.col("freed") - F.col("vram") < need)
+    if strict:
+        short = F.concat(F.lit("eviction frees too little of the "), F.lit(str(need)), F.lit(" MB asked for"))
+        out = out.withColumn("enough", F.when(F.col("enough"), True).otherwise(F.raise_error(short).cast("boolean")))
+    return out
 
 
 def hash_order(id_col: str, seed: int = 12345) -> Column:
@@ -31,12 +36,23 @@ def hash_order(id_col: str, seed: int = 12345) -> Column:
     return (F.col(id_col) * 1103515245 + seed) % 2147483648
 
 
-def assign_batches(rows: DataFrame, id_col: str, size: int, by: str | None = None, seed: int = 12345) -> DataFrame:
-    """Position and batch of each row in shuffled order (per group, or per hash lot of ids)."""
-    lots = rows.withColumn("shard", F.col(by) if by else F.lit(0))
-    order = Window.partitionBy("shard").orderBy(hash_order(id_col, seed), id_col)
-    n = F.row_number().over(order) - 1
-    return lots.withColumns({"pos": n, "batch": F.floor(n / size).cast("long")})
+def assign_batches(rows: DataFrame, id_col: str, size: int, by: str | None = None, seed: int = 12345, lots: int = 256) -> DataFrame:
+    """Position and batch of each row in shuffled order, per group or over the whole table.
+
+    The whole table is cut into ``lots`` ranges of the shuffled order; rows are numbered inside each, and the
+    totals of the ranges before, a small table, are added."""
+    order = hash_order(id_col, seed)
+    if by:
+        dealt = rows.withColumn("shard", F.col(by))
+        n = F.row_number().over(Window.partitionBy("shard").orderBy(order, id_col)) - 1
+        return dealt.withColumns({"pos": n.cast("long"), "batch": F.floor(n / size).cast("long")})
+    dealt = rows.withColumn("shard", F.floor(order / F.lit(-(-2147483648 // lots))).cast("int"))
+    counts = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    n = F.row_number().over(Window.partitionBy("shard").orderBy(order, id_col)) - 1
+    numbered = dealt.withColumn("own", n).join(F.broadcast(base), "shard").withColumn("pos", F.col("base") + F.col("own")).drop("own", "base")
+    return numbered.withColumn("batch", F.floor(F.col("pos") / size).cast("long"))
 
 
 def round_robin(rows: DataFrame, id_col: str, devices: int, by: str) -> DataFrame:
@@ -68,19 +84,86 @@ def warmup_rate(epoch: Column, batches: Column, lr: float, warmup: int = 3, step
 
 
 def device_for(task: Column, mode: Column, has_gpu: Column, free_mb: Column) -> Column:
-    """The device rule of the priority modes; training next to inference needs 9216 MB free."""
+    """The device rule of the priority modes; training next to inference needs 2048, 6144 and 1024 MB (fixed
+    values) free."""
     infer = F.when(mode != "training", "gpu").otherwise("cpu")
     train = F.when(mode == "training", "gpu").when((mode == "balanced") & (free_mb >= 2048 + 6144 + 1024), "gpu").otherwise("cpu")
     return F.when(~has_gpu, "cpu").when(task == "inference", infer).otherwise(train)
 
 
-def mosaic_boxes(samples: DataFrame, size: int = 640) -> DataFrame:
-    """Boxes of four images at a time in one canvas; group and quadrant follow the sample order.
+def chance(id_col: str, salt: int) -> Column:
+    """A number in [0, 1) from an id, the same in every engine."""
+    return hash_order(id_col, 12345 + salt * 7919) / F.lit(2147483648.0)
 
-    samples: idx, boxes array<struct<cls,cx,cy,w,h>> in image fractions; each image fills one quadrant."""
-    placed = samples.withColumns({"mosaic": F.expr("idx div 4"), "q": F.expr("int(idx % 4)")}).withColumn("b", F.explode("boxes"))
-    half = lambda c, odd: (F.col(f"b.{c}") + F.expr(odd)) / 2
-    return placed.select("mosaic", "idx", F.col("b.cls").alias("cls"), half("cx", "q % 2").alias("cx"), half("cy", "q div 2").alias("cy"), (F.col("b.w") / 2).alias("w"), (F.col("b.h") / 2).alias("h")).filter("w > 0 and h > 0")
+
+def mosaic_boxes(samples: DataFrame, size: int = 640) -> DataFrame:
+    """Boxes of four images at a time around a point of one canvas: mosaic, idx, cls, cx, cy, w, h, and the
+    canvas area (x1, y1, x2, y2) that the image fills.
+
+    samples: idx, w, h, boxes array<struct<cls,cx,cy,w,h>> in image fractions. Four images in order make a
+    mosaic; its point lies in the middle third, each image is scaled by 0.5 to 1.5, boxes are shifted, cut at the
+    canvas and dropped where nothing is left. Of fewer than four images the first is returned as it is."""
+    low, high = size // 3, 2 * size // 3
+    of_four = samples.withColumns({"mosaic": F.expr("idx div 4"), "q": F.expr("int(idx % 4)")})
+    full = of_four.groupBy("mosaic").agg(F.count(F.lit(1)).alias("members"), F.min("idx").alias("head"))
+    point = lambda salt: F.floor(low + chance("mosaic", salt) * (high - low + 1)).cast("int")
+    rows = of_four.join(full, "mosaic").withColumns({"px": point(1), "py": point(2)})
+    new_w, new_h = (F.floor(F.col(c) * (0.5 + chance("idx", 3))).cast("int") for c in ("w", "h"))
+    rows = rows.withColumns({"nw": new_w, "nh": new_h}).withColumns({
+        "s": F.col("nw") / F.col("w"),
+        "x0": F.when(F.col("q") % 2 == 0, F.col("px") - F.col("nw")).otherwise(F.col("px")), "y0": F.when(F.col("q") < 2, F.col("py") - F.col("nh")).otherwise(F.col("py")),
+    })
+    edge = lambda at, n: (F.greatest(F.lit(0), F.col(at)), F.least(F.lit(size), F.col(at) + F.col(n)))
+    (x1, x2), (y1, y2) = edge("x0", "nw"), edge("y0", "nh")
+    rows = rows.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
+    placed = rows.filter("members = 4 and x2 > x1 and y2 > y1").withColumn("b", F.explode("boxes"))
+    mid = lambda c, n, at: F.col(f"b.{c}") * F.col(n) * F.col("s") + F.col(at)
+    half = lambda c, n: F.col(f"b.{c}") * F.col(n) * F.col("s") / 2
+    cut = placed.select(
+        "mosaic", "idx", F.col("b.cls").alias("cls"), "x1", "y1", "x2", "y2",
+        F.greatest(F.lit(0.0), mid("cx", "w", "x0") - half("w", "w")).alias("l"), F.greatest(F.lit(0.0), mid("cy", "h", "y0") - half("h", "h")).alias("t"),
+        F.least(F.lit(float(size)), mid("cx", "w", "x0") + half("w", "w")).alias("r"), F.least(F.lit(float(size)), mid("cy", "h", "y0") + half("h", "h")).alias("u"),
+    ).filter("r > l and u > t")
+    part = lambda x: x / F.lit(float(size))
+    made = cut.select(
+        "mosaic", "idx", "cls", part((F.col("l") + F.col("r")) / 2).alias("cx"), part((F.col("t") + F.col("u")) / 2).alias("cy"),
+        part(F.col("r") - F.col("l")).alias("w"), part(F.col("u") - F.col("t")).alias("h"), "x1", "y1", "x2", "y2",
+    )
+    alone = rows.filter("members < 4 and idx = head").withColumn("b", F.explode("boxes"))
+    return made.unionByName(alone.select("mosaic", "idx", "b.cls", "b.cx", "b.cy", "b.w", "b.h", F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("w").cast("int").alias("x2"), F.col("h").cast("int").alias("y2")))
+
+
+def flip_boxes(boxes: DataFrame, id_col: str, share: float = 0.5) -> DataFrame:
+    """Boxes with cx in image fractions, mirrored for a share of the ids by chance."""
+    return boxes.withColumn("cx", F.when(chance(id_col, 0) < share, 1 - F.col("cx")).otherwise(F.col("cx")))
+
+
+def hsv_jitter(pixels: DataFrame, id_col: str, h_gain: float = 5.0, s_gain: float = 30.0, v_gain: float = 30.0) -> DataFrame:
+    """Pixels (b, g, r in 0..255) with hue shifted and saturation and value scaled by chance per image.
+
+    Hue is in 0..180, saturation and value in 0..255; hue is added to, the others are scaled by 1 + u / 100 and
+    cut to 0..255."""
+    b, g, r = (F.col(c).cast("double") for c in "bgr")
+    most, least = F.greatest(b, g, r), F.least(b, g, r)
+    span = most - least
+    hue = F.when(span == 0, 0.0).when(most == r, F.pmod(60 * (g - b) / span, F.lit(360.0))).when(most == g, 60 * (b - r) / span + 120).otherwise(60 * (r - g) / span + 240) / 2
+    gain = lambda salt, most: (2 * chance(id_col, salt) - 1) * most
+    cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x))
+    turned = pixels.withColumns({
+        "_h": F.pmod(hue + gain(4, h_gain), F.lit(180.0)), "_s": cut(F.when(most == 0, 0.0).otherwise(255 * span / most) * (1 + gain(5, s_gain) / 100)), "_v": cut(most * (1 + gain(6, v_gain) / 100)),
+    })
+    sector = F.col("_h") / 30
+    f, c = sector - F.floor(sector), F.col("_v") * F.col("_s") / 255
+    low, down, up, top = F.col("_v") - c, F.col("_v") - c * f, F.col("_v") - c * (1 - f), F.col("_v")
+    pick = lambda *xs: F.element_at(F.array(*xs), F.floor(sector).cast("int") % 6 + 1)
+    return turned.withColumns({"r": pick(top, down, low, low, up, top), "g": pick(up, top, top, down, low, low), "b": pick(low, low, up, top, top, down)}).drop("_h", "_s", "_v")
+
+
+def augment(rows: DataFrame, steps: list) -> DataFrame:
+    """The steps, functions of a DataFrame, applied one after the other."""
+    for step in steps:
+        rows = rows.transform(step)
+    return rows
 
 
 def collate_targets(samples: DataFrame, size: int) -> DataFrame:

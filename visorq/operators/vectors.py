@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import l2
-
 #: Bytes of bank vectors that one task holds at once; a larger bank is searched in blocks.
 BLOCK_BYTES = 64_000_000
 #: Rows of a coreset's group that one task selects from; a larger group is selected in distributed rounds.
@@ -29,73 +27,120 @@ def check_bank(bank: DataFrame, vec: str = "features") -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def _nearest(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k nearest bank rows per query, by distance and then id; b is sorted by id."""
-    k = min(k, len(b))
+def _nearest(q: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, bank id, distance) of the k nearest bank rows of each query, by distance and then id; b is
+    sorted by id. own: the queries' ids, which ``skip_self`` leaves out of the bank."""
     approx = (q * q).sum(1)[:, None] - 2 * q @ b.T + (b * b).sum(1)
-    edge = np.partition(approx, k - 1, axis=1)[:, k - 1] + 1e-7 * (1 + np.abs(approx).max(1))
-    out_id, out_d = np.empty((len(q), k), ids.dtype), np.empty((len(q), k))
+    if skip_self:
+        approx[ids[None, :] == own[:, None]] = np.inf
+    k = min(k, len(b))
+    finite = np.where(np.isfinite(approx), approx, 0)
+    edge = np.partition(approx, k - 1, axis=1)[:, k - 1] + 1e-7 * (1 + np.abs(finite).max(1))
+    rows, out_id, out_d = [], [], []
     for i in range(len(q)):
-        c = np.flatnonzero(approx[i] <= edge[i])
+        c = np.flatnonzero((approx[i] <= edge[i]) & np.isfinite(approx[i]))
         d = np.sqrt(((b[c] - q[i]) ** 2).sum(1))
         best = np.lexsort((ids[c], d))[:k]
-        out_id[i], out_d[i] = ids[c][best], d[best]
-    return out_id, out_d
+        rows.append(np.full(len(best), i))
+        out_id.append(ids[c][best])
+        out_d.append(d[best])
+    return np.concatenate(rows), np.concatenate(out_id), np.concatenate(out_d)
 
 
-def nn_exact(queries: DataFrame, bank: DataFrame, id_col: str = "vec_id", vec: str = "features", k: int = 1) -> DataFrame:
-    """id, rank, nn_id, dist: the k nearest bank rows, ties to the lowest id.
+def _search(queries: DataFrame, bank: DataFrame, k: int, skip_self: bool) -> tuple[DataFrame, int]:
+    """(g, id, nn_id, dist, rank): up to k nearest bank rows (g, b, v) of each query's (g, id, v) group, per block;
+    and the number of blocks. The rows of one block are final.
 
-    The bank's size is checked: a block of at most BLOCK_BYTES is broadcast at a time and searched with
-    one matrix product per Arrow batch; block results are merged by a map-side combined top-k.
+    The bank's size is checked: blocks of at most BLOCK_BYTES, cut by group and id, are broadcast one at a
+    time. A query row meets only the rows of its group, in one matrix product per group and Arrow batch.
     """
-    n, dim = check_bank(bank, vec)
     spark = queries.sparkSession
-    blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
-    keyed = bank.select(F.col(id_col).alias("b"), F.col(vec).cast("array<double>").alias("v"))
+    row = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-row["n"] * row["d"] * 8 // BLOCK_BYTES))
     parts = None
     for block in range(blocks):
-        own = keyed if blocks == 1 else keyed.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == block)
-        held = own.orderBy("b").toPandas()
+        own = bank if blocks == 1 else bank.filter(F.pmod(F.xxhash64("g", "b"), F.lit(blocks)) == block)
+        held = own.orderBy("g", "b").toPandas()
         if not len(held):
             continue
-        sent = spark.sparkContext.broadcast((np.stack(held["v"].to_numpy()), held["b"].to_numpy()))
+        group = held["g"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        spans = {group[x]: (x, y) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True)}
+        sent = spark.sparkContext.broadcast((np.stack(held["v"].to_numpy()), held["b"].to_numpy(), spans))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            b, ids = sent.value
+            vectors, ids, spans = sent.value
             for batch in batches:
-                for i in range(0, len(batch), 256):
-                    part = batch.iloc[i : i + 256]
-                    nn, d = _nearest(np.stack(part["v"].to_numpy()).astype(float), b, ids, k)
-                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), nn.shape[1]), "nn_id": nn.reshape(-1), "dist": d.reshape(-1)})
-
-        found = queries.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(run, "id long, nn_id long, dist double")
+                for g, rows in batch.groupby("g", sort=False):
+                    if g not in spans:
+                        continue
+                    x, y = spans[g]
+                    for i in range(0, len(rows), 256):
+                        part = rows.iloc[i : i + 256]
+                        own = part["id"].to_numpy()
+                        at, nn, d = _nearest(np.stack(part["v"].to_numpy()).astype(float), own, vectors[x:y], ids[x:y], k, skip_self)
+                        rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
+                        yield pd.DataFrame({"g": g, "id": own[at], "nn_id": nn, "dist": d, "rank": rank.astype(np.int32)})
+
+        found = queries.mapInPandas(run, "g string, id long, nn_id long, dist double, rank int")
         parts = found if parts is None else parts.unionAll(found)
-    order = Window.partitionBy("id").orderBy("dist", "nn_id")
-    return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if parts is None:
+        parts = spark.createDataFrame([], "g string, id long, nn_id long, dist double, rank int")
+    return parts, blocks
+
+
+def _keyed(rows: DataFrame, name: str, id_col: str, vec: str, group) -> DataFrame:
+    return rows.select(group.cast("string").alias("g"), F.col(id_col).cast("long").alias(name), F.col(vec).cast("array<double>").alias("v"))
 
 
-def nn_by_group(queries: DataFrame, bank: DataFrame, group: str, id_col: str = "vec_id", vec: str = "features") -> DataFrame:
-    """Nearest bank row of the same group (a bank per ROI): an equi join on the group, then a combined minimum."""
-    q = queries.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vec).alias("qv"))
-    b = bank.select(F.col(group).alias("g"), F.col(id_col).alias("nn_id"), F.col(vec).alias("bv"))
-    pairs = q.join(b, "g").select("g", "id", F.struct(l2(F.col("qv"), F.col("bv")).alias("dist"), F.col("nn_id")).alias("m"))
-    return pairs.groupBy("g", "id").agg(F.min("m").alias("m")).select("g", "id", "m.nn_id", "m.dist")
+def check_queries(queries: DataFrame, dim: int, vec: str = "features") -> None:
+    """Queries of another dimension than the bank's are an error."""
+    row = queries.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b")).first()
+    if row["a"] is not None and (row["a"] != dim or row["b"] != dim):
+        raise ValueError(f"queries of dimension {row['a']} to {row['b']} for a bank of dimension {dim}")
 
 
-def ivf_search(queries: DataFrame, bank: DataFrame, nlist: int = 100, nprobe: int = 16, seed: int = 7, id_col: str = "vec_id", vec: str = "features") -> DataFrame:
-    """Approximate nearest neighbour over k-means cells; probing all cells is exact.
+def nn_exact(queries: DataFrame, bank: DataFrame, id_col: str = "vec_id", vec: str = "features", k: int = 1, skip_self: bool = False) -> DataFrame:
+    """id, rank, nn_id, dist: the k nearest bank rows, ties to the lowest id. skip_self: not the row itself.
 
-    Centroids (nlist vectors) are the only thing sent to all tasks.
+    The results of one block, the usual case, are final; those of several are merged by a window over k rows
+    per query and block.
     """
+    _, dim = check_bank(bank, vec)
+    check_queries(queries, dim, vec)
+    found, blocks = _search(_keyed(queries, "id", id_col, vec, F.lit("")), _keyed(bank, "b", id_col, vec, F.lit("")), k, skip_self)
+    if blocks == 1:
+        return found.select("id", "nn_id", "dist", "rank")
+    order = Window.partitionBy("id").orderBy("dist", "nn_id")
+    return found.select("id", "nn_id", "dist", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
+
+
+def nn_by_group(queries: DataFrame, bank: DataFrame, group: str, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
+    """g, id, nn_id, dist: the nearest bank row of the same group (a bank per ROI), by a matrix product per group."""
+    found, blocks = _search(_keyed(queries, "id", id_col, vec, F.col(group)), _keyed(bank, "b", id_col, vec, F.col(group)), 1, skip_self)
+    kind = queries.schema[group].dataType
+    if blocks == 1:
+        return found.select(F.col("g").cast(kind).alias("g"), "id", "nn_id", "dist")
+    best = found.groupBy("g", "id").agg(F.min(F.struct("dist", "nn_id")).alias("m"))
+    return best.select(F.col("g").cast(kind).alias("g"), "id", "m.nn_id", "m.dist")
+
+
+def train_cells(bank: DataFrame, nlist: int = 100, seed: int = 7, id_col: str = "vec_id", vec: str = "features", sample: int = 100_000) -> tuple[np.ndarray, DataFrame]:
+    """(centroids, bank rows with list_id): k-means fitted on at most ``sample`` rows by a hash of the id,
+    all rows assigned."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n, _ = check_bank(bank, vec)
-    nlist = min(nlist, n)
-    cells = KMeans(k=nlist, seed=seed, featuresCol="mv", predictionCol="list_id").fit(bank.select(array_to_vector(vec).alias("mv")))
+    fit = bank if n <= sample else bank.filter(F.pmod(F.xxhash64(id_col), F.lit(-(-n // sample))) == 0)
+    cells = KMeans(k=min(nlist, n), seed=seed, featuresCol="mv", predictionCol="list_id").fit(fit.select(array_to_vector(vec).alias("mv")))
     centers = np.array(cells.clusterCenters())
-    sent = queries.sparkSession.sparkContext.broadcast(centers)
+    return centers, bank.withColumn("list_id", F.get(_cells_of(bank.sparkSession, centers)(F.col(vec), F.lit(1)), F.lit(0)))
+
+
+def _cells_of(spark, centers: np.ndarray):
+    """A function (vector, n): the n nearest centroids. Centroids (nlist vectors) are sent to all tasks."""
+    sent = spark.sparkContext.broadcast(centers)
 
     @F.pandas_udf("array<int>")
     def nearest_cells(v: pd.Series, n: pd.Series) -> pd.Series:
@@ -104,21 +149,83 @@ def ivf_search(queries: DataFrame, bank: DataFrame, nlist: int = 100, nprobe: in
         d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
         return pd.Series([row[: n.iloc[0]] for row in np.argsort(d, axis=1, kind="stable").astype(np.int32)])
 
-    b = bank.select(F.col(id_col).alias("nn_id"), F.col(vec).alias("bv"), nearest_cells(F.col(vec), F.lit(1))[0].alias("list_id"))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("qv"), F.explode(nearest_cells(F.col(vec), F.lit(min(nprobe, len(centers))))).alias("list_id"))
-    pairs = q.join(b, "list_id").select("id", F.struct(l2(F.col("qv"), F.col("bv")).alias("dist"), F.col("nn_id")).alias("m"))
-    return pairs.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.nn_id", "m.dist")
+    return nearest_cells
 
 
-def lsh_search(queries: DataFrame, bank: DataFrame, width: float = 4.0, tables: int = 8, seed: int = 7, id_col: str = "vec_id", vec: str = "features") -> DataFrame:
-    """Graph-index substitute: random-projection buckets, exact distances inside; promises recall only."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def save_index(path: str, centers: np.ndarray, assigned: DataFrame, id_col: str = "vec_id", vec: str = "features") -> None:
+    """An index as Parquet: the centroids, and the rows by list_id."""
+    spark = assigned.sparkSession
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list_id int, center array<double>").write.mode("overwrite").parquet(f"{path}/centers")
+    assigned.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("features"), "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+
+
+def load_index(spark, path: str) -> tuple[np.ndarray, DataFrame]:
+    """(centroids, rows with list_id) of a stored index; raises where there is none."""
+    rows = spark.read.parquet(f"{path}/centers").orderBy("list_id").collect()
+    return np.array([r["center"] for r in rows]), spark.read.parquet(f"{path}/lists")
+
 
-    q, b = (x.select(F.col(id_col).alias("id"), array_to_vector(vec).alias("mv")) for x in (queries, bank))
-    model = BucketedRandomProjectionLSH(inputCol="mv", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(b)
-    pairs = model.approxSimilarityJoin(q, b, float("inf"), "dist").select(F.col("datasetA.id").alias("id"), F.struct("dist", F.col("datasetB.id").alias("nn_id")).alias("m"))
-    return pairs.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.nn_id", "m.dist")
+def search_cells(queries: DataFrame, centers: np.ndarray, assigned: DataFrame, nprobe: int = 16, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
+    """id, nn_id, dist: nearest rows among those of the ``nprobe`` nearest cells; probing all is exact."""
+    probe = _cells_of(queries.sparkSession, centers)
+    q = queries.withColumn("list_id", F.explode(probe(F.col(vec), F.lit(min(nprobe, len(centers))))))
+    found = nn_by_group(q, assigned, "list_id", id_col, vec, skip_self)
+    return found.groupBy("id").agg(F.min(F.struct("dist", "nn_id")).alias("m")).select("id", "m.nn_id", "m.dist")
+
+
+def ivf_search(queries: DataFrame, bank: DataFrame, nlist: int = 100, nprobe: int = 16, seed: int = 7, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
+    """Approximate nearest neighbour over k-means cells, trained here; see ``save_index`` for keeping them."""
+    centers, assigned = train_cells(bank, nlist, seed, id_col, vec)
+    check_queries(queries, centers.shape[1], vec)
+    return search_cells(queries, centers, assigned, nprobe, id_col, vec, skip_self)
+
+
+def lsh_search(queries: DataFrame, bank: DataFrame, width: float = 4.0, tables: int = 8, seed: int = 7, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
+    """Graph-index substitute: random-projection buckets, exact distances inside; promises recall only. A query
+    that no bucket answers is searched exactly, so none is lost."""
+    _, dim = check_bank(bank, vec)
+    check_queries(queries, dim, vec)
+    spark = queries.sparkSession
+    lines = np.random.default_rng(seed).normal(size=(tables, dim))
+    sent = spark.sparkContext.broadcast(lines / np.linalg.norm(lines, axis=1, keepdims=True))
+
+    @F.pandas_udf("array<string>")
+    def buckets(v: pd.Series) -> pd.Series:
+        at = np.floor(np.stack(v.to_numpy()).astype(float) @ sent.value.T / width).astype(np.int64)
+        return pd.Series([[f"{t}:{b}" for t, b in enumerate(row)] for row in at])
+
+    q, b = (x.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("features")) for x in (queries, bank))
+    dealt = lambda x: x.withColumn("bucket", F.explode(buckets("features")))
+    found = nn_by_group(dealt(q), dealt(b), "bucket", skip_self=skip_self)
+    found = found.groupBy("id").agg(F.min(F.struct("dist", "nn_id")).alias("m")).select("id", "m.nn_id", "m.dist")
+    lost = q.join(found.select(F.col("id").alias("vec_id")), "vec_id", "left_anti")
+    return found.unionByName(nn_exact(lost, b, skip_self=skip_self).select("id", "nn_id", "dist"))
+
+
+def search(
+    queries: DataFrame, bank: DataFrame, algorithm: str = "brute_force", index_path: str | None = None, nlist: int = 100, nprobe: int = 16, skip_self: bool = False
+) -> DataFrame:
+    """id, nn_id, dist by the named algorithm, in any case: brute_force, ivf or hnsw; any other name is brute
+    force. For ivf an index at ``index_path`` is loaded; where there is none it is trained and stored there; where
+    that fails, the search is by brute force."""
+    name = algorithm.lower()
+    if name == "hnsw":
+        return lsh_search(queries, bank, skip_self=skip_self)
+    if name == "ivf":
+        from pyspark.errors import PySparkException
+
+        try:
+            centers, assigned = load_index(queries.sparkSession, index_path) if index_path else train_cells(bank, nlist)
+            return search_cells(queries, centers, assigned, nprobe, skip_self=skip_self)
+        except (PySparkException, ValueError):
+            try:
+                centers, assigned = train_cells(bank, nlist)
+                if index_path:
+                    save_index(index_path, centers, assigned)
+                return search_cells(queries, centers, assigned, nprobe, skip_self=skip_self)
+            except (PySparkException, ValueError):
+                pass
+    return nn_exact(queries, bank, skip_self=skip_self).select("id", "nn_id", "dist")
 
 
 def greedy_coreset(v: np.ndarray, target: int) -> list[int]:
@@ -228,6 +335,29 @@ def _greedy_rounds(rows: DataFrame, want: int) -> list[int]:
     return picked
 
 
+_LOT = 1 << 31
+
+
+def hash_sample(rows: DataFrame, most: int, id_col: str, by: str | None = None) -> DataFrame:
+    """The first ``most`` rows by a hash of the id, of each ``by``. Rows that surely come later, by their hash and the
+    number of rows, are dropped before anything is sorted; where that leaves too few, all are sorted."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(_LOT))
+    keys = [by] if by else []
+    counts = {(r[by] if by else None): r["n"] for r in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()}
+    if not counts:
+        return rows
+    edge = lambda n: int(min(1.0, (most + 8 * most**0.5 + 100) / n) * _LOT)
+    out, large = [], F.lit(False)
+    for key, n in counts.items():  # groups beyond the limit, few
+        own = F.col(by).eqNullSafe(F.lit(key)) if by else F.lit(True)
+        large = large | own
+        likely = rows.filter(own & (place < edge(n)))
+        if likely.count() < most:
+            likely = rows.filter(own)
+        out.append(likely.orderBy(place, id_col).limit(most))
+    return reduce(DataFrame.unionAll, out, rows.filter(~large))
+
+
 def coreset(pool: DataFrame, target: int | float, group: str | None = None, id_col: str = "vec_id", vec: str = "features", most: int | None = None) -> DataFrame:
     """g, step, id: the greedy coreset of each group; target is a count or a fraction of the whole group.
 
@@ -236,8 +366,7 @@ def coreset(pool: DataFrame, target: int | float, group: str | None = None, id_c
     """
     rows = pool.select((F.col(group).cast("string") if group else F.lit("all")).alias("g"), F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
     if most is not None:
-        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
-        rows = rows.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+        rows = hash_sample(rows, most, "id", "g")
 
     def wanted(n: int) -> int:
         return target if isinstance(target, int) else max(1, int(n * target))
@@ -269,6 +398,6 @@ def norm_params(pool: DataFrame, vec: str = "features") -> DataFrame:
 
 def train_bank(pool: DataFrame, fraction: float = 0.1, max_features: int = 100_000, group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(bank rows, normalisation): hash-sample to max_features, greedy coreset, statistics."""
-    capped = pool.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_features)
+    capped = hash_sample(pool, max_features, "vec_id")
     picked = coreset(capped, fraction, group)
     return capped.join(picked.select(F.col("id").alias("vec_id"), "g", "step"), "vec_id"), norm_params(capped)

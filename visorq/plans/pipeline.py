@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, imaging
+from ..operators import detect, imaging, model, patchcore
 
 PROCESSORS: dict[str, Callable[[list[DataFrame], dict], DataFrame]] = {}
 
@@ -69,13 +70,17 @@ def serialize(graph: Graph) -> str:
     return json.dumps({"pipeline": {"name": graph.name, "nodes": [{"id": n.id, "type": n.type, "params": n.params} for n in graph.nodes.values()], "edges": edges}})
 
 
-def compile_graph(graph: Graph, source: DataFrame) -> dict[str, DataFrame]:
-    """Each node's output; nodes without inputs read the source, and any earlier output can be used."""
-    out: dict[str, DataFrame] = {}
+def compile_graph(graph: Graph, source: DataFrame) -> dict[str, DataFrame | None]:
+    """Each node's output; nodes without inputs read the source, and any earlier output can be used.
+
+    A processor that returns None is skipped and counts as done; nodes after it see the outputs that there
+    are, and are skipped where there are none."""
+    out: dict[str, DataFrame | None] = {}
     for layer in graph.layers:
         for name in layer:
             node = graph.nodes[name]
-            out[name] = PROCESSORS[node.type]([out[i] for i in node.inputs] or [source], node.params)
+            inputs = [out[i] for i in node.inputs if out[i] is not None] if node.inputs else [source]
+            out[name] = PROCESSORS[node.type](inputs, node.params) if inputs else None
     return out
 
 
@@ -83,20 +88,47 @@ def execute(graph: Graph, source: DataFrame) -> DataFrame:
     """Union of the exit nodes' outputs with the node's id."""
     out = compile_graph(graph, source)
     used = {i for n in graph.nodes.values() for i in n.inputs}
-    exits = [out[n].withColumn("node_id", F.lit(n)) for n in graph.nodes if n not in used]
+    exits = [out[n].withColumn("node_id", F.lit(n)) for n in graph.nodes if n not in used and out[n] is not None]
+    if not exits:
+        raise ValueError("every exit node was skipped")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), exits)
 
 
 def node_metrics(graph: Graph, source: DataFrame) -> DataFrame:
     """node_id, rows of each node's output."""
-    counts = [d.agg(F.lit(n).alias("node_id"), F.count(F.lit(1)).alias("rows")) for n, d in compile_graph(graph, source).items()]
+    counts = [d.agg(F.lit(n).alias("node_id"), F.count(F.lit(1)).alias("rows")) for n, d in compile_graph(graph, source).items() if d is not None]
     return reduce(DataFrame.unionAll, counts)
 
 
-def result_json(det: DataFrame) -> DataFrame:
-    """One JSON document per frame, detections in id order."""
-    one = F.struct(F.col("det_id").alias("node_id"), "label", F.round("confidence", 4).alias("confidence"), F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), "w", "h").alias("bbox"))
-    return det.groupBy("frame_id").agg(F.to_json(F.struct(F.lit(0).alias("status"), F.sort_array(F.collect_list(one)).alias("detections"))).alias("result"))
+def profile(graph: Graph, source: DataFrame) -> DataFrame:
+    """node_id, status, rows, bytes (of the rows as JSON text) and latency_ms of each node, one after the other, and
+    a row ``total`` with the sum of the latencies."""
+    rows = []
+    for name, frame in compile_graph(graph, source).items():
+        start = time.perf_counter()
+        if frame is None:
+            rows.append((name, "skip", 0, 0, 0.0))
+            continue
+        made = frame.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+        rows.append((name, "ok", made[0], made[1] or 0, 1000 * (time.perf_counter() - start)))
+    rows.append(("total", "ok", 0, 0, sum(r[-1] for r in rows)))
+    return source.sparkSession.createDataFrame(rows, "node_id string, status string, rows long, bytes long, latency_ms double")
+
+
+def result_json(det: DataFrame, timestamp: int = 0, latency_ms: float = 0.0, status: int = 0) -> DataFrame:
+    """One JSON document per frame, detections in id order: timestamp, latency_ms, status, detections with node_id,
+    label, confidence, bbox, and where ``det`` has them measurements (a map) and its anomaly_score."""
+    number = lambda c: F.round(c, 4)
+    fields = [
+        F.col("det_id").cast("string").alias("node_id"), "label", number("confidence").alias("confidence"),
+        F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), "w", "h").alias("bbox"),
+    ]
+    if "measurements" in det.columns:
+        some = F.size("measurements") > 0
+        fields += [F.when(some, F.col("measurements")).alias("measurements"), F.when(some, F.try_element_at("measurements", F.lit("anomaly_score"))).alias("anomaly_score")]
+    listed = F.sort_array(F.collect_list(F.struct(F.col("det_id").alias("k"), F.to_json(F.struct(*fields)).alias("d"))))
+    head = f'{{"timestamp":{int(timestamp)},"latency_ms":{float(latency_ms)},"status":{int(status)},"detections":['
+    return det.groupBy("frame_id").agg(listed.alias("ds")).select("frame_id", F.concat(F.lit(head), F.array_join(F.transform("ds", lambda x: x["d"]), ","), F.lit("]}")).alias("result"))
 
 
 @processor("filter")
@@ -152,3 +184,23 @@ def _fusion(inputs, params):
 @processor("sql")
 def _sql(inputs, params):
     return inputs[0].sparkSession.sql(params["query"], **{f"input{i}": d for i, d in enumerate(inputs)})
+
+
+@processor("model")
+def _model(inputs, params):
+    return model.infer(inputs[0], str(params["model_path"]))
+
+
+@processor("patchcore")
+def _patchcore(inputs, params):
+    """Inputs: pixels, and the bank unless ``memory_bank_path`` names one stored as Parquet."""
+    bank = inputs[1] if len(inputs) > 1 else inputs[0].sparkSession.read.parquet(params["memory_bank_path"])
+    threshold = float(params["anomaly_threshold"]) if "anomaly_threshold" in params else None
+    sidecar = f"{params['memory_bank_path']}.threshold.json" if "memory_bank_path" in params else None
+    return patchcore.patchcore(inputs[0], bank, threshold, sidecar, params=params)
+
+
+@processor("multi_roi")
+def _multi_roi(inputs, params):
+    """Inputs: pixels, ROIs (roi_id, x, y, w, h) and their banks (roi_id, vec_id, features)."""
+    return patchcore.multi_roi(inputs[0], inputs[1], inputs[2], float(params.get("anomaly_threshold", 0.5)), per_image="image_id" in inputs[1].columns)

@@ -17,10 +17,11 @@ _SQL: dict[str, str] = {}
 
 PATCH = """patch AS (SELECT vec_id, vec_id // 16 AS image_id, ((vec_id % 16) // 8)::INT AS layer_idx, ((vec_id % 8) // 4)::INT AS patch_row,
  (vec_id % 4)::INT AS patch_col, embedding::DOUBLE[] AS f, label FROM embeddings),
-bank AS (SELECT * FROM patch WHERE label < 8 AND vec_id % 2 = 0), probe AS (SELECT * FROM patch WHERE vec_id % 2 = 1)"""
+bank AS (SELECT * FROM patch WHERE label < 8), probe AS (SELECT * FROM patch WHERE vec_id % 20 = 0)"""
 DETS = """det AS (SELECT event_id // 20 AS frame_id, event_id AS det_id, event_type AS label, least(value / 330, 1.0) AS confidence,
  ((event_id * 37) % 640)::DOUBLE AS cx, ((event_id * 53) % 640)::DOUBLE AS cy, (40 + (event_id * 7) % 80)::DOUBLE AS w, (40 + (event_id * 11) % 80)::DOUBLE AS h FROM events)"""
-NN = f"""{PATCH}, nn AS (SELECT p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p, bank b GROUP BY 1)"""
+NN = f"""{PATCH}, nn AS (SELECT p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM patch p JOIN bank b ON b.vec_id <> p.vec_id GROUP BY 1)"""
+SEARCH = f"""{PATCH}, nn AS (SELECT p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p JOIN patch b ON b.vec_id <> p.vec_id GROUP BY 1)"""
 SAMPLE = "s AS (SELECT l.doc_id, toxic AS truth, n_chars / 20000.0::DOUBLE AS score FROM labels l JOIN documents d USING (doc_id))"
 PIX = """pix AS (SELECT image_id, r::INT AS row, c::INT AS col, ch::INT AS ch, ((image_id * 7 + r * 13 + c * 29 + ch * 5) % 256)::DOUBLE AS v
  FROM (SELECT s_suppkey AS image_id FROM supplier), range(16) a(r), range(16) b(c), range(3) d(ch))"""
@@ -55,8 +56,13 @@ def oracle_sql() -> dict[str, str]:
 
 # --- vectors
 
-def _nn(spark, sf, k=1):
-    return vectors.nn_exact(T.probes(spark, sf), T.bank(spark, sf), k=k)
+def _nn(spark, sf):
+    """Every patch's nearest bank row, for maps and scores."""
+    return vectors.nn_exact(T.probes(spark, sf), T.bank(spark, sf), skip_self=True)
+
+
+def _searched(spark, sf):
+    return T.search_queries(spark, sf), T.patch_features(spark, sf)
 
 
 @query("l2_distance", f"WITH {PATCH} SELECT a.vec_id, round(list_distance(a.f, b.f), 4) AS dist FROM patch a JOIN patch b ON b.vec_id = a.vec_id + 1")
@@ -66,34 +72,39 @@ def _(spark, sf):
     return p.join(nxt, "vec_id").select("vec_id", r4("dist", G.l2(F.col("features"), F.col("g"))))
 
 
-@query("nn_exact", f"WITH {NN} SELECT id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM nn")
+@query("nn_exact", f"WITH {SEARCH} SELECT id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM nn")
 def _(spark, sf):
-    return _nn(spark, sf).select("id", "nn_id", r4("dist"))
+    return vectors.nn_exact(*_searched(spark, sf), skip_self=True).select("id", "nn_id", r4("dist"))
 
 
-@query("nn_topk", f"WITH {PATCH}, x AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d FROM probe p, bank b) SELECT id, nn_id, rank::INT AS rank, round(d, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS rank FROM x) WHERE rank <= 3")
+@query("nn_topk", f"WITH {PATCH}, x AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d FROM probe p JOIN patch b ON b.vec_id <> p.vec_id) SELECT id, nn_id, rank::INT AS rank, round(d, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS rank FROM x) WHERE rank <= 3")
 def _(spark, sf):
-    return _nn(spark, sf, 3).select("id", "nn_id", "rank", r4("dist"))
+    return vectors.nn_exact(*_searched(spark, sf), k=3, skip_self=True).select("id", "nn_id", "rank", r4("dist"))
 
 
-@query("roi_nn", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p JOIN bank b USING (label) GROUP BY 1, 2) SELECT g, id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM m")
+@query("roi_nn", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p JOIN patch b ON p.label = b.label AND b.vec_id <> p.vec_id GROUP BY 1, 2) SELECT g, id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM m")
 def _(spark, sf):
-    return vectors.nn_by_group(T.probes(spark, sf), T.bank(spark, sf), "label").select("g", "id", "nn_id", r4("dist"))
+    return vectors.nn_by_group(*_searched(spark, sf), "label", skip_self=True).select("g", "id", "nn_id", r4("dist"))
 
 
 @query("ivf_search_full_probe", _SQL["nn_exact"])
 def _(spark, sf):
-    return vectors.ivf_search(T.probes(spark, sf), T.bank(spark, sf), nlist=8, nprobe=8).select("id", "nn_id", r4("dist"))
+    return vectors.ivf_search(*_searched(spark, sf), nlist=8, nprobe=8, skip_self=True).select("id", "nn_id", r4("dist"))
 
 
 @query("ivf_search")
 def _(spark, sf):
-    return vectors.ivf_search(T.probes(spark, sf), T.bank(spark, sf), nlist=16, nprobe=12).select("id", "nn_id", r4("dist"))
+    return vectors.ivf_search(*_searched(spark, sf), nlist=16, nprobe=12, skip_self=True).select("id", "nn_id", r4("dist"))
 
 
 @query("hnsw_substitute")
 def _(spark, sf):
-    return vectors.lsh_search(T.probes(spark, sf), T.bank(spark, sf)).select("id", "nn_id", r4("dist"))
+    return vectors.lsh_search(*_searched(spark, sf), skip_self=True).select("id", "nn_id", r4("dist"))
+
+
+@query("search_dispatch", _SQL["nn_exact"])
+def _(spark, sf):
+    return vectors.search(*_searched(spark, sf), "No_Such_Algorithm", skip_self=True).select("id", "nn_id", r4("dist"))
 
 
 @query("anomaly_score", f"WITH {NN} SELECT id // 16 AS image_id, round(max(m.d), 4) AS score, max(m.d) > 8.0 AS is_anomaly FROM nn GROUP BY 1")
@@ -112,24 +123,38 @@ def _(spark, sf):
     return vectors.norm_params(T.bank(spark, sf)).select("dim", r4("mean"), r4("std"))
 
 
-@query("coreset")
+def _coreset_sql(group: str, want: str, columns: str) -> str:
+    """Farthest points by recursion: a list of squared distances to the nearest chosen row per group."""
+    return f"""WITH RECURSIVE {PATCH}, pool AS (SELECT {group} AS g, list(vec_id ORDER BY vec_id) AS ids, list(f ORDER BY vec_id) AS vs, count(*) AS n FROM bank GROUP BY 1),
+size AS (SELECT *, {want} AS want FROM pool),
+head AS (SELECT g, list_position(q, list_max(q)) AS spot FROM (SELECT g, list_transform(vs, lambda v: list_inner_product(v, v)) AS q FROM size)),
+pick AS (SELECT g, 0 AS step, spot, list_transform(range(1, n + 1), lambda i: CASE WHEN i = spot THEN -1.0 ELSE pow(list_distance(vs[i], vs[spot]), 2) END) AS near FROM size JOIN head USING (g)
+ UNION ALL SELECT g, step + 1, nxt, list_transform(range(1, n + 1), lambda i: CASE WHEN i = nxt THEN -1.0 ELSE least(near[i], pow(list_distance(vs[i], vs[nxt]), 2)) END)
+ FROM (SELECT pick.g, step, near, ids, vs, n, list_position(near, list_max(near)) AS nxt FROM pick JOIN size USING (g) WHERE step + 1 < least(want, n)))
+SELECT {columns} FROM pick JOIN size USING (g)"""
+
+
+_PICKED = "g::VARCHAR AS g, step::INT AS step, ids[spot] AS id"
+
+
+@query("coreset", _coreset_sql("'all'", "32", _PICKED))
 def _(spark, sf):
-    return vectors.coreset(T.normal(spark, sf), 32)
+    return vectors.coreset(T.bank(spark, sf), 32)
 
 
-@query("coreset_per_roi")
+@query("coreset_per_roi", _coreset_sql("label", "greatest(1, floor(n * 0.25))::BIGINT", _PICKED))
 def _(spark, sf):
-    return vectors.coreset(T.normal(spark, sf), 0.25, "label")
+    return vectors.coreset(T.bank(spark, sf), 0.25, "label")
 
 
-@query("fast_sample")
+@query("fast_sample", _coreset_sql("'all'", "16", _PICKED))
 def _(spark, sf):
-    return vectors.coreset(T.normal(spark, sf), 16, most=20_000)
+    return vectors.coreset(T.bank(spark, sf), 16, most=20_000)
 
 
-@query("train_bank")
+@query("train_bank", _coreset_sql("'all'", "greatest(1, floor(n * 0.1))::BIGINT", "ids[spot] AS vec_id, step::INT AS step"))
 def _(spark, sf):
-    return vectors.train_bank(T.normal(spark, sf), 0.1)[0].select("vec_id", "step")
+    return vectors.train_bank(T.bank(spark, sf), 0.1)[0].select("vec_id", "step")
 
 
 @query("thresholds", f"WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score FROM nn")
@@ -205,7 +230,7 @@ def _(spark, sf):
     return imaging.anomaly_map(_cells(spark, sf), 2, 4, 8, 8).select("image_id", "row", "col", imaging.mask(F.col("score"), 4.0).alias("mask"))
 
 
-@query("colorize", f"WITH {_CELL}, l AS (SELECT image_id, layer_idx, row, col, floor(greatest(0.0, least(1.0, score / 12.0)) * 255)::INT AS level FROM cell) SELECT *, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 1))))::INT AS blue, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 2))))::INT AS green, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 3))))::INT AS red FROM l")
+@query("colorize", f"WITH {_CELL}, l AS (SELECT image_id, layer_idx, row, col, round_even(greatest(0.0, least(1.0, score / 12.0)) * 255, 0)::INT AS level FROM cell) SELECT *, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 1))))::INT AS blue, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 2))))::INT AS green, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 3))))::INT AS red FROM l")
 def _(spark, sf):
     return imaging.colorize(_cells(spark, sf), 12.0).drop("score")
 
@@ -244,7 +269,7 @@ def _(spark, sf):
 
 @query("flip_pixels", f"WITH {PIX} SELECT image_id, row, 15 - col AS col, ch, v FROM pix")
 def _(spark, sf):
-    return T.pixels(spark, sf).withColumn("col", 15 - F.col("col"))
+    return imaging.flip(T.pixels(spark, sf), 16)
 
 
 def _sizes(spark, sf):
@@ -357,10 +382,34 @@ def _(spark, sf):
     return p.groupBy("label").agg(r4("loss", F.avg(G.bce_with_logits(F.get("features", F.lit(0)), F.col("label") % 2))))
 
 
-@query("total_loss", f"WITH {PATCH} SELECT vec_id, round(7.5 * abs(f[1]) + 0.5 * abs(f[2]) + 1.5 * abs(f[3]), 4) AS loss FROM patch")
+_ASSIGNED = f"""{PATCH}, c AS (SELECT vec_id, f, f[1:3] AS cls, 20 AS grid, (vec_id % 20 + 0.5) / 20 AS gx, (vec_id // 20 % 20 + 0.5) / 20 AS gy, (vec_id % 3)::INT AS target FROM patch),
+a AS (SELECT *, gx - 0.02 - vec_id % 7 * 0.03 AS x1, gy - 0.04 - vec_id % 5 * 0.02 AS y1, gx + 0.05 + vec_id % 4 * 0.03 AS x2, gy + 0.01 + vec_id % 6 * 0.04 AS y2 FROM c)"""
+
+
+def _loss_sql() -> str:
+    far = [_EXPECT.format(a=16 * i + 1, b=16 * i + 16) for i in range(4)]
+    reach = ["(gx - x1) * grid", "(gy - y1) * grid", "(x2 - gx) * grid", "(y2 - gy) * grid"]
+    dfl = " + ".join(
+        f"(ln(list_sum(list_transform(f[{16 * i + 1}:{16 * i + 16}], lambda x: exp(x - list_max(f[{16 * i + 1}:{16 * i + 16}]))))) + list_max(f[{16 * i + 1}:{16 * i + 16}]) - f[{16 * i + 1} + floor(t{i})::INT]) * (floor(t{i}) + 1 - t{i})"
+        f" + (ln(list_sum(list_transform(f[{16 * i + 1}:{16 * i + 16}], lambda x: exp(x - list_max(f[{16 * i + 1}:{16 * i + 16}]))))) + list_max(f[{16 * i + 1}:{16 * i + 16}]) - f[{16 * i + 1} + least(floor(t{i})::INT + 1, 15)]) * (t{i} - floor(t{i}))"
+        for i in range(4)
+    )
+    bce = " + ".join(f"greatest(cls[{i + 1}], 0) - cls[{i + 1}] * (target = {i})::INT + ln(1 + exp(-abs(cls[{i + 1}])))" for i in range(3))
+    return f"""WITH {_ASSIGNED}, d AS (SELECT *, gx - {far[0]} / grid AS ax1, gy - {far[1]} / grid AS ay1, gx + {far[2]} / grid AS ax2, gy + {far[3]} / grid AS ay2, {", ".join(f"greatest(0.0, least(15.0, {r})) AS t{i}" for i, r in enumerate(reach))} FROM a),
+i AS (SELECT *, greatest(0.0, least(ax2, x2) - greatest(ax1, x1)) * greatest(0.0, least(ay2, y2) - greatest(ay1, y1)) AS inter, (ax2 - ax1) * (ay2 - ay1) AS aa, (x2 - x1) * (y2 - y1) AS ab FROM d),
+q AS (SELECT *, inter / (aa + ab - inter + 1e-7) AS iou, pow(greatest(ax2, x2) - least(ax1, x1), 2) + pow(greatest(ay2, y2) - least(ay1, y1), 2) + 1e-7 AS c2, pow((ax1 + ax2 - x1 - x2) / 2, 2) + pow((ay1 + ay2 - y1 - y2) / 2, 2) AS rho, 4 / pow(pi(), 2) * pow(atan((x2 - x1) / (y2 - y1 + 1e-7)) - atan((ax2 - ax1) / (ay2 - ay1 + 1e-7)), 2) AS v FROM i),
+m AS (SELECT avg(1 - iou + rho / c2 + v * v / (1 - iou + v + 1e-7)) AS box, avg(({dfl}) / 4) AS dfl, avg(({bce}) / 3) AS cls FROM q)
+SELECT round(box, 5) AS box, round(dfl, 5) AS dfl, round(cls, 5) AS cls, round(7.5 * box + 0.5 * cls + 1.5 * dfl, 5) AS total FROM m"""
+
+
+@query("total_loss", _loss_sql())
 def _(spark, sf):
-    g = lambda i: F.abs(F.get("features", F.lit(i)))
-    return T.patch_features(spark, sf).select("vec_id", r4("loss", detect.total_loss(g(0), g(1), g(2))))
+    v = F.col("vec_id")
+    rows = T.patch_features(spark, sf).select(
+        v, F.col("features").alias("reg"), F.slice("features", 1, 3).alias("cls"), F.lit(20).alias("grid"), ((v % 20 + 0.5) / 20).alias("gx"), ((F.floor(v / 20) % 20 + 0.5) / 20).alias("gy"), (v % 3).cast("int").alias("target")
+    ).withColumns({"x1": F.expr("gx - 0.02D - vec_id % 7 * 0.03D"), "y1": F.expr("gy - 0.04D - vec_id % 5 * 0.02D"), "x2": F.expr("gx + 0.05D + vec_id % 4 * 0.03D"), "y2": F.expr("gy + 0.01D + vec_id % 6 * 0.04D")})
+    out = detect.detection_loss(rows)
+    return out.select(*[F.round(c, 5).alias(c) for c in ("box", "dfl", "cls", "total")])
 
 
 @query("letterbox_params", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, round(w * scale)::INT AS new_w, round(h * scale)::INT AS new_h FROM s) SELECT image_id, round(scale, 6) AS scale, new_w, new_h, floor((640 - new_w) / 2.0)::INT AS pad_x, floor((640 - new_h) / 2.0)::INT AS pad_y FROM n")
@@ -369,10 +418,12 @@ def _(spark, sf):
     return _sizes(spark, sf).select("image_id", F.round(p["scale"], 6).alias("scale"), *[p[k].alias(k) for k in ("new_w", "new_h", "pad_x", "pad_y")])
 
 
-@query("train_letterbox_boxes", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, floor((640 - trunc(w * scale)) / 2.0) AS px FROM s) SELECT image_id, round((0.25 * w * scale + px) / 640, 4) AS cx FROM n")
+@query("train_letterbox_boxes", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, floor((640 - trunc(w * scale)) / 2.0) AS px, floor((640 - trunc(h * scale)) / 2.0) AS py, (image_id % 9 + 1) / 10.0::DOUBLE AS u, (image_id % 7 + 2) / 10.0::DOUBLE AS t FROM s) SELECT image_id, round((u * w * scale + px) / 640, 4) AS cx, round((t * h * scale + py) / 640, 4) AS cy, round(0.2 * w * scale / 640, 4) AS bw, round(0.1 * h * scale / 640, 4) AS bh FROM n")
 def _(spark, sf):
     p = G.letterbox(F.col("w").cast("double"), F.col("h").cast("double"), train=True)
-    return _sizes(spark, sf).select("image_id", r4("cx", (0.25 * F.col("w") * p["scale"] + p["pad_x"]) / 640))
+    sized = _sizes(spark, sf).withColumns({"u": (F.col("image_id") % 9 + 1) / 10.0, "t": (F.col("image_id") % 7 + 2) / 10.0})
+    box = G.letterbox_box((F.col("u"), F.col("t"), F.lit(0.2), F.lit(0.1)), F.col("w"), F.col("h"), p)
+    return sized.select("image_id", *[r4(n, c) for n, c in zip(("cx", "cy", "bw", "bh"), box, strict=True)])
 
 
 @query("inverse_letterbox", f"WITH {DETS} SELECT det_id, round((cx - 12) / 0.75, 4) AS cx, round((cy - 20) / 0.75, 4) AS cy, round(w / 0.75, 4) AS w, round(h / 0.75, 4) AS h FROM det")
@@ -382,8 +433,7 @@ def _(spark, sf):
 
 @query("flip_boxes", f"WITH {DETS} SELECT det_id, CASE WHEN (det_id * 1103515245 + 12345) % 2147483648 < 1073741824 THEN round(1 - cx / 640, 7) ELSE round(cx / 640, 7) END AS cx FROM det")
 def _(spark, sf):
-    x = F.col("cx") / 640
-    return T.detections(spark, sf).select("det_id", F.when(serving.hash_order("det_id") < 1073741824, F.round(1 - x, 7)).otherwise(F.round(x, 7)).alias("cx"))
+    return serving.flip_boxes(T.detections(spark, sf).withColumn("cx", F.col("cx") / 640), "det_id").select("det_id", F.round("cx", 7).alias("cx"))
 
 
 _FUSE = f"WITH {DETS}, c AS (SELECT frame_id, g AS y, k AS x, ((frame_id * 31 + g * 17 + k * 13) % 100) / 100.0::DOUBLE AS score FROM (SELECT DISTINCT frame_id FROM det), range(5) a(g), range(5) b(k)), b AS (SELECT *, greatest(0, trunc(cx - w / 2)::INT) AS x1, greatest(0, trunc(cy - h / 2)::INT) AS y1, least(639, trunc(cx + w / 2)::INT) AS x2, least(639, trunc(cy + h / 2)::INT) AS y2 FROM det)"
@@ -420,17 +470,78 @@ def _(spark, sf):
     return detect.merge_scores("avg", *_two(spark, sf)).select("key", F.round("score", 7).alias("score"))
 
 
-@query("map50")
+_IOU = "inter / (aa + ab - inter + 1e-6)"
+
+
+def _ap_sql(overlaps: str, extra: str) -> str:
+    """Average precision per label and least overlap: t holds (i, least)."""
+    return f"""WITH {DETS}, tr AS (SELECT frame_id, det_id AS truth_id, label, cx + 4 AS cx, cy, w, h FROM det WHERE det_id % 3 = 0), t AS ({overlaps}),
+p AS (SELECT d.det_id, d.confidence, tr.truth_id, greatest(0.0, least(d.cx + d.w / 2, tr.cx + tr.w / 2) - greatest(d.cx - d.w / 2, tr.cx - tr.w / 2)) * greatest(0.0, least(d.cy + d.h / 2, tr.cy + tr.h / 2) - greatest(d.cy - d.h / 2, tr.cy - tr.h / 2)) AS inter, d.w * d.h AS aa, tr.w * tr.h AS ab FROM det d JOIN tr ON d.frame_id = tr.frame_id AND d.label = tr.label),
+best AS (SELECT i, det_id, max(struct_pack(iou := {_IOU}, k := -truth_id, c := confidence)) AS b FROM p, t WHERE {_IOU} >= least GROUP BY 1, 2),
+hit AS (SELECT i, -b.k AS truth_id, max(struct_pack(c := b.c, k := -det_id)) AS h FROM best GROUP BY 1, 2),
+marked AS (SELECT t.i, d.det_id, d.label, d.confidence, (h.i IS NOT NULL)::INT AS tp FROM det d CROSS JOIN t LEFT JOIN hit h ON h.i = t.i AND -h.h.k = d.det_id),
+ranked AS (SELECT *, sum(tp) OVER w / row_number() OVER w AS prec FROM marked WINDOW w AS (PARTITION BY i, label ORDER BY confidence DESC, det_id ROWS UNBOUNDED PRECEDING)),
+curve AS (SELECT *, max(prec) OVER (PARTITION BY i, label ORDER BY confidence DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM ranked),
+total AS (SELECT label, count(*) AS truths FROM tr GROUP BY 1), area AS (SELECT i, label, sum(top) AS s FROM curve WHERE tp = 1 GROUP BY 1, 2),
+ap AS (SELECT t.i, total.label, truths, coalesce(s, 0) / truths AS ap FROM total CROSS JOIN t LEFT JOIN area ON area.i = t.i AND area.label = total.label) {extra}"""
+
+
+def _truth(d):
+    return d.filter("det_id % 3 = 0").select("frame_id", F.col("det_id").alias("truth_id"), "label", F.expr("cx + 4").alias("cx"), "cy", "w", "h")
+
+
+@query("map50", _ap_sql("SELECT 0 AS i, 0.5::DOUBLE AS least", "SELECT label, round(ap, 4) AS ap FROM ap"))
 def _(spark, sf):
     d = T.detections(spark, sf)
-    truth = d.filter("det_id % 3 = 0").select("frame_id", F.col("det_id").alias("truth_id"), "label", F.expr("cx + 4").alias("cx"), "cy", "w", "h")
-    return detect.average_precision(d, truth).select("label", r4("ap"))
+    return detect.average_precision(d, _truth(d)).select("label", r4("ap"))
+
+
+_SURE = f"""SELECT -b.k AS truth_id, max(struct_pack(c := b.c, k := -det_id)) AS h FROM (SELECT det_id, max(struct_pack(iou := {_IOU}, k := -truth_id, c := confidence)) AS b FROM p WHERE {_IOU} >= 0.5 AND confidence >= 0.25 GROUP BY 1) GROUP BY 1"""
+
+
+@query("detection_metrics", _ap_sql("SELECT i, 0.5 + 0.05 * i::DOUBLE AS least FROM range(10) r(i)", f""", sure AS ({_SURE}),
+c AS (SELECT d.label, count(*) AS found, sum((sure.truth_id IS NOT NULL)::INT) AS hits FROM det d LEFT JOIN sure ON -sure.h.k = d.det_id WHERE confidence >= 0.25 GROUP BY 1)
+SELECT ap.label, round(max(CASE WHEN i = 0 THEN ap END), 4) AS map50, round(avg(ap), 4) AS map50_95, round(coalesce(any_value(hits) / any_value(found), 0), 4) AS precision, round(coalesce(any_value(hits) / any_value(truths), 0), 4) AS recall
+FROM ap LEFT JOIN c ON c.label = ap.label GROUP BY ap.label"""))
+def _(spark, sf):
+    d = T.detections(spark, sf)
+    out = detect.detection_metrics(d, _truth(d))
+    return out.select("label", *[r4(c) for c in ("map50", "map50_95", "precision", "recall")])
+
+
+@query("label_text", f"WITH {DETS} SELECT det_id, label || ': ' || trunc(confidence * 100)::INT || '%' || CASE WHEN det_id % 2 = 0 THEN ' score:' || trunc((det_id % 90) / 60.0::DOUBLE * 100)::INT || '%' ELSE '' END AS text, label || ': ' || CASE WHEN confidence > 0.5 THEN 'NG ' ELSE 'OK ' END || trunc(confidence * 100)::INT || '%' AS roi FROM det")
+def _(spark, sf):
+    score = F.when(F.col("det_id") % 2 == 0, (F.col("det_id") % 90) / 60.0)
+    c = F.col("confidence")
+    return T.detections(spark, sf).select("det_id", detect.label_text(F.col("label"), c, score).alias("text"), detect.roi_text(F.col("label"), c, c > 0.5).alias("roi"))
+
+
+@query("roi_map", f"WITH {DETS} SELECT frame_id, count(*) AS n, round(max(confidence) FILTER (label = 'view'), 4) AS view_score, 7.0::DOUBLE AS added FROM (SELECT DISTINCT frame_id, label, max(confidence) OVER (PARTITION BY frame_id, label) AS confidence FROM det) GROUP BY 1")
+def _(spark, sf):
+    per = T.detections(spark, sf).groupBy("frame_id", "label").agg(F.max("confidence").alias("c"))
+    maps = per.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("m"))
+    put = maps.withColumn("m2", F.map_concat("m", F.create_map(F.lit("added"), F.lit(7.0))))
+    return put.select("frame_id", F.size("m").cast("long").alias("n"), r4("view_score", F.try_element_at("m", F.lit("view"))), F.element_at("m2", "added").alias("added"))
+
+
+@query("text_functions", "SELECT event_id, 'frame_' || lpad(event_id::VARCHAR, greatest(4, length(event_id::VARCHAR))::INT, '0') || '.png' AS name, len(string_split('layer2,' || event_type || ',', ','))::INT AS parts, upper(event_type) = 'CLICK' AS click FROM events")
+def _(spark, sf):
+    e = T.table(spark, sf, "events")
+    return e.select("event_id", F.format_string("frame_%04d.png", "event_id").alias("name"), F.size(F.split(F.concat(F.lit("layer2,"), "event_type", F.lit(",")), ",")).alias("parts"), (F.lower("event_type") == "click").alias("click"))
+
+
+@query("tensor_valid", "SELECT vec_id, vec_id % 3 <> 0 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS ok FROM embeddings")
+def _(spark, sf):
+    v = F.col("vec_id")
+    shape = F.when(v % 3 == 0, F.array(F.lit(1), F.lit(64))).otherwise(F.array(F.when(v % 5 == 0, 2).otherwise(1), F.lit(64), F.lit(1), F.lit(1)))
+    rows = T.patch_features(spark, sf).select("vec_id", shape.alias("shape"), F.when(v % 7 != 0, F.col("features")).alias("data"))
+    return rows.select("vec_id", detect.tensor_valid().alias("ok"))
 
 
 # --- datasets and training
 
 def _lines(spark, sf):
-    return T.table(spark, sf, "events").selectExpr("event_id", "concat_ws(' ', if(event_id % 11 = 0, 'x', string(event_id % 5)), (event_id % 13) / 10.0, 0.5, (event_id % 7 - 1) / 10.0, 0.25) as value")
+    return T.table(spark, sf, "events").selectExpr("event_id", "concat_ws(' ', if(event_id % 11 = 0, 'x', if(event_id % 2 = 0, concat(event_id % 5, '.0'), string(event_id % 5))), (event_id % 13) / 10.0, 0.5, (event_id % 7 - 1) / 10.0, 0.25) as value")
 
 
 @query("label_parse", "SELECT event_id, (event_id % 5)::INT AS cls, round((event_id % 13) / 10.0, 4)::DOUBLE AS cx, round((event_id % 7 - 1) / 10.0, 4)::DOUBLE AS w FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <= 10 AND event_id % 7 > 1")
@@ -452,15 +563,30 @@ def _(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", "lang").join(T.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
+@query("stem_join", "SELECT d.doc_id, 'img/' || d.doc_id || '.x.png' AS path, quality FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 4 <> 0")
+def _(spark, sf):
+    from ..sources.files import stem
+
+    images = T.table(spark, sf, "documents").select(F.concat(F.lit("img/"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, ".y.png").otherwise(".x.png")).alias("path"), "doc_id")
+    texts = T.table(spark, sf, "labels").select(F.concat(F.lit("lab/sub/"), F.col("doc_id"), F.lit(".x.txt")).alias("file"), "quality")
+    both = images.withColumn("stem", stem(F.col("path"))).join(texts.withColumn("stem", stem(F.col("file"))), "stem")
+    return both.select("doc_id", "path", "quality")
+
+
 @query("roi_lookup_miss", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id").join(T.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("batch_assign", "SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+@query("batch_assign", "SELECT event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+def _(spark, sf):
+    return serving.assign_batches(T.table(spark, sf, "events").select("event_id"), "event_id", 16).select("event_id", "pos", "batch")
+
+
+@query("batch_assign_by_group", "SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
 def _(spark, sf):
     e = T.table(spark, sf, "events").select("event_type", "event_id")
-    return serving.assign_batches(e, "event_id", 16, "event_type").select("shard", "event_id", F.col("pos").cast("long").alias("pos"), "batch")
+    return serving.assign_batches(e, "event_id", 16, "event_type").select("shard", "event_id", "pos", "batch")
 
 
 @query("shuffle_limit", "SELECT event_id FROM events ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id LIMIT 100")
@@ -476,23 +602,36 @@ def _(spark, sf):
 
 def _boxed(spark, sf):
     box = F.struct(F.lit(1).alias("cls"), (F.col("cx") / 640).alias("cx"), (F.col("cy") / 640).alias("cy"), (F.col("w") / 640).alias("w"), (F.col("h") / 640).alias("h"))
-    return T.detections(spark, sf).select(F.col("det_id").alias("idx"), F.array(box).alias("boxes"))
+    return T.detections(spark, sf).select(F.col("det_id").alias("idx"), F.expr("int(320 + det_id % 400)").alias("w"), F.expr("int(240 + det_id * 7 % 500)").alias("h"), F.array(box).alias("boxes"))
+
 
+_CHANCE = "((({0}) * 1103515245 + 12345 + {1} * 7919) % 2147483648) / 2147483648.0::DOUBLE"
+_MOSAIC = f"""WITH {DETS}, b AS (SELECT det_id // 4 AS mosaic, det_id AS idx, det_id % 4 AS q, (320 + det_id % 400)::INT AS w, (240 + det_id * 7 % 500)::INT AS h, cx / 640 AS bx, cy / 640 AS byy, w / 640 AS bw, h / 640 AS bh FROM det),
+m AS (SELECT *, count(*) OVER (PARTITION BY mosaic) AS members, min(idx) OVER (PARTITION BY mosaic) AS head, floor(213 + {_CHANCE.format("mosaic", 1)} * 214)::INT AS px, floor(213 + {_CHANCE.format("mosaic", 2)} * 214)::INT AS py, floor(w * (0.5 + {_CHANCE.format("idx", 3)}))::INT AS nw, floor(h * (0.5 + {_CHANCE.format("idx", 3)}))::INT AS nh FROM b),
+o AS (SELECT *, nw / w::DOUBLE AS s, CASE WHEN q % 2 = 0 THEN px - nw ELSE px END AS x0, CASE WHEN q < 2 THEN py - nh ELSE py END AS y0 FROM m),
+e AS (SELECT *, greatest(0, x0) AS x1, greatest(0, y0) AS y1, least(640, x0 + nw) AS x2, least(640, y0 + nh) AS y2 FROM o),
+c AS (SELECT *, greatest(0.0, bx * w * s + x0 - bw * w * s / 2) AS l, greatest(0.0, byy * h * s + y0 - bh * h * s / 2) AS t, least(640.0, bx * w * s + x0 + bw * w * s / 2) AS r, least(640.0, byy * h * s + y0 + bh * h * s / 2) AS u FROM e WHERE members = 4 AND x2 > x1 AND y2 > y1)
+SELECT mosaic, idx, round((l + r) / 2 / 640, 4) AS cx, round((t + u) / 2 / 640, 4) AS cy, round((r - l) / 640, 4) AS w, round((u - t) / 640, 4) AS h, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM c WHERE r > l AND u > t
+UNION ALL SELECT mosaic, idx, round(bx, 4), round(byy, 4), round(bw, 4), round(bh, 4), 0, 0, w, h FROM m WHERE members < 4 AND idx = head"""
 
-@query("mosaic_boxes", f"WITH {DETS} SELECT det_id // 4 AS mosaic, det_id AS idx, round((cx / 640 + det_id % 2) / 2, 4) AS cx, round((cy / 640 + (det_id % 4) // 2) / 2, 4) AS cy FROM det")
+
+@query("mosaic_boxes", _MOSAIC)
 def _(spark, sf):
-    return serving.mosaic_boxes(_boxed(spark, sf)).select("mosaic", "idx", r4("cx"), r4("cy"))
+    return serving.mosaic_boxes(_boxed(spark, sf)).select("mosaic", "idx", *[r4(c) for c in ("cx", "cy", "w", "h")], "x1", "y1", "x2", "y2")
 
 
-@query("collate", f"WITH {DETS} SELECT det_id // 8 AS batch, det_id % 8 AS batch_idx, 1 AS cls, round(cx / 640, 4) AS cx FROM det")
+@query("collate", f"WITH {DETS} SELECT det_id // 8 AS batch, det_id % 8 AS batch_idx, 1 AS cls, round(cx / 640, 4) AS cx, round(cy / 640, 4) AS cy, round(w / 640, 4) AS w, round(h / 640, 4) AS h FROM det")
 def _(spark, sf):
-    return serving.collate_targets(_boxed(spark, sf), 8).select("batch", "batch_idx", "cls", r4("cx"))
+    return serving.collate_targets(_boxed(spark, sf), 8).select("batch", "batch_idx", "cls", *[r4(c) for c in ("cx", "cy", "w", "h")])
 
 
-@query("early_stop", "SELECT 1 AS run, 4 AS stop_epoch, 0.5::DOUBLE AS best")
+@query("early_stop", """WITH RECURSIVE s AS (SELECT user_id AS run, event_id AS e, value AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT run, n, m AS best, 0 AS bad, NULL::BIGINT AS stop FROM s WHERE n = 1
+ UNION ALL SELECT f.run, s.n, CASE WHEN s.m > f.best + 5 THEN s.m ELSE f.best END, CASE WHEN s.m > f.best + 5 THEN 0 ELSE f.bad + 1 END, coalesce(f.stop, CASE WHEN s.m <= f.best + 5 AND f.bad + 1 > 3 THEN s.e END) FROM f JOIN s ON s.run = f.run AND s.n = f.n + 1)
+SELECT run, arg_max(stop, n)::INT AS stop_epoch, round(arg_max(best, n), 4) AS best FROM f GROUP BY run""")
 def _(spark, sf):
-    rows = spark.createDataFrame([(1, i, m) for i, m in enumerate([0.5, 0.45, 0.44, 0.43, 0.42], 0)], "run int, epoch int, metric double")
-    return serving.early_stopping(rows, "run", "epoch", "metric", 3)
+    out = serving.early_stopping(T.table(spark, sf, "events"), "user_id", "event_id", "value", 3, 5.0)
+    return out.select("run", "stop_epoch", r4("best"))
 
 
 @query("lr_warmup", "SELECT i AS epoch, round(CASE WHEN i < 3 THEN 0.01 * greatest(0.01, i / 3.0::DOUBLE) ELSE 0.01 * pow(0.5, i // 100) END, 6) AS lr FROM range(300) t(i)")
@@ -524,11 +663,12 @@ def _(spark, sf):
     return serving.round_robin(T.table(spark, sf, "events").select("event_type", "event_id"), "event_id", 3, "event_type")
 
 
-@query("device_rule", "SELECT i AS id, CASE WHEN i % 5 = 0 THEN 'cpu' WHEN i % 2 = 0 THEN CASE WHEN i % 3 <> 1 THEN 'gpu' ELSE 'cpu' END ELSE CASE WHEN i % 3 = 1 OR (i % 3 = 2 AND i * 1000 >= 9216) THEN 'gpu' ELSE 'cpu' END END AS device FROM range(60) t(i)")
+@query("device_rule", "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'cpu' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 <> 1 THEN 'gpu' ELSE 'cpu' END ELSE CASE WHEN event_id % 3 = 1 OR (event_id % 3 = 2 AND value * 100 >= 9216) THEN 'gpu' ELSE 'cpu' END END AS device FROM events")
 def _(spark, sf):
-    i = F.col("id")
+    i = F.col("event_id")
     mode = F.when(i % 3 == 1, "training").when(i % 3 == 2, "balanced").otherwise("inference")
-    return spark.range(60).select("id", serving.device_for(F.when(i % 2 == 0, "inference").otherwise("training"), mode, i % 5 != 0, i * 1000).alias("device"))
+    device = serving.device_for(F.when(i % 2 == 0, "inference").otherwise("training"), mode, i % 5 != 0, F.col("value") * 100)
+    return T.table(spark, sf, "events").select(i.alias("id"), device.alias("device"))
 
 
 GRAPH = """{"pipeline": {"name": "demo", "nodes": [
@@ -553,14 +693,24 @@ def _(spark, sf):
     return P.node_metrics(P.parse(GRAPH), T.detections(spark, sf))
 
 
-@query("result_json")
+@query("result_json", f"""WITH {DETS}, d AS (SELECT *, round(confidence, 4) AS c FROM det WHERE det_id % 20 < 6)
+SELECT frame_id, json_extract(j, '$.status')::INT AS status, json_extract(j, '$.timestamp')::INT AS timestamp, json_array_length(j, '$.detections')::INT AS n, json_extract_string(j, '$.detections[0].node_id') AS first, round(json_extract(j, '$.detections[0].bbox.x')::DOUBLE, 3) AS x, round(json_extract(j, '$.detections[1].anomaly_score')::DOUBLE, 3) AS score
+FROM (SELECT frame_id, json_object('timestamp', 7, 'latency_ms', 1.5, 'status', 0, 'detections', list(json_object('node_id', det_id::VARCHAR, 'label', label, 'confidence', c, 'bbox', json_object('x', cx, 'y', cy, 'w', w, 'h', h), 'anomaly_score', CASE WHEN det_id % 2 = 1 THEN (det_id % 10) / 8.0::DOUBLE END) ORDER BY det_id)) AS j FROM d GROUP BY frame_id)""")
 def _(spark, sf):
-    return P.result_json(detect.nms(T.detections(spark, sf), 0.2, 0.2))
+    d = T.detections(spark, sf).filter("det_id % 20 < 6")
+    scored = d.withColumn("measurements", F.when(F.col("det_id") % 2 == 1, F.create_map(F.lit("anomaly_score"), (F.col("det_id") % 10) / 8.0)).otherwise(F.create_map().cast("map<string,double>")))
+    at = lambda path: F.get_json_object("result", path)
+    out = P.result_json(scored, 7, 1.5)
+    return out.select(
+        "frame_id", at("$.status").cast("int").alias("status"), at("$.timestamp").cast("int").alias("timestamp"),
+        F.size(F.from_json(at("$.detections"), "array<struct<node_id:string>>")).alias("n"), at("$.detections[0].node_id").alias("first"),
+        F.round(at("$.detections[0].bbox.x").cast("double"), 3).alias("x"), F.round(at("$.detections[1].anomaly_score").cast("double"), 3).alias("score"),
+    )
 
 
-@query("multi_roi", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(list_distance(p.f, b.f)) AS d FROM probe p JOIN bank b USING (label) GROUP BY 1, 2), r AS (SELECT id // 16 AS image_id, g, max(d) AS s FROM m GROUP BY 1, 2) SELECT image_id, count(*) AS rois, round(max(s), 4) AS worst, bool_or(s > 8.5) AS any_anomaly FROM r GROUP BY 1")
+@query("multi_roi", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(list_distance(p.f, b.f)) AS d FROM patch p JOIN bank b ON p.label = b.label AND b.vec_id <> p.vec_id GROUP BY 1, 2), r AS (SELECT id // 16 AS image_id, g, max(d) AS s FROM m GROUP BY 1, 2) SELECT image_id, count(*) AS rois, round(max(s), 4) AS worst, bool_or(s > 8.5) AS any_anomaly FROM r GROUP BY 1")
 def _(spark, sf):
-    nn = vectors.nn_by_group(T.probes(spark, sf), T.bank(spark, sf), "label")
+    nn = vectors.nn_by_group(T.probes(spark, sf), T.bank(spark, sf), "label", skip_self=True)
     per = nn.groupBy(F.expr("id div 16").alias("image_id"), "g").agg(F.max("dist").alias("s"))
     return per.groupBy("image_id").agg(F.count(F.lit(1)).alias("rois"), r4("worst", F.max("s")), F.bool_or(F.col("s") > 8.5).alias("any_anomaly"))
 
@@ -569,3 +719,98 @@ def _(spark, sf):
 def _(spark, sf):
     e = T.table(spark, sf, "events")
     return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("requests"))
+
+
+# --- inspection nodes
+
+_NORMAL = "normal AS (SELECT s_suppkey AS image_id FROM supplier WHERE s_nationkey < 3 OR s_suppkey <= 3)"
+
+
+def _cells_sql(source: str, size: str, h: int, w: int, keys: str) -> str:
+    """Mean of each channel on grids of 4 and 2 cells a side, as one vector per cell."""
+    means = f"SELECT {keys}, g.l AS layer, row * g.n // {h} AS pr, col * g.n // {w} AS pc, ch, avg(v) AS m FROM {source}, (VALUES (0, 4), (1, 2)) g(l, n) {size} GROUP BY ALL"
+    return f"SELECT {keys}, layer, pr, pc, list(m ORDER BY ch) AS f FROM ({means}) GROUP BY ALL"
+
+
+def _node_sql() -> str:
+    """Tiles of 8 with an overlap of 2 on an image of 16, on all three scales: four views of 10, 7 and 5 pixels."""
+    ctes = [PIX, _NORMAL, taps("y75", 16, 12), taps("y50", 16, 8)]
+    for name, n in (("p75", "y75"), ("p50", "y50")):
+        ctes.append(f"{name} AS (SELECT image_id, ch, a.o AS row, b.o AS col, sum(v * a.w * b.w) AS v FROM pix JOIN {n} a ON a.i = row JOIN {n} b ON b.i = col GROUP BY 1, 2, 3, 4)")
+    ctes.append(f"bank AS (SELECT * FROM ({_cells_sql('pix JOIN normal USING (image_id)', '', 16, 16, 'image_id')}))")
+    maps = []
+    for name, source, side, offs in (("a", "pix", 10, (0, 6)), ("b", "p75", 7, (0, 4)), ("c", "p50", 5, (0, 3))):
+        views = ", ".join(f"({i}, {offs[i // 2]}, {offs[i % 2]})" for i in range(4))
+        ctes.append(f"v{name} AS (SELECT image_id, k, row - y AS row, col - x AS col, ch, v FROM {source} JOIN (VALUES {views}) t(k, y, x) ON row BETWEEN y AND y + {side - 1} AND col BETWEEN x AND x + {side - 1})")
+        ctes.append(f"f{name} AS ({_cells_sql(f'v{name}', '', side, side, 'image_id, k')})")
+        ctes.append(f"d{name} AS (SELECT f.image_id, k, f.layer, f.pr, f.pc, min(list_distance(f.f, b.f)) AS score FROM f{name} f, bank b GROUP BY ALL)")
+        ctes += [taps(f"u{name}4", 4, side), taps(f"u{name}2", 2, side)]
+        each = " UNION ALL ".join(
+            f"SELECT image_id, k, a.o AS row, b.o AS col, sum(score * a.w * b.w) AS score FROM d{name} JOIN u{name}{g} a ON a.i = pr JOIN u{name}{g} b ON b.i = pc WHERE layer = {layer} GROUP BY 1, 2, 3, 4"
+            for layer, g in ((0, 4), (1, 2))
+        )
+        ctes.append(f"m{name} AS (SELECT image_id, k, row, col, greatest(0.0, max(score)) AS score FROM ({each}) GROUP BY ALL)")
+        if side != 10:
+            ctes.append(taps(f"g{name}", side, 10))
+            ctes.append(f"r{name} AS (SELECT image_id, k, a.o AS row, b.o AS col, sum(score * a.w * b.w) AS score FROM m{name} JOIN g{name} a ON a.i = row JOIN g{name} b ON b.i = col GROUP BY 1, 2, 3, 4)")
+        maps.append(f"SELECT * FROM {'m' if side == 10 else 'r'}{name}")
+    return f"WITH {', '.join(ctes)}, s AS (SELECT image_id, max(score) AS score FROM ({' UNION ALL '.join(maps)}) GROUP BY 1) SELECT image_id, round(score, 4) AS anomaly_score, score > 20.0 AS is_anomaly FROM s"
+
+
+def _normal(spark, sf):
+    return T.table(spark, sf, "supplier").filter("s_nationkey < 3 or s_suppkey <= 3").select(F.col("s_suppkey").alias("image_id"))
+
+
+@query("patchcore_node", _node_sql())
+def _(spark, sf):
+    from ..operators import patchcore
+
+    pix, backbone = T.pixels(spark, sf), patchcore.statistics_backbone()
+    good = pix.join(_normal(spark, sf), "image_id")
+    sizes = patchcore.image_sizes(good)
+    bank = patchcore.extract(good, patchcore.tile_views(sizes), sizes, backbone).select("vec_id", "features")
+    out = patchcore.patchcore(pix, bank, 20.0, backbone=backbone, params={"max_tile_size": "8", "overlap": "2", "multi_scale": "1"})
+    return out.select("image_id", r4("anomaly_score"), "is_anomaly")
+
+
+_ROIS = (("left", 2, 3, 8, 6), ("corner", 6, 6, 10, 10), ("tall", 0, 0, 5, 12), ("outside", 10, 10, 8, 8))
+
+
+def _rois_sql() -> str:
+    ctes, scores = [PIX, _NORMAL], []
+    for name, x, y, w, h in _ROIS[:3]:
+        ctes.append(f"v_{name} AS (SELECT image_id, row - {y} AS row, col - {x} AS col, ch, v FROM pix WHERE row BETWEEN {y} AND {y + h - 1} AND col BETWEEN {x} AND {x + w - 1})")
+        ctes.append(f"f_{name} AS ({_cells_sql(f'v_{name}', '', h, w, 'image_id')})")
+        ctes.append(f"d_{name} AS (SELECT f.image_id, f.layer, f.pr, f.pc, min(list_distance(f.f, b.f)) AS score FROM f_{name} f, f_{name} b JOIN normal USING (image_id) GROUP BY ALL)")
+        ctes += [taps(f"{name}_{a}{g}", g, n) for g in (4, 2) for a, n in (("y", h), ("x", w))]
+        each = " UNION ALL ".join(
+            f"SELECT image_id, a.o AS row, b.o AS col, sum(score * a.w * b.w) AS score FROM d_{name} JOIN {name}_y{g} a ON a.i = pr JOIN {name}_x{g} b ON b.i = pc WHERE layer = {layer} GROUP BY 1, 2, 3" for layer, g in ((0, 4), (1, 2))
+        )
+        scores.append(f"SELECT image_id, '{name}' AS roi_id, greatest(0.0, max(score)) AS score FROM ({each}) GROUP BY 1")
+    return f"WITH {', '.join(ctes)}, s AS ({' UNION ALL '.join(scores)}) SELECT image_id, roi_id, round(score, 4) AS score, score > 12.0 AS is_anomaly, bool_or(score > 12.0) OVER (PARTITION BY image_id) AS any_anomaly FROM s"
+
+
+@query("multi_roi_node", _rois_sql())
+def _(spark, sf):
+    from ..operators import patchcore
+
+    pix, backbone = T.pixels(spark, sf), patchcore.statistics_backbone()
+    rois = spark.createDataFrame(list(_ROIS), "roi_id string, x int, y int, w int, h int")
+    good = pix.join(_normal(spark, sf), "image_id")
+    sizes = patchcore.image_sizes(good)
+    views = patchcore.roi_views(rois.filter("roi_id <> 'outside'"), sizes)
+    banks = patchcore.extract(good, views, sizes, backbone).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"]).select("roi_id", "vec_id", "features")
+    # the ROI outside of the images has some bank as well, else it would be an error
+    banks = banks.unionByName(banks.filter("roi_id = 'left'").withColumn("roi_id", F.lit("outside")))
+    out = patchcore.multi_roi(pix, rois, banks, 12.0, backbone)
+    return out.select("image_id", "roi_id", r4("score"), "is_anomaly", "any_anomaly")
+
+
+@query("threshold_training", f"WITH {NN}, s AS (SELECT id // 16 AS image_id, max(m.d) AS score FROM nn GROUP BY 1) SELECT m.method, round(CASE m.method WHEN 'max_score' THEN max(score) WHEN 'mean_ksigma' THEN avg(score) + 2 * stddev_pop(score) ELSE quantile_disc(score, 0.9) END, 4) AS threshold, count(*) AS num_samples FROM s, (VALUES ('max_score'), ('mean_ksigma'), ('percentile')) m(method) GROUP BY 1")
+def _(spark, sf):
+    from ..operators import patchcore
+
+    scores = _nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.max("dist").alias("score"))
+    made = [patchcore.train_threshold(scores, m, 2.0, 90.0) for m in ("max_score", "mean_ksigma", "percentile")]
+    rows = spark.createDataFrame([(m["method"], m["anomaly_threshold"], m["num_samples"]) for m in made], "method string, t double, num_samples long")
+    return rows.select("method", r4("threshold", F.col("t")), "num_samples")

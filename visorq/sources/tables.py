@@ -20,16 +20,18 @@ def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patch_features(spark, sf_dir).filter("label < 8 and vec_id % 2 = 0")
-
-
-def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All normal patches, what banks are trained from; ``bank`` is the half that the searches' SQL names."""
+    """The normal patches, from which banks are trained."""
     return patch_features(spark, sf_dir).filter("label < 8")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patch_features(spark, sf_dir).filter("vec_id % 2 = 1")
+    """What maps are made for: all patches, each against the bank without itself."""
+    return patch_features(spark, sf_dir)
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches' query set: every row whose id is divisible by 20, against all rows."""
+    return patch_features(spark, sf_dir).filter("vec_id % 20 = 0")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Structured Streaming: micro-batch scoring, event-time windows and a keyed registry state."""
+"""Structured Streaming: micro-batch scoring, event-time windows and a keyed registry state; and an engine of
+concurrent batch requests."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +28,91 @@ def windowed_counts(requests: DataFrame, ts: str, key: str, window: str = "1 day
 
 
 def registry_state(log: DataFrame) -> DataFrame:
-    """Per model: references and last use from a log (name, op: acquire/release, ts) kept as state."""
+    """Per model its version, references and last use, from a log (name, op, ts, and version, null where not given)
+    kept as state.
+
+    op: load and replace (the given version, or one more than the last; a replacement waits until nobody holds
+    the model), acquire and release, touch, unload. Acquiring a model that isn't loaded, and releasing one that
+    nobody holds, count as errors."""
+    strict = "version" in log.columns  # a log without versions tells nothing of loading
+    if not strict:
+        log = log.withColumn("version", F.lit(None).cast("long"))
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        refs, used = state.get if state.exists else (0, 0)
+        version, waiting, refs, used, errors = state.get if state.exists else (0, 0, 0, 0, 0)
         for b in batches:
-            refs = max(0, refs + int((b["op"] == "acquire").sum()) - int((b["op"] == "release").sum()))
-            used = max(used, int(b["ts"].max()))
-        state.update((refs, used))
-        yield pd.DataFrame({"name": [key[0]], "ref_count": [refs], "last_used": [used]})
+            for op, ts, given in b.sort_values("ts", kind="stable")[["op", "ts", "version"]].itertuples(index=False):
+                new = int(given) if pd.notna(given) else max(version, waiting) + 1
+                if op in ("load", "replace") and not refs:
+                    version, waiting = new, 0
+                elif op in ("load", "replace"):
+                    waiting = new
+                elif op == "unload":
+                    version = waiting = refs = 0
+                elif op == "acquire":
+                    errors += strict and not version
+                    refs, used = refs + 1, max(used, int(ts))
+                elif op == "touch":
+                    used = max(used, int(ts))
+                elif op == "release":
+                    errors += not refs
+                    refs, used = max(0, refs - 1), max(used, int(ts))
+                    if not refs and waiting:
+                        version, waiting = waiting, 0
+        state.update((version, waiting, refs, used, errors))
+        yield pd.DataFrame({"name": [key[0]], "ref_count": [refs], "last_used": [used], "version": [version], "waiting": [waiting], "errors": [errors]})
+
+    fields = "version long, waiting long, ref_count long, last_used long, errors long"
+    return log.groupBy("name").applyInPandasWithState(update, "name string, ref_count long, last_used long, version long, waiting long, errors long", fields, "update", "NoTimeout")
+
+
+class Engine:
+    """Scoring functions by name, run beside each other as Spark jobs; the Python face of a model server."""
+
+    def __init__(self, workers: int = 4):
+        self._pool = ThreadPoolExecutor(workers)
+        self._models: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]] = {}
+        self._lock = Lock()
+        self._open = True
+
+    def load(self, name: str, score: Callable[[DataFrame], DataFrame], version: int | None = None) -> int:
+        """Loads or replaces a model; requests that run keep the one they began with."""
+        with self._lock:
+            version = version or self._models.get(name, (0, None))[0] + 1
+            self._models[name] = version, score
+        return version
+
+    def unload(self, name: str) -> None:
+        with self._lock:
+            self._models.pop(name, None)
+
+    def versions(self) -> dict[str, int]:
+        with self._lock:
+            return {n: v for n, (v, _) in self._models.items()}
+
+    def submit(self, name: str, requests: DataFrame, done: Callable[[list], None] | None = None) -> Future:
+        """The rows of the scored requests, later; ``done`` gets them as well. A model that isn't loaded, and an
+        engine that is shut down, are errors of the future."""
+        out: Future = Future()
+        with self._lock:
+            known, is_open = self._models.get(name), self._open
+        if not is_open or known is None:
+            out.set_exception(RuntimeError("the engine is shut down") if not is_open else KeyError(f"model {name} isn't loaded"))
+            return out
+
+        def run() -> list:
+            rows = known[1](requests).collect()
+            if done:
+                done(rows)
+            return rows
+
+        return self._pool.submit(run)
+
+    def infer(self, name: str, requests: DataFrame, timeout: float | None = None) -> list:
+        return self.submit(name, requests).result(timeout)
 
-    return log.groupBy("name").applyInPandasWithState(update, "name string, ref_count long, last_used long", "ref_count long, last_used long", "update", "NoTimeout")
+    def shutdown(self) -> None:
+        """Ends what runs, and cancels what waits."""
+        with self._lock:
+            self._open = False
+        self._pool.shutdown(wait=True, cancel_futures=True)
