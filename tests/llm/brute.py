@@ -142,5 +142,22 @@ def quality(t):
     return len(w), sum(map(len, w)), symbols, len(rows) - len(set(rows)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
 
+def host_verdicts(docs):
+    """(rate of the row's host, kept) per row (id, text, host): failures shrunk with a beta prior."""
+    failed, hosts = [], {}
+    for _, t, h in docs:
+        n, _, symbols, dup, _, bad = quality(t)
+        lines = len([x for x in (t or "").split("\n") if words(x)])
+        failed.append(bad or 100 * symbols > 30 * n or 100 * dup > 60 * lines)
+        k, f = hosts.get(h, (0, 0))
+        hosts[h] = k + 1, f + failed[-1]
+    n = sum(k for k, _ in hosts.values())
+    m = sum(f for _, f in hosts.values()) / n
+    spread = sum(f * f / k for k, f in hosts.values()) / n - m * m - m * (1 - m) * len(hosts) / n
+    s = min(1e6, max(2.0, m * (1 - m) / spread - 1)) if spread > 1e-12 else 1e6
+    rate = {h: (f + m * s) / (k + s) for h, (k, f) in hosts.items()}
+    return [(rate[h], not quality(t)[-1] and rate[h] <= 0.6) for _, t, h in docs]
+
+
 def base32_sha1(b):
     return base64.b32encode(hashlib.sha1(b).digest()).decode()

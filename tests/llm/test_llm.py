@@ -104,8 +104,9 @@ def test_near_duplicates_with_null_and_repeated_ids(spark, rows):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7)]
-    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+    for most in (10**6, 0):
+        got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=most).collect()))
+        assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
 def test_chain_of_near_copies_in_shared_buckets(spark):
@@ -214,6 +215,32 @@ def test_lines_of_null_and_shared_ids(spark):
     assert lines == sorted(["a line that many rows have", "IRREPLACEABLE second line of one null row", "something else entirely", "q w e r t y u i o p", "unique one of seven", "unrelated stuff"])
 
 
+def test_lines_that_share_their_first_hash(spark, monkeypatch):
+    """Different lines under one 64-bit name lose equal copies only."""
+    real = line_dedup.line_signatures
+    clash = lambda *a: real(*a).withColumn("h1", F.when(F.col("line") == 0, F.lit(7)).otherwise(F.col("h1")))
+    monkeypatch.setattr(line_dedup, "line_signatures", clash)
+    rows = [(1, "aaa bbb ccc ddd eee fff ggg\nzz"), (2, "hhh iii jjj kkk lll mmm nnn\nzz"), (3, "aaa bbb ccc ddd eee fff ggg\nyy"), (4, "aaa bbb ccc ddd eee fff ggh\nyy z")]
+    assert removals(spark.createDataFrame(rows, "doc_id long, text string")) == {(2, 1), (3, 0)}
+
+
+def test_sets_that_share_their_short_name(spark, monkeypatch):
+    real = near_dup.signatures
+    monkeypatch.setattr(near_dup, "signatures", lambda *a: real(*a).withColumn("set_id", F.lit(7).cast("long")))
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base), (2, base), (3, base + " tail"), (4, "something else that has more than five words")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_components_in_one_task_and_in_steps(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(5, 5)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = [sorted(map(tuple, components.connected_components(frame, one_task=n).collect())) for n in (10**6, 0)]
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
 def test_recall_of_line_bands():
     """Pairs of lines at a similarity of 0.8 or just above: the share that meets in a bucket."""
     rng, met, pairs = np.random.default_rng(3), 0, 3000
@@ -415,21 +442,7 @@ def test_feistel_is_a_permutation():
 def test_quality_verdicts_by_host(spark, rows):
     """kept and host_rate against a plain computation, with a null host, a null text and a null id."""
     docs = [(d, t, f"s{(d or 0) % 3}" if d != 11 else None) for d, t in [*rows, (None, "again " * 30), (11, None)]]
-    soft = {}
-    for i, (_, t, _) in enumerate(docs):
-        n, _, symbols, dup, _, failed = B.quality(t)
-        lines = len([x for x in (t or "").split("\n") if B.words(x)])
-        soft[i] = failed or 100 * symbols > 30 * n or 100 * dup > 60 * lines
-    hosts = {}
-    for i, (_, _, h) in enumerate(docs):
-        k, f = hosts.get(h, (0, 0))
-        hosts[h] = k + 1, f + soft[i]
-    n, f = sum(k for k, _ in hosts.values()), sum(f for _, f in hosts.values())
-    m = f / n
-    spread = sum(f * f / k for k, f in hosts.values()) / n - m * m - m * (1 - m) * len(hosts) / n
-    s = min(1e6, max(2.0, m * (1 - m) / spread - 1)) if spread > 1e-12 else 1e6
-    rate = {h: (f + m * s) / (k + s) for h, (k, f) in hosts.items()}
-    want = sorted((repr(d), round(rate[h], 6), not B.quality(t)[-1] and rate[h] <= 0.6) for d, t, h in docs)
+    want = sorted((repr(d), round(rate, 6), kept) for (d, _, _), (rate, kept) in zip(docs, B.host_verdicts(docs)))
     got = quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
     assert sorted((repr(r.doc_id), r.host_rate, r.kept) for r in got) == want
 
@@ -553,9 +566,7 @@ def test_pipeline_against_brute_force(spark):
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert C.ORACLE_SQL is None
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    verdict = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    assert all(not verdict[d] for d, t, _ in docs if B.quality(t)[-1])
-    rows = [(d, t) for d, t, _ in docs if verdict[d]]
+    rows = [(d, t) for (d, t, _), (_, kept) in zip(docs, B.host_verdicts(docs)) if kept]
     gone = B.lines(rows)
     rows = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in rows]
     kept = {x[0] for x in B.near(rows, 80) if x[3]}

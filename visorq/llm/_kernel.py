@@ -6,12 +6,16 @@ prefix sums, so that every window of a slice costs a few array operations and no
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
 U = np.uint64
+#: Bytes of text that are worked on at a time: arrays over them take some 50 to 100 times that.
+SLICE = 250_000
 _BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 BYTE_HASH = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
 #: For second hashes, where two together tell contents apart.
@@ -53,6 +57,15 @@ def mix32(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, at the end of a task: the worker lives on, idle, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import U, gram_hash, slices, text_buffer
+from ._kernel import SLICE, U, gram_hash, slices, text_buffer, trim
 
 _TOKENIZERS: dict = {}
 _GRAM = 16
@@ -219,7 +219,7 @@ class ChunkCache:
 def encode_texts(col: pa.Array, cache: ChunkCache, mean: int) -> Iterator[tuple[int, bytes, str]]:
     """(row, ids as little-endian 32-bit integers, decoded text) of each text."""
     buf, offs = text_buffer(col)
-    for first, last, part, at in slices(buf, offs, 1_000_000):
+    for first, last, part, at in slices(buf, offs, SLICE):
         raw = part.tobytes()
         texts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         at_once = [cache.table is None or any(x in t for x in cache.added) for t in texts]
@@ -272,5 +272,6 @@ def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if size > 4_000_000 or row == batch.num_rows - 1:
                     yield pa.record_batch([doc_ids.slice(start, len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], schema=schema)
                     start, rows, size = row + 1, [], 0
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -49,7 +49,7 @@ def word_rows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def sliced_word_rows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``word_rows``, a part of the texts at a time: hashing takes some 40 bytes per byte of text."""
     words, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, _, part, at in K.slices(buf, offs, 500_000):
+    for i, _, part, at in K.slices(buf, offs, K.SLICE):
         w, r = word_rows(part, at)
         words.append(w)
         rows.append(r + i)
@@ -66,7 +66,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(1))
-            for i, j, part, at in K.slices(buf, offs, 1_000_000):
+            for i, j, part, at in K.slices(buf, offs, K.SLICE):
                 words, rows = word_rows(part, at)
                 n = np.bincount(rows, minlength=j - i)
                 size = np.minimum(n, window)
@@ -124,6 +124,7 @@ def build_index(docs: DataFrame, gap: int, shard_bytes: int) -> DataFrame:
                 for side in range(2):
                     yield pa.record_batch([x[side] for x in cols.values()], schema=schema)
                 shard, row = shard + 1, row + n_docs
+        K.trim()
 
     return materialize(docs.mapInArrow(run, f"shard long, term long, n long, places binary, rid long, {types}, n_words long, base long"), "postings")
 

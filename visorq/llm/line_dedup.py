@@ -72,7 +72,7 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(len(kept)))
-            for i, _, part, at in K.slices(buf, offs, 1_000_000):
+            for i, _, part, at in K.slices(buf, offs, K.SLICE):
                 starts, ends, owner = K.spans(part, at, _NOT_NEWLINE)
                 worded = np.concatenate(([0], np.cumsum(K.WORDS[part])))
                 some = worded[ends] > worded[starts]
@@ -93,6 +93,7 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                     [*(c.take(from_row) for c in batch.columns[:-1]), pa.array(line.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists],
                     names=[*kept, "line", "h1", "h2", "bands"],
                 )
+        K.trim()
 
     ahead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return docs.mapInArrow(run, f"{ahead}, line int, h1 long, h2 long, bands array<long>")

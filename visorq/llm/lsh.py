@@ -107,7 +107,7 @@ def hub_members(banded: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def _text_sets(col: pa.Array, sets: Sets) -> list[np.ndarray]:
     buf, offs = K.text_buffer(col)
     out = []
-    for i, j, part, at in K.slices(buf, offs, 1_000_000):
+    for i, j, part, at in K.slices(buf, offs, K.SLICE):
         h, bounds = sets(part, at)
         out += [h[bounds[r] : bounds[r + 1]] for r in range(j - i)]
     return out
@@ -186,6 +186,7 @@ def _linked_groups(batches: Iterator[pa.RecordBatch], sets: Sets, percent: int)
         rest = rows.slice(done).combine_chunks()
     if rest is not None and rest.num_rows:
         yield solve(rest)
+    K.trim()
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, sets: Sets, apart: bool = False) -> DataFrame:

@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(len(kept)))
-            for i, j, part, at in K.slices(buf, offs, 1_000_000):
+            for i, j, part, at in K.slices(buf, offs, K.SLICE):
                 h, bounds = shingle_sets(part, at, shingle)
                 n, set_id, k1, k2 = set_names(h, bounds)
                 usable = np.flatnonzero((n > 0) & batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False))
@@ -107,6 +107,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(new * bands))).astype(np.int32)), flat)
                 names = (pa.array(x.view(np.int64)) for x in (set_id, k1, k2))
                 yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(n), *names, lists], names=[*kept, "n_shingles", "set_id", "k1", "k2", "bands"])
+        K.trim()
 
     ahead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return docs.mapInArrow(run, f"{ahead}, n_shingles long, set_id long, k1 long, k2 long, bands array<long>")
@@ -132,7 +133,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(1))
-            for i, j, part, at in K.slices(buf, offs, 1_000_000):
+            for i, j, part, at in K.slices(buf, offs, K.SLICE):
                 _, set_id, k1, k2 = set_names(*shingle_sets(part, at, shingle))
                 names = (pa.array(x.view(np.int64)) for x in (set_id, k1, k2))
                 yield pa.record_batch([*names, batch.column(1).slice(i, j - i)], names=["id", "k1", "k2", "text"])
