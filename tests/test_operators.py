@@ -264,6 +264,28 @@ def test_multi_roi(spark):
         patchcore.multi_roi(pix, rois, banks.filter("roi_id <> 'r'"))
 
 
+def test_trainers(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, r, c, ch, float(rng.integers(0, 60))) for i in range(6) for r in range(8) for c in range(8) for ch in range(3)]
+    pix = spark.createDataFrame(rows, PIXELS)
+    bank, norm, made = patchcore.train(pix, fraction=0.5, sample_ratio=0.5, method="mean_ksigma", sigma=2.0)
+    assert bank.count() == 60 and norm.count() == 3 and made["num_samples"] == 3 and made["threshold_params"] == {"sigma": 2.0}
+    bad = spark.createDataFrame(flat_image(9, 8, 8, 250.0), PIXELS)
+    assert patchcore.patchcore(bad, bank, made["anomaly_threshold"]).first().is_anomaly
+    rois = spark.createDataFrame([("l", 0, 0, 4, 8), ("r", 4, 0, 4, 8), ("out", 6, 0, 4, 8)], "roi_id string, x int, y int, w int, h int")
+    banks = patchcore.train_rois(pix, rois, fraction=1.0)
+    assert sorted((r.roi_id, r["count"]) for r in banks.groupBy("roi_id").count().collect()) == [("l", 120), ("r", 120)]
+    assert {r.score for r in patchcore.multi_roi(pix, rois.filter("roi_id <> 'out'"), banks).collect()} == {0.0}
+    places = "features", "layer_idx", "patch_row", "patch_col"
+    frame = banks.withColumns({"layer_idx": F.lit(0), "patch_row": F.lit(0), "patch_col": F.lit(0)}).select("roi_id", *places)
+    files.write_bank_files(files.bank_files(frame, "roi_id"), str(tmp_path / "banks")).collect()
+    rows = patchcore.index_of_banks(spark, str(tmp_path / "banks"), f"file://{tmp_path}/index", 8)
+    assert sorted(r.vec_id for r in rows.collect()) == list(range(240))
+    whole = {r.image_id: r.anomaly_score for r in patchcore.patchcore(pix, rows, 1.0).collect()}
+    params = {"search_algorithm": "IVF", "index_path": f"file://{tmp_path}/index", "faiss_nprobe": "8"}
+    assert {r.image_id: pytest.approx(r.anomaly_score) for r in patchcore.patchcore(pix, rows, 1.0, params=params).collect()} == whole
+
+
 def test_nodes_of_graphs(spark, tmp_path):
     pix = spark.createDataFrame(flat_image(1, 8, 8, 11.0), PIXELS)
     spark.createDataFrame([(1, [10.0] * 3)], "vec_id long, features array<double>").write.parquet(str(tmp_path / "bank"))

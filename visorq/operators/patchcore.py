@@ -237,6 +237,49 @@ def train_threshold(scores: DataFrame, method: str = "max_score", sigma: float =
     return out
 
 
+def train(
+    pixels: DataFrame, backbone: Backbone | None = None, fraction: float = 0.1, max_features: int = 100_000, sample_ratio: float = 0.2, method: str = "max_score", **how
+) -> tuple[DataFrame, DataFrame, dict]:
+    """The trainer: (bank, normalisation, threshold file's contents) of normal images. The bank is a coreset of at most
+    ``max_features`` patches; the threshold comes from the scores that a sample of the images get with it."""
+    backbone = backbone or statistics_backbone()
+    sizes = image_sizes(pixels)
+    patches = extract(pixels, tile_views(sizes, 0), sizes, backbone)
+    bank, norm = vectors.train_bank(patches, fraction, max_features)
+    seen = pixels.join(sampled_images(sizes, sample_ratio).select("image_id"), "image_id")
+    scores = verdicts(patchcore_map(seen, bank, backbone, {"max_tile_size": 0}), 0.0).withColumnRenamed("anomaly_score", "score")
+    return bank, norm, train_threshold(scores, method, **how)
+
+
+def train_rois(pixels: DataFrame, rois: DataFrame, backbone: Backbone | None = None, fraction: float = 0.1, max_features: int = 100_000, per_image: bool = False) -> DataFrame:
+    """The ROI trainer: banks (roi_id, vec_id, features), a coreset of each ROI's patches over all images. ROIs beyond
+    an image are left out of it."""
+    backbone = backbone or statistics_backbone()
+    sizes = image_sizes(pixels)
+    views = roi_views(rois, sizes, per_image)
+    pool = extract(pixels, views, sizes, backbone).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"])
+    pool = vectors.hash_sample(pool, max_features, "vec_id", "roi_id")
+    picked = vectors.coreset(pool, fraction, "roi_id").select(F.col("id").alias("vec_id"))
+    return pool.join(picked, "vec_id").select("roi_id", "vec_id", "features")
+
+
+def index_of_banks(spark, folder: str, path: str, nlist: int = 100) -> DataFrame:
+    """Bank files turned into a stored index at ``path``, for ``patchcore_map`` with search_algorithm ivf; returns the
+    bank's rows (vec_id, features), numbered in the order of their places."""
+    from pyspark.sql import Window
+
+    from ..sources.files import read_banks
+
+    order = Window.partitionBy("path").orderBy("layer_idx", "patch_row", "patch_col", "features")
+    rows = read_banks(spark, folder).withColumn("own", F.row_number().over(order) - 1)
+    first = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    base = first.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per file
+    bank = rows.join(F.broadcast(base), "path").select((F.col("base") + F.col("own")).cast("long").alias("vec_id"), "features")
+    centers, assigned = vectors.train_cells(bank, nlist)
+    vectors.save_index(path, centers, assigned)
+    return bank
+
+
 def write_threshold(spark, path: str, contents: dict) -> None:
     """A threshold file beside a bank, one JSON document, through Spark's own file access."""
     spark.createDataFrame([(json.dumps(contents),)], "value string").coalesce(1).write.mode("overwrite").text(path)
