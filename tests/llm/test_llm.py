@@ -519,7 +519,8 @@ def test_stored_steps_are_deleted(spark, rows):
     before = there()  # another process may use the folder
     left = lambda: sorted(there() - before)
     for run in (lambda: near_dup.near_duplicates(docs), lambda: line_dedup.dedup_lines(docs), lambda: suffix_dedup.removed_bytes(docs), lambda: substring_dedup.removed_words(docs),
-                lambda: decontaminate.decontaminate(docs, bench), lambda: secret_scan.secret_scan(docs), lambda: quality_rules.quality_rules(docs)):
+                lambda: decontaminate.decontaminate(docs, bench), lambda: secret_scan.secret_scan(docs), lambda: quality_rules.quality_rules(docs),
+                lambda: warc.read_warc(warc.write_warc(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))))):
         run().count()
         assert len(left()) <= 2, left()  # what the returned frame reads
         _shared.clear()

@@ -16,6 +16,8 @@ _OWN: dict[str, str] = {}
 #: Stored steps that are still there, by the frame that reads them.
 _STORED: dict[int, tuple[object, str]] = {}
 _TABLES: dict[int, str] = {}
+#: Other folders that go with them.
+_FOLDERS: list[str] = []
 #: Removes a query's shuffle files when it ends; what reads the stored result needs them no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -48,6 +50,12 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/visorq/{tag}-{uuid.uuid4().hex}"
 
 
+def own_folder(spark: SparkSession, tag: str) -> str:
+    """A folder in the shared one that is deleted with the stored steps."""
+    _FOLDERS.append(fresh_path(spark, tag))
+    return _FOLDERS[-1]
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the actions inside; what was set before comes back."""
@@ -121,6 +129,8 @@ def clear() -> None:
     while _STORED:
         delete_path(_STORED.popitem()[1][1])
     _TABLES.clear()
+    while _FOLDERS:
+        delete_path(_FOLDERS.pop())
 
 
 atexit.register(clear)

@@ -118,9 +118,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the lines (id, place): they are cut from the documents that hold them."""
-    per_row = wanted.groupBy("place.__r1", "place.__r2").agg(F.collect_list(F.struct("place.line", "id")).alias("wanted"))
-    likely, _ = split_by_slots(docs, F.col("__r1"), wanted, F.col("place.__r1"))
+    """(id, text) of the lines (id, __r1, __r2, line): they are cut from the documents that hold them."""
+    per_row = wanted.groupBy("__r1", "__r2").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    likely, _ = split_by_slots(docs, F.col("__r1"), wanted, F.col("__r1"))
     found = likely.join(per_row, ["__r1", "__r2"]).select("wanted", F.split("text", "\n").alias("lines"))
     cut = found.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line"]).alias("text")))).alias("x"))
     return cut.select("x.id", "x.text").dropDuplicates(["id"])
@@ -134,33 +134,33 @@ def duplicate_lines(
     docs = _keyed(docs, id_col, text_col)
     lines = materialize(line_signatures(docs, shingle, bands, rows), "lines")
     total = lines.count()
-    place = F.struct("d", "__r1", "__r2", "line")
-    by_h1 = lines.groupBy("h1").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.min("h2").alias("h2"), F.max("h2").alias("x2"))
+    some = [F.first(c).alias(c) for c in ("__r1", "__r2", "line")]  # of one and the same row
+    by_h1 = lines.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("h2"), F.max("h2").alias("x2"), *some)
     by_h1 = materialize(by_h1, "line-classes")
-    pure, mixed = by_h1.filter("h2 = x2").drop("x2"), by_h1.filter("h2 <> x2").select("h1")
-    classes = pure.select("h1", "h2", "place", "n")
+    pure, mixed = by_h1.filter("h2 = x2"), by_h1.filter("h2 <> x2").select("h1")
+    repeated = pure.filter("n > 1").select("h1", "h2", "n")
     banded = lines.filter(F.size("bands") > 0)
     if mixed.count():  # different lines with one h1: they lose equal copies only
         banded = banded.join(mixed, "h1", "left_anti")
-        classes = classes.unionByName(lines.join(mixed, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")))
+        repeated = repeated.unionAll(lines.join(mixed, "h1", "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = hub_members(banded.select(F.col("h1").alias("id"), "bands"))
     ids = members.select("id").unionAll(members.select(F.col("hub").alias("id"))).distinct()
-    likely, _ = split_by_slots(pure, F.col("h1"), ids, F.col("id"))
-    wanted = materialize(likely.join(ids, likely["h1"] == ids["id"]).select("id", "place"), "wanted")
+    wanted = materialize(pure.drop("x2").join(ids, pure["h1"] == ids["id"]).drop("h1"), "wanted")
     texts = materialize(_line_texts(docs, wanted), "line-texts")
     comps = link(members, texts, _sets(shingle), percent, group_rows)
-    discard(members, wanted, texts)
-    likely, rest = split_by_slots(classes, F.col("h1"), comps, F.col("node"))
-    placed = likely.join(comps, likely["h1"] == comps["node"], "left").drop("node").unionByName(rest.withColumn("component", F.lit(None).cast("long")))
-    other = F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0))  # tells classes apart that are in no component
-    placed = placed.filter("component is not null or n > 1").select("h1", "h2", "place", "n", F.coalesce("component", "h1").alias("comp"), other.alias("other"))
-    first = placed.groupBy("comp", "other").agg(F.min("place").alias("first"))
-    info = materialize(placed.join(first, ["comp", "other"]).select("h1", "h2", "n", "first"), "placed")
-    discard(comps, by_h1)
-    likely, _ = split_by_slots(lines.drop("bands"), F.col("h1"), info, F.col("h1"))
-    gone = join_by_counts(likely, info, ["h1", "h2"], "n", total).filter(place != F.col("first")).select("__r1", "__r2", "line")
+    linked = wanted.join(comps, wanted["id"] == comps["node"]).select(F.col("id").alias("h1"), "h2", "n", F.col("component").alias("comp"), F.lit(0).cast("long").alias("other"))
+    # h2 tells classes apart that are in no component
+    alone = repeated.join(comps.select(F.col("node").alias("h1")), "h1", "left_anti").select("h1", "h2", "n", F.col("h1").alias("comp"), F.col("h2").alias("other"))
+    info = materialize(linked.unionAll(alone), "repeated-classes")
+    discard(members, wanted, texts, comps, by_h1)
+    found = join_by_counts(lines.drop("bands"), info, ["h1", "h2"], "n", total).select("d", "__r1", "__r2", "line", "comp", "other")
+    found = materialize(found, "repeated-lines")
+    discard(info)
+    place = F.struct("d", "__r1", "__r2", "line")
+    first = found.groupBy("comp", "other").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = join_by_counts(found, first, ["comp", "other"], "n", total).filter(place != F.col("first")).select("__r1", "__r2", "line")
     out = materialize(gone, "gone")
-    discard(info, lines)
+    discard(found, lines)
     return out
 
 

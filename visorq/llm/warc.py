@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, fresh_path, join_by_counts, materialize, shuffle_partitions, split_by_slots
+from ._shared import discard, join_by_counts, materialize, own_folder, shuffle_partitions, split_by_slots
 
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 #: Archive bytes that stand together when records are dealt out to readers, read by one task, and read at once.
@@ -93,9 +93,10 @@ def write_warc(
     pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     min_revisit_bytes: int = 0, when: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
-    """Write archives under ``folder`` (the shared folder by default); returns the stored index."""
+    """Write archives under ``folder``; returns the stored index. Without ``folder`` they are in the shared folder and are
+    deleted with the stored steps."""
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
+    folder = folder or own_folder(spark, "warc")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html")
     )
