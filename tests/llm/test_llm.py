@@ -263,6 +263,26 @@ def test_decontamination(spark, rows):
         assert all(set(r["items"]) <= set(r.near_items) for r in got)
 
 
+def test_candidates_taken_in_parts_are_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    terms = rng.integers(0, 6, 400)
+    order = np.argsort(terms, kind="stable")
+    known, first = np.unique(terms[order], return_index=True)
+    places = [np.diff(np.sort(x), prepend=0).astype("<u4").tobytes() for x in np.split(order, first[1:])]
+    lists = decontaminate.Lists(known.astype(np.int64), pa.array(places, pa.binary()))
+    at = rng.integers(0, 390, 30)
+    ranks = np.array([[terms[a + 1], terms[a], terms[a + 2]] for a in at])
+    offsets, sizes = np.tile(np.array([1, 0, 2]), (30, 1)), np.full(30, 3)
+    whole = decontaminate.intersect(lists, ranks, offsets, sizes, 1)
+    monkeypatch.setattr(decontaminate, "_CANDIDATES", 50)
+    parts = decontaminate.intersect_all(lists, ranks, offsets, sizes, 1)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+    exact = {(int(w), int(s)) for w, s, e in zip(*whole) if e}
+    assert exact == {(w, s) for w, a in enumerate(at) for s in range(398) if (terms[s : s + 3] == terms[a : a + 3]).all()}
+
+
 def test_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "a b c x d e f g h i j"), (2, "j i h g f e d c b a")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "a b c d e f g h i j")], "item_id long, text string")

@@ -163,6 +163,22 @@ class Lists:
         return some, self.keys[np.minimum(exact, len(self.keys) - 1)] == key
 
 
+#: Candidates, places of rarest terms, that are intersected at a time.
+_CANDIDATES = 200_000
+
+
+def intersect_all(lists: Lists, ranks: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``intersect``, some windows at a time, so that the candidates held stay few."""
+    before = np.concatenate(([0], np.cumsum(lists.count[ranks[:, 0]])))
+    found, a = [], 0
+    while a < len(ranks):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + _CANDIDATES, "right")) - 1)
+        w, start, exact = intersect(lists, ranks[a:b], offsets[a:b], sizes[a:b], slop)
+        found.append((w + a, start, exact))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def intersect(lists: Lists, ranks: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, start, exact) of the proximity matches. ranks, offsets: per window its terms from the rarest
     on, and their offsets, padded to a rectangle; sizes: how many there are."""
@@ -206,7 +222,7 @@ def _match_shard(windows: pa.Table, index: pa.Table, slop: int) -> pa.Table:
         here = np.bincount(row[flat >= 0], minlength=len(sizes)) == sizes
         wid, ranks, offsets, sizes = windows["wid"].to_numpy()[here], ranks[here], offsets[here], sizes[here]
         if len(wid):
-            w, start, exact = intersect(lists, ranks, offsets, sizes, slop)
+            w, start, exact = intersect_all(lists, ranks, offsets, sizes, slop)
             base = docs["base"].to_numpy()
             owner = np.searchsorted(base, start, "right") - 1
             # a proximity match may begin before its first document or end behind the last word
@@ -222,6 +238,7 @@ def _match_shard(windows: pa.Table, index: pa.Table, slop: int) -> pa.Table:
                 out["hits"].append(np.column_stack((a, b)).reshape(-1).tolist())
                 out["exact"].append(np.unique(wid[w[x:y][full]]).tolist())
                 out["near"].append(np.unique(wid[w[x:y]]).tolist())
+    K.trim()
     return pa.table([pa.array(out["rid"], pa.int64()), *(pa.array(out[c], pa.list_(pa.int64())) for c in ("hits", "exact", "near"))], names=list(out))
 
 
