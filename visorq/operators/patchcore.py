@@ -53,10 +53,11 @@ def _taps(sizes: DataFrame, axis: str) -> DataFrame:
     return summed.select(*(F.col(c).alias(f"{axis}_{c}") for c in ("n_in", "n_out", "step", "i", "out", "w")))
 
 
-def resize_each(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+def resize_each(cells: DataFrame, keys: list[str], value: str, sizes: DataFrame) -> DataFrame:
     """Bilinear resampling where every image has its own size: cells (keys, row, col, value, in_h, in_w, out_h,
-    out_w, and the source cells per output cell, step_y and step_x). Weights exist once per pair of sizes."""
-    size = lambda n_in, n_out, step: cells.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out"), F.col(step).alias("step")).distinct()
+    out_w, and the source cells per output cell, step_y and step_x). Weights exist once per pair of sizes; ``sizes``,
+    a small table, has those of the cells."""
+    size = lambda n_in, n_out, step: sizes.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out"), F.col(step).alias("step")).distinct()
     y, x = _taps(size("in_h", "out_h", "step_y"), "y"), _taps(size("in_w", "out_w", "step_x"), "x")
     on = lambda a, n, m, step, at: (F.col(n) == F.col(f"{a}_n_in")) & (F.col(m) == F.col(f"{a}_n_out")) & (F.col(step) == F.col(f"{a}_step")) & (F.col(at) == F.col(f"{a}_i"))
     taps = cells.join(y, on("y", "in_h", "out_h", "step_y", "row")).join(x, on("x", "in_w", "out_w", "step_x", "col"))
@@ -96,20 +97,18 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("view", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)) - 1)
 
 
-def view_pixels(pixels: DataFrame, sizes: DataFrame, views: DataFrame, cell: int = 1024) -> DataFrame:
-    """image_id, view, row, col (in the view), ch, v, h, w."""
-    scales = [r["scale"] for r in views.select("scale").distinct().collect()]  # a few fixed values
+def view_pixels(pixels: DataFrame, sizes: DataFrame, views: DataFrame, cell: int = 1024, scales: tuple[float, ...] = SCALES[:1]) -> DataFrame:
+    """image_id, view, row, col (in the view), ch, v, h, w. scales: those that the views have."""
     levels = None
     for scale in sorted(scales, reverse=True):
         if scale == 1.0:
             level = pixels.select("image_id", "row", "col", "ch", "v")
         else:
             out = lambda n, scale=scale: F.bround(F.col(n) * scale).cast("int")
-            sized = pixels.join(sizes, "image_id").select(
-                "image_id", "row", "col", "ch", "v", F.col("h").alias("in_h"), F.col("w").alias("in_w"), out("h").alias("out_h"), out("w").alias("out_w"),
-                F.lit(1 / scale).alias("step_y"), F.lit(1 / scale).alias("step_x"),
-            )
-            level = resize_each(sized.filter("out_h > 0 and out_w > 0"), ["image_id", "ch"], "v").select("image_id", "row", "col", "ch", "v")
+            scaled = sizes.select(
+                "image_id", F.col("h").alias("in_h"), F.col("w").alias("in_w"), out("h").alias("out_h"), out("w").alias("out_w"), F.lit(1 / scale).alias("step_y"), F.lit(1 / scale).alias("step_x")
+            ).filter("out_h > 0 and out_w > 0")
+            level = resize_each(pixels.select("image_id", "row", "col", "ch", "v").join(scaled, "image_id"), ["image_id", "ch"], "v", scaled).select("image_id", "row", "col", "ch", "v")
         level = level.withColumn("scale", F.lit(scale))
         levels = level if levels is None else levels.unionByName(level)
     grid = lambda at: F.floor(at / cell).cast("int")
@@ -119,39 +118,49 @@ def view_pixels(pixels: DataFrame, sizes: DataFrame, views: DataFrame, cell: int
     return placed.filter(inside).select("image_id", "view", (F.col("row") - F.col("y")).alias("row"), (F.col("col") - F.col("x")).alias("col"), "ch", "v", "h", "w")
 
 
-def _identified(patches: DataFrame, grids: tuple[int, ...]) -> DataFrame:
-    """Adds vec_id, a number of the patch made of its place."""
-    views = (patches.agg(F.max("view")).first()[0] or 0) + 1
-    most, layers = max(grids) ** 2, len(grids)
-    at = ((F.col("image_id").cast("long") * views + F.col("view")) * layers + F.col("layer_idx")) * most + F.col("patch_row") * max(grids) + F.col("patch_col")
-    return patches.withColumn("vec_id", at.cast("long"))
+class Numbering:
+    """Numbers of patches made of their places, and back."""
+
+    def __init__(self, views: DataFrame, grids: tuple[int, ...]):
+        self.views = (views.agg(F.max("view")).first()[0] or 0) + 1
+        self.layers, self.side = len(grids), max(grids)
+
+    def number(self, patches: DataFrame) -> DataFrame:
+        """Adds vec_id."""
+        at = (F.col("image_id").cast("long") * self.views + F.col("view")) * self.layers + F.col("layer_idx")
+        return patches.withColumn("vec_id", ((at * self.side + F.col("patch_row")) * self.side + F.col("patch_col")).cast("long"))
+
+    def places(self, found: DataFrame) -> DataFrame:
+        """(image_id, view, layer_idx, patch_row, patch_col, dist) of (id, dist)."""
+        rest, cols = F.col("id"), []
+        for name, n in (("patch_col", self.side), ("patch_row", self.side), ("layer_idx", self.layers), ("view", self.views)):
+            own = F.pmod(rest, F.lit(n))
+            cols.append(own.cast("int").alias(name))
+            rest = ((rest - own) / n).cast("long")
+        return found.select(rest.alias("image_id"), *reversed(cols), "dist")
 
 
 def view_maps(scored: DataFrame, views: DataFrame, grids: tuple[int, ...]) -> DataFrame:
     """Patch distances (image_id, view, layer_idx, patch_row, patch_col, dist) as maps: image_id, view, row, col,
     score on the view's own pixels, the largest layer per pixel."""
-    grid = F.element_at(F.array(*[F.lit(g) for g in grids]), F.col("layer_idx") + 1)
-    cells = scored.join(views.select("image_id", "view", "w", "h"), ["image_id", "view"]).select(
-        "image_id", "view", "layer_idx", F.col("patch_row").alias("row"), F.col("patch_col").alias("col"), F.col("dist").alias("score"), grid.alias("in_h"), grid.alias("in_w"),
-        F.col("h").alias("out_h"), F.col("w").alias("out_w"), (grid / F.col("h")).alias("step_y"), (grid / F.col("w")).alias("step_x"),
+    layers = F.explode(F.array(*[F.struct(F.lit(i).alias("layer_idx"), F.lit(g).alias("grid")) for i, g in enumerate(grids)]))
+    sizes = views.select("image_id", "view", "w", "h", layers.alias("l")).select(
+        "image_id", "view", "l.layer_idx", F.col("l.grid").alias("in_h"), F.col("l.grid").alias("in_w"), F.col("h").alias("out_h"), F.col("w").alias("out_w"),
+        (F.col("l.grid") / F.col("h")).alias("step_y"), (F.col("l.grid") / F.col("w")).alias("step_x"),
     )
-    up = resize_each(cells, ["image_id", "view", "layer_idx"], "score")
+    cells = scored.withColumnsRenamed({"patch_row": "row", "patch_col": "col", "dist": "score"}).join(sizes, ["image_id", "view", "layer_idx"])
+    up = resize_each(cells, ["image_id", "view", "layer_idx"], "score", sizes)
     return up.groupBy("image_id", "view", "row", "col").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
 
 
 def fuse_views(maps: DataFrame, views: DataFrame) -> DataFrame:
     """image_id, row, col, score: view maps brought to their places' size and fused by the maximum."""
-    sized = maps.join(views, ["image_id", "view"])
-    same = (F.col("w") == F.col("to_w")) & (F.col("h") == F.col("to_h"))
-    keep = sized.filter(same).select("image_id", "view", "row", "col", "score", "to_x", "to_y")
-    grown = resize_each(
-        sized.filter(~same).select(
-            "image_id", "view", "row", "col", "score", "to_x", "to_y", F.col("h").alias("in_h"), F.col("w").alias("in_w"), F.col("to_h").alias("out_h"), F.col("to_w").alias("out_w"),
-            (F.col("h") / F.col("to_h")).alias("step_y"), (F.col("w") / F.col("to_w")).alias("step_x"),
-        ), ["image_id", "view", "to_x", "to_y"], "score",
+    sizes = views.select(
+        "image_id", "view", "to_x", "to_y", F.col("h").alias("in_h"), F.col("w").alias("in_w"), F.col("to_h").alias("out_h"), F.col("to_w").alias("out_w"),
+        (F.col("h") / F.col("to_h")).alias("step_y"), (F.col("w") / F.col("to_w")).alias("step_x"),
     )
-    both = keep.unionByName(grown.select(*keep.columns))
-    return both.groupBy("image_id", (F.col("row") + F.col("to_y")).alias("row"), (F.col("col") + F.col("to_x")).alias("col")).agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
+    grown = resize_each(maps.join(sizes, ["image_id", "view"]), ["image_id", "view", "to_x", "to_y"], "score", sizes)
+    return grown.groupBy("image_id", (F.col("row") + F.col("to_y")).alias("row"), (F.col("col") + F.col("to_x")).alias("col")).agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
 
 
 def verdicts(maps: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -159,9 +168,11 @@ def verdicts(maps: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_
     return maps.groupBy(*keys).agg(F.max("score").alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") > threshold)
 
 
-def extract(pixels: DataFrame, views: DataFrame, sizes: DataFrame, backbone: Backbone, cell: int = 1024) -> DataFrame:
+def extract(
+    pixels: DataFrame, views: DataFrame, sizes: DataFrame, backbone: Backbone, cell: int = 1024, scales: tuple[float, ...] = SCALES[:1], numbers: Numbering | None = None
+) -> DataFrame:
     """The views' patches with vec_id."""
-    return _identified(backbone(view_pixels(pixels, sizes, views, cell)), backbone.grids)
+    return (numbers or Numbering(views, backbone.grids)).number(backbone(view_pixels(pixels, sizes, views, cell, scales)))
 
 
 def patchcore_map(pixels: DataFrame, bank: DataFrame, backbone: Backbone | None = None, params: dict | None = None) -> DataFrame:
@@ -171,12 +182,14 @@ def patchcore_map(pixels: DataFrame, bank: DataFrame, backbone: Backbone | None
     16, index_path (none), max_tile_size 1024 (0: no tiles), multi_scale 0, overlap 32."""
     params, backbone = params or {}, backbone or statistics_backbone()
     tile, overlap = int(params.get("max_tile_size", 1024)), int(params.get("overlap", OVERLAP))
-    sizes = image_sizes(pixels)
-    views = tile_views(sizes, tile, bool(int(params.get("multi_scale", 0))), overlap)
-    patches = extract(pixels, views, sizes, backbone, tile or 1024)
-    found = vectors.search(patches, bank, str(params.get("search_algorithm", "brute_force")), params.get("index_path"), int(params.get("faiss_nlist", 100)), int(params.get("faiss_nprobe", 16)))
-    scored = patches.drop("features").join(found.select(F.col("id").alias("vec_id"), "dist"), "vec_id")
-    return fuse_views(view_maps(scored, views, backbone.grids), views)
+    sizes = image_sizes(pixels).persist()  # a row per image, and one per view below: read by every step
+    many = bool(int(params.get("multi_scale", 0)))
+    views = tile_views(sizes, tile, many, overlap).persist()
+    numbers = Numbering(views, backbone.grids)
+    patches = extract(pixels, views, sizes, backbone, tile or 1024, SCALES if many else SCALES[:1], numbers)
+    algorithm, path = str(params.get("search_algorithm", "brute_force")), params.get("index_path")
+    found = vectors.search(patches, bank, algorithm, path, int(params.get("faiss_nlist", 100)), int(params.get("faiss_nprobe", 16)), checked=True)
+    return fuse_views(view_maps(numbers.places(found), views, backbone.grids), views)
 
 
 def patchcore(pixels: DataFrame, bank: DataFrame, threshold: float | None = None, sidecar: str | None = None, backbone: Backbone | None = None, params: dict | None = None) -> DataFrame:
@@ -205,12 +218,12 @@ def multi_roi(pixels: DataFrame, rois: DataFrame, banks: DataFrame, threshold: f
     missing = rois.select("roi_id").distinct().join(banks.select("roi_id").distinct(), "roi_id", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"no bank for the ROIs {[r['roi_id'] for r in missing]}")
-    sizes = image_sizes(pixels)
-    views = roi_views(rois, sizes, per_image)
-    patches = extract(pixels, views, sizes, backbone).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"])
+    sizes = image_sizes(pixels).persist()
+    views = roi_views(rois, sizes, per_image).persist()
+    numbers = Numbering(views, backbone.grids)
+    patches = extract(pixels, views, sizes, backbone, numbers=numbers).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"])
     found = vectors.nn_by_group(patches, banks, "roi_id")
-    scored = patches.drop("features").join(found.select(F.col("id").alias("vec_id"), "dist"), "vec_id")
-    per = verdicts(view_maps(scored, views, backbone.grids), threshold, ("image_id", "view"))
+    per = verdicts(view_maps(numbers.places(found), views, backbone.grids), threshold, ("image_id", "view"))
     per = per.join(views.select("image_id", "view", "roi_id"), ["image_id", "view"]).select("image_id", "roi_id", F.col("anomaly_score").alias("score"), "is_anomaly")
     return per.join(per.groupBy("image_id").agg(F.bool_or("is_anomaly").alias("any_anomaly")), "image_id")
 

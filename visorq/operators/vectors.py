@@ -100,14 +100,16 @@ def check_queries(queries: DataFrame, dim: int, vec: str = "features") -> None:
         raise ValueError(f"queries of dimension {row['a']} to {row['b']} for a bank of dimension {dim}")
 
 
-def nn_exact(queries: DataFrame, bank: DataFrame, id_col: str = "vec_id", vec: str = "features", k: int = 1, skip_self: bool = False) -> DataFrame:
+def nn_exact(queries: DataFrame, bank: DataFrame, id_col: str = "vec_id", vec: str = "features", k: int = 1, skip_self: bool = False, checked: bool = False) -> DataFrame:
     """id, rank, nn_id, dist: the k nearest bank rows, ties to the lowest id. skip_self: not the row itself.
+    checked: the queries' dimension is known to be the bank's, which spares computing them twice.
 
     The results of one block, the usual case, are final; those of several are merged by a window over k rows
     per query and block.
     """
     _, dim = check_bank(bank, vec)
-    check_queries(queries, dim, vec)
+    if not checked:
+        check_queries(queries, dim, vec)
     found, blocks = _search(_keyed(queries, "id", id_col, vec, F.lit("")), _keyed(bank, "b", id_col, vec, F.lit("")), k, skip_self)
     if blocks == 1:
         return found.select("id", "nn_id", "dist", "rank")
@@ -203,7 +205,8 @@ def lsh_search(queries: DataFrame, bank: DataFrame, width: float = 4.0, tables:
 
 
 def search(
-    queries: DataFrame, bank: DataFrame, algorithm: str = "brute_force", index_path: str | None = None, nlist: int = 100, nprobe: int = 16, skip_self: bool = False
+    queries: DataFrame, bank: DataFrame, algorithm: str = "brute_force", index_path: str | None = None, nlist: int = 100, nprobe: int = 16, skip_self: bool = False,
+    checked: bool = False,
 ) -> DataFrame:
     """id, nn_id, dist by the named algorithm, in any case: brute_force, ivf or hnsw; any other name is brute
     force. For ivf an index at ``index_path`` is loaded; where there is none it is trained and stored there; where
@@ -225,7 +228,7 @@ def search(
                 return search_cells(queries, centers, assigned, nprobe, skip_self=skip_self)
             except (PySparkException, ValueError):
                 pass
-    return nn_exact(queries, bank, skip_self=skip_self).select("id", "nn_id", "dist")
+    return nn_exact(queries, bank, skip_self=skip_self, checked=checked).select("id", "nn_id", "dist")
 
 
 def greedy_coreset(v: np.ndarray, target: int) -> list[int]:
