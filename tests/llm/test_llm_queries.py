@@ -61,7 +61,7 @@ def test_op10_digests(spark, texts):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in Q.op10_line_dedup(spark, SF).collect()} == want
 
 
-def test_op1_and_op9_spans(spark, texts):
+def test_op1_spans(spark, texts):
     want = {d: (n, gone, spans, sha) for d, n, gone, spans, sha in B.suffix(texts[:60])}
     from visorq.llm.suffix_dedup import removed_bytes
 

@@ -116,3 +116,44 @@ FROM d LEFT JOIN g USING (doc_id)"""
 
 
 SQL["op4_secret_scan"] = _secrets()
+
+
+def _lloyd(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Each round's centroids from those of the round before, in one statement."""
+
+    def nearest(c: str) -> str:
+        return f"""SELECT v.*, x.num AS cluster, x.d AS distance FROM v, LATERAL (
+            SELECT num, (list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q))::BIGINT AS d FROM {c} c ORDER BY d, num LIMIT 1) x"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({nearest(f"c{r}")}),
+s{r} AS (SELECT cluster, i, sum(q[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r}, unnest(range(1, {dim + 1})) AS u(i) GROUP BY cluster, i),
+m{r} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS q FROM s{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT num, coalesce(m{r}.q, c{r}.q) AS q FROM c{r} LEFT JOIN m{r} ON m{r}.cluster = num)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+      WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS num, q FROM v ORDER BY num LIMIT {k}),
+{", ".join(steps)},
+f AS ({nearest(f"c{rounds}")})
+SELECT vec_id, cluster, distance, count(*) OVER (PARTITION BY f.q) AS copies, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c.q, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.num = cluster
+"""
+
+
+SQL["op12_centroids"] = _lloyd()
+
+SQL["op13_hard_negatives"] = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+      FROM r a JOIN r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""

@@ -113,11 +113,29 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     """All registered queries of this subpackage but the pipeline, which lives beside the package."""
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_warc, op3_bpe, op4_secret_scan, op5_decontaminate, op6_near_duplicates, op7_pii, op8_quality_rules,
-        op9_substring_dedup, op10_line_dedup,
+        op9_substring_dedup, op10_line_dedup, op11_quality_cnn, op12_centroids, op13_hard_negatives,
     )}
 
 
