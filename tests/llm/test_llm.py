@@ -349,6 +349,53 @@ def test_bpe_joins_of_awkward_texts():
         _agrees(queries.tokenizer_path(), texts, size)
 
 
+def _every_cut(cache, text):
+    """The text's ids from two chunks, cut at each character, by the way joins are repaired."""
+    raw = text.encode()
+    sure = np.flatnonzero(bpe.sure_cuts(np.frombuffer(raw, np.uint8)))
+    for p in range(1, len(raw)):
+        if raw[p] & 0xC0 != 0x80:
+            parts = cache.encode([raw[:p], raw[p:]])
+            yield p, cache.assemble(raw, [0, p, len(raw)], [parts[raw[:p]], parts[raw[p:]]], sure).tolist()
+
+
+def test_bpe_joins_in_contractions_and_spaces():
+    cache = bpe.ChunkCache(queries.tokenizer_path(), 10_000_000)
+    words = sorted({t.decode() for t in cache.table if t.isalpha() and t.isascii()})
+    assert len(words) > 5000
+    for k, c in enumerate(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")):
+        for w in words[k % 7 :: 7] + [w for w in words if w[0] in "sltrvemd"][k::7]:
+            text = f"they{c}{w} x"
+            want = cache.tok.encode(text, add_special_tokens=False).ids
+            for p in range(4, 5 + len(c)):  # each place in and beside the contraction
+                raw = text.encode()
+                parts = cache.encode([raw[:p], raw[p:]])
+                assert cache.assemble(raw, [0, p, len(raw)], [parts[raw[:p]], parts[raw[p:]]], np.flatnonzero(bpe.sure_cuts(np.frombuffer(raw, np.uint8)))).tolist() == want, (text, p)
+    spaces = [" ", "  ", "\n", " \n", "\n ", "\t\t ", "\r\n\r\n", "\u00a0 ", " \u3000", "\u2028\n", "   \n   "]
+    for a in ("word", "3", "!", "'", "é", "日", "\U0001f600", "ß'", "e\u0301", "\u0085"):
+        for b in ("word", "7", "?", "'ll", "É", "本", "\u0301", "_x"):
+            for s in spaces:
+                text = f"x{a}{s}{b} {a}{b}{s}"
+                want = cache.tok.encode(text, add_special_tokens=False).ids
+                assert all(ids == want for _, ids in _every_cut(cache, text)), text
+
+
+def test_sure_cuts_are_cuts_of_the_library():
+    tok, rng = bpe._tokenizer(queries.tokenizer_path())[0], random.Random(8)
+    alphabet = [*map(chr, range(32, 127)), "\n", "\t", "é", "日", "\u3000", "\u00a0", "\u2028", "\U0001f600", "４", "'s", "'ll", "'re", " ", "  "]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 30)))
+        starts = {len(text[:a].encode()) for _, (a, _) in tok.pre_tokenizer.pre_tokenize_str(text)}
+        assert set(np.flatnonzero(bpe.sure_cuts(np.frombuffer(text.encode(), np.uint8))).tolist()) <= starts, text
+
+
+def test_bpe_of_contractions_at_chunk_joins():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) + "they'learn they'll more't today" * 3 for _ in range(2000)]
+    for size in (4, 64, 512):
+        _agrees(queries.tokenizer_path(), texts, size)
+
+
 def test_bpe_of_null_and_repeated_ids(spark, rows):
     df = spark.createDataFrame([(None, "one text"), (None, "one text"), (4, None), (4, "another")], "doc_id long, text string")
     got = sorted((repr(r.doc_id), r.decoded) for r in bpe.bpe(df, queries.tokenizer_path()).collect())

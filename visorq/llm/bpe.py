@@ -1,15 +1,17 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes sets chunk boundaries, so that documents which share a passage share its
-chunks. Each chunk is encoded by itself, once per worker while its bounded cache holds it. A join of two
-chunks is then compared: by the rules of BPE a row of tokens is the encoding of its text exactly if each
-two neighbours are the encoding of theirs, so the last token before the join and the first after it are
-encoded together, and if that gives other tokens, the text around the join is encoded again, from ever
-more tokens on both sides, until its first and last token agree with their outer neighbours (or the text
-ends). Answers for pairs of tokens are kept.
-
-That rule holds for BPE files without a normalizer and with the byte-level pre-tokenizer or none; with
-other files, and where a text holds one of the file's added tokens, the whole text is encoded at once.
+chunks. Each chunk is encoded by itself, once per worker while its bounded cache holds it. The joins are then
+repaired by re-encoding. Byte-level files split a text into words before they merge, so a join agrees by itself
+only where the split surely cuts: between two characters that no alternative of the split expression takes
+together, whatever stands around them (``sure_cuts``). At any other join the text is encoded again from the last such
+place before it to the first behind it, over as many chunks as that takes; there both neighbours have a word's
+end, so they agree with the new encoding exactly.
+
+Files without a pre-tokenizer merge over the whole text. For them a row of tokens is the encoding of its text
+exactly if each two neighbours are the encoding of theirs; at a join the two are encoded together, and where that
+gives other tokens, ever more text around it, until the first and the last new token agree with their outer neighbours.
+Files with a normalizer or another pre-tokenizer, and texts that hold one of the file's added tokens, are encoded at once.
 
 Defined cases: null text counts as empty (no ids, empty decoded text); added tokens in a text are
 encoded as the tokenizer file says; repeated rows are returned one by one; a null id is returned as
@@ -122,6 +124,38 @@ def cut_places(buf: np.ndarray, offs: np.ndarray, mean: int) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: Kinds of bytes: letters, digits and punctuation of ASCII without the apostrophe, which may begin a contraction;
+#: white space; everything else.
+_OTHER, _LETTER, _DIGIT, _PUNCT, _SPACE = range(5)
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _PUNCT
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[39] = _OTHER
+_KIND[[32, 9, 10, 11, 12, 13]] = _SPACE
+
+
+def sure_cuts(buf: np.ndarray) -> np.ndarray:
+    """For each byte, whether the split of byte-level BPE surely cuts before it.
+
+    It does between unlike ones of letters, digits and punctuation, as each of its words but a contraction holds one
+    of the three kinds, and before white space that follows none, as spaces only stand first in a word. Characters
+    beyond ASCII count as no white space where their first byte rules that out."""
+    kind, out = _KIND[buf], np.zeros(len(buf), bool)
+    if len(buf) < 2:
+        return out
+    left, right = kind[:-1], kind[1:]
+    word = (left != _OTHER) & (left != _SPACE)
+    out[1:] = word & (right != _OTHER) & (left != right)
+    for n, low, high in ((2, 0xC3, 0xDF), (3, 0xE4, 0xEF), (4, 0xF0, 0xF4)):
+        if len(buf) > n:  # a whole character of n bytes before white space
+            inner = np.ones(len(buf) - n, bool)
+            for k in range(1, n):
+                inner &= (buf[k : len(buf) - n + k] & 0xC0) == 0x80
+            out[n:] |= (kind[n:] == _SPACE) & inner & (buf[:-n] >= low) & (buf[:-n] <= high)
+    return out
+
+
 #: Text of which both encoders hold the same view: ASCII and Latin letters of two bytes.
 _PLAIN = re.compile(rb"(?:[\n\x20-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])*+").fullmatch
 
@@ -139,6 +173,8 @@ class ChunkCache:
         self.added = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
         self.chunks, self.old_chunks, self.size = {}, {}, 0
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.splits = self.tok.pre_tokenizer is not None
+        self.sizes = np.array([len(t) for t in self.table], np.int64) if self.table is not None else None
 
     def encode(self, chunks: list[bytes]) -> dict[bytes, array | None]:
         """The ids of each chunk by itself; None where they don't hold the chunk's bytes."""
@@ -186,6 +222,49 @@ class ChunkCache:
             self.pairs[a, b] = known
         return known
 
+    def assemble(self, raw: bytes, places: list[int], chunks: list[array], sure: np.ndarray) -> array | None:
+        """The ids of the text between the first and the last of ``places``, from those of its chunks. sure: the sorted
+        places where the split surely cuts. None if a chunk has no token's end where it should have one."""
+        first, last, again = places[0], places[-1], []
+        at = np.searchsorted(sure, places[1:-1])
+        for p, k in zip(places[1:-1], at.tolist(), strict=True):
+            if k < len(sure) and sure[k] == p:
+                continue
+            low = max(first, int(sure[k - 1]) if k else first)
+            if not again or again[-1][0] != low:
+                again.append((low, min(last, int(sure[k]) if k < len(sure) else last)))
+        if not again:
+            out = array("I")
+            for x in chunks:
+                out.extend(x)
+            return out
+        out, done, i = array("I"), first, 0
+
+        def take(end: int) -> bool:
+            """Append the chunks' tokens from ``done`` to ``end``."""
+            nonlocal done, i
+            while done < end:
+                while places[i + 1] <= done:
+                    i += 1
+                upto = min(end, places[i + 1])
+                if done == places[i] and upto == places[i + 1]:
+                    out.extend(chunks[i])
+                else:
+                    ends = np.concatenate(([0], np.cumsum(self.sizes[chunks[i]]))) + places[i]
+                    x, y = np.searchsorted(ends, [done, upto]).tolist()
+                    if ends[x] != done or ends[y] != upto:
+                        return False
+                    out.extend(chunks[i][x:y])
+                done = upto
+            return True
+
+        for low, high in again:
+            if not take(low):
+                return None
+            out.extend(array("I", self._ids(raw[low:high])))
+            done = high
+        return out if take(last) else None
+
     def join(self, left: array, right: array) -> None:
         """Append ``right`` to ``left`` and encode the text around the join until both sides agree."""
         if not left or not right or self.stays(left[-1], right[0]):
@@ -227,6 +306,7 @@ def encode_texts(col: pa.Array, cache: ChunkCache, mean: int) -> Iterator[tuple[
             yield from ((first + r, *cache.whole(t)) for r, t in enumerate(texts))
             continue
         cuts = cut_places(part, at, mean)
+        sure = np.flatnonzero(sure_cuts(part)) if cache.splits else None
         ends = np.searchsorted(cuts, at).tolist()
         places = cuts.tolist()
         chunks = [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
@@ -240,8 +320,14 @@ def encode_texts(col: pa.Array, cache: ChunkCache, mean: int) -> Iterator[tuple[
             if any(x is None for x in mine):
                 yield row, *cache.whole(texts[r])
                 continue
-            for x in mine:
-                cache.join(ids, x)
+            if cache.splits:
+                ids = cache.assemble(raw, places[ends[r] : ends[r + 1] + 1], mine, sure) if mine else ids
+                if ids is None:
+                    yield row, *cache.whole(texts[r])
+                    continue
+            else:
+                for x in mine:
+                    cache.join(ids, x)
             yield row, ids.tobytes(), cache.decode(ids)
 
 
