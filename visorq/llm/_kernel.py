@@ -263,3 +263,15 @@ def merged_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     new = np.concatenate(([True], starts[1:] > reach[:-1]))
     cut = np.flatnonzero(new)
     return starts[cut], reach[np.append(cut[1:], len(starts)) - 1]
+
+
+def first_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the first of each distinct pair (a, b)."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order[new]

@@ -83,7 +83,7 @@ def line_signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                 line = breaks[starts] - breaks[at[owner]]
                 h1, h2 = K.span_hash(part, starts, ends), K.span_hash(part, starts, ends, second=True)
                 new = np.zeros(len(starts), bool)
-                new[np.unique(h1, return_index=True)[1]] = True
+                new[K.first_of_pairs(h1, h2)] = True
                 h, heads = char_shingles(part, starts[new], ends[new], shingle)
                 sig = _minima(K.mix32((h >> K.U(32)).astype(np.uint32)), heads, bands * rows)
                 keys = np.ascontiguousarray(band_keys(sig, rows).T).reshape(-1).view(np.int64)
@@ -126,6 +126,9 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut.select("x.id", "x.text").dropDuplicates(["id"])
 
 
+_PLACE = ("__r1", "__r2", "line")
+
+
 def duplicate_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 7, percent: int = 80, bands: int = 16, rows: int = 5, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -134,23 +137,27 @@ def duplicate_lines(
     docs = _keyed(docs, id_col, text_col)
     lines = materialize(line_signatures(docs, shingle, bands, rows), "lines")
     total = lines.count()
-    some = [F.first(c).alias(c) for c in ("__r1", "__r2", "line")]  # of one and the same row
+    some = [F.first(c).alias(c) for c in _PLACE]  # of one and the same row
     by_h1 = lines.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("h2"), F.max("h2").alias("x2"), *some)
     by_h1 = materialize(by_h1, "line-classes")
-    pure, mixed = by_h1.filter("h2 = x2"), by_h1.filter("h2 <> x2").select("h1")
-    repeated = pure.filter("n > 1").select("h1", "h2", "n")
-    banded = lines.filter(F.size("bands") > 0)
-    if mixed.count():  # different lines with one h1: they lose equal copies only
-        banded = banded.join(mixed, "h1", "left_anti")
-        repeated = repeated.unionAll(lines.join(mixed, "h1", "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = hub_members(banded.select(F.col("h1").alias("id"), "bands"))
+    mixed = by_h1.filter("h2 <> x2").select("h1")
+    classes = by_h1.filter("h2 = x2").select("h1", "h2", "n", *_PLACE, F.col("h1").alias("node"))
+    banded = lines.filter(F.size("bands") > 0).select("h1", "h2", "bands")
+    nodes = banded.select(F.col("h1").alias("id"), "bands")
+    if mixed.count():  # different lines with one h1: both hashes together make the class and its node
+        own = F.xxhash64("h1", "h2")
+        shared = lines.join(mixed, "h1", "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *some)
+        classes = classes.unionByName(shared.withColumn("node", own))
+        nodes = banded.join(mixed, "h1", "left_anti").select(F.col("h1").alias("id"), "bands").unionAll(banded.join(mixed, "h1", "left_semi").select(own.alias("id"), "bands"))
+    members = hub_members(nodes)
     ids = members.select("id").unionAll(members.select(F.col("hub").alias("id"))).distinct()
-    wanted = materialize(pure.drop("x2").join(ids, pure["h1"] == ids["id"]).drop("h1"), "wanted")
+    wanted = materialize(classes.join(ids, classes["node"] == ids["id"]).drop("node"), "wanted")
     texts = materialize(_line_texts(docs, wanted), "line-texts")
     comps = link(members, texts, _sets(shingle), percent, group_rows)
-    linked = wanted.join(comps, wanted["id"] == comps["node"]).select(F.col("id").alias("h1"), "h2", "n", F.col("component").alias("comp"), F.lit(0).cast("long").alias("other"))
+    linked = wanted.join(comps, wanted["id"] == comps["node"]).select("h1", "h2", "n", F.col("component").alias("comp"), F.lit(0).cast("long").alias("other"))
     # h2 tells classes apart that are in no component
-    alone = repeated.join(comps.select(F.col("node").alias("h1")), "h1", "left_anti").select("h1", "h2", "n", F.col("h1").alias("comp"), F.col("h2").alias("other"))
+    repeated = classes.filter("n > 1").join(comps.select("node"), "node", "left_anti")
+    alone = repeated.select("h1", "h2", "n", F.col("h1").alias("comp"), F.col("h2").alias("other"))
     info = materialize(linked.unionAll(alone), "repeated-classes")
     discard(members, wanted, texts, comps, by_h1)
     found = join_by_counts(lines.drop("bands"), info, ["h1", "h2"], "n", total).select("d", "__r1", "__r2", "line", "comp", "other")

@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 n, set_id, k1, k2 = set_names(h, bounds)
                 usable = np.flatnonzero((n > 0) & batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False))
                 new = np.zeros(j - i, bool)
-                new[usable[np.unique(set_id[usable], return_index=True)[1]]] = True
+                new[usable[K.first_of_pairs(k1[usable], k2[usable])]] = True
                 own = np.repeat(new, n)
                 keys = np.zeros((bands, 0), np.uint64)
                 if new.any():
@@ -134,12 +134,11 @@ def _class_texts(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(1))
             for i, j, part, at in K.slices(buf, offs, K.SLICE):
-                _, set_id, k1, k2 = set_names(*shingle_sets(part, at, shingle))
-                names = (pa.array(x.view(np.int64)) for x in (set_id, k1, k2))
-                yield pa.record_batch([*names, batch.column(1).slice(i, j - i)], names=["id", "k1", "k2", "text"])
+                names = (pa.array(x.view(np.int64)) for x in set_names(*shingle_sets(part, at, shingle))[2:])
+                yield pa.record_batch([*names, batch.column(1).slice(i, j - i)], names=["k1", "k2", "text"])
 
-    named = found.mapInArrow(run, "id long, k1 long, k2 long, text string")
-    return named.join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"]).select("id", "text")
+    named = found.mapInArrow(run, "k1 long, k2 long, text string")
+    return named.join(classes.select("id", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["id"]).select("id", "text")
 
 
 def near_duplicates(
@@ -156,18 +155,25 @@ def near_duplicates(
     sig = materialize(signatures(docs, shingle, bands, rows), "signatures")
     total = sig.count()
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("set_id", "k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_rows")), "classes")
-    # sets that share a set_id under other names are linked with equal sets only
-    clash = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("set_id").alias("id"))
-    banded = named.filter(F.size("bands") > 0).select(F.col("set_id").alias("id"), "bands")
-    members = hub_members(banded.join(clash, "id", "left_anti"))
+    classes = named.groupBy("set_id", "k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_rows"))
+    classes = materialize(classes, "classes").withColumn("node", F.col("set_id"))
+    banded = named.filter(F.size("bands") > 0)
+    # different sets with one set_id: their whole names make the node
+    clash = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_id")
+    if clash.first() is not None:
+        clash = materialize(clash.withColumn("clash", F.lit(True)), "clashes")
+        node = F.when(F.col("clash"), F.xxhash64("set_id", "k1", "k2")).otherwise(F.col("set_id"))
+        classes, banded = (x.join(clash, "set_id", "left").withColumn("node", node).drop("clash") for x in (classes, banded))
+    else:
+        banded = banded.withColumn("node", F.col("set_id"))
+    members = hub_members(banded.select(F.col("node").alias("id"), "bands"))
     wanted = members.select("id").unionAll(members.select(F.col("hub").alias("id"))).distinct()
-    wanted = materialize(classes.join(wanted, classes["set_id"] == wanted["id"]).select("id", "doc", "k1", "k2"), "wanted")
+    wanted = materialize(classes.join(wanted, classes["node"] == wanted["id"]).select("id", "doc", "k1", "k2"), "wanted")
     texts = materialize(_class_texts(docs, wanted, shingle), "class-texts")
     comps = link(members, texts, lambda b, o: shingle_sets(b, o, shingle), percent, group_rows)
     discard(members, wanted, texts)
     other = lambda c: F.when(F.col("component").isNull(), F.col(c))  # noqa: E731  tells classes apart that are in no component
-    placed = classes.join(comps, classes["set_id"] == comps["node"], "left").select(
+    placed = classes.join(comps, "node", "left").select(
         "set_id", "k1", "k2", "doc", "n_rows", F.coalesce("component", "set_id").alias("comp"), other("k1").alias("o1"), other("k2").alias("o2")
     ).fillna(0, ["o1", "o2"])
     comp = ["comp", "o1", "o2"]
