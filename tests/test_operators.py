@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visorq.operators import detect, evaluate, imaging, model, patchcore, serving, vectors
+from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, serving, vectors
 from visorq.plans import pipeline as P
 from visorq.plans import queries as Q
 from visorq.sources import files
@@ -22,9 +22,72 @@ def test_nearest_takes_lowest_id_on_ties(spark):
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
-    whole = vectors.nn_exact(T.probes(spark, SF), T.bank(spark, SF), k=2).orderBy("id", "rank").collect()
-    monkeypatch.setattr(vectors, "BLOCK_BYTES", 20_000)
-    assert vectors.nn_exact(T.probes(spark, SF), T.bank(spark, SF), k=2).orderBy("id", "rank").collect() == whole
+    """A grid of 20 bank blocks; groups of which one is a third of the rows."""
+    probes, bank = T.probes(spark, SF), T.bank(spark, SF)
+    skewed = lambda x: x.withColumn("roi", F.when(F.col("vec_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("vec_id") % 40)))
+    run = lambda: (vectors.nn_exact(probes, bank, k=2).orderBy("id", "rank").collect(), vectors.nn_by_group(skewed(probes), skewed(bank), "roi", skip_self=True).orderBy("g", "id").collect())
+    whole = run()
+    assert len(whole[1]) == probes.count()
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", bank.count() * 64 * 8 // 19)
+    got = vectors.nn_exact(probes, bank, k=2)
+    plan = got._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Window" in plan
+    assert run() == whole
+
+
+def test_lists_of_an_index_are_pruned_and_routed(spark, tmp_path, monkeypatch):
+    """A stored index: only probed lists are read, no vectors are broadcast, a long list is cut into files."""
+    monkeypatch.setattr(vectors, "SUBLIST", 10)
+    q, rows = T.search_queries(spark, SF).filter("vec_id < 60"), T.patch_features(spark, SF)
+    path = f"file://{tmp_path}/index"
+    centers, assigned = vectors.train_cells(rows, 12)
+    vectors.save_index(path, centers, assigned)
+    files_of = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "index/lists").glob("list_id=*")]
+    assert len(files_of) == 12 and max(files_of) > 1
+    kept, lists = vectors.load_index(spark, path)
+    asked, read = vectors.probed_lists(q, kept, lists, 2)
+    assert 0 < read.select("list_id").distinct().count() <= 6 and read.count() < rows.count()
+    got = vectors.search_cells(q, kept, lists, 2, skip_self=True)
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [list_id" in plan.replace("PartitionFilters: [isnotnull(list_id", "PartitionFilters: [list_id") and "Cartesian" not in plan
+    own = {r.vec_id: set(r.l) for r in asked.groupBy("vec_id").agg(F.collect_list("list_id").alias("l")).collect()}
+    held = [(r.vec_id, np.array(r.features), r.list_id) for r in lists.collect()]
+    for r in got.collect():
+        v = next(x for i, x, _ in held if i == r.id)
+        assert r.dist == pytest.approx(min(np.sqrt(((v - x) ** 2).sum()) for i, x, c in held if c in own[r.id] and i != r.id))
+
+
+def test_graph_finds_neighbours_with_fewer_comparisons(spark, tmp_path):
+    for sf, share in ((SF, 0.95), ("/root/testdata/sf0.1", 0.6)):
+        exact = {r.id: r.dist for r in Q.queries()["nn_exact"](spark, sf).collect()}
+        rows = T.patch_features(spark, sf)
+        nodes, edges = graph.build(rows)
+        most = edges.groupBy("node").count().agg(F.max("count"), F.count("*")).first()
+        assert most[0] <= 32 and most[1] == rows.count()
+        got = {r.id: r for r in graph.search(T.search_queries(spark, sf), nodes, edges, skip_self=True).collect()}
+        assert len(got) == len(exact)
+        assert sum(abs(got[i].dist - d) < 5e-5 for i, d in exact.items()) >= 0.95 * len(exact)
+        assert sum(r.compared for r in got.values()) < share * len(exact) * rows.count()
+    graph.save(f"file://{tmp_path}/graph", nodes, edges)
+    again = vectors.search(T.search_queries(spark, sf).limit(20), rows.limit(1), "HNSW", f"file://{tmp_path}/graph", skip_self=True)
+    assert {(r.id, r.nn_id) for r in again.collect()} <= {(i, r.nn_id) for i, r in got.items()}
+
+
+def test_graph_of_few_rows_and_ties(spark):
+    rows = spark.createDataFrame([(i, [float(i // 2), 0.0]) for i in range(5)], "vec_id long, features array<double>")
+    got = graph.search(rows, *graph.build(rows), skip_self=True)
+    assert sorted((r.id, r.nn_id, r.dist) for r in got.collect()) == [(0, 1, 0.0), (1, 0, 0.0), (2, 3, 0.0), (3, 2, 0.0), (4, 2, 1.0)]
+
+
+def test_ids_of_any_size(spark):
+    ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 10**10, 2**50, -(2**62))], "id long")
+    got = {r.id: r.o for r in ids.select("id", serving.hash_order("id").alias("o")).collect()}
+    assert all(0 <= o < 2**31 and o == (i % 2**31 * 1103515245 + 12345) % 2**31 for i, o in got.items())
+    numbers = patchcore.Numbering(spark.createDataFrame([(2,)], "view int"), (4, 2))
+    places = [(1125899906854969, 2, 1, 3, 1), (2**50, 0, 0, 0, 0), (3, 1, 0, 2, 3)]
+    rows = spark.createDataFrame(places, "image_id long, view int, layer_idx int, patch_row int, patch_col int")
+    back = numbers.places(numbers.number(rows).select(F.col("vec_id").alias("id"), F.lit(0.5).alias("dist")))
+    assert sorted(tuple(r)[:5] for r in back.collect()) == sorted(places)
 
 
 def test_empty_bank_is_an_error(spark):
@@ -63,7 +126,7 @@ def test_search_dispatch_and_stored_index(spark, tmp_path):
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
-@pytest.mark.parametrize("name", ["ivf_search", "hnsw_substitute"])
+@pytest.mark.parametrize("name", ["ivf_search", "ivf_stored", "hnsw_substitute"])
 def test_registered_search_finds_the_true_neighbour(spark, name, sf):
     exact = {r.id: r.dist for r in Q.queries()["nn_exact"](spark, sf).collect()}
     hits = sum(r.dist == exact[r.id] for r in Q.queries()[name](spark, sf).collect())

@@ -132,12 +132,11 @@ class Numbering:
 
     def places(self, found: DataFrame) -> DataFrame:
         """(image_id, view, layer_idx, patch_row, patch_col, dist) of (id, dist)."""
-        rest, cols = F.col("id"), []
+        rest, cols = "id", []
         for name, n in (("patch_col", self.side), ("patch_row", self.side), ("layer_idx", self.layers), ("view", self.views)):
-            own = F.pmod(rest, F.lit(n))
-            cols.append(own.cast("int").alias(name))
-            rest = ((rest - own) / n).cast("long")
-        return found.select(rest.alias("image_id"), *reversed(cols), "dist")
+            cols.append(F.expr(f"int(pmod({rest}, {n}))").alias(name))
+            rest = f"(({rest} - pmod({rest}, {n})) div {n})"  # whole numbers throughout: a double has too few digits
+        return found.select(F.expr(rest).alias("image_id"), *reversed(cols), "dist")
 
 
 def view_maps(scored: DataFrame, views: DataFrame, grids: tuple[int, ...]) -> DataFrame:

@@ -32,8 +32,8 @@ def lru_evict(slots: DataFrame, need: float, by: str = "group", strict: bool = F
 
 
 def hash_order(id_col: str, seed: int = 12345) -> Column:
-    """An order that looks shuffled, the same in every engine."""
-    return (F.col(id_col) * 1103515245 + seed) % 2147483648
+    """An order that looks shuffled, the same in every engine: 0 to 2^31 - 1, for ids of any size and sign."""
+    return F.pmod(F.pmod(F.col(id_col).cast("long"), F.lit(2147483648)) * 1103515245 + seed, F.lit(2147483648))
 
 
 def assign_batches(rows: DataFrame, id_col: str, size: int, by: str | None = None, seed: int = 12345, lots: int = 256) -> DataFrame:

@@ -8,11 +8,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of bank vectors that one task holds at once; a larger bank is searched in blocks.
-BLOCK_BYTES = 64_000_000
+from .blocks import LOTS, grid_search
+
+#: Rows of a file of a stored index.
+SUBLIST = 100_000
 #: Rows of a coreset's group that one task selects from; a larger group is selected in distributed rounds.
 HELD = 20_000
 #: Rows that a round takes to the driver, and the rounds after which distances start from the rows again.
@@ -27,68 +29,6 @@ def check_bank(bank: DataFrame, vec: str = "features") -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def _nearest(q: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, bank id, distance) of the k nearest bank rows of each query, by distance and then id; b is
-    sorted by id. own: the queries' ids, which ``skip_self`` leaves out of the bank."""
-    approx = (q * q).sum(1)[:, None] - 2 * q @ b.T + (b * b).sum(1)
-    if skip_self:
-        approx[ids[None, :] == own[:, None]] = np.inf
-    k = min(k, len(b))
-    finite = np.where(np.isfinite(approx), approx, 0)
-    edge = np.partition(approx, k - 1, axis=1)[:, k - 1] + 1e-7 * (1 + np.abs(finite).max(1))
-    rows, out_id, out_d = [], [], []
-    for i in range(len(q)):
-        c = np.flatnonzero((approx[i] <= edge[i]) & np.isfinite(approx[i]))
-        d = np.sqrt(((b[c] - q[i]) ** 2).sum(1))
-        best = np.lexsort((ids[c], d))[:k]
-        rows.append(np.full(len(best), i))
-        out_id.append(ids[c][best])
-        out_d.append(d[best])
-    return np.concatenate(rows), np.concatenate(out_id), np.concatenate(out_d)
-
-
-def _search(queries: DataFrame, bank: DataFrame, k: int, skip_self: bool) -> tuple[DataFrame, int]:
-    """(g, id, nn_id, dist, rank): up to k nearest bank rows (g, b, v) of each query's (g, id, v) group, per block;
-    and the number of blocks. The rows of one block are final.
-
-    The bank's size is checked: blocks of at most BLOCK_BYTES, cut by group and id, are broadcast one at a
-    time. A query row meets only the rows of its group, in one matrix product per group and Arrow batch.
-    """
-    spark = queries.sparkSession
-    row = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks = max(1, -(-row["n"] * row["d"] * 8 // BLOCK_BYTES))
-    parts = None
-    for block in range(blocks):
-        own = bank if blocks == 1 else bank.filter(F.pmod(F.xxhash64("g", "b"), F.lit(blocks)) == block)
-        held = own.orderBy("g", "b").toPandas()
-        if not len(held):
-            continue
-        group = held["g"].to_numpy()
-        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        spans = {group[x]: (x, y) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True)}
-        sent = spark.sparkContext.broadcast((np.stack(held["v"].to_numpy()), held["b"].to_numpy(), spans))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            vectors, ids, spans = sent.value
-            for batch in batches:
-                for g, rows in batch.groupby("g", sort=False):
-                    if g not in spans:
-                        continue
-                    x, y = spans[g]
-                    for i in range(0, len(rows), 256):
-                        part = rows.iloc[i : i + 256]
-                        own = part["id"].to_numpy()
-                        at, nn, d = _nearest(np.stack(part["v"].to_numpy()).astype(float), own, vectors[x:y], ids[x:y], k, skip_self)
-                        rank = np.arange(len(at)) - np.searchsorted(at, at) + 1
-                        yield pd.DataFrame({"g": g, "id": own[at], "nn_id": nn, "dist": d, "rank": rank.astype(np.int32)})
-
-        found = queries.mapInPandas(run, "g string, id long, nn_id long, dist double, rank int")
-        parts = found if parts is None else parts.unionAll(found)
-    if parts is None:
-        parts = spark.createDataFrame([], "g string, id long, nn_id long, dist double, rank int")
-    return parts, blocks
-
-
 def _keyed(rows: DataFrame, name: str, id_col: str, vec: str, group) -> DataFrame:
     return rows.select(group.cast("string").alias("g"), F.col(id_col).cast("long").alias(name), F.col(vec).cast("array<double>").alias("v"))
 
@@ -100,31 +40,20 @@ def check_queries(queries: DataFrame, dim: int, vec: str = "features") -> None:
         raise ValueError(f"queries of dimension {row['a']} to {row['b']} for a bank of dimension {dim}")
 
 
-def nn_exact(queries: DataFrame, bank: DataFrame, id_col: str = "vec_id", vec: str = "features", k: int = 1, skip_self: bool = False, checked: bool = False) -> DataFrame:
+def nn_exact(queries: DataFrame, bank: DataFrame, id_col: str = "vec_id", vec: str = "features", k: int = 1, skip_self: bool = False, checked: bool = False, block_bytes: int | None = None) -> DataFrame:
     """id, rank, nn_id, dist: the k nearest bank rows, ties to the lowest id. skip_self: not the row itself.
-    checked: the queries' dimension is known to be the bank's, which spares computing them twice.
-
-    The results of one block, the usual case, are final; those of several are merged by a window over k rows
-    per query and block.
-    """
+    checked: the queries' dimension is known to be the bank's, which spares computing them once more."""
     _, dim = check_bank(bank, vec)
     if not checked:
         check_queries(queries, dim, vec)
-    found, blocks = _search(_keyed(queries, "id", id_col, vec, F.lit("")), _keyed(bank, "b", id_col, vec, F.lit("")), k, skip_self)
-    if blocks == 1:
-        return found.select("id", "nn_id", "dist", "rank")
-    order = Window.partitionBy("id").orderBy("dist", "nn_id")
-    return found.select("id", "nn_id", "dist", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
+    return grid_search(_keyed(queries, "id", id_col, vec, F.lit("")), _keyed(bank, "b", id_col, vec, F.lit("")), k, skip_self, block_bytes=block_bytes).select("id", "nn_id", "dist", "rank")
 
 
 def nn_by_group(queries: DataFrame, bank: DataFrame, group: str, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
-    """g, id, nn_id, dist: the nearest bank row of the same group (a bank per ROI), by a matrix product per group."""
-    found, blocks = _search(_keyed(queries, "id", id_col, vec, F.col(group)), _keyed(bank, "b", id_col, vec, F.col(group)), 1, skip_self)
-    kind = queries.schema[group].dataType
-    if blocks == 1:
-        return found.select(F.col("g").cast(kind).alias("g"), "id", "nn_id", "dist")
-    best = found.groupBy("g", "id").agg(F.min(F.struct("dist", "nn_id")).alias("m"))
-    return best.select(F.col("g").cast(kind).alias("g"), "id", "m.nn_id", "m.dist")
+    """g, id, nn_id, dist: the nearest bank row of the same group (a bank per ROI); a query without one has no row."""
+    lots = LOTS * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = grid_search(_keyed(queries, "id", id_col, vec, F.col(group)), _keyed(bank, "b", id_col, vec, F.col(group)), 1, skip_self, lots=lots)
+    return found.select(F.col("g").cast(queries.schema[group].dataType).alias("g"), "id", "nn_id", "dist")
 
 
 def train_cells(bank: DataFrame, nlist: int = 100, seed: int = 7, id_col: str = "vec_id", vec: str = "features", sample: int = 100_000) -> tuple[np.ndarray, DataFrame]:
@@ -135,9 +64,14 @@ def train_cells(bank: DataFrame, nlist: int = 100, seed: int = 7, id_col: str =
 
     n, _ = check_bank(bank, vec)
     fit = bank if n <= sample else bank.filter(F.pmod(F.xxhash64(id_col), F.lit(-(-n // sample))) == 0)
-    cells = KMeans(k=min(nlist, n), seed=seed, featuresCol="mv", predictionCol="list_id").fit(fit.select(array_to_vector(vec).alias("mv")))
+    cells = KMeans(k=min(nlist, n), seed=seed, maxIter=10, featuresCol="mv", predictionCol="list_id").fit(fit.select(array_to_vector(vec).alias("mv")))
     centers = np.array(cells.clusterCenters())
-    return centers, bank.withColumn("list_id", F.get(_cells_of(bank.sparkSession, centers)(F.col(vec), F.lit(1)), F.lit(0)))
+    return centers, in_cells(bank, centers, vec)
+
+
+def in_cells(bank: DataFrame, centers: np.ndarray, vec: str = "features") -> DataFrame:
+    """The rows with list_id, their nearest centroid; ties to the smaller number."""
+    return bank.withColumn("list_id", F.get(_cells_of(bank.sparkSession, centers)(F.col(vec), F.lit(1)), F.lit(0)))
 
 
 def _cells_of(spark, centers: np.ndarray):
@@ -155,10 +89,15 @@ def _cells_of(spark, centers: np.ndarray):
 
 
 def save_index(path: str, centers: np.ndarray, assigned: DataFrame, id_col: str = "vec_id", vec: str = "features") -> None:
-    """An index as Parquet: the centroids, and the rows by list_id."""
+    """An index as Parquet: the centroids, and the rows in a folder per list, so that a search reads the lists it probes.
+    A long list is written by several tasks, in files of at most ``SUBLIST`` rows."""
     spark = assigned.sparkSession
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list_id int, center array<double>").write.mode("overwrite").parquet(f"{path}/centers")
-    assigned.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("features"), "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+    rows = assigned.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("features"), "list_id")
+    per_list = rows.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / SUBLIST).cast("int").alias("subs"))
+    dealt = rows.join(F.broadcast(per_list), "list_id").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")).drop("subs")
+    dealt = dealt.repartition("list_id", "sub").drop("sub").sortWithinPartitions("list_id")
+    dealt.write.option("maxRecordsPerFile", SUBLIST).mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
 
 
 def load_index(spark, path: str) -> tuple[np.ndarray, DataFrame]:
@@ -167,11 +106,23 @@ def load_index(spark, path: str) -> tuple[np.ndarray, DataFrame]:
     return np.array([r["center"] for r in rows]), spark.read.parquet(f"{path}/lists")
 
 
-def search_cells(queries: DataFrame, centers: np.ndarray, assigned: DataFrame, nprobe: int = 16, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
-    """id, nn_id, dist: nearest rows among those of the ``nprobe`` nearest cells; probing all is exact."""
+def probed_lists(queries: DataFrame, centers: np.ndarray, assigned: DataFrame, nprobe: int, vec: str = "features") -> tuple[DataFrame, DataFrame]:
+    """(queries once per list that they probe, rows of these lists). The lists' numbers, at most nlist, go through the
+    driver into the scan, so that a stored index is read no further than that."""
     probe = _cells_of(queries.sparkSession, centers)
-    q = queries.withColumn("list_id", F.explode(probe(F.col(vec), F.lit(min(nprobe, len(centers))))))
-    found = nn_by_group(q, assigned, "list_id", id_col, vec, skip_self)
+    asked = queries.withColumn("list_id", F.explode(probe(F.col(vec), F.lit(min(nprobe, len(centers))))))
+    some = sorted(r["list_id"] for r in asked.select("list_id").distinct().collect())
+    return asked, assigned.filter(F.col("list_id").isin(some))
+
+
+def search_cells(queries: DataFrame, centers: np.ndarray, assigned: DataFrame, nprobe: int = 16, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
+    """id, nn_id, dist: nearest rows among those of the ``nprobe`` nearest cells; probing all is exact.
+
+    A probe is routed to its list: lists are lots of the block grid, so a list meets the queries that probe it and no
+    others, and a long list is cut into blocks."""
+    asked, rows = probed_lists(queries, centers, assigned, nprobe, vec)
+    of_list = F.col("g").cast("int")
+    found = grid_search(_keyed(asked, "id", id_col, vec, F.col("list_id")), _keyed(rows, "b", id_col, vec, F.col("list_id")), 1, skip_self, of_list, max(2, len(centers)))
     return found.groupBy("id").agg(F.min(F.struct("dist", "nn_id")).alias("m")).select("id", "m.nn_id", "m.dist")
 
 
@@ -182,9 +133,16 @@ def ivf_search(queries: DataFrame, bank: DataFrame, nlist: int = 100, nprobe: in
     return search_cells(queries, centers, assigned, nprobe, id_col, vec, skip_self)
 
 
+def check_queries(queries: DataFrame, dim: int, vec: str = "features") -> None:
+    """Queries of another dimension than the bank's are an error."""
+    row = queries.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b")).first()
+    if row["a"] is not None and (row["a"] != dim or row["b"] != dim):
+        raise ValueError(f"queries of dimension {row['a']} to {row['b']} for a bank of dimension {dim}")
+
+
 def lsh_search(queries: DataFrame, bank: DataFrame, width: float = 4.0, tables: int = 8, seed: int = 7, id_col: str = "vec_id", vec: str = "features", skip_self: bool = False) -> DataFrame:
-    """Graph-index substitute: random-projection buckets, exact distances inside; promises recall only. A query
-    that no bucket answers is searched exactly, so none is lost."""
+    """Random-projection buckets, exact distances inside; promises recall only. A query that no bucket answers is
+    searched exactly, so none is lost."""
     _, dim = check_bank(bank, vec)
     check_queries(queries, dim, vec)
     spark = queries.sparkSession
@@ -208,12 +166,24 @@ def search(
     queries: DataFrame, bank: DataFrame, algorithm: str = "brute_force", index_path: str | None = None, nlist: int = 100, nprobe: int = 16, skip_self: bool = False,
     checked: bool = False,
 ) -> DataFrame:
-    """id, nn_id, dist by the named algorithm, in any case: brute_force, ivf or hnsw; any other name is brute
-    force. For ivf an index at ``index_path`` is loaded; where there is none it is trained and stored there; where
-    that fails, the search is by brute force."""
+    """id, nn_id, dist by the named algorithm, in any case: brute_force, ivf, hnsw (a proximity graph) or lsh; any other
+    name is brute force. For ivf and hnsw an index at ``index_path`` is loaded; where there is none it is trained and
+    stored there; where ivf's training fails, the search is by brute force."""
     name = algorithm.lower()
-    if name == "hnsw":
+    if name == "lsh":
         return lsh_search(queries, bank, skip_self=skip_self)
+    if name == "hnsw":
+        from pyspark.errors import PySparkException
+
+        from . import graph
+
+        check_bank(bank)
+        try:
+            made = graph.load(queries.sparkSession, index_path) if index_path else graph.build(bank)
+        except PySparkException:  # no stored graph yet
+            made = graph.build(bank)
+            graph.save(index_path, *made)
+        return graph.search(queries, *made, skip_self=skip_self).drop("compared")
     if name == "ivf":
         from pyspark.errors import PySparkException
 

@@ -102,6 +102,49 @@ def _(spark, sf):
     return vectors.lsh_search(*_searched(spark, sf), skip_self=True).select("id", "nn_id", r4("dist"))
 
 
+@query("nn_grid", f"""WITH {PATCH},
+nn AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d FROM patch p JOIN patch b ON b.vec_id <> p.vec_id)
+SELECT id, nn_id, row_number() OVER (PARTITION BY id ORDER BY d, nn_id)::INT AS rank, round(d, 4) AS dist FROM nn QUALIFY rank <= 2""")
+def _(spark, sf):
+    rows = T.patch_features(spark, sf)  # every row against all others, in blocks of some 60 vectors
+    return vectors.nn_exact(rows, rows, k=2, skip_self=True, block_bytes=32_768).select("id", "nn_id", "rank", r4("dist"))
+
+
+@query("ivf_stored", f"""WITH {PATCH},
+c0 AS (SELECT row_number() OVER (ORDER BY ((vec_id % 2147483648) * 1103515245 + 12345) % 2147483648, vec_id) - 1 AS list_id, f FROM patch ORDER BY list_id LIMIT 16),
+cell0 AS (SELECT p.f, arg_min(list_id, list_distance(p.f, c0.f)) AS list_id FROM patch p, c0 GROUP BY vec_id, p.f),
+mean AS (SELECT list_id, i, avg(f[i]) AS x FROM cell0, unnest(range(1, 65)) AS u(i) GROUP BY 1, 2),
+c AS (SELECT list_id, list(x ORDER BY i) AS f FROM mean GROUP BY 1),
+cell AS (SELECT vec_id, list_id, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(p.f, c.f), list_id) AS r FROM patch p, c),
+nn AS (SELECT p.vec_id AS id, min(struct_pack(d := list_distance(p.f, t.f), nn_id := t.vec_id)) AS m
+ FROM probe p JOIN cell a ON a.vec_id = p.vec_id AND a.r <= 13 JOIN cell b ON b.list_id = a.list_id AND b.r = 1 AND b.vec_id <> p.vec_id JOIN patch t ON t.vec_id = b.vec_id GROUP BY 1)
+SELECT id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM nn""")
+def _(spark, sf):
+    import uuid
+
+    import numpy as np
+
+    from ..storage import shared_folder
+
+    rows = T.patch_features(spark, sf)
+    first = np.array([r["features"] for r in rows.orderBy(serving.hash_order("vec_id"), "vec_id").limit(16).collect()])
+    means = vectors.in_cells(rows, first).select("list_id", F.posexplode("features")).groupBy("list_id", "pos").agg(F.avg("col").alias("x"))
+    listed = means.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"].alias("f"))
+    centers = np.array([r["f"] for r in listed.orderBy("list_id").collect()])
+    path = f"{shared_folder(spark)}/visorq-steps/index-{uuid.uuid4().hex}"
+    vectors.save_index(path, centers, vectors.in_cells(rows, centers))
+    found = vectors.search_cells(T.search_queries(spark, sf), *vectors.load_index(spark, path), nprobe=13, skip_self=True)
+    return found.select("id", "nn_id", r4("dist"))
+
+
+@query("graph_search")
+def _(spark, sf):
+    from ..operators import graph
+
+    nodes, edges = graph.build(T.patch_features(spark, sf))
+    return graph.search(T.search_queries(spark, sf), nodes, edges, skip_self=True).select("id", "nn_id", r4("dist"), "compared")
+
+
 @query("search_dispatch", _SQL["nn_exact"])
 def _(spark, sf):
     return vectors.search(*_searched(spark, sf), "No_Such_Algorithm", skip_self=True).select("id", "nn_id", r4("dist"))
@@ -431,7 +474,7 @@ def _(spark, sf):
     return T.detections(spark, sf).select("det_id", r4("cx", (F.col("cx") - 12) / 0.75), r4("cy", (F.col("cy") - 20) / 0.75), r4("w", F.col("w") / 0.75), r4("h", F.col("h") / 0.75))
 
 
-@query("flip_boxes", f"WITH {DETS} SELECT det_id, CASE WHEN (det_id * 1103515245 + 12345) % 2147483648 < 1073741824 THEN round(1 - cx / 640, 7) ELSE round(cx / 640, 7) END AS cx FROM det")
+@query("flip_boxes", f"WITH {DETS} SELECT det_id, CASE WHEN ((det_id % 2147483648) * 1103515245 + 12345) % 2147483648 < 1073741824 THEN round(1 - cx / 640, 7) ELSE round(cx / 640, 7) END AS cx FROM det")
 def _(spark, sf):
     return serving.flip_boxes(T.detections(spark, sf).withColumn("cx", F.col("cx") / 640), "det_id").select("det_id", F.round("cx", 7).alias("cx"))
 
@@ -578,18 +621,18 @@ def _(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id").join(T.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("batch_assign", "SELECT event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+@query("batch_assign", "SELECT event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
 def _(spark, sf):
     return serving.assign_batches(T.table(spark, sf, "events").select("event_id"), "event_id", 16).select("event_id", "pos", "batch")
 
 
-@query("batch_assign_by_group", "SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+@query("batch_assign_by_group", "SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
 def _(spark, sf):
     e = T.table(spark, sf, "events").select("event_type", "event_id")
     return serving.assign_batches(e, "event_id", 16, "event_type").select("shard", "event_id", "pos", "batch")
 
 
-@query("shuffle_limit", "SELECT event_id FROM events ORDER BY (event_id * 1103515245 + 12345) % 2147483648, event_id LIMIT 100")
+@query("shuffle_limit", "SELECT event_id FROM events ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id LIMIT 100")
 def _(spark, sf):
     return T.table(spark, sf, "events").select("event_id").orderBy(serving.hash_order("event_id"), "event_id").limit(100)
 
@@ -605,19 +648,20 @@ def _boxed(spark, sf):
     return T.detections(spark, sf).select(F.col("det_id").alias("idx"), F.expr("int(320 + det_id % 400)").alias("w"), F.expr("int(240 + det_id * 7 % 500)").alias("h"), F.array(box).alias("boxes"))
 
 
-_CHANCE = "((({0}) * 1103515245 + 12345 + {1} * 7919) % 2147483648) / 2147483648.0::DOUBLE"
+_CHANCE = "(((({0}) % 2147483648) * 1103515245 + 12345 + {1} * 7919) % 2147483648) / 2147483648.0::DOUBLE"
 _MOSAIC = f"""WITH {DETS}, b AS (SELECT det_id // 4 AS mosaic, det_id AS idx, det_id % 4 AS q, (320 + det_id % 400)::INT AS w, (240 + det_id * 7 % 500)::INT AS h, cx / 640 AS bx, cy / 640 AS byy, w / 640 AS bw, h / 640 AS bh FROM det),
 m AS (SELECT *, count(*) OVER (PARTITION BY mosaic) AS members, min(idx) OVER (PARTITION BY mosaic) AS head, floor(213 + {_CHANCE.format("mosaic", 1)} * 214)::INT AS px, floor(213 + {_CHANCE.format("mosaic", 2)} * 214)::INT AS py, floor(w * (0.5 + {_CHANCE.format("idx", 3)}))::INT AS nw, floor(h * (0.5 + {_CHANCE.format("idx", 3)}))::INT AS nh FROM b),
 o AS (SELECT *, nw / w::DOUBLE AS s, CASE WHEN q % 2 = 0 THEN px - nw ELSE px END AS x0, CASE WHEN q < 2 THEN py - nh ELSE py END AS y0 FROM m),
 e AS (SELECT *, greatest(0, x0) AS x1, greatest(0, y0) AS y1, least(640, x0 + nw) AS x2, least(640, y0 + nh) AS y2 FROM o),
 c AS (SELECT *, greatest(0.0, bx * w * s + x0 - bw * w * s / 2) AS l, greatest(0.0, byy * h * s + y0 - bh * h * s / 2) AS t, least(640.0, bx * w * s + x0 + bw * w * s / 2) AS r, least(640.0, byy * h * s + y0 + bh * h * s / 2) AS u FROM e WHERE members = 4 AND x2 > x1 AND y2 > y1)
-SELECT mosaic, idx, round((l + r) / 2 / 640, 4) AS cx, round((t + u) / 2 / 640, 4) AS cy, round((r - l) / 640, 4) AS w, round((u - t) / 640, 4) AS h, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM c WHERE r > l AND u > t
-UNION ALL SELECT mosaic, idx, round(bx, 4), round(byy, 4), round(bw, 4), round(bh, 4), 0, 0, w, h FROM m WHERE members < 4 AND idx = head"""
+SELECT mosaic, idx, round((l + r) / 2 / 640 + 1e-6, 4) AS cx, round((t + u) / 2 / 640 + 1e-6, 4) AS cy, round((r - l) / 640 + 1e-6, 4) AS w, round((u - t) / 640 + 1e-6, 4) AS h, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM c WHERE r > l AND u > t
+UNION ALL SELECT mosaic, idx, round(bx + 1e-6, 4), round(byy + 1e-6, 4), round(bw + 1e-6, 4), round(bh + 1e-6, 4), 0, 0, w, h FROM m WHERE members < 4 AND idx = head"""
 
 
 @query("mosaic_boxes", _MOSAIC)
 def _(spark, sf):
-    return serving.mosaic_boxes(_boxed(spark, sf)).select("mosaic", "idx", *[r4(c) for c in ("cx", "cy", "w", "h")], "x1", "y1", "x2", "y2")
+    # the values are whole numbers over 2 * 640 * 640, of which some end in 5 at the fifth place: the shift keeps them off ties
+    return serving.mosaic_boxes(_boxed(spark, sf)).select("mosaic", "idx", *[r4(c, F.col(c) + 1e-6) for c in ("cx", "cy", "w", "h")], "x1", "y1", "x2", "y2")
 
 
 @query("collate", f"WITH {DETS} SELECT det_id // 8 AS batch, det_id % 8 AS batch_idx, 1 AS cls, round(cx / 640, 4) AS cx, round(cy / 640, 4) AS cy, round(w / 640, 4) AS w, round(h / 640, 4) AS h FROM det")
