@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, serving, vectors
+from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, vectors
 from visorq.plans import pipeline as P
 from visorq.plans import queries as Q
 from visorq.sources import files
@@ -79,6 +79,48 @@ def test_graph_of_few_rows_and_ties(spark):
     assert sorted((r.id, r.nn_id, r.dist) for r in got.collect()) == [(0, 1, 0.0), (1, 0, 0.0), (2, 3, 0.0), (3, 2, 0.0), (4, 2, 1.0)]
 
 
+def test_nearest_rank_without_all_values_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    lists = [rng.normal(size=3000).tolist(), [1.0] * 1500 + rng.normal(size=1500).tolist(), [float(2**i) for i in range(-300, 300)], [5.0] * 400, [1.0, None, 3.0, 2.0]]
+    for values in lists:
+        df, own = spark.createDataFrame([(v,) for v in values], "score double").repartition(3), sorted(v for v in values if v is not None)
+        for rank in {1, 2, len(own) // 3 + 1, len(own) // 2, len(own)}:
+            if rank:
+                assert evaluate.nth_smallest(df, "score", rank, few=40) == own[rank - 1], (rank, len(own))
+        assert evaluate.nth_smallest(df, "score", len(own) + 1, few=40) is None
+    got = evaluate.score_thresholds(spark.createDataFrame([(v,) for v in lists[0]], "score double"), percent=90.0, few=40).first()
+    assert got.thr_percentile == sorted(lists[0])[2699] and got.n == 3000
+    assert evaluate.score_thresholds(df.limit(0)).first().thr_percentile is None
+
+
+def test_rasters_of_several_blocks(spark, monkeypatch):
+    """The node over images that are cut into blocks of 5, 16 and 512 pixels, and views that reach over many of them."""
+    rng = np.random.default_rng(4)
+    sizes = {1: (23, 17), 2: (5, 5), 3: (1, 9)}
+    images = {i: rng.integers(0, 256, (h, w, 3)).astype(float) for i, (h, w) in sizes.items()}
+    rows = [(i, y, x, c, float(a[y, x, c])) for i, a in images.items() for y in range(a.shape[0]) for x in range(a.shape[1]) for c in range(3)]
+    pix = spark.createDataFrame(rows, "image_id long, row int, col int, ch int, v double").repartition(4)
+    bank = spark.createDataFrame([(n, rng.integers(0, 256, 3).astype(float).tolist()) for n in range(9)], "vec_id long, features array<double>")
+    params = {"max_tile_size": "6", "overlap": "2", "multi_scale": "1"}
+    maps = []
+    for side in (512, 16, 5):
+        blocks = raster.pack(pix, side).cache()
+        assert {(r.image_id, r.w, r.h) for r in raster.image_sizes(blocks, side).collect()} == {(i, w, h) for i, (h, w) in sizes.items()}
+        assert sorted(map(tuple, raster.unpack(blocks, side=side).collect())) == sorted(rows)
+        monkeypatch.setattr(raster, "BLOCK", side)
+        for f in ("pack", "unpack", "image_sizes", "map_views", "view_scores"):
+            g = getattr(raster, f)
+            monkeypatch.setattr(g, "__defaults__", tuple(side if d in (512, 16, 5) and d is g.__defaults__[-1] else d for d in g.__defaults__))
+        maps.append({(r.image_id, r.row, r.col): r.score for r in patchcore.patchcore_map(pix, bank, params=params).collect()})
+        top = {r.image_id: r.anomaly_score for r in patchcore.patchcore(blocks, bank, 0.0, params=params).collect()}
+        assert top == {i: max(v for k, v in maps[-1].items() if k[0] == i) for i in images}
+    assert maps[0].keys() == {(i, y, x) for i, (h, w) in sizes.items() for y in range(h) for x in range(w)}
+    assert all(abs(m[k] - v) < 1e-9 for m in maps[1:] for k, v in maps[0].items())
+    low, high, w = raster.taps(2, 3, 5, 0.5)
+    s = np.clip((np.arange(2, 5) + 0.5) * 0.5 - 0.5, 0, 4)
+    assert np.allclose(raster.resample(np.arange(25.0).reshape(5, 5), (low, high, w), (low, high, w)), s[:, None] * 5 + s)
+
+
 def test_ids_of_any_size(spark):
     ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 10**10, 2**50, -(2**62))], "id long")
     got = {r.id: r.o for r in ids.select("id", serving.hash_order("id").alias("o")).collect()}

@@ -34,13 +34,18 @@ def nearest(q: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: i
     ids, which ``skip_self`` leaves out of the bank.
 
     A matrix product finds what can be among the nearest; distances are then taken from the differences."""
-    approx = (q * q).sum(1)[:, None] - 2 * q @ b.T + (b * b).sum(1)
+    own_sq, bank_sq = (q * q).sum(1), (b * b).sum(1)
+    approx = (q * -2.0) @ b.T
+    approx += own_sq[:, None]
+    approx += bank_sq
     if skip_self:
         approx[ids[None, :] == own[:, None]] = np.inf
     k = min(k, len(b))
-    finite = np.where(np.isfinite(approx), approx, 0)
-    edge = (approx.min(1) if k == 1 else np.partition(approx, k - 1, axis=1)[:, k - 1]) + 1e-7 * (1 + np.abs(finite).max(1))
-    may = (approx <= edge[:, None]) & np.isfinite(approx)
+    # far above the product's rounding
+    edge = (approx.min(1) if k == 1 else np.partition(approx, k - 1, axis=1)[:, k - 1]) + 1e-9 * (1 + own_sq + bank_sq.max())
+    may = approx <= edge[:, None]
+    if skip_self:
+        may &= approx < np.inf
     row, at = np.nonzero(may)
     dist = np.sqrt(((b[at] - q[row]) ** 2).sum(1))
     order = np.lexsort((ids[at], dist, row))

@@ -2,19 +2,67 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def score_thresholds(scores: DataFrame, col: str = "score", k: float = 3.0, percent: float = 99.0) -> DataFrame:
-    """One row: max, mean + k sigma (population) and nearest-rank percentile, all map-side combined."""
+#: Values that one task sorts at the end of a selection, at most.
+FEW = 100_000
+
+
+def nth_smallest(values: DataFrame, col: str, rank: int, few: int = FEW):
+    """The value at ``rank`` (from 1) of the column's values that aren't null, exactly; None beyond their number.
+
+    No task holds all values: a mergeable sketch of quantiles gives two values near the rank, one pass counts what lies
+    below, between and above them, and the part that holds the rank is cut again until it is small. Each pass
+    leaves some ten-thousandths, and drops one value at least, so equal values don't stop it."""
+    inside = values.select(F.col(col).alias("x")).filter(F.col("x").isNotNull())
+    part, n = inside, inside.count()
+    if not 0 < rank <= n:
+        return None
+    x, below = F.col("x"), 0
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    while n > few:
+        at, slack, fine = (rank - below) / n, 2e-4, 10_000
+        low, high = part.agg(F.percentile_approx("x", [max(0.0, at - slack), min(1.0, at + slack)], fine)).first()[0]
+        a, b = F.lit(low), F.lit(high)
+        c = part.agg(
+            count(x < a).alias("lt_a"), count(x <= a).alias("le_a"), count(x < b).alias("lt_b"), count(x <= b).alias("le_b"), F.max(F.when(x < a, x)).alias("before_a"),
+            F.min(F.when(x > a, x)).alias("after_a"), F.max(F.when(x < b, x)).alias("before_b"), F.min(F.when(x > b, x)).alias("after_b"),
+        ).first()
+        want = rank - below
+        if want <= c["lt_a"]:
+            part, n = part.filter(x <= c["before_a"]), c["lt_a"]
+        elif want <= c["le_a"]:
+            return low
+        elif want <= c["lt_b"]:
+            part, n, below = part.filter((x >= c["after_a"]) & (x <= c["before_b"])), c["lt_b"] - c["le_a"], below + c["le_a"]
+        elif want <= c["le_b"]:
+            return high
+        else:
+            part, n, below = part.filter(x >= c["after_b"]), n - c["le_b"], below + c["le_b"]
+    return part.agg(F.element_at(F.sort_array(F.collect_list("x")), rank - below)).first()[0]
+
+
+def score_thresholds(scores: DataFrame, col: str = "score", k: float = 3.0, percent: float = 99.0, few: int = FEW) -> DataFrame:
+    """One row: n, max, mean + k sigma (population), nearest-rank percentile, and what they come from. The scores are
+    read a few times, so store them first where they are costly."""
+    n = scores.select(F.count(col)).first()[0]
+    found = nth_smallest(scores, col, max(1, math.ceil(percent / 100 * n)), few)
     return scores.agg(
-        F.max(col).alias("thr_max"), (F.avg(col) + k * F.stddev_pop(col)).alias("thr_sigma"),
-        F.expr(f"percentile_disc({percent / 100}) within group (order by {col})").alias("thr_percentile"),
-        F.min(col).alias("min_score"), F.avg(col).alias("mean_score"), F.stddev_pop(col).alias("std_score"),
+        F.max(col).alias("thr_max"), (F.avg(col) + k * F.stddev_pop(col)).alias("thr_sigma"), F.lit(found).cast("double").alias("thr_percentile"),
+        F.min(col).alias("min_score"), F.avg(col).alias("mean_score"), F.stddev_pop(col).alias("std_score"), F.count(col).alias("n"),
     )
 
 
+def thresholds_by_method(scores: DataFrame, col: str = "score", k: float = 3.0, percent: float = 99.0) -> DataFrame:
+    """method, threshold, num_samples: a row for each way of setting the threshold."""
+    return score_thresholds(scores, col, k, percent).selectExpr(
+        "stack(3, 'max_score', thr_max, 'mean_ksigma', thr_sigma, 'percentile', thr_percentile) as (method, threshold)", "n as num_samples")
+
+
 def _metrics(counts: DataFrame) -> DataFrame:
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))

@@ -1,24 +1,27 @@
 """Anomaly inspection in one call: views of images (tiles, scales, ROIs), features, neighbours, maps, verdicts.
 
-Images are long pixel tables (image_id, row, col, ch, v). A view is a rectangle of an image on one scale; its
-pixels are found by an equi join on a coarse grid, so a pixel meets only the views near it. A backbone turns
-the pixels of all views into patch vectors; distances to the bank's nearest rows become a map per view, and maps
-are fused by their maximum, with floor 0, at their places in the image.
+Images are packed blocks (``raster``) or long pixel tables (image_id, row, col, ch, v), which are packed first. A view is a
+rectangle of an image on one scale. A backbone turns the pixels of a view into patch vectors; distances to the bank's
+nearest rows become a map per view, and maps are fused by their maximum, with floor 0, at their places in the image.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluate, imaging, vectors
+from ..storage import stored
+from . import evaluate, imaging, raster, vectors
+from .raster import image_sizes
 
-#: A backbone: pixels of views (image_id, view, row, col, ch, v, h, w) to patches (image_id, view, layer_idx,
-#: patch_row, patch_col, features). ``grids`` holds the rows and columns of each layer's patches.
-Backbone = Callable[[DataFrame], DataFrame]
+#: A backbone: a view's pixels (h x w x channels) to one array (side x side x features) per layer, where a patch of NaN
+#: is left out. ``grids`` holds the layers' sides.
+Backbone = Callable[[np.ndarray], list[np.ndarray]]
 #: The scales of the image pyramid, and the overlap of tiles in pixels.
 SCALES, OVERLAP = (1.0, 0.75, 0.5), 32
 
@@ -26,46 +29,24 @@ SCALES, OVERLAP = (1.0, 0.75, 0.5), 32
 def statistics_backbone(grids: tuple[int, ...] = (4, 2)) -> Backbone:
     """A deterministic stand-in for a network: per layer a grid of patches with the mean of each channel."""
 
-    def extract(pixels: DataFrame) -> DataFrame:
-        layers = F.explode(F.array(*[F.struct(F.lit(i).alias("layer_idx"), F.lit(g).alias("grid")) for i, g in enumerate(grids)]))
-        place = lambda at, n: F.floor(F.col(at) * F.col("l.grid") / F.col(n)).cast("int")
-        cells = pixels.withColumn("l", layers).groupBy("image_id", "view", "l.layer_idx", place("row", "h").alias("patch_row"), place("col", "w").alias("patch_col"), "ch")
-        means = cells.agg(F.avg("v").alias("m"))
-        listed = means.groupBy("image_id", "view", "layer_idx", "patch_row", "patch_col").agg(F.sort_array(F.collect_list(F.struct("ch", "m"))).alias("f"))
-        return listed.withColumn("features", F.col("f.m")).drop("f")
+    def parts(n: int, grid: int) -> np.ndarray:
+        return (np.arange(grid)[:, None] == np.arange(n) * grid // n).astype(float)
+
+    def extract(view: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for g in grids:
+            rows, cols = parts(view.shape[0], g), parts(view.shape[1], g)
+            many = np.outer(rows.sum(1), cols.sum(1))[:, :, None]
+            total = np.einsum("gh,hwc,kw->gkc", rows, view, cols, optimize=True)
+            out.append(np.where(many > 0, total / np.maximum(many, 1), np.nan))
+        return out
 
     extract.grids = grids
     return extract
 
 
-def image_sizes(pixels: DataFrame) -> DataFrame:
-    return pixels.groupBy("image_id").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
-
-
-def _taps(sizes: DataFrame, axis: str) -> DataFrame:
-    """For each (n_in, n_out, step): which source cells make up each output cell along one axis."""
-    grid = sizes.withColumn("out", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)))
-    s = F.greatest(F.lit(0.0), F.least((F.col("n_in") - 1).cast("double"), (F.col("out") + 0.5) * F.col("step") - 0.5))
-    low = F.floor("s").cast("int")
-    both = grid.withColumn("s", s).select("n_in", "n_out", "step", "out", F.explode(F.array(
-        F.struct(low.alias("i"), (1 - (F.col("s") - low)).alias("w")), F.struct(F.least(low + 1, F.col("n_in") - 1).alias("i"), (F.col("s") - low).alias("w")))).alias("t"))
-    summed = both.groupBy("n_in", "n_out", "step", "out", "t.i").agg(F.sum("t.w").alias("w")).filter("w > 0")
-    return summed.select(*(F.col(c).alias(f"{axis}_{c}") for c in ("n_in", "n_out", "step", "i", "out", "w")))
-
-
-def resize_each(cells: DataFrame, keys: list[str], value: str, sizes: DataFrame) -> DataFrame:
-    """Bilinear resampling where every image has its own size: cells (keys, row, col, value, in_h, in_w, out_h,
-    out_w, and the source cells per output cell, step_y and step_x). Weights exist once per pair of sizes; ``sizes``,
-    a small table, has those of the cells."""
-    size = lambda n_in, n_out, step: sizes.select(F.col(n_in).alias("n_in"), F.col(n_out).alias("n_out"), F.col(step).alias("step")).distinct()
-    y, x = _taps(size("in_h", "out_h", "step_y"), "y"), _taps(size("in_w", "out_w", "step_x"), "x")
-    on = lambda a, n, m, step, at: (F.col(n) == F.col(f"{a}_n_in")) & (F.col(m) == F.col(f"{a}_n_out")) & (F.col(step) == F.col(f"{a}_step")) & (F.col(at) == F.col(f"{a}_i"))
-    taps = cells.join(y, on("y", "in_h", "out_h", "step_y", "row")).join(x, on("x", "in_w", "out_w", "step_x", "col"))
-    return taps.groupBy(*keys, F.col("y_out").alias("row"), F.col("x_out").alias("col")).agg(F.sum(F.col(value) * F.col("y_w") * F.col("x_w")).alias(value))
-
-
 def tile_views(sizes: DataFrame, max_tile: int = 1024, multi_scale: bool = False, overlap: int = OVERLAP) -> DataFrame:
-    """image_id, view, scale, x, y, w, h (in the scaled image), to_x, to_y, to_w, to_h (in the image).
+    """image_id, view, scale, x, y, w, h (in the scaled image), to_x, to_y, to_w, to_h (in the image), img_w, img_h, tag.
 
     Images larger than ``max_tile`` (0: none) are cut into tiles; with ``multi_scale`` each tile, or the whole
     image, is seen on the smaller scales as well. Tiles that are empty on a scale go."""
@@ -86,6 +67,7 @@ def tile_views(sizes: DataFrame, max_tile: int = 1024, multi_scale: bool = False
     rows = each.select(
         "image_id", "scale", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), F.col("x1").alias("to_x"), F.col("y1").alias("to_y"),
         (F.col("x2") - F.col("x1")).alias("to_w"), (F.col("y2") - F.col("y1")).alias("to_h"),
+        "img_w", "img_h", F.lit(None).cast("string").alias("tag"),
     ).filter("w > 0 and h > 0")
     return _numbered(rows, ["scale", "to_y", "to_x"])
 
@@ -97,27 +79,6 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("view", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)) - 1)
 
 
-def view_pixels(pixels: DataFrame, sizes: DataFrame, views: DataFrame, cell: int = 1024, scales: tuple[float, ...] = SCALES[:1]) -> DataFrame:
-    """image_id, view, row, col (in the view), ch, v, h, w. scales: those that the views have."""
-    levels = None
-    for scale in sorted(scales, reverse=True):
-        if scale == 1.0:
-            level = pixels.select("image_id", "row", "col", "ch", "v")
-        else:
-            out = lambda n, scale=scale: F.bround(F.col(n) * scale).cast("int")
-            scaled = sizes.select(
-                "image_id", F.col("h").alias("in_h"), F.col("w").alias("in_w"), out("h").alias("out_h"), out("w").alias("out_w"), F.lit(1 / scale).alias("step_y"), F.lit(1 / scale).alias("step_x")
-            ).filter("out_h > 0 and out_w > 0")
-            level = resize_each(pixels.select("image_id", "row", "col", "ch", "v").join(scaled, "image_id"), ["image_id", "ch"], "v", scaled).select("image_id", "row", "col", "ch", "v")
-        level = level.withColumn("scale", F.lit(scale))
-        levels = level if levels is None else levels.unionByName(level)
-    grid = lambda at: F.floor(at / cell).cast("int")
-    near = views.withColumn("gy", F.explode(F.sequence(grid(F.col("y")), grid(F.col("y") + F.col("h") - 1)))).withColumn("gx", F.explode(F.sequence(grid(F.col("x")), grid(F.col("x") + F.col("w") - 1))))
-    placed = levels.withColumns({"gy": grid(F.col("row")), "gx": grid(F.col("col"))}).join(near.select("image_id", "view", "scale", "x", "y", "w", "h", "gy", "gx"), ["image_id", "scale", "gy", "gx"])
-    inside = (F.col("row") >= F.col("y")) & (F.col("row") < F.col("y") + F.col("h")) & (F.col("col") >= F.col("x")) & (F.col("col") < F.col("x") + F.col("w"))
-    return placed.filter(inside).select("image_id", "view", (F.col("row") - F.col("y")).alias("row"), (F.col("col") - F.col("x")).alias("col"), "ch", "v", "h", "w")
-
-
 class Numbering:
     """Numbers of patches made of their places, and back."""
 
@@ -131,7 +92,7 @@ class Numbering:
         return patches.withColumn("vec_id", ((at * self.side + F.col("patch_row")) * self.side + F.col("patch_col")).cast("long"))
 
     def places(self, found: DataFrame) -> DataFrame:
-        """(image_id, view, layer_idx, patch_row, patch_col, dist) of (id, dist)."""
+        """image_id, view, layer_idx, patch_row, patch_col, dist of (id, dist)."""
         rest, cols = "id", []
         for name, n in (("patch_col", self.side), ("patch_row", self.side), ("layer_idx", self.layers), ("view", self.views)):
             cols.append(F.expr(f"int(pmod({rest}, {n}))").alias(name))
@@ -139,56 +100,52 @@ class Numbering:
         return found.select(F.expr(rest).alias("image_id"), *reversed(cols), "dist")
 
 
-def view_maps(scored: DataFrame, views: DataFrame, grids: tuple[int, ...]) -> DataFrame:
-    """Patch distances (image_id, view, layer_idx, patch_row, patch_col, dist) as maps: image_id, view, row, col,
-    score on the view's own pixels, the largest layer per pixel."""
-    layers = F.explode(F.array(*[F.struct(F.lit(i).alias("layer_idx"), F.lit(g).alias("grid")) for i, g in enumerate(grids)]))
-    sizes = views.select("image_id", "view", "w", "h", layers.alias("l")).select(
-        "image_id", "view", "l.layer_idx", F.col("l.grid").alias("in_h"), F.col("l.grid").alias("in_w"), F.col("h").alias("out_h"), F.col("w").alias("out_w"),
-        (F.col("l.grid") / F.col("h")).alias("step_y"), (F.col("l.grid") / F.col("w")).alias("step_x"),
-    )
-    cells = scored.withColumnsRenamed({"patch_row": "row", "patch_col": "col", "dist": "score"}).join(sizes, ["image_id", "view", "layer_idx"])
-    up = resize_each(cells, ["image_id", "view", "layer_idx"], "score", sizes)
-    return up.groupBy("image_id", "view", "row", "col").agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
+def verdicts(scores: DataFrame, threshold: float) -> DataFrame:
+    """image_id, anomaly_score, the largest score, and is_anomaly, strictly above the threshold."""
+    return scores.groupBy("image_id").agg(F.max("score").alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") > threshold)
 
 
-def fuse_views(maps: DataFrame, views: DataFrame) -> DataFrame:
-    """image_id, row, col, score: view maps brought to their places' size and fused by the maximum."""
-    sizes = views.select(
-        "image_id", "view", "to_x", "to_y", F.col("h").alias("in_h"), F.col("w").alias("in_w"), F.col("to_h").alias("out_h"), F.col("to_w").alias("out_w"),
-        (F.col("h") / F.col("to_h")).alias("step_y"), (F.col("w") / F.col("to_w")).alias("step_x"),
-    )
-    grown = resize_each(maps.join(sizes, ["image_id", "view"]), ["image_id", "view", "to_x", "to_y"], "score", sizes)
-    return grown.groupBy("image_id", (F.col("row") + F.col("to_y")).alias("row"), (F.col("col") + F.col("to_x")).alias("col")).agg(F.greatest(F.lit(0.0), F.max("score")).alias("score"))
+def blocks_of(images: DataFrame) -> DataFrame:
+    """The images as stored blocks, which every later step reads; blocks stay as they are."""
+    return images if "data" in images.columns else stored(raster.pack(images), "blocks")
 
 
-def verdicts(maps: DataFrame, threshold: float, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """anomaly_score, the map's largest value, and is_anomaly, strictly above the threshold."""
-    return maps.groupBy(*keys).agg(F.max("score").alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") > threshold)
+def extract(images: DataFrame, views: DataFrame, backbone: Backbone, numbers: Numbering | None = None) -> DataFrame:
+    """vec_id, image_id, view, tag, layer_idx, patch_row, patch_col, features: the views' patches."""
+    schema = "image_id long, view int, tag string, layer_idx int, patch_row int, patch_col int, features array<double>"
 
+    def kernel(view: dict, pixels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for layer, a in enumerate(backbone(pixels)):
+            row, col = np.nonzero(~np.isnan(a).any(2))
+            n, flat = len(row), a[row, col]
+            same = lambda x, kind: pa.array([x] * n, kind)  # noqa: B023, E731
+            features = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+            cols = [same(view["image_id"], pa.int64()), same(view["view"], pa.int32()), same(view["tag"], pa.string()), same(layer, pa.int32()), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), features]
+            yield pa.record_batch(cols, names=["image_id", "view", "tag", "layer_idx", "patch_row", "patch_col", "features"])
 
-def extract(
-    pixels: DataFrame, views: DataFrame, sizes: DataFrame, backbone: Backbone, cell: int = 1024, scales: tuple[float, ...] = SCALES[:1], numbers: Numbering | None = None
-) -> DataFrame:
-    """The views' patches with vec_id."""
-    return (numbers or Numbering(views, backbone.grids)).number(backbone(view_pixels(pixels, sizes, views, cell, scales)))
+    patches = raster.map_views(blocks_of(images), raster.source_rectangle(views), kernel, schema)
+    return (numbers or Numbering(views, backbone.grids)).number(patches)
 
 
-def patchcore_map(pixels: DataFrame, bank: DataFrame, backbone: Backbone | None = None, params: dict | None = None) -> DataFrame:
-    """The PatchCore node's map: image_id, row, col, score.
+def patchcore_scores(images: DataFrame, bank: DataFrame, backbone: Backbone | None = None, params: dict | None = None, maps: bool = False) -> DataFrame:
+    """Scores of the images' views (``raster.view_scores``), by the PatchCore node's parameters.
 
     bank: vec_id, features. params, with their defaults: search_algorithm brute_force, faiss_nlist 100, faiss_nprobe
     16, index_path (none), max_tile_size 1024 (0: no tiles), multi_scale 0, overlap 32."""
     params, backbone = params or {}, backbone or statistics_backbone()
     tile, overlap = int(params.get("max_tile_size", 1024)), int(params.get("overlap", OVERLAP))
-    sizes = image_sizes(pixels).persist()  # a row per image, and one per view below: read by every step
-    many = bool(int(params.get("multi_scale", 0)))
-    views = tile_views(sizes, tile, many, overlap).persist()
+    blocks = blocks_of(images)
+    views = stored(tile_views(image_sizes(blocks), tile, bool(int(params.get("multi_scale", 0))), overlap), "views")
     numbers = Numbering(views, backbone.grids)
-    patches = extract(pixels, views, sizes, backbone, tile or 1024, SCALES if many else SCALES[:1], numbers)
+    patches = stored(extract(blocks, views, backbone, numbers), "patches")
     algorithm, path = str(params.get("search_algorithm", "brute_force")), params.get("index_path")
     found = vectors.search(patches, bank, algorithm, path, int(params.get("faiss_nlist", 100)), int(params.get("faiss_nprobe", 16)), checked=True)
-    return fuse_views(view_maps(numbers.places(found), views, backbone.grids), views)
+    return raster.view_scores(numbers.places(found), views, backbone.grids, maps)
+
+
+def patchcore_map(images: DataFrame, bank: DataFrame, backbone: Backbone | None = None, params: dict | None = None) -> DataFrame:
+    """The PatchCore node's map: image_id, row, col, score. ``raster.fuse`` has it as blocks."""
+    return raster.unpack(raster.fuse(patchcore_scores(images, bank, backbone, params, maps=True)), "score").drop("ch")
 
 
 def patchcore(pixels: DataFrame, bank: DataFrame, threshold: float | None = None, sidecar: str | None = None, backbone: Backbone | None = None, params: dict | None = None) -> DataFrame:
@@ -196,7 +153,8 @@ def patchcore(pixels: DataFrame, bank: DataFrame, threshold: float | None = None
     of the sidecar file, and 0.5 is taken where there is neither."""
     if threshold is None:
         threshold = read_threshold(pixels.sparkSession, sidecar) if sidecar else None
-    return verdicts(patchcore_map(pixels, bank, backbone, params), 0.5 if threshold is None else threshold)
+    # the largest value of the fused map is the largest of its views
+    return verdicts(patchcore_scores(pixels, bank, backbone, params), 0.5 if threshold is None else threshold)
 
 
 def roi_views(rois: DataFrame, sizes: DataFrame, per_image: bool = False) -> DataFrame:
@@ -205,7 +163,8 @@ def roi_views(rois: DataFrame, sizes: DataFrame, per_image: bool = False) -> Dat
     each = rois if per_image else sizes.select("image_id").crossJoin(F.broadcast(rois))  # fixed ROIs are one configuration
     placed = each.join(sizes.select("image_id", F.col("w").alias("img_w"), F.col("h").alias("img_h")), "image_id")
     inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + F.col("w") <= F.col("img_w")) & (F.col("y") + F.col("h") <= F.col("img_h"))
-    rows = placed.filter(inside).select("image_id", "roi_id", F.lit(1.0).alias("scale"), "x", "y", "w", "h")
+    rows = placed.filter(inside).select("image_id", "roi_id", F.lit(1.0).alias("scale"), "x", "y", "w", "h", F.col("x").alias("to_x"), F.col("y").alias("to_y"),
+                                         F.col("w").alias("to_w"), F.col("h").alias("to_h"), "img_w", "img_h", F.col("roi_id").cast("string").alias("tag"))
     return _numbered(rows, ["roi_id", "y", "x"])
 
 
@@ -217,13 +176,13 @@ def multi_roi(pixels: DataFrame, rois: DataFrame, banks: DataFrame, threshold: f
     missing = rois.select("roi_id").distinct().join(banks.select("roi_id").distinct(), "roi_id", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"no bank for the ROIs {[r['roi_id'] for r in missing]}")
-    sizes = image_sizes(pixels).persist()
-    views = roi_views(rois, sizes, per_image).persist()
+    blocks = blocks_of(pixels)
+    views = stored(roi_views(rois, image_sizes(blocks), per_image), "views")
     numbers = Numbering(views, backbone.grids)
-    patches = extract(pixels, views, sizes, backbone, numbers=numbers).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"])
-    found = vectors.nn_by_group(patches, banks, "roi_id")
-    per = verdicts(view_maps(numbers.places(found), views, backbone.grids), threshold, ("image_id", "view"))
-    per = per.join(views.select("image_id", "view", "roi_id"), ["image_id", "view"]).select("image_id", "roi_id", F.col("anomaly_score").alias("score"), "is_anomaly")
+    patches = stored(extract(blocks, views, backbone, numbers), "patches")
+    found = vectors.nn_by_group(patches, banks.withColumn("tag", F.col("roi_id").cast("string")), "tag")
+    per = raster.view_scores(numbers.places(found), views, backbone.grids)
+    per = per.select("image_id", F.col("tag").cast(rois.schema["roi_id"].dataType).alias("roi_id"), "score", (F.col("score") > threshold).alias("is_anomaly"))
     return per.join(per.groupBy("image_id").agg(F.bool_or("is_anomaly").alias("any_anomaly")), "image_id")
 
 
@@ -237,11 +196,11 @@ def sampled_images(images: DataFrame, ratio: float, id_col: str = "image_id") ->
 def train_threshold(scores: DataFrame, method: str = "max_score", sigma: float = 3.0, percentile: float = 99.0) -> dict:
     """The threshold file's contents from the images' scores (column score)."""
     row = evaluate.score_thresholds(scores, "score", sigma, percentile).first()
-    n = scores.count()
+    n = row["n"] if row is not None else 0
     if not n:
         raise ValueError("no valid scores")
     value = {"max_score": row["thr_max"], "mean_ksigma": row["thr_sigma"], "percentile": row["thr_percentile"]}[method]
-    out = {"anomaly_threshold": value, "method": method, "num_samples": n, "score_stats": {"min": row["min_score"], "max": row["max_score"] if "max_score" in row.asDict() else row["thr_max"], "mean": row["mean_score"], "std": row["std_score"]}}
+    out = {"anomaly_threshold": value, "method": method, "num_samples": n, "score_stats": {"min": row["min_score"], "max": row["thr_max"], "mean": row["mean_score"], "std": row["std_score"]}}
     if method == "mean_ksigma":
         out["threshold_params"] = {"sigma": sigma}
     elif method == "percentile":
@@ -255,11 +214,12 @@ def train(
     """The trainer: (bank, normalisation, threshold file's contents) of normal images. The bank is a coreset of at most
     ``max_features`` patches; the threshold comes from the scores that a sample of the images get with it."""
     backbone = backbone or statistics_backbone()
-    sizes = image_sizes(pixels)
-    patches = extract(pixels, tile_views(sizes, 0), sizes, backbone)
+    blocks = blocks_of(pixels)
+    sizes = image_sizes(blocks)
+    patches = stored(extract(blocks, tile_views(sizes, 0), backbone), "patches")
     bank, norm = vectors.train_bank(patches, fraction, max_features)
-    seen = pixels.join(sampled_images(sizes, sample_ratio).select("image_id"), "image_id")
-    scores = verdicts(patchcore_map(seen, bank, backbone, {"max_tile_size": 0}), 0.0).withColumnRenamed("anomaly_score", "score")
+    seen = blocks.join(sampled_images(sizes, sample_ratio).select("image_id"), "image_id")
+    scores = stored(verdicts(patchcore_scores(seen, bank, backbone, {"max_tile_size": 0}), 0.0).withColumnRenamed("anomaly_score", "score"), "scores")
     return bank, norm, train_threshold(scores, method, **how)
 
 
@@ -267,9 +227,9 @@ def train_rois(pixels: DataFrame, rois: DataFrame, backbone: Backbone | None = N
     """The ROI trainer: banks (roi_id, vec_id, features), a coreset of each ROI's patches over all images. ROIs beyond
     an image are left out of it."""
     backbone = backbone or statistics_backbone()
-    sizes = image_sizes(pixels)
-    views = roi_views(rois, sizes, per_image)
-    pool = extract(pixels, views, sizes, backbone).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"])
+    blocks = blocks_of(pixels)
+    views = roi_views(rois, image_sizes(blocks), per_image)
+    pool = stored(extract(blocks, views, backbone).withColumn("roi_id", F.col("tag").cast(rois.schema["roi_id"].dataType)), "patches")
     pool = vectors.hash_sample(pool, max_features, "vec_id", "roi_id")
     picked = vectors.coreset(pool, fraction, "roi_id").select(F.col("id").alias("vec_id"))
     return pool.join(picked, "vec_id").select("roi_id", "vec_id", "features")

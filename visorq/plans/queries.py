@@ -106,8 +106,8 @@ def _(spark, sf):
 nn AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d FROM patch p JOIN patch b ON b.vec_id <> p.vec_id)
 SELECT id, nn_id, row_number() OVER (PARTITION BY id ORDER BY d, nn_id)::INT AS rank, round(d, 4) AS dist FROM nn QUALIFY rank <= 2""")
 def _(spark, sf):
-    rows = T.patch_features(spark, sf)  # every row against all others, in blocks of some 60 vectors
-    return vectors.nn_exact(rows, rows, k=2, skip_self=True, block_bytes=32_768).select("id", "nn_id", "rank", r4("dist"))
+    rows = T.patch_features(spark, sf)  # every row against all others, in blocks of some 200 vectors
+    return vectors.nn_exact(rows, rows, k=2, skip_self=True, block_bytes=100_000).select("id", "nn_id", "rank", r4("dist"))
 
 
 @query("ivf_stored", f"""WITH {PATCH},
@@ -202,7 +202,9 @@ def _(spark, sf):
 
 @query("thresholds", f"WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score FROM nn")
 def _(spark, sf):
-    out = evaluate.score_thresholds(_nn(spark, sf).select(F.col("dist").alias("score")))
+    from ..storage import stored
+
+    out = evaluate.score_thresholds(stored(_nn(spark, sf).select(F.col("dist").alias("score")), "scores")).drop("n")
     return out.select(*[r4(c) for c in out.columns])
 
 
@@ -809,11 +811,10 @@ def _normal(spark, sf):
 def _(spark, sf):
     from ..operators import patchcore
 
-    pix, backbone = T.pixels(spark, sf), patchcore.statistics_backbone()
-    good = pix.join(_normal(spark, sf), "image_id")
-    sizes = patchcore.image_sizes(good)
-    bank = patchcore.extract(good, patchcore.tile_views(sizes), sizes, backbone).select("vec_id", "features")
-    out = patchcore.patchcore(pix, bank, 20.0, backbone=backbone, params={"max_tile_size": "8", "overlap": "2", "multi_scale": "1"})
+    blocks, backbone = patchcore.blocks_of(T.pixels(spark, sf)), patchcore.statistics_backbone()
+    good = blocks.join(_normal(spark, sf), "image_id")
+    bank = patchcore.extract(good, patchcore.tile_views(patchcore.image_sizes(good)), backbone).select("vec_id", "features")
+    out = patchcore.patchcore(blocks, bank, 20.0, backbone=backbone, params={"max_tile_size": "8", "overlap": "2", "multi_scale": "1"})
     return out.select("image_id", r4("anomaly_score"), "is_anomaly")
 
 
@@ -838,23 +839,20 @@ def _rois_sql() -> str:
 def _(spark, sf):
     from ..operators import patchcore
 
-    pix, backbone = T.pixels(spark, sf), patchcore.statistics_backbone()
+    blocks, backbone = patchcore.blocks_of(T.pixels(spark, sf)), patchcore.statistics_backbone()
     rois = spark.createDataFrame(list(_ROIS), "roi_id string, x int, y int, w int, h int")
-    good = pix.join(_normal(spark, sf), "image_id")
-    sizes = patchcore.image_sizes(good)
-    views = patchcore.roi_views(rois.filter("roi_id <> 'outside'"), sizes)
-    banks = patchcore.extract(good, views, sizes, backbone).join(views.select("image_id", "view", "roi_id"), ["image_id", "view"]).select("roi_id", "vec_id", "features")
+    good = blocks.join(_normal(spark, sf), "image_id")
+    views = patchcore.roi_views(rois.filter("roi_id <> 'outside'"), patchcore.image_sizes(good))
+    banks = patchcore.extract(good, views, backbone).select(F.col("tag").alias("roi_id"), "vec_id", "features")
     # the ROI outside of the images has some bank as well, else it would be an error
     banks = banks.unionByName(banks.filter("roi_id = 'left'").withColumn("roi_id", F.lit("outside")))
-    out = patchcore.multi_roi(pix, rois, banks, 12.0, backbone)
+    out = patchcore.multi_roi(blocks, rois, banks, 12.0, backbone)
     return out.select("image_id", "roi_id", r4("score"), "is_anomaly", "any_anomaly")
 
 
 @query("threshold_training", f"WITH {NN}, s AS (SELECT id // 16 AS image_id, max(m.d) AS score FROM nn GROUP BY 1) SELECT m.method, round(CASE m.method WHEN 'max_score' THEN max(score) WHEN 'mean_ksigma' THEN avg(score) + 2 * stddev_pop(score) ELSE quantile_disc(score, 0.9) END, 4) AS threshold, count(*) AS num_samples FROM s, (VALUES ('max_score'), ('mean_ksigma'), ('percentile')) m(method) GROUP BY 1")
 def _(spark, sf):
-    from ..operators import patchcore
+    from ..storage import stored
 
-    scores = _nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.max("dist").alias("score"))
-    made = [patchcore.train_threshold(scores, m, 2.0, 90.0) for m in ("max_score", "mean_ksigma", "percentile")]
-    rows = spark.createDataFrame([(m["method"], m["anomaly_threshold"], m["num_samples"]) for m in made], "method string, t double, num_samples long")
-    return rows.select("method", r4("threshold", F.col("t")), "num_samples")
+    scores = stored(_nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.max("dist").alias("score")), "scores")
+    return evaluate.thresholds_by_method(scores, "score", 2.0, 90.0).select("method", r4("threshold"), "num_samples")
