@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, vectors
+from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, spatial, vectors
 from visorq.plans import pipeline as P
 from visorq.plans import queries as Q
 from visorq.sources import files
@@ -121,6 +121,55 @@ def test_rasters_of_several_blocks(spark, monkeypatch):
     assert np.allclose(raster.resample(np.arange(25.0).reshape(5, 5), (low, high, w), (low, high, w)), s[:, None] * 5 + s)
 
 
+def _boxes(spark, n, side, spread, seed=1):
+    rng = np.random.default_rng(seed)
+    at, size = rng.uniform(0, spread, (n, 2)), rng.uniform(1, side, (n, 2)) * rng.choice([1, 1, 1, 8], (n, 1))
+    rows = [(7, i, "cat", float(c), float(x), float(y), float(w), float(h)) for i, ((x, y), (w, h), c) in enumerate(zip(at, size, rng.integers(50, 100, n) / 100, strict=True))]
+    return rows, spark.createDataFrame(rows, detect.DET)
+
+
+def test_overlap_pairs_by_place(spark):
+    rows, df = _boxes(spark, 400, 30, 300)
+    rows += [(7, 900, "cat", 0.5, 10.0, 10.0, 0.0, 5.0), (7, 901, "dog", 0.5, 10.0, 10.0, 50.0, 50.0), (7, 902, "cat", 0.5, -50.0, -50.0, 40.0, 1000.0)]
+    df = spark.createDataFrame(rows, detect.DET)
+    got = {(r.id_a, r.id_b): r.iou for r in spatial.overlap_pairs(spatial.with_corners(df)).collect()}
+    want = {}
+    for f, i, l, _, x, y, w, h in rows:
+        for g, j, k, _, u, v, s, t in rows:
+            if (f, l) == (g, k) and i < j and w * h > 0 and s * t > 0:
+                a, b = min(x + w / 2, u + s / 2) - max(x - w / 2, u - s / 2), min(y + h / 2, v + t / 2) - max(y - h / 2, v - t / 2)
+                if a > 0 and b > 0:
+                    want[i, j] = a * b / (w * h + s * t - a * b + 1e-6)
+    assert got.keys() == want.keys() and len(got) > 1000 and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert spatial.overlap_pairs(spatial.with_corners(df.limit(0))).collect() == []
+
+
+def test_suppression_in_rounds_is_the_greedy_one(spark):
+    for n, side, spread in ((600, 40, 300), (300, 30, 40)):
+        _, df = _boxes(spark, n, side, spread, n)
+        one = {r.det_id for r in detect.nms(df, 0.3, 0.6).collect()}
+        assert {r.det_id for r in detect.nms(df, 0.3, 0.6, crowd=1).collect()} == one and 5 < len(one) < n
+
+
+def test_suppression_of_fifty_thousand_boxes_in_one_frame(spark):
+    rows, df = _boxes(spark, 50_000, 12, 6000)
+    got = {r.det_id for r in detect.nms(df, 0.3, 0.0).collect()}
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][3], i))
+    box = np.array([(x - w / 2, y - h / 2, x + w / 2, y + h / 2) for *_, x, y, w, h in rows])
+    held, kept = {}, set()
+    for i in order:  # greedy, with the kept boxes by cells of 100
+        x1, y1, x2, y2 = box[i]
+        cells = [(a, b) for a in range(int(x1 // 100), int(x2 // 100) + 1) for b in range(int(y1 // 100), int(y2 // 100) + 1)]
+        near = box[list({j for c in cells for j in held.get(c, ())})].reshape(-1, 4)
+        inter = np.maximum(0, np.minimum(near[:, 2], x2) - np.maximum(near[:, 0], x1)) * np.maximum(0, np.minimum(near[:, 3], y2) - np.maximum(near[:, 1], y1))
+        union = (x2 - x1) * (y2 - y1) + (near[:, 2] - near[:, 0]) * (near[:, 3] - near[:, 1]) - inter + 1e-6
+        if not (inter / union > 0.3).any():
+            kept.add(i)
+            for c in cells:
+                held.setdefault(c, []).append(i)
+    assert got == kept and len(kept) < 50_000
+
+
 def test_ids_of_any_size(spark):
     ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 10**10, 2**50, -(2**62))], "id long")
     got = {r.id: r.o for r in ids.select("id", serving.hash_order("id").alias("o")).collect()}

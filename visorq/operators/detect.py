@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import spatial
 
 DET = "frame_id long, det_id long, label string, confidence double, cx double, cy double, w double, h double"
 
@@ -31,11 +32,16 @@ def _suppress(box: list[tuple], iou: float) -> list[int]:
     return kept
 
 
-def nms(det: DataFrame, iou: float = 0.45, confidence: float = 0.5, lots: int | None = None) -> DataFrame:
+#: Boxes of a frame and label that one task suppresses; rows of a lot of frames, at most about.
+CROWD, LOT_ROWS = 5_000, 100_000
+
+
+def nms(det: DataFrame, iou: float = 0.45, confidence: float = 0.5, crowd: int | None = None) -> DataFrame:
     """Greedy per-label suppression inside each frame, by confidence and then det_id.
 
-    The decision is sequential inside a frame; frames are independent and are dealt in lots (four per
-    shuffle partition), so that starting a group costs little against its rows."""
+    Frames are dealt in lots, at least four per shuffle partition and more where there are many rows, and each
+    lot decides its frames one after the other. A frame with more than ``crowd`` boxes of a label is decided in distributed
+    rounds (``spatial.suppressed``) with the same result."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["frame_id", "label", "confidence", "det_id"], ascending=[True, True, False, True])
@@ -47,8 +53,18 @@ def nms(det: DataFrame, iou: float = 0.45, confidence: float = 0.5, lots: int |
         return part.iloc[keep].drop(columns="lot")
 
     likely = confidence_filter(det, confidence).select("frame_id", "det_id", "label", "confidence", "cx", "cy", "w", "h")
-    lots = lots or 4 * int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return likely.withColumn("lot", F.pmod(F.xxhash64("frame_id"), F.lit(lots))).groupBy("lot").applyInPandas(run, DET)
+    per = likely.groupBy(*spatial.KEYS).agg(F.count(F.lit(1)).alias("n"))
+    n, most = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    lots = max(4 * int(det.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LOT_ROWS))
+    dealt = lambda x: x.withColumn("lot", F.pmod(F.xxhash64("frame_id"), F.lit(lots))).groupBy("lot").applyInPandas(run, DET)
+    crowd = crowd or CROWD
+    if most <= crowd:
+        return dealt(likely)
+    full = per.filter(F.col("n") > crowd).select(*spatial.KEYS)
+    many = likely.join(full, [*spatial.KEYS], "left_semi").dropDuplicates([*spatial.KEYS, "det_id"])
+    few = likely.join(full, [*spatial.KEYS], "left_anti")
+    lost = spatial.suppressed(spatial.with_corners(many), iou)
+    return dealt(few).unionByName(many.join(lost, [*spatial.KEYS, "det_id"], "left_anti").select("frame_id", "det_id", "label", "confidence", "cx", "cy", "w", "h"))
 
 
 def iou_pairs(det: DataFrame) -> DataFrame:
@@ -98,13 +114,16 @@ def clip_to_image(width: Column | int, height: Column | int, cx: str = "cx", cy:
 
 
 def fuse_detections(det: DataFrame, cells: DataFrame, threshold: float, width: int, height: int) -> DataFrame:
-    """Largest anomaly score inside each detection's clipped box; empty boxes score 0; strict threshold.
+    """Largest anomaly score inside each detection's clipped box; empty boxes score 0; strict threshold. A box meets
+    only the cells that it touches.
 
     cells: frame_id, y, x, score, where a cell is ``cell`` pixels wide and high (column cell)."""
-    boxes = det.withColumns(clip_to_image(width, height))
-    b, c = boxes.alias("b"), cells.alias("c")
-    inside = (F.col("b.frame_id") == F.col("c.frame_id")) & F.expr("c.x * c.cell <= b.x2 and (c.x + 1) * c.cell > b.x1 and c.y * c.cell <= b.y2 and (c.y + 1) * c.cell > b.y1 and b.x1 <= b.x2 and b.y1 <= b.y2")
-    best = b.join(c, inside, "left").groupBy("b.frame_id", "b.det_id").agg(F.coalesce(F.max("c.score"), F.lit(0.0)).alias("anomaly_score"))
+    boxes = det.withColumns(clip_to_image(width, height)).filter("x1 <= x2 and y1 <= y2").select("frame_id", "det_id", "x1", "y1", "x2", "y2")
+    grids = cells.select("frame_id", "cell").distinct()
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("cell")), F.floor(F.col(high) / F.col("cell"))))
+    touched = boxes.join(grids, "frame_id").withColumn("y", span("y1", "y2")).withColumn("x", span("x1", "x2")).select("frame_id", "det_id", "cell", "y", "x")
+    top = touched.join(cells.select("frame_id", "cell", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "score"), ["frame_id", "cell", "y", "x"]).groupBy("frame_id", "det_id").agg(F.max("score").alias("score"))
+    best = det.select("frame_id", "det_id").join(top, ["frame_id", "det_id"], "left").select("frame_id", "det_id", F.coalesce("score", F.lit(0.0)).alias("anomaly_score"))
     return det.join(best, ["frame_id", "det_id"]).withColumn("is_anomaly", F.col("anomaly_score") > threshold)
 
 

@@ -22,7 +22,7 @@ from .blocks import matrix
 _EDGES = "node long, to long, dist double"
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+def sorted_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table | pa.RecordBatch]:
     """The runs of equal keys of a sorted stream; one run is held at a time, and a batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -38,7 +38,7 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Ta
             yield pa.Table.from_batches(held)
             held = []
         for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)]) if held else batch.slice(a, b - a)
             held = []
         held.append(batch.slice(cuts[-2]))
     if held:

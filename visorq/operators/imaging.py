@@ -71,12 +71,12 @@ def tensors(pix: DataFrame, channels: int = 3) -> DataFrame:
 
 
 def tiles(sizes: DataFrame, tile: int = 1024, overlap: int = 32) -> DataFrame:
-    """Overlapping tiles of each image: (image_id, w, h) to clipped top-left and bottom-right corners."""
+    """Overlapping tiles of each image (image_id, w, h): its columns, tx, ty and clipped top-left and bottom-right corners."""
     step = lambda n: F.least(F.lit(tile), F.col(n))
     grid = sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("h") - 1, step("h")))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("w") - 1, step("w"))))
     return grid.select(
         "image_id", "tx", "ty", F.greatest(F.lit(0), F.col("tx") - overlap).alias("x1"), F.greatest(F.lit(0), F.col("ty") - overlap).alias("y1"),
-        F.least(F.col("w"), F.col("tx") + step("w") + overlap).alias("x2"), F.least(F.col("h"), F.col("ty") + step("h") + overlap).alias("y2"),
+        F.least(F.col("w"), F.col("tx") + step("w") + overlap).alias("x2"), F.least(F.col("h"), F.col("ty") + step("h") + overlap).alias("y2"), "w", "h",
     )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +28,22 @@ Backbone = Callable[[np.ndarray], list[np.ndarray]]
 SCALES, OVERLAP = (1.0, 0.75, 0.5), 32
 
 
+@lru_cache(4096)
+def _parts(n: int, grid: int) -> np.ndarray:
+    """grid x n: which of n pixels fall into which of the cells."""
+    return (np.arange(grid)[:, None] == np.arange(n) * grid // n).astype(float)
+
+
 def statistics_backbone(grids: tuple[int, ...] = (4, 2)) -> Backbone:
     """A deterministic stand-in for a network: per layer a grid of patches with the mean of each channel."""
 
-    def parts(n: int, grid: int) -> np.ndarray:
-        return (np.arange(grid)[:, None] == np.arange(n) * grid // n).astype(float)
-
     def extract(view: np.ndarray) -> list[np.ndarray]:
+        h, w, c = view.shape
         out = []
         for g in grids:
-            rows, cols = parts(view.shape[0], g), parts(view.shape[1], g)
+            rows, cols = _parts(h, g), _parts(w, g)
             many = np.outer(rows.sum(1), cols.sum(1))[:, :, None]
-            total = np.einsum("gh,hwc,kw->gkc", rows, view, cols, optimize=True)
+            total = cols @ (rows @ view.reshape(h, w * c)).reshape(g, w, c)
             out.append(np.where(many > 0, total / np.maximum(many, 1), np.nan))
         return out
 
@@ -52,9 +58,10 @@ def tile_views(sizes: DataFrame, max_tile: int = 1024, multi_scale: bool = False
     image, is seen on the smaller scales as well. Tiles that are empty on a scale go."""
     large = (F.col("w") > max_tile) | (F.col("h") > max_tile) if max_tile > 0 else F.lit(False)
     tiled = imaging.tiles(sizes.filter(large), max_tile, overlap) if max_tile > 0 else None
-    whole = sizes.filter(~large).select("image_id", *(F.lit(0).alias(c) for c in ("x1", "y1")), F.col("w").alias("x2"), F.col("h").alias("y2"))
-    rects = whole if tiled is None else whole.unionByName(tiled.select("image_id", "x1", "y1", "x2", "y2"))
-    rects = rects.join(sizes.select("image_id", F.col("w").alias("img_w"), F.col("h").alias("img_h")), "image_id")
+    size = (F.col("w").alias("img_w"), F.col("h").alias("img_h"))
+    rects = sizes.filter(~large).select("image_id", *(F.lit(0).alias(c) for c in ("x1", "y1")), F.col("w").alias("x2"), F.col("h").alias("y2"), *size)
+    if tiled is not None:
+        rects = rects.unionByName(tiled.select("image_id", "x1", "y1", "x2", "y2", *size))
     scales = SCALES if multi_scale else SCALES[:1]
     each = rects.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
     cut = lambda c: F.floor(c * F.col("scale")).cast("int")
@@ -112,21 +119,39 @@ def blocks_of(images: DataFrame) -> DataFrame:
 
 def extract(images: DataFrame, views: DataFrame, backbone: Backbone, numbers: Numbering | None = None) -> DataFrame:
     """vec_id, image_id, view, tag, layer_idx, patch_row, patch_col, features: the views' patches."""
+    names = ("image_id", "view", "tag", "layer_idx", "patch_row", "patch_col", "features")
     schema = "image_id long, view int, tag string, layer_idx int, patch_row int, patch_col int, features array<double>"
 
-    def kernel(view: dict, pixels: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for layer, a in enumerate(backbone(pixels)):
-            row, col = np.nonzero(~np.isnan(a).any(2))
-            n, flat = len(row), a[row, col]
-            same = lambda x, kind: pa.array([x] * n, kind)  # noqa: B023, E731
-            features = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            cols = [same(view["image_id"], pa.int64()), same(view["view"], pa.int32()), same(view["tag"], pa.string()), same(layer, pa.int32()), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), features]
-            yield pa.record_batch(cols, names=["image_id", "view", "tag", "layer_idx", "patch_row", "patch_col", "features"])
+    def patches_of(views: Iterator[tuple[dict, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        for view, pixels in views:
+            for layer, a in enumerate(backbone(pixels)):
+                row, col = np.nonzero(~np.isnan(a).any(2))
+                same = np.full(len(row), 1)
+                yield [same * view["image_id"], same * view["view"], np.full(len(row), view["tag"], object), same * layer, row, col, a[row, col]]
+
+    def kernel(views: Iterator[tuple[dict, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        # layers may have features of different lengths; a batch holds many views of one length
+        for width, run in groupby(patches_of(views), lambda x: x[-1].shape[1]):
+            while held := list(_upto(run, 200_000)):
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                features = pa.ListArray.from_arrays(pa.array(np.arange(len(cols[0]) + 1, dtype=np.int32) * width), pa.array(cols[-1].ravel()))
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.record_batch([*(pa.array(c.tolist() if k == pa.string() else c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)), features], names=[*names])
 
     patches = raster.map_views(blocks_of(images), raster.source_rectangle(views), kernel, schema)
     return (numbers or Numbering(views, backbone.grids)).number(patches)
 
 
+def _upto(parts: Iterator[list[np.ndarray]], most: int) -> Iterator[list[np.ndarray]]:
+    """The next parts of an iterator, until they hold ``most`` numbers."""
+    size = 0
+    for x in parts:
+        yield x
+        size += x[-1].size
+        if size >= most:
+            return
+
+
 def patchcore_scores(images: DataFrame, bank: DataFrame, backbone: Backbone | None = None, params: dict | None = None, maps: bool = False) -> DataFrame:
     """Scores of the images' views (``raster.view_scores``), by the PatchCore node's parameters.
 

@@ -8,6 +8,8 @@ anything is shuffled, and one task puts a rectangle's pieces together. No task h
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,40 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """The rows of equal keys of a sorted stream, as dicts; one run is held at a time, and a batch."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    return (list(run) for _, run in groupby(rows, lambda r: [r[k] for k in keys]))
+
+
+def _batched(rows: Iterator[tuple], schema: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ``most`` bytes: a batch of its own for every small row would cost more than the row."""
+    names, kinds = zip(*(x.rsplit(" ", 1) for x in schema.split(", ")), strict=True)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size > most:
+            yield pa.record_batch([pa.array(c, _KINDS[k]) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=list(names))
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, _KINDS[k]) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=list(names))
+
+
 def pack(pixels: DataFrame, side: int = BLOCK) -> DataFrame:
     """image_id, by, bx, h, w, c, data (doubles, row by row, channels last) of pixels (image_id, row, col, ch, v). Pixels that
     are missing inside a block are 0; of several at one place one stays."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for t in sorted_runs(batches, "image_id", "by", "bx"):
             by, bx = t["by"][0].as_py(), t["bx"][0].as_py()
             y, x, ch = t["row"].to_numpy() - by * side, t["col"].to_numpy() - bx * side, t["ch"].to_numpy()
             out = np.zeros((y.max() + 1, x.max() + 1, ch.max() + 1))
             out[y, x, ch] = t["v"].to_numpy()
-            yield _row(_BLOCKS, t["image_id"][0].as_py(), by, bx, *out.shape, out.tobytes())
+            yield t["image_id"][0].as_py(), by, bx, *out.shape, out.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(blocks(batches), _BLOCKS)
 
     placed = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.expr(f"int(row div {side})").alias("by"), F.expr(f"int(col div {side})").alias("bx"), F.col("row").cast("int"), F.col("col").cast("int"), F.col("ch").cast("int"), F.col("v").cast("double"))
     return _dealt(placed, "image_id", "by", "bx").mapInArrow(run, _BLOCKS)
@@ -61,11 +86,6 @@ def unpack(blocks: DataFrame, value: str = "v", side: int = BLOCK) -> DataFrame:
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
 
 
-def _row(schema: str, *values) -> pa.RecordBatch:
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    return pa.record_batch([pa.array([v], _KINDS[k]) for v, k in zip(values, kinds, strict=True)], names=list(names))
-
-
 def image_sizes(images: DataFrame, side: int = BLOCK) -> DataFrame:
     """image_id, w, h of blocks or of a long pixel table."""
     if "data" in images.columns:
@@ -89,6 +109,7 @@ def source_rectangle(views: DataFrame) -> DataFrame:
     return out
 
 
+@lru_cache(4096)
 def taps(first: int, n_out: int, n_in: int, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low, high, weight of high) of the output cells first .. first + n_out - 1: half-pixel centres, clamped."""
     s = np.clip((np.arange(first, first + n_out) + 0.5) * step - 0.5, 0, n_in - 1)
@@ -111,7 +132,7 @@ def resized(a: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def map_views(blocks: DataFrame, views: DataFrame, kernel, schema: str, side: int = BLOCK) -> DataFrame:
-    """``kernel(view, raster)`` over every view, which yields record batches of ``schema``.
+    """``kernel`` over the views of a task, an iterator of (view, raster); it yields record batches of ``schema``.
 
     views: image_id, view, tag and the geometry of ``source_rectangle``; view is a dict of them; raster is the view's pixels
     (h x w x channels), brought to its scale."""
@@ -136,17 +157,19 @@ def map_views(blocks: DataFrame, views: DataFrame, kernel, schema: str, side: in
             cols = [pa.array([p[k] for p in parts], pa.int32()) for k in range(5)] + [pa.array([p[5] for p in parts], pa.binary())]
             yield pa.record_batch([*(batch.column(k).take(pa.array(keep, pa.int64())) for k in carried), *cols], names=[*carried, "p_y", "p_x", "p_h", "p_w", "p_c", "part"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, "image_id", "view"):
-            rows = t.to_pylist()
-            v = {k.removeprefix("v_"): x for k, x in rows[0].items() if k in carried}
+    def rasters(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
+        for rows in _runs(batches, "image_id", "view"):
+            v = {k.removeprefix("v_"): rows[0][k] for k in carried}
             src = np.zeros((v["src_h"], v["src_w"], max(r["p_c"] for r in rows)))
             for r in rows:
                 src[r["p_y"] : r["p_y"] + r["p_h"], r["p_x"] : r["p_x"] + r["p_w"], : r["p_c"]] = np.frombuffer(r["part"]).reshape(r["p_h"], r["p_w"], r["p_c"])
             if v["scale"] != 1.0:
                 axis = lambda at, size, n, first: _within(taps(at, size, n, 1 / v["scale"]), first)  # noqa: B023, E731
                 src = resample(src, axis(v["y"], v["h"], v["img_h"], v["src_y"]), axis(v["x"], v["w"], v["img_w"], v["src_x"]))
-            yield from kernel(v, src)
+            yield v, src
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return kernel(rasters(batches))
 
     ahead = ", ".join(f"{c} {kinds[c]}" for c in carried)
     pieces = blocks.join(asked, ["image_id", "by", "bx"]).mapInArrow(cut, f"{ahead}, p_y int, p_x int, p_h int, p_w int, p_c int, part binary")
@@ -167,10 +190,9 @@ def view_scores(scored: DataFrame, views: DataFrame, grids: tuple[int, ...], map
     ``maps`` the pieces image_id, by, bx, p_y, p_x, h, w, data of the map, cut at blocks."""
     places = views.select("image_id", "view", "tag", "w", "h", "to_x", "to_y", "to_w", "to_h")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = []
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for t in sorted_runs(batches, "image_id", "view"):
-            v = {k: t[k][0].as_py() for k in ("image_id", "view", "tag", "w", "h", "to_x", "to_y", "to_w", "to_h")}
+            v = t.slice(0, 1).to_pylist()[0]
             layer, row, col, dist = (t[k].to_numpy() for k in ("layer_idx", "patch_row", "patch_col", "dist"))
             best = np.zeros((v["h"], v["w"]))
             for i, side_of in enumerate(grids):
@@ -182,44 +204,41 @@ def view_scores(scored: DataFrame, views: DataFrame, grids: tuple[int, ...], map
             best = resized(best, v["to_h"], v["to_w"])
             if maps:
                 yield from _cut_map(v, best, side)
-                continue
-            tops.append((v["image_id"], v["view"], v["tag"], float(best.max())))
-            if len(tops) >= 1000:
-                yield _tops(tops)
-                tops = []
-        if tops:
-            yield _tops(tops)
+            else:
+                yield v["image_id"], v["view"], v["tag"], float(best.max())
 
-    return _dealt(scored.join(places, ["image_id", "view"]), "image_id", "view").mapInArrow(score, _MAP if maps else "image_id long, view int, tag string, score double")
+    schema = _MAP if maps else "image_id long, view int, tag string, score double"
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(found(batches), schema)
 
-_MAP = "image_id long, by int, bx int, p_y int, p_x int, h int, w int, data binary"
+    return _dealt(scored.join(places, ["image_id", "view"]), "image_id", "view").mapInArrow(score, schema)
 
 
-def _tops(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64())
-    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["image_id", "view", "tag", "score"])
+_MAP = "image_id long, by int, bx int, p_y int, p_x int, h int, w int, data binary"
 
 
-def _cut_map(v: dict, a: np.ndarray, side: int) -> Iterator[pa.RecordBatch]:
+def _cut_map(v: dict, a: np.ndarray, side: int) -> Iterator[tuple]:
     y, x = v["to_y"], v["to_x"]
     for by in range(y // side, (y + a.shape[0] - 1) // side + 1):
         for bx in range(x // side, (x + a.shape[1] - 1) // side + 1):
             top, left = max(y, by * side), max(x, bx * side)
             part = a[top - y : min(y + a.shape[0], (by + 1) * side) - y, left - x : min(x + a.shape[1], (bx + 1) * side) - x]
-            yield _row(_MAP, v["image_id"], by, bx, top - by * side, left - bx * side, *part.shape, part.tobytes())
+            yield v["image_id"], by, bx, top - by * side, left - bx * side, *part.shape, part.tobytes()
 
 
 def fuse(pieces: DataFrame) -> DataFrame:
     """Blocks (as ``pack``'s, one channel) of a map whose pieces overlap: the largest value of each pixel counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, "image_id", "by", "bx"):
-            rows = t.to_pylist()
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _runs(batches, "image_id", "by", "bx"):
             out = np.zeros((max(r["p_y"] + r["h"] for r in rows), max(r["p_x"] + r["w"] for r in rows)))
             for r in rows:
                 at = out[r["p_y"] : r["p_y"] + r["h"], r["p_x"] : r["p_x"] + r["w"]]
                 np.maximum(at, np.frombuffer(r["data"]).reshape(r["h"], r["w"]), out=at)
-            yield _row(_BLOCKS, rows[0]["image_id"], rows[0]["by"], rows[0]["bx"], *out.shape, 1, out.tobytes())
+            yield rows[0]["image_id"], rows[0]["by"], rows[0]["bx"], *out.shape, 1, out.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(fused(batches), _BLOCKS)
 
     return _dealt(pieces, "image_id", "by", "bx").mapInArrow(run, _BLOCKS)

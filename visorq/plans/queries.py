@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import detect, evaluate, imaging, serving, vectors
+from ..operators import detect, evaluate, imaging, serving, spatial, vectors
 from ..sources import tables as T
+from ..storage import shared_folder, stored
 from . import pipeline as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,8 +125,6 @@ def _(spark, sf):
 
     import numpy as np
 
-    from ..storage import shared_folder
-
     rows = T.patch_features(spark, sf)
     first = np.array([r["features"] for r in rows.orderBy(serving.hash_order("vec_id"), "vec_id").limit(16).collect()])
     means = vectors.in_cells(rows, first).select("list_id", F.posexplode("features")).groupBy("list_id", "pos").agg(F.avg("col").alias("x"))
@@ -202,8 +201,6 @@ def _(spark, sf):
 
 @query("thresholds", f"WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score FROM nn")
 def _(spark, sf):
-    from ..storage import stored
-
     out = evaluate.score_thresholds(stored(_nn(spark, sf).select(F.col("dist").alias("score")), "scores")).drop("n")
     return out.select(*[r4(c) for c in out.columns])
 
@@ -326,7 +323,7 @@ _SIZES = "z AS (SELECT p_partkey AS image_id, (320 + p_partkey % 1600)::INT AS w
 
 @query("tile_grid", f"WITH {_SIZES}, g AS (SELECT image_id, w, h, least(1024, w) AS sw, least(1024, h) AS sh, unnest(range(0, h, least(1024, h))) AS ty FROM z), t AS (SELECT *, unnest(range(0, w, sw)) AS tx FROM g) SELECT image_id, tx::INT AS tx, ty::INT AS ty, greatest(0, tx - 32)::INT AS x1, greatest(0, ty - 32)::INT AS y1, least(w, tx + sw + 32)::INT AS x2, least(h, ty + sh + 32)::INT AS y2 FROM t")
 def _(spark, sf):
-    return imaging.tiles(_sizes(spark, sf))
+    return imaging.tiles(_sizes(spark, sf)).drop("w", "h")
 
 
 @query("multi_scale", f"WITH {_SIZES}, s AS (SELECT image_id AS roi_id, w, h, unnest([1.0, 0.75, 0.5]::DOUBLE[]) AS scale FROM z), c AS (SELECT roi_id, scale, trunc(40 * scale)::INT AS x, trunc(30 * scale)::INT AS y, least(trunc(500 * scale)::INT, trunc(w * scale)::INT - trunc(40 * scale)::INT) AS w, least(trunc(400 * scale)::INT, trunc(h * scale)::INT - trunc(30 * scale)::INT) AS h FROM s) SELECT * FROM c WHERE w > 0 AND h > 0")
@@ -363,6 +360,11 @@ def _(spark, sf):
     return detect.iou_pairs(T.detections(spark, sf)).select("id_a", "id_b", r4("iou"))
 
 
+@query("overlap_pairs", f"{_PAIR} SELECT id_a, id_b, round(inter / (aa + ab - inter + 1e-6), 4) AS iou FROM p WHERE inter > 0")
+def _(spark, sf):
+    return spatial.overlap_pairs(spatial.with_corners(T.detections(spark, sf))).select("id_a", "id_b", r4("iou"))
+
+
 @query("ciou", f"{_PAIR}, q AS (SELECT *, inter / (aa + ab - inter + 1e-7) AS iou, pow(greatest(ax2, bx2) - least(ax1, bx1), 2) + pow(greatest(ay2, by2) - least(ay1, by1), 2) + 1e-7 AS c2, pow((ax1 + ax2 - bx1 - bx2) / 2, 2) + pow((ay1 + ay2 - by1 - by2) / 2, 2) AS rho, 4 / pow(pi(), 2) * pow(atan((bx2 - bx1) / (by2 - by1 + 1e-7)) - atan((ax2 - ax1) / (ay2 - ay1 + 1e-7)), 2) AS v FROM p) SELECT id_a, id_b, round(1 - iou + rho / c2 + v * v / (1 - iou + v + 1e-7), 4) AS ciou FROM q")
 def _(spark, sf):
     return detect.iou_pairs(T.detections(spark, sf)).select("id_a", "id_b", r4("ciou"))
@@ -388,6 +390,13 @@ def _(spark, sf):
     return detect.nms(T.detections(spark, sf), 0.2, 0.2).select("frame_id", "label", "det_id")
 
 
+@query("nms_crowded", _NMS.replace("event_id // 20 AS frame_id", "event_id // 400 AS frame_id"))
+def _(spark, sf):
+    # frames of 400 boxes, all decided by rounds over their conflicts
+    crowded = T.detections(spark, sf).withColumn("frame_id", F.expr("det_id div 400"))
+    return detect.nms(crowded, 0.2, 0.2, crowd=1).select("frame_id", "label", "det_id")
+
+
 def _head(spark, sf):
     return T.patch_features(spark, sf).select(
         F.col("image_id").alias("frame_id"), F.col("vec_id").alias("cell"), F.lit(20).alias("grid_w"), F.concat("features", F.slice("features", 1, 3)).alias("data"),
@@ -813,7 +822,8 @@ def _(spark, sf):
 
     blocks, backbone = patchcore.blocks_of(T.pixels(spark, sf)), patchcore.statistics_backbone()
     good = blocks.join(_normal(spark, sf), "image_id")
-    bank = patchcore.extract(good, patchcore.tile_views(patchcore.image_sizes(good)), backbone).select("vec_id", "features")
+    views = stored(patchcore.tile_views(patchcore.image_sizes(good)), "views")
+    bank = stored(patchcore.extract(good, views, backbone).select("vec_id", "features"), "bank")
     out = patchcore.patchcore(blocks, bank, 20.0, backbone=backbone, params={"max_tile_size": "8", "overlap": "2", "multi_scale": "1"})
     return out.select("image_id", r4("anomaly_score"), "is_anomaly")
 
@@ -842,8 +852,8 @@ def _(spark, sf):
     blocks, backbone = patchcore.blocks_of(T.pixels(spark, sf)), patchcore.statistics_backbone()
     rois = spark.createDataFrame(list(_ROIS), "roi_id string, x int, y int, w int, h int")
     good = blocks.join(_normal(spark, sf), "image_id")
-    views = patchcore.roi_views(rois.filter("roi_id <> 'outside'"), patchcore.image_sizes(good))
-    banks = patchcore.extract(good, views, backbone).select(F.col("tag").alias("roi_id"), "vec_id", "features")
+    views = stored(patchcore.roi_views(rois.filter("roi_id <> 'outside'"), patchcore.image_sizes(good)), "views")
+    banks = stored(patchcore.extract(good, views, backbone).select(F.col("tag").alias("roi_id"), "vec_id", "features"), "banks")
     # the ROI outside of the images has some bank as well, else it would be an error
     banks = banks.unionByName(banks.filter("roi_id = 'left'").withColumn("roi_id", F.lit("outside")))
     out = patchcore.multi_roi(blocks, rois, banks, 12.0, backbone)
@@ -852,7 +862,5 @@ def _(spark, sf):
 
 @query("threshold_training", f"WITH {NN}, s AS (SELECT id // 16 AS image_id, max(m.d) AS score FROM nn GROUP BY 1) SELECT m.method, round(CASE m.method WHEN 'max_score' THEN max(score) WHEN 'mean_ksigma' THEN avg(score) + 2 * stddev_pop(score) ELSE quantile_disc(score, 0.9) END, 4) AS threshold, count(*) AS num_samples FROM s, (VALUES ('max_score'), ('mean_ksigma'), ('percentile')) m(method) GROUP BY 1")
 def _(spark, sf):
-    from ..storage import stored
-
     scores = stored(_nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.max("dist").alias("score")), "scores")
     return evaluate.thresholds_by_method(scores, "score", 2.0, 90.0).select("method", r4("threshold"), "num_samples")
