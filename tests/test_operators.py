@@ -1,4 +1,6 @@
+import datetime
 import json
+import time
 from collections import Counter
 
 import numpy as np
@@ -170,6 +172,60 @@ def test_suppression_of_fifty_thousand_boxes_in_one_frame(spark):
     assert got == kept and len(kept) < 50_000
 
 
+def test_batches_by_size_and_delay(spark, monkeypatch):
+    rng, rows = np.random.default_rng(6), []
+    for m, n, gap in (("a", 300, 250), ("b", 200, 3000), ("c", 1, 1)):
+        us = np.cumsum(rng.integers(0, gap, n))
+        us[5:9] = us[min(5, n - 1)]  # ties
+        rows += [(m, 1000 * len(m) + i, datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=int(u))) for i, u in enumerate(us)]
+    df = spark.createDataFrame(rows, "model string, id long, ts timestamp_ntz").repartition(5)
+    want = {}
+    for m in "abc":
+        own, batch = sorted((t, i) for k, i, t in rows if k == m), 0
+        while own:
+            end = own[0][0] + datetime.timedelta(milliseconds=5)
+            size = min(32, sum(t <= end for t, _ in own))
+            want |= {(m, i): (batch, size, "full" if size == 32 else "late") for _, i in own[:size]}
+            own, batch = own[size:], batch + 1
+    for records in ("10000", "7"):  # batches that reach over Arrow batches
+        with_conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        got = {(r.model, r.request_id): (r.batch, r["size"], r.flush) for r in serving.timed_batches(df, "model", "ts", "id").collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_conf)
+        assert got == want and {f for *_, f in want.values()} == {"full", "late"}
+
+
+def test_stream_flushes_at_size_and_at_the_timer(spark, tmp_path):
+    """A full queue goes out at once and whole; one that stays short goes out by its timer."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    put = lambda name, rows: spark.createDataFrame(rows, "model string, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put("first", [("a", i) for i in range(40)] + [("b", i) for i in range(5)])
+    source = spark.readStream.schema("model string, id long").parquet(str(tmp_path / "in"))
+    out = stream.timed_batches(source, "model", "id", 32, 4000)
+    q = out.writeStream.outputMode("append").format("memory").queryName("batches").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start()
+    read = lambda: {(r.model, r.batch): (r.n, r["size"], r.flush) for r in spark.table("batches").groupBy("model", "batch", "size", "flush").agg(F.count("*").alias("n")).collect()}
+
+    def wait(want, most=90):
+        end = time.time() + most
+        while time.time() < end and read() != want:
+            time.sleep(0.3)
+        assert read() == want
+
+    wait({("a", 0): (40, 40, "full"), ("b", 0): (5, 5, "late")})
+    put("second", [("b", i) for i in range(100, 133)] + [("a", 50)])
+    wait({("a", 0): (40, 40, "full"), ("b", 0): (5, 5, "late"), ("b", 1): (33, 33, "full"), ("a", 1): (1, 1, "late")})
+    q.stop()
+
+
+def test_observed_metrics_come_from_one_job(spark):
+    graph, source = P.parse(Q.GRAPH), T.detections(spark, SF)
+    frame, metrics = P.observed(graph, source)
+    frame.write.format("noop").mode("overwrite").save()
+    got = {n: (s, r, b, t) for n, s, r, b, t in metrics()}
+    assert {n: r for n, (_, r, _, _) in got.items()} == {r.node_id: r.rows for r in P.node_metrics(graph, source).collect()}
+    assert all(s == "ok" and b > 20 * r and t >= 0 for s, r, b, t in got.values())
+
+
 def test_ids_of_any_size(spark):
     ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 10**10, 2**50, -(2**62))], "id long")
     got = {r.id: r.o for r in ids.select("id", serving.hash_order("id").alias("o")).collect()}

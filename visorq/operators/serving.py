@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,56 @@ def micro_batches(requests: DataFrame, model: str, ts: str, id_col: str, most: i
     return rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / most).cast("long"))
 
 
+def timed_batches(requests: DataFrame, model: str, ts: str, id_col: str, most: int = 32, delay_ms: int = 5) -> DataFrame:
+    """model, request_id, ts, batch, size and flush: requests in the batches that a server makes which waits for ``most``
+    requests or for ``delay_ms`` after the first one, whichever is sooner, and then takes what there is.
+
+    flush is full or late. A model's queue is one sequence by its nature: its requests are sorted by Spark and pass one
+    task in a stream that holds the open batch only. Ties go by id."""
+    schema = "model string, request_id long, ts timestamp_ntz, batch long, size int, flush string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the open batch
+        number, owner, deadline = 0, None, 0
+
+        def close(flush: str) -> pa.RecordBatch:
+            nonlocal held, number
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            n, held = whole.num_rows, []
+            same = (pa.array(np.full(n, number)), pa.array(np.full(n, n, np.int32)), pa.array([flush] * n))
+            number += 1
+            return pa.record_batch([whole.column("model"), whole.column("request_id"), whole.column("ts"), *same], names=["model", "request_id", "ts", "batch", "size", "flush"])
+
+        for rows in batches:
+            models, at = rows.column("model").to_pylist(), rows.column("us").to_numpy()
+            i = 0
+            while i < rows.num_rows:
+                if models[i] != owner:
+                    if held:
+                        yield close("late")
+                    owner, number = models[i], 0
+                count = sum(x.num_rows for x in held)
+                if count and at[i] > deadline:
+                    yield close("late")
+                    count = 0
+                if not count:
+                    deadline = at[i] + 1000 * delay_ms
+                upto = min(i + most - count, rows.num_rows)
+                j = i
+                while j < upto and at[j] <= deadline and models[j] == owner:
+                    j += 1
+                held.append(rows.slice(i, j - i))
+                if count + j - i == most:
+                    yield close("full")
+                i = j
+        if held:
+            yield close("late")
+
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+    rows = requests.select(F.col(model).cast("string").alias("model"), F.col(id_col).cast("long").alias("request_id"), F.col(ts).cast("timestamp_ntz").alias("ts"), us.alias("us"))
+    return rows.repartition("model").sortWithinPartitions("model", "us", "request_id").mapInArrow(run, schema)
+
+
 def latest_versions(registry: DataFrame) -> DataFrame:
     """name, version, path of the newest version of each model."""
     return registry.groupBy("name").agg(F.max(F.struct("version", "path")).alias("m")).select("name", "m.version", "m.path")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import detect, imaging, model, patchcore
@@ -70,8 +70,8 @@ def serialize(graph: Graph) -> str:
     return json.dumps({"pipeline": {"name": graph.name, "nodes": [{"id": n.id, "type": n.type, "params": n.params} for n in graph.nodes.values()], "edges": edges}})
 
 
-def compile_graph(graph: Graph, source: DataFrame) -> dict[str, DataFrame | None]:
-    """Each node's output; nodes without inputs read the source, and any earlier output can be used.
+def compile_graph(graph: Graph, source: DataFrame, watch: Callable[[str, DataFrame | None], DataFrame | None] = lambda name, frame: frame) -> dict[str, DataFrame | None]:
+    """Each node's output, as ``watch`` returns it; nodes without inputs read the source, and any earlier output can be used.
 
     A processor that returns None is skipped and counts as done; nodes after it see the outputs that there
     are, and are skipped where there are none."""
@@ -80,13 +80,16 @@ def compile_graph(graph: Graph, source: DataFrame) -> dict[str, DataFrame | None
         for name in layer:
             node = graph.nodes[name]
             inputs = [out[i] for i in node.inputs if out[i] is not None] if node.inputs else [source]
-            out[name] = PROCESSORS[node.type](inputs, node.params) if inputs else None
+            out[name] = watch(name, PROCESSORS[node.type](inputs, node.params) if inputs else None)
     return out
 
 
 def execute(graph: Graph, source: DataFrame) -> DataFrame:
     """Union of the exit nodes' outputs with the node's id."""
-    out = compile_graph(graph, source)
+    return _union_of_exits(graph, compile_graph(graph, source))
+
+
+def _union_of_exits(graph: Graph, out: dict[str, DataFrame | None]) -> DataFrame:
     used = {i for n in graph.nodes.values() for i in n.inputs}
     exits = [out[n].withColumn("node_id", F.lit(n)) for n in graph.nodes if n not in used and out[n] is not None]
     if not exits:
@@ -100,17 +103,37 @@ def node_metrics(graph: Graph, source: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, counts)
 
 
-def profile(graph: Graph, source: DataFrame) -> DataFrame:
-    """node_id, status, rows, bytes (of the rows as JSON text) and latency_ms of each node, one after the other, and
-    a row ``total`` with the sum of the latencies."""
-    rows = []
-    for name, frame in compile_graph(graph, source).items():
-        start = time.perf_counter()
+def observed(graph: Graph, source: DataFrame) -> tuple[DataFrame, Callable[[], list[tuple]]]:
+    """(the graph's result as of ``execute``, metrics): after one action on the result, ``metrics()`` has what each node's
+    rows were in that very job, as (node_id, status, rows, bytes, latency_ms).
+
+    bytes are those of the rows as JSON text; latency is the time from a node's first row to its last. A node that several
+    others read runs once for each of them and is measured once."""
+    seen: dict[str, Observation | None] = {}
+    now = F.expr("cast(java_method('java.lang.System', 'currentTimeMillis') as bigint)")
+
+    def watch(name: str, frame: DataFrame | None) -> DataFrame | None:
+        seen[name] = None if frame is None else Observation(f"{name}-{uuid.uuid4().hex}")
         if frame is None:
-            rows.append((name, "skip", 0, 0, 0.0))
-            continue
-        made = frame.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-        rows.append((name, "ok", made[0], made[1] or 0, 1000 * (time.perf_counter() - start)))
+            return None
+        size = F.octet_length(F.to_json(F.struct("*"))) if frame.columns else F.lit(2)
+        return frame.observe(seen[name], F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"), F.min(now).alias("first"), F.max(now).alias("last"))
+
+    result = _union_of_exits(graph, compile_graph(graph, source, watch))
+
+    def metrics() -> list[tuple]:
+        got = [(name, "skip", {}) if o is None else (name, "ok", o.get) for name, o in seen.items()]
+        return [(n, status, m.get("rows") or 0, m.get("bytes") or 0, float((m.get("last") or 0) - (m.get("first") or 0))) for n, status, m in got]
+
+    return result, metrics
+
+
+def profile(graph: Graph, source: DataFrame) -> DataFrame:
+    """node_id, status, rows, bytes and latency_ms of each node, from one run of the whole graph, and a row ``total`` with
+    the sum of the latencies."""
+    result, metrics = observed(graph, source)
+    result.write.format("noop").mode("overwrite").save()
+    rows = metrics()
     rows.append(("total", "ok", 0, 0, sum(r[-1] for r in rows)))
     return source.sparkSession.createDataFrame(rows, "node_id string, status string, rows long, bytes long, latency_ms double")
 

@@ -701,6 +701,28 @@ def _(spark, sf):
     return serving.micro_batches(T.table(spark, sf, "events"), "event_type", "ts", "event_id").select("model", "request_id", "batch")
 
 
+_TIMED = """WITH RECURSIVE e AS (SELECT event_type AS model, event_id AS request_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+x AS (SELECT model, n, max(n) OVER (PARTITION BY model ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 8 HOUR FOLLOWING) AS last FROM e),
+h AS (SELECT model, n, least(n + 31, last) AS upto, CASE WHEN last >= n + 31 THEN 'full' ELSE 'late' END AS flush FROM x),
+b AS (SELECT model, n, upto, flush, 0::BIGINT AS batch FROM h WHERE n = 1
+ UNION ALL SELECT h.model, h.n, h.upto, h.flush, b.batch + 1 FROM b JOIN h ON h.model = b.model AND h.n = b.upto + 1)
+SELECT e.model, e.request_id, b.batch, (b.upto - b.n + 1)::INT AS size, b.flush FROM e JOIN b ON e.model = b.model AND e.n BETWEEN b.n AND b.upto"""
+
+
+@query("timed_batches", _TIMED)
+def _(spark, sf):
+    # a delay that some batches reach and others don't
+    out = serving.timed_batches(T.table(spark, sf, "events"), "event_type", "ts", "event_id", 32, 8 * 3_600_000)
+    return out.select("model", "request_id", "batch", "size", "flush")
+
+
+@query("observed_metrics", """WITH {d}, a AS (SELECT * FROM det), n AS (SELECT 'low' AS node_id, confidence AS c FROM a WHERE confidence >= 0.2 UNION ALL SELECT 'high', confidence FROM a WHERE confidence >= 0.9),
+m AS (SELECT * FROM n UNION ALL SELECT 'all', c FROM n), k AS (SELECT * FROM m UNION ALL SELECT 'best', c FROM m WHERE node_id = 'all' AND c >= 0.95)
+SELECT node_id, 'ok' AS status, count(*) AS rows FROM k GROUP BY 1""".format(d=DETS))
+def _(spark, sf):
+    return P.profile(P.parse(GRAPH), T.detections(spark, sf)).filter("node_id <> 'total'").select("node_id", "status", "rows")
+
+
 @query("registry_latest", "SELECT event_type AS name, max(event_id) AS version, event_type || '/' || max(event_id) AS path FROM events GROUP BY 1")
 def _(spark, sf):
     reg = T.table(spark, sf, "events").selectExpr("event_type as name", "event_id as version", "concat(event_type, '/', event_id) as path")

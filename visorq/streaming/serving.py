@@ -10,6 +10,7 @@ from threading import Lock
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def request_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 8) -> DataFrame:
@@ -66,6 +67,55 @@ def registry_state(log: DataFrame) -> DataFrame:
     return log.groupBy("name").applyInPandasWithState(update, "name string, ref_count long, last_used long, version long, waiting long, errors long", fields, "update", "NoTimeout")
 
 
+class Batcher(StatefulProcessor):
+    """Requests of one model gathered in a list until there are ``most``, or until ``delay_ms`` after the first of them; then
+    all that are pending go out as one batch. The list is keyed state and the delay a processing-time timer, so both
+    outlive a lost executor and a restart."""
+
+    def __init__(self, most: int, delay_ms: int):
+        self.most, self.delay_ms = most, delay_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "request_id long")
+        self.number = handle.getValueState("number", "batch long")
+
+    def _flush(self, key, ids: list[int], why: str) -> Iterator[pd.DataFrame]:
+        batch = self.number.get()[0] if self.number.exists() else 0
+        self.number.update((batch + 1,))
+        self.pending.clear()
+        yield pd.DataFrame({"model": key[0], "batch": batch, "request_id": ids, "size": len(ids), "flush": why})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.pending.get()] if self.pending.exists() else []
+        waiting = bool(held)
+        for part in rows:
+            held += part["request_id"].tolist()
+        if len(held) >= self.most:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            yield from self._flush(key, held, "full")
+            return
+        self.pending.put([(int(i),) for i in held])
+        if held and not waiting:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.pending.exists():
+            yield from self._flush(key, [r[0] for r in self.pending.get()], "late")
+
+    def close(self) -> None:
+        pass
+
+
+def timed_batches(requests: DataFrame, model: str, id_col: str, most: int = 32, delay_ms: int = 5) -> DataFrame:
+    """model, batch, request_id, size, flush (full or late) of a stream of requests. Its state needs the RocksDB store:
+    ``spark.sql.streaming.stateStore.providerClass``."""
+    rows = requests.select(F.col(model).cast("string").alias("model"), F.col(id_col).cast("long").alias("request_id"))
+    schema = "model string, batch long, request_id long, size long, flush string"
+    return rows.groupBy("model").transformWithStateInPandas(Batcher(most, delay_ms), schema, "append", "ProcessingTime")
+
+
 class Engine:
     """Scoring functions by name, run beside each other as Spark jobs; the Python face of a model server."""
 
