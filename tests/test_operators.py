@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, spatial, vectors
+from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, spatial, tables, vectors
 from visorq.plans import pipeline as P
 from visorq.plans import queries as Q
-from visorq.sources import files
+from visorq.sources import bank_source, files
 from visorq.sources import tables as T
 from visorq.streaming import serving as stream
 
@@ -226,6 +226,48 @@ def test_observed_metrics_come_from_one_job(spark):
     assert all(s == "ok" and b > 20 * r and t >= 0 for s, r, b, t in got.values())
 
 
+def test_bank_files_are_read_by_ranges(spark, tmp_path):
+    bank_source.register(spark)
+    rows = [([float(i), i / 4, -1.0], i % 3, i, i * 2) for i in range(257)]
+    df = spark.createDataFrame(rows, "features array<double>, layer_idx int, patch_row int, patch_col int").withColumn("other", F.lit("x"))
+    put = lambda d, mode, **o: d.write.format("bank").options(path=str(tmp_path / "b"), **o).mode(mode).save()
+    read = lambda path=tmp_path / "b", **o: spark.read.format("bank").options(path=str(path), **o).load()
+    put(df.coalesce(1), "append")
+    got = read(recordsPerPartition=20)
+    assert len(list((tmp_path / "b").glob("*.bin"))) == 1 and got.rdd.getNumPartitions() == 13  # one file, several tasks
+    key = lambda d: sorted((tuple(r.features), r.layer_idx, r.patch_row, r.patch_col) for r in d.collect())
+    whole = sorted((tuple(f), *p) for f, *p in rows)
+    assert key(got) == whole == key(files.read_banks(spark, str(tmp_path / "b")))
+    put(df.repartition(3), "overwrite", recordsPerFile=50)
+    assert key(read()) == whole and len(list((tmp_path / "b").glob("*.bin"))) >= 6
+    files.write_bank_files(files.bank_files(df.withColumn("roi", F.lit("r")), "roi", normalize=True), str(tmp_path / "n")).collect()
+    normed = read(tmp_path / "n/r.bin", recordsPerPartition=100).collect()
+    assert len(normed) == 257 and all(len(r.mean) == len(r.std) == 3 for r in normed)
+    with pytest.raises(Exception, match="one length"):
+        put(spark.createDataFrame([([1.0], 0, 0, 0), ([1.0, 2.0], 0, 0, 0)], "features array<double>, layer_idx int, patch_row int, patch_col int").coalesce(1), "append")
+    assert not [p for p in (tmp_path / "b").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]  # nothing is left of the failed job
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/x.bin").write_bytes((tmp_path / "n/r.bin").read_bytes()[:-5])
+    with pytest.raises(Exception, match="shorter"):
+        read(tmp_path / "bad").collect()
+    put(df.limit(0), "overwrite")
+    assert read().collect() == []
+
+
+def test_processors_as_table_functions(spark):
+    tables.register(spark)
+    _, df = _boxes(spark, 300, 40, 200)
+    kept = spark.sql("SELECT det_id, label FROM visorq_nms(TABLE({d}) PARTITION BY (frame_id, label) ORDER BY (confidence DESC, det_id), iou => 0.3)", d=df)
+    assert {r.det_id for r in kept.collect()} == {r.det_id for r in detect.nms(df, 0.3, 0.0).collect()}
+    with pytest.raises(Exception, match="lacks the columns"):
+        spark.sql("SELECT * FROM visorq_nms(TABLE({d}))", d=df.drop("cx")).collect()
+    cells = spark.createDataFrame([(1, 4, [10.0, 20.0, 30.0, 40.0, 0.5, 2.0], 0.5, 8, 16), (1, 5, [1.0, 2.0, 3.0, 4.0, -3.0, -2.0], 0.5, 8, 16)],
+                                  "frame_id long, cell long, data array<double>, scale double, pad_x int, pad_y int")
+    got = spark.sql("SELECT * FROM visorq_decode(TABLE({c}), classes => 2, version => 'v5')", c=cells).collect()
+    want = detect.decode_v5(cells, 2).collect()
+    assert len(got) == 1 and all(g[c] == pytest.approx(want[0][c]) for g in got for c in want[0].asDict())
+
+
 def test_ids_of_any_size(spark):
     ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 10**10, 2**50, -(2**62))], "id long")
     got = {r.id: r.o for r in ids.select("id", serving.hash_order("id").alias("o")).collect()}

@@ -189,6 +189,19 @@ def _(spark, sf):
     return vectors.coreset(T.bank(spark, sf), 0.25, "label")
 
 
+@query("bank_source", f"WITH {PATCH} SELECT layer_idx, patch_row, patch_col, len(f)::INT AS dim, round(f[1], 4) AS first, round(f[64], 4) AS last FROM bank")
+def _(spark, sf):
+    import uuid
+
+    from ..sources import bank_source
+
+    bank_source.register(spark)
+    path = f"{shared_folder(spark)}/visorq-steps/banks-{uuid.uuid4().hex}"
+    T.bank(spark, sf).write.format("bank").option("path", path).option("recordsPerFile", 1000).mode("append").save()
+    rows = spark.read.format("bank").option("path", path).option("recordsPerPartition", 100).load()
+    return rows.select("layer_idx", "patch_row", "patch_col", F.size("features").alias("dim"), r4("first", F.get("features", F.lit(0))), r4("last", F.get("features", F.lit(63))))
+
+
 @query("fast_sample", _coreset_sql("'all'", "16", _PICKED))
 def _(spark, sf):
     return vectors.coreset(T.bank(spark, sf), 16, most=20_000)
@@ -390,6 +403,16 @@ def _(spark, sf):
     return detect.nms(T.detections(spark, sf), 0.2, 0.2).select("frame_id", "label", "det_id")
 
 
+@query("nms_udtf", _NMS)
+def _(spark, sf):
+    from ..operators import tables
+
+    tables.register(spark)
+    likely = detect.confidence_filter(T.detections(spark, sf), 0.2)
+    kept = "SELECT frame_id, label, det_id FROM visorq_nms(TABLE({det}) PARTITION BY (frame_id, label) ORDER BY (confidence DESC, det_id), iou => 0.2)"
+    return spark.sql(kept, det=likely)
+
+
 @query("nms_crowded", _NMS.replace("event_id // 20 AS frame_id", "event_id // 400 AS frame_id"))
 def _(spark, sf):
     # frames of 400 boxes, all decided by rounds over their conflicts
@@ -414,6 +437,15 @@ def _(spark, sf):
     return out.select("frame_id", "cell", "class_id", r4("confidence"), *[F.round(c, 3).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
+@query("decode_udtf", _SQL["decode_v8"])
+def _(spark, sf):
+    from ..operators import tables
+
+    tables.register(spark)
+    out = spark.sql("SELECT * FROM visorq_decode(TABLE({cells}), classes => 3)", cells=_head(spark, sf))
+    return out.select("frame_id", "cell", "class_id", r4("confidence"), *[F.round(c, 3).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
 @query("decode_v5", f"WITH {PATCH}, x AS (SELECT image_id AS frame_id, vec_id AS cell, f, list_transform(f[5:7], lambda v: 1 / (1 + exp(-v))) AS sc FROM patch), k AS (SELECT *, list_max(sc) AS confidence FROM x) SELECT frame_id, cell, (list_position(sc, confidence) - 1)::INT AS class_id, round(confidence, 4) AS confidence, round((f[1] - 8) / 0.5, 4) AS cx, round((f[2] - 16) / 0.5, 4) AS cy, round(f[3] / 0.5, 4) AS w, round(f[4] / 0.5, 4) AS h FROM k WHERE confidence >= 0.5")
 def _(spark, sf):
     return detect.decode_v5(_head(spark, sf), 3).select("frame_id", "cell", "class_id", *[r4(c) for c in ("confidence", "cx", "cy", "w", "h")])
