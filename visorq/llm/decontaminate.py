@@ -81,6 +81,10 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return benchmark.mapInArrow(run, "item string, terms array<long>")
 
 
+#: Partitions whose rows (2^40 each) and shards (2^24 each) have numbers of their own.
+_TASKS = 1 << 23
+
+
 def build_index(docs: DataFrame, gap: int, shard_bytes: int) -> DataFrame:
     """The stored index. Rows with a term: shard, term, n and places (the term's places in the shard, as
     32-bit differences). Rows without: rid (a number of the row), the columns of ``docs`` but its last,
@@ -89,8 +93,10 @@ def build_index(docs: DataFrame, gap: int, shard_bytes: int) -> DataFrame:
     types = _fields(docs.select(*kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 24
-        row = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        if task >= _TASKS:
+            raise ValueError(f"at most {_TASKS} partitions can be numbered")
+        shard, row = task << 24, task << 40
         schema = None
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(len(kept)))
@@ -124,6 +130,8 @@ def build_index(docs: DataFrame, gap: int, shard_bytes: int) -> DataFrame:
                 for side in range(2):
                     yield pa.record_batch([x[side] for x in cols.values()], schema=schema)
                 shard, row = shard + 1, row + n_docs
+                if shard >> 24 != task or row >> 40 != task:
+                    raise ValueError("a partition is too large to be numbered")
         K.trim()
 
     return materialize(docs.mapInArrow(run, f"shard long, term long, n long, places binary, rid long, {types}, n_words long, base long"), "postings")
@@ -253,10 +261,15 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int, block_windows:
     plan = plan.select("wid", F.col("plan.term").alias("terms"), F.col("plan.k").cast("array<long>").alias("offsets"), F.get("plan.term", F.lit(0)).alias("term"))
     plan = materialize(plan.withColumn("block", F.pmod(F.xxhash64("wid"), F.lit(blocks)).cast("int")), "window-plans")
     asked = materialize(posts.select("shard", "term").join(plan, "term").select("shard", "block", "wid", "terms", "offsets"), "asked")
-    lists = posts.join(plan.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").select("shard", "term", "places", "rid", "base", "n_words")
-    held = lists.unionAll(index.filter("term is null").select("shard", "term", "places", "rid", "base", "n_words"))
-    held = held.join(asked.select("shard").distinct(), "shard", "left_semi")
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else held.withColumn("block", F.lit(0))
+    docs_of = index.filter("term is null").select("shard", "term", "places", "rid", "base", "n_words")
+    if blocks == 1:
+        lists = posts.join(plan.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").select("shard", "term", "places", "rid", "base", "n_words")
+        held = lists.unionAll(docs_of).join(asked.select("shard").distinct(), "shard", "left_semi").withColumn("block", F.lit(0))
+    else:  # a block gets the lists of its own windows' terms, from the shards that have some of these windows
+        pair = asked.select("shard", F.col("block").alias("of_block"), "terms")
+        terms = pair.select("shard", "of_block", F.explode("terms").alias("term")).distinct()
+        lists = posts.join(terms, ["shard", "term"]).select("shard", "term", "places", "rid", "base", "n_words", "of_block")
+        held = lists.unionAll(docs_of.join(pair.select("shard", "of_block").distinct(), "shard")).withColumnRenamed("of_block", "block")
     match = lambda w, i: _match_shard(w, i, slop)
     found = materialize(asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(match, _MATCHES), "matches")
     discard(plan, asked)
