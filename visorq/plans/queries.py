@@ -78,12 +78,21 @@ def _(spark, sf):
     return vectors.nn_exact(*_searched(spark, sf), skip_self=True).select("id", "nn_id", r4("dist"))
 
 
-@query("nn_topk", f"WITH {PATCH}, x AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d FROM probe p JOIN patch b ON b.vec_id <> p.vec_id) SELECT id, nn_id, rank::INT AS rank, round(d, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS rank FROM x) WHERE rank <= 3")
+@query("nn_topk", f"""WITH {PATCH},
+x AS (SELECT p.vec_id AS id, b.vec_id AS nn_id, list_distance(p.f, b.f) AS d
+ FROM probe p JOIN patch b ON b.vec_id <> p.vec_id) SELECT id, nn_id, rank::INT AS rank, round(d, 4) AS dist
+ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn_id) AS rank
+ FROM x)
+ WHERE rank <= 3""")
 def _(spark, sf):
     return vectors.nn_exact(*_searched(spark, sf), k=3, skip_self=True).select("id", "nn_id", "rank", r4("dist"))
 
 
-@query("roi_nn", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m FROM probe p JOIN patch b ON p.label = b.label AND b.vec_id <> p.vec_id GROUP BY 1, 2) SELECT g, id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM m")
+@query("roi_nn", f"""WITH {PATCH},
+m AS (SELECT p.label AS g, p.vec_id AS id, min(struct_pack(d := list_distance(p.f, b.f), nn_id := b.vec_id)) AS m
+ FROM probe p JOIN patch b ON p.label = b.label AND b.vec_id <> p.vec_id
+ GROUP BY 1, 2) SELECT g, id, m.nn_id AS nn_id, round(m.d, 4) AS dist
+ FROM m""")
 def _(spark, sf):
     return vectors.nn_by_group(*_searched(spark, sf), "label", skip_self=True).select("g", "id", "nn_id", r4("dist"))
 
@@ -160,7 +169,8 @@ def _(spark, sf):
     return _nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.bool_or(F.col("dist") > 8.0).alias("any_anomaly"))
 
 
-@query("norm_params", f"WITH {PATCH}, d AS (SELECT unnest(f) AS x, generate_subscripts(f, 1) - 1 AS dim FROM bank) SELECT dim::INT AS dim, round(avg(x), 4) AS mean, round(sqrt(coalesce(var_samp(x), 0) + 1e-8), 4) AS std FROM d GROUP BY 1")
+@query("norm_params", f"""WITH {PATCH},
+d AS (SELECT unnest(f) AS x, generate_subscripts(f, 1) - 1 AS dim FROM bank) SELECT dim::INT AS dim, round(avg(x), 4) AS mean, round(sqrt(coalesce(var_samp(x), 0) + 1e-8), 4) AS std FROM d GROUP BY 1""")
 def _(spark, sf):
     return vectors.norm_params(T.bank(spark, sf)).select("dim", r4("mean"), r4("std"))
 
@@ -212,7 +222,8 @@ def _(spark, sf):
     return vectors.train_bank(T.bank(spark, sf), 0.1)[0].select("vec_id", "step")
 
 
-@query("thresholds", f"WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score FROM nn")
+@query("thresholds", f"""WITH {NN} SELECT round(max(m.d), 4) AS thr_max, round(avg(m.d) + 3 * stddev_pop(m.d), 4) AS thr_sigma, round(quantile_disc(m.d, 0.99), 4) AS thr_percentile, round(min(m.d), 4) AS min_score, round(avg(m.d), 4) AS mean_score, round(stddev_pop(m.d), 4) AS std_score
+ FROM nn""")
 def _(spark, sf):
     out = evaluate.score_thresholds(stored(_nn(spark, sf).select(F.col("dist").alias("score")), "scores")).drop("n")
     return out.select(*[r4(c) for c in out.columns])
@@ -243,12 +254,18 @@ def _(spark, sf):
     return evaluate.best_threshold(T.samples(spark, sf)).select(F.round("threshold", 9).alias("threshold"), r4("f1"))
 
 
-@query("roc_curve", f"WITH {SAMPLE}, g AS (SELECT score, sum((truth = 1)::INT) AS p, sum((truth <> 1)::INT) AS n FROM s GROUP BY score) SELECT round(score, 6) AS score, (sum(p) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS fp FROM g WINDOW w AS (ORDER BY score DESC)")
+@query("roc_curve", f"""WITH {SAMPLE},
+g AS (SELECT score, sum((truth = 1)::INT) AS p, sum((truth <> 1)::INT) AS n
+ FROM s
+ GROUP BY score) SELECT round(score, 6) AS score, (sum(p) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS fp
+ FROM g WINDOW w AS (ORDER BY score DESC)""")
 def _(spark, sf):
     return evaluate.roc(T.samples(spark, sf)).select(F.round("score", 6).alias("score"), "tp", "fp")
 
 
-@query("auc", f"WITH {SAMPLE}, x AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS u FROM s a, s b WHERE a.truth = 1 AND b.truth <> 1), c AS (SELECT sum((truth = 1)::INT)::BIGINT AS pos, sum((truth <> 1)::INT)::BIGINT AS neg FROM s) SELECT round(CASE WHEN pos * neg > 0 THEN u / (pos * neg) ELSE 0 END, 6) AS auc, pos, neg FROM x, c")
+@query("auc", f"""WITH {SAMPLE},
+x AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS u FROM s a, s b WHERE a.truth = 1 AND b.truth <> 1),
+c AS (SELECT sum((truth = 1)::INT)::BIGINT AS pos, sum((truth <> 1)::INT)::BIGINT AS neg FROM s) SELECT round(CASE WHEN pos * neg > 0 THEN u / (pos * neg) ELSE 0 END, 6) AS auc, pos, neg FROM x, c""")
 def _(spark, sf):
     return evaluate.auc(T.samples(spark, sf)).select(F.round("auc", 6).alias("auc"), "pos", "neg")
 
@@ -285,7 +302,10 @@ def _(spark, sf):
     return imaging.anomaly_map(_cells(spark, sf), 2, 4, 8, 8).select("image_id", "row", "col", imaging.mask(F.col("score"), 4.0).alias("mask"))
 
 
-@query("colorize", f"WITH {_CELL}, l AS (SELECT image_id, layer_idx, row, col, round_even(greatest(0.0, least(1.0, score / 12.0)) * 255, 0)::INT AS level FROM cell) SELECT *, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 1))))::INT AS blue, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 2))))::INT AS green, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 3))))::INT AS red FROM l")
+@query("colorize", f"""WITH {_CELL},
+l AS (SELECT image_id, layer_idx, row, col, round_even(greatest(0.0, least(1.0, score / 12.0)) * 255, 0)::INT AS level
+ FROM cell) SELECT *, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 1))))::INT AS blue, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 2))))::INT AS green, round(255 * greatest(0.0, least(1.0, 1.5 - abs(4.0 * level / 255 - 3))))::INT AS red
+ FROM l""")
 def _(spark, sf):
     return imaging.colorize(_cells(spark, sf), 12.0).drop("score")
 
@@ -296,13 +316,23 @@ def _(spark, sf):
     return T.pixels(spark, sf).select("image_id", "row", "col", "ch", r4("v", imaging.overlay(v, 255 - v, 0.4, v / 64, 1.5)))
 
 
-@query("heat_blend", f"WITH {PIX}, s AS (SELECT image_id, row, col, v / 50 AS score FROM pix WHERE ch = 0), t AS (SELECT *, greatest(0.0, least(1.0, score / 3)) AS t FROM s), g AS (SELECT *, least(floor(t * 4), 3) AS seg FROM t) SELECT image_id, row, col, round(CASE seg WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN t * 4 - seg ELSE 1 END, 4) AS red, round(CASE seg WHEN 0 THEN t * 4 - seg WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 1 - (t * 4 - seg) END, 4) AS green, round(CASE seg WHEN 0 THEN 1 WHEN 1 THEN 1 - (t * 4 - seg) ELSE 0 END, 4) AS blue, least(trunc(score * 60)::INT, 180) AS alpha FROM g")
+@query("heat_blend", f"""WITH {PIX},
+s AS (SELECT image_id, row, col, v / 50 AS score
+ FROM pix
+ WHERE ch = 0),
+t AS (SELECT *, greatest(0.0, least(1.0, score / 3)) AS t
+ FROM s),
+g AS (SELECT *, least(floor(t * 4), 3) AS seg
+ FROM t) SELECT image_id, row, col, round(CASE seg WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN t * 4 - seg ELSE 1 END, 4) AS red, round(CASE seg WHEN 0 THEN t * 4 - seg WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 1 - (t * 4 - seg) END, 4) AS green, round(CASE seg WHEN 0 THEN 1 WHEN 1 THEN 1 - (t * 4 - seg) ELSE 0 END, 4) AS blue, least(trunc(score * 60)::INT, 180) AS alpha
+ FROM g""")
 def _(spark, sf):
     c = imaging.heat_blend(F.col("v") / 50)
     return T.pixels(spark, sf).filter("ch = 0").select("image_id", "row", "col", *[r4(k, c[k]) for k in ("red", "green", "blue")], c["alpha"].alias("alpha"))
 
 
-@query("resize_bilinear", f"WITH {PIX}, {taps('ty', 16, 24)}, {taps('tx', 16, 10)} SELECT image_id, ch, ty.o::INT AS row, tx.o::INT AS col, round(sum(v * ty.w * tx.w), 3) AS v FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col GROUP BY 1, 2, 3, 4")
+@query("resize_bilinear", f"""WITH {PIX}, {taps('ty', 16, 24)}, {taps('tx', 16, 10)} SELECT image_id, ch, ty.o::INT AS row, tx.o::INT AS col, round(sum(v * ty.w * tx.w), 3) AS v
+ FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col
+ GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     return imaging.resize(T.pixels(spark, sf), 16, 16, 24, 10).select("image_id", "ch", "row", "col", F.round("v", 3).alias("v"))
 
@@ -317,7 +347,14 @@ def _(spark, sf):
     return imaging.crop(T.pixels(spark, sf), 3, 4, 10, 8).select("image_id", "row", "col", "ch", "v")
 
 
-@query("letterbox_pixels", f"WITH {PIX}, {taps('ty', 16, 12)}, {taps('tx', 16, 12)}, inner_px AS (SELECT image_id, ch, ty.o + 0 AS row, tx.o + 4 AS col, sum(v * ty.w * tx.w) AS v FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col GROUP BY 1, 2, 3, 4), canvas AS (SELECT image_id, ch, r AS row, c AS col FROM (SELECT DISTINCT image_id, ch FROM pix), range(12) a(r), range(20) b(c)) SELECT image_id, ch, row::INT AS row, col::INT AS col, round(coalesce(v, 114.0), 3) AS v FROM canvas LEFT JOIN inner_px USING (image_id, ch, row, col)")
+@query("letterbox_pixels", f"""WITH {PIX}, {taps('ty', 16, 12)}, {taps('tx', 16, 12)},
+inner_px AS (SELECT image_id, ch, ty.o + 0 AS row, tx.o + 4 AS col, sum(v * ty.w * tx.w) AS v
+ FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col
+ GROUP BY 1, 2, 3, 4),
+canvas AS (SELECT image_id, ch, r AS row, c AS col
+ FROM (SELECT DISTINCT image_id, ch
+ FROM pix), range(12) a(r), range(20) b(c)) SELECT image_id, ch, row::INT AS row, col::INT AS col, round(coalesce(v, 114.0), 3) AS v
+ FROM canvas LEFT JOIN inner_px USING (image_id, ch, row, col)""")
 def _(spark, sf):
     return imaging.letterbox_pixels(T.pixels(spark, sf), 16, 16, 12, 20).select("image_id", "ch", "row", "col", F.round("v", 3).alias("v"))
 
@@ -334,18 +371,32 @@ def _sizes(spark, sf):
 _SIZES = "z AS (SELECT p_partkey AS image_id, (320 + p_partkey % 1600)::INT AS w, (240 + (p_partkey * 7) % 1200)::INT AS h FROM part)"
 
 
-@query("tile_grid", f"WITH {_SIZES}, g AS (SELECT image_id, w, h, least(1024, w) AS sw, least(1024, h) AS sh, unnest(range(0, h, least(1024, h))) AS ty FROM z), t AS (SELECT *, unnest(range(0, w, sw)) AS tx FROM g) SELECT image_id, tx::INT AS tx, ty::INT AS ty, greatest(0, tx - 32)::INT AS x1, greatest(0, ty - 32)::INT AS y1, least(w, tx + sw + 32)::INT AS x2, least(h, ty + sh + 32)::INT AS y2 FROM t")
+@query("tile_grid", f"""WITH {_SIZES},
+g AS (SELECT image_id, w, h, least(1024, w) AS sw, least(1024, h) AS sh, unnest(range(0, h, least(1024, h))) AS ty
+ FROM z),
+t AS (SELECT *, unnest(range(0, w, sw)) AS tx
+ FROM g) SELECT image_id, tx::INT AS tx, ty::INT AS ty, greatest(0, tx - 32)::INT AS x1, greatest(0, ty - 32)::INT AS y1, least(w, tx + sw + 32)::INT AS x2, least(h, ty + sh + 32)::INT AS y2
+ FROM t""")
 def _(spark, sf):
     return imaging.tiles(_sizes(spark, sf)).drop("w", "h")
 
 
-@query("multi_scale", f"WITH {_SIZES}, s AS (SELECT image_id AS roi_id, w, h, unnest([1.0, 0.75, 0.5]::DOUBLE[]) AS scale FROM z), c AS (SELECT roi_id, scale, trunc(40 * scale)::INT AS x, trunc(30 * scale)::INT AS y, least(trunc(500 * scale)::INT, trunc(w * scale)::INT - trunc(40 * scale)::INT) AS w, least(trunc(400 * scale)::INT, trunc(h * scale)::INT - trunc(30 * scale)::INT) AS h FROM s) SELECT * FROM c WHERE w > 0 AND h > 0")
+@query("multi_scale", f"""WITH {_SIZES},
+s AS (SELECT image_id AS roi_id, w, h, unnest([1.0, 0.75, 0.5]::DOUBLE[]) AS scale
+ FROM z),
+c AS (SELECT roi_id, scale, trunc(40 * scale)::INT AS x, trunc(30 * scale)::INT AS y, least(trunc(500 * scale)::INT, trunc(w * scale)::INT - trunc(40 * scale)::INT) AS w, least(trunc(400 * scale)::INT, trunc(h * scale)::INT - trunc(30 * scale)::INT) AS h
+ FROM s) SELECT *
+ FROM c
+ WHERE w > 0 AND h > 0""")
 def _(spark, sf):
     rois = _sizes(spark, sf).selectExpr("image_id as roi_id", "40 as x", "30 as y", "500 as w", "400 as h", "w as img_w", "h as img_h")
     return imaging.scaled_rois(rois)
 
 
-@query("patch_rows", f"WITH {PATCH}, p AS (SELECT vec_id AS image_id, layer_idx, f, unnest(range(0, 16)) AS p FROM patch) SELECT image_id, layer_idx, (p // 4)::INT AS patch_row, (p % 4)::INT AS patch_col, round(f[p + 1] + f[p + 17] + f[p + 33] + f[p + 49], 4) AS total FROM p")
+@query("patch_rows", f"""WITH {PATCH},
+p AS (SELECT vec_id AS image_id, layer_idx, f, unnest(range(0, 16)) AS p
+ FROM patch) SELECT image_id, layer_idx, (p // 4)::INT AS patch_row, (p % 4)::INT AS patch_col, round(f[p + 1] + f[p + 17] + f[p + 33] + f[p + 49], 4) AS total
+ FROM p""")
 def _(spark, sf):
     maps = T.patch_features(spark, sf).select(F.col("vec_id").alias("image_id"), "layer_idx", F.col("features").alias("data"))
     rows = imaging.patch_rows(maps, 4, 4, 4)
@@ -360,7 +411,8 @@ def _(spark, sf):
     return d.select("det_id", *[c.alias(n) for c, n in zip(G.corners(*(F.col(x) for x in ("cx", "cy", "w", "h"))), ("x1", "y1", "x2", "y2"), strict=True)])
 
 
-@query("box_clip", f"WITH {DETS} SELECT det_id, greatest(0, trunc(cx - w / 2)::INT) AS x1, greatest(0, trunc(cy - h / 2)::INT) AS y1, least(599, trunc(cx + w / 2)::INT) AS x2, least(479, trunc(cy + h / 2)::INT) AS y2 FROM det")
+@query("box_clip", f"""WITH {DETS} SELECT det_id, greatest(0, trunc(cx - w / 2)::INT) AS x1, greatest(0, trunc(cy - h / 2)::INT) AS y1, least(599, trunc(cx + w / 2)::INT) AS x2, least(479, trunc(cy + h / 2)::INT) AS y2
+ FROM det""")
 def _(spark, sf):
     return T.detections(spark, sf).select("det_id", *[c.alias(n) for n, c in detect.clip_to_image(600, 480).items()])
 
@@ -378,7 +430,10 @@ def _(spark, sf):
     return spatial.overlap_pairs(spatial.with_corners(T.detections(spark, sf))).select("id_a", "id_b", r4("iou"))
 
 
-@query("ciou", f"{_PAIR}, q AS (SELECT *, inter / (aa + ab - inter + 1e-7) AS iou, pow(greatest(ax2, bx2) - least(ax1, bx1), 2) + pow(greatest(ay2, by2) - least(ay1, by1), 2) + 1e-7 AS c2, pow((ax1 + ax2 - bx1 - bx2) / 2, 2) + pow((ay1 + ay2 - by1 - by2) / 2, 2) AS rho, 4 / pow(pi(), 2) * pow(atan((bx2 - bx1) / (by2 - by1 + 1e-7)) - atan((ax2 - ax1) / (ay2 - ay1 + 1e-7)), 2) AS v FROM p) SELECT id_a, id_b, round(1 - iou + rho / c2 + v * v / (1 - iou + v + 1e-7), 4) AS ciou FROM q")
+@query("ciou", f"""{_PAIR},
+q AS (SELECT *, inter / (aa + ab - inter + 1e-7) AS iou, pow(greatest(ax2, bx2) - least(ax1, bx1), 2) + pow(greatest(ay2, by2) - least(ay1, by1), 2) + 1e-7 AS c2, pow((ax1 + ax2 - bx1 - bx2) / 2, 2) + pow((ay1 + ay2 - by1 - by2) / 2, 2) AS rho, 4 / pow(pi(), 2) * pow(atan((bx2 - bx1) / (by2 - by1 + 1e-7)) - atan((ax2 - ax1) / (ay2 - ay1 + 1e-7)), 2) AS v
+ FROM p) SELECT id_a, id_b, round(1 - iou + rho / c2 + v * v / (1 - iou + v + 1e-7), 4) AS ciou
+ FROM q""")
 def _(spark, sf):
     return detect.iou_pairs(T.detections(spark, sf)).select("id_a", "id_b", r4("ciou"))
 
@@ -431,7 +486,8 @@ _EXPECT = "(SELECT sum(j * exp(x)) / (sum(exp(x)) + 1e-9) FROM (SELECT unnest(f[
 _V8 = f"WITH {PATCH}, x AS (SELECT image_id AS frame_id, vec_id AS cell, f, list_transform(f[1:3], lambda v: 1 / (1 + exp(-v))) AS sc FROM patch), k AS (SELECT *, list_max(sc) AS confidence FROM x), d AS (SELECT frame_id, cell, (list_position(sc, confidence) - 1)::INT AS class_id, confidence, " + ", ".join(f"{_EXPECT.format(a=16 * i + 1, b=16 * i + 16)} AS {n}" for i, n in enumerate("ltrb")) + " FROM k WHERE confidence >= 0.5)"
 
 
-@query("decode_v8", f"{_V8} SELECT frame_id, cell, class_id, round(confidence, 4) AS confidence, round(((cell % 20 + 0.5 + (r - l) / 2) * 32 - 8) / 0.5, 3) AS cx, round(((cell // 20 + 0.5 + (b - t) / 2) * 32 - 16) / 0.5, 3) AS cy, round((l + r) * 32 / 0.5, 3) AS w, round((t + b) * 32 / 0.5, 3) AS h FROM d")
+@query("decode_v8", f"""{_V8} SELECT frame_id, cell, class_id, round(confidence, 4) AS confidence, round(((cell % 20 + 0.5 + (r - l) / 2) * 32 - 8) / 0.5, 3) AS cx, round(((cell // 20 + 0.5 + (b - t) / 2) * 32 - 16) / 0.5, 3) AS cy, round((l + r) * 32 / 0.5, 3) AS w, round((t + b) * 32 / 0.5, 3) AS h
+ FROM d""")
 def _(spark, sf):
     out = detect.decode_v8(_head(spark, sf), 3)
     return out.select("frame_id", "cell", "class_id", r4("confidence"), *[F.round(c, 3).alias(c) for c in ("cx", "cy", "w", "h")])
@@ -446,7 +502,13 @@ def _(spark, sf):
     return out.select("frame_id", "cell", "class_id", r4("confidence"), *[F.round(c, 3).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
-@query("decode_v5", f"WITH {PATCH}, x AS (SELECT image_id AS frame_id, vec_id AS cell, f, list_transform(f[5:7], lambda v: 1 / (1 + exp(-v))) AS sc FROM patch), k AS (SELECT *, list_max(sc) AS confidence FROM x) SELECT frame_id, cell, (list_position(sc, confidence) - 1)::INT AS class_id, round(confidence, 4) AS confidence, round((f[1] - 8) / 0.5, 4) AS cx, round((f[2] - 16) / 0.5, 4) AS cy, round(f[3] / 0.5, 4) AS w, round(f[4] / 0.5, 4) AS h FROM k WHERE confidence >= 0.5")
+@query("decode_v5", f"""WITH {PATCH},
+x AS (SELECT image_id AS frame_id, vec_id AS cell, f, list_transform(f[5:7], lambda v: 1 / (1 + exp(-v))) AS sc
+ FROM patch),
+k AS (SELECT *, list_max(sc) AS confidence
+ FROM x) SELECT frame_id, cell, (list_position(sc, confidence) - 1)::INT AS class_id, round(confidence, 4) AS confidence, round((f[1] - 8) / 0.5, 4) AS cx, round((f[2] - 16) / 0.5, 4) AS cy, round(f[3] / 0.5, 4) AS w, round(f[4] / 0.5, 4) AS h
+ FROM k
+ WHERE confidence >= 0.5""")
 def _(spark, sf):
     return detect.decode_v5(_head(spark, sf), 3).select("frame_id", "cell", "class_id", *[r4(c) for c in ("confidence", "cx", "cy", "w", "h")])
 
@@ -456,7 +518,12 @@ def _(spark, sf):
     return T.patch_features(spark, sf).select("vec_id", r4("expected", G.softmax_expectation(F.slice("features", 1, 16))))
 
 
-@query("dfl_loss", f"WITH {PATCH}, t AS (SELECT vec_id, f[1:16] AS f, ((vec_id * 7) % 150) / 10.0::DOUBLE AS t FROM patch), u AS (SELECT *, floor(t)::INT AS lo, least(floor(t)::INT + 1, 15) AS hi, ln(list_sum(list_transform(f, lambda x: exp(x - list_max(f))))) + list_max(f) AS z FROM t) SELECT vec_id, round((z - f[lo + 1]) * (lo + 1 - t) + (z - f[hi + 1]) * (t - lo), 4) AS loss FROM u")
+@query("dfl_loss", f"""WITH {PATCH},
+t AS (SELECT vec_id, f[1:16] AS f, ((vec_id * 7) % 150) / 10.0::DOUBLE AS t
+ FROM patch),
+u AS (SELECT *, floor(t)::INT AS lo, least(floor(t)::INT + 1, 15) AS hi, ln(list_sum(list_transform(f, lambda x: exp(x - list_max(f))))) + list_max(f) AS z
+ FROM t) SELECT vec_id, round((z - f[lo + 1]) * (lo + 1 - t) + (z - f[hi + 1]) * (t - lo), 4) AS loss
+ FROM u""")
 def _(spark, sf):
     t = ((F.col("vec_id") * 7) % 150) / F.lit(10.0)
     return T.patch_features(spark, sf).select("vec_id", r4("loss", G.dfl_loss(F.slice("features", 1, 16), t)))
@@ -498,13 +565,23 @@ def _(spark, sf):
     return out.select(*[F.round(c, 5).alias(c) for c in ("box", "dfl", "cls", "total")])
 
 
-@query("letterbox_params", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, round(w * scale)::INT AS new_w, round(h * scale)::INT AS new_h FROM s) SELECT image_id, round(scale, 6) AS scale, new_w, new_h, floor((640 - new_w) / 2.0)::INT AS pad_x, floor((640 - new_h) / 2.0)::INT AS pad_y FROM n")
+@query("letterbox_params", f"""WITH {_SIZES},
+s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale
+ FROM z),
+n AS (SELECT *, round(w * scale)::INT AS new_w, round(h * scale)::INT AS new_h
+ FROM s) SELECT image_id, round(scale, 6) AS scale, new_w, new_h, floor((640 - new_w) / 2.0)::INT AS pad_x, floor((640 - new_h) / 2.0)::INT AS pad_y
+ FROM n""")
 def _(spark, sf):
     p = G.letterbox(F.col("w").cast("double"), F.col("h").cast("double"))
     return _sizes(spark, sf).select("image_id", F.round(p["scale"], 6).alias("scale"), *[p[k].alias(k) for k in ("new_w", "new_h", "pad_x", "pad_y")])
 
 
-@query("train_letterbox_boxes", f"WITH {_SIZES}, s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale FROM z), n AS (SELECT *, floor((640 - trunc(w * scale)) / 2.0) AS px, floor((640 - trunc(h * scale)) / 2.0) AS py, (image_id % 9 + 1) / 10.0::DOUBLE AS u, (image_id % 7 + 2) / 10.0::DOUBLE AS t FROM s) SELECT image_id, round((u * w * scale + px) / 640, 4) AS cx, round((t * h * scale + py) / 640, 4) AS cy, round(0.2 * w * scale / 640, 4) AS bw, round(0.1 * h * scale / 640, 4) AS bh FROM n")
+@query("train_letterbox_boxes", f"""WITH {_SIZES},
+s AS (SELECT *, least(640.0::DOUBLE / w, 640.0::DOUBLE / h) AS scale
+ FROM z),
+n AS (SELECT *, floor((640 - trunc(w * scale)) / 2.0) AS px, floor((640 - trunc(h * scale)) / 2.0) AS py, (image_id % 9 + 1) / 10.0::DOUBLE AS u, (image_id % 7 + 2) / 10.0::DOUBLE AS t
+ FROM s) SELECT image_id, round((u * w * scale + px) / 640, 4) AS cx, round((t * h * scale + py) / 640, 4) AS cy, round(0.2 * w * scale / 640, 4) AS bw, round(0.1 * h * scale / 640, 4) AS bh
+ FROM n""")
 def _(spark, sf):
     p = G.letterbox(F.col("w").cast("double"), F.col("h").cast("double"), train=True)
     sized = _sizes(spark, sf).withColumns({"u": (F.col("image_id") % 9 + 1) / 10.0, "t": (F.col("image_id") % 7 + 2) / 10.0})
@@ -530,7 +607,9 @@ def _grid_cells(d):
     return g.withColumns({"score": ((F.col("frame_id") * 31 + F.col("y") * 17 + F.col("x") * 13) % 100) / 100.0, "cell": F.lit(128)})
 
 
-@query("fusion", f"{_FUSE} SELECT b.det_id, round(coalesce(max(c.score), 0), 4) AS anomaly_score, coalesce(max(c.score), 0) > 0.5 AS is_anomaly FROM b LEFT JOIN c ON b.frame_id = c.frame_id AND c.x * 128 <= x2 AND (c.x + 1) * 128 > x1 AND c.y * 128 <= y2 AND (c.y + 1) * 128 > y1 AND x1 <= x2 AND y1 <= y2 GROUP BY 1")
+@query("fusion", f"""{_FUSE} SELECT b.det_id, round(coalesce(max(c.score), 0), 4) AS anomaly_score, coalesce(max(c.score), 0) > 0.5 AS is_anomaly
+ FROM b LEFT JOIN c ON b.frame_id = c.frame_id AND c.x * 128 <= x2 AND (c.x + 1) * 128 > x1 AND c.y * 128 <= y2 AND (c.y + 1) * 128 > y1 AND x1 <= x2 AND y1 <= y2
+ GROUP BY 1""")
 def _(spark, sf):
     d = T.detections(spark, sf)
     return detect.fuse_detections(d, _grid_cells(d), 0.5, 640, 640).select("det_id", r4("anomaly_score"), "is_anomaly")
@@ -595,14 +674,18 @@ def _(spark, sf):
     return out.select("label", *[r4(c) for c in ("map50", "map50_95", "precision", "recall")])
 
 
-@query("label_text", f"WITH {DETS} SELECT det_id, label || ': ' || trunc(confidence * 100)::INT || '%' || CASE WHEN det_id % 2 = 0 THEN ' score:' || trunc((det_id % 90) / 60.0::DOUBLE * 100)::INT || '%' ELSE '' END AS text, label || ': ' || CASE WHEN confidence > 0.5 THEN 'NG ' ELSE 'OK ' END || trunc(confidence * 100)::INT || '%' AS roi FROM det")
+@query("label_text", f"""WITH {DETS} SELECT det_id, label || ': ' || trunc(confidence * 100)::INT || '%' || CASE WHEN det_id % 2 = 0 THEN ' score:' || trunc((det_id % 90) / 60.0::DOUBLE * 100)::INT || '%' ELSE '' END AS text, label || ': ' || CASE WHEN confidence > 0.5 THEN 'NG ' ELSE 'OK ' END || trunc(confidence * 100)::INT || '%' AS roi
+ FROM det""")
 def _(spark, sf):
     score = F.when(F.col("det_id") % 2 == 0, (F.col("det_id") % 90) / 60.0)
     c = F.col("confidence")
     return T.detections(spark, sf).select("det_id", detect.label_text(F.col("label"), c, score).alias("text"), detect.roi_text(F.col("label"), c, c > 0.5).alias("roi"))
 
 
-@query("roi_map", f"WITH {DETS} SELECT frame_id, count(*) AS n, round(max(confidence) FILTER (label = 'view'), 4) AS view_score, 7.0::DOUBLE AS added FROM (SELECT DISTINCT frame_id, label, max(confidence) OVER (PARTITION BY frame_id, label) AS confidence FROM det) GROUP BY 1")
+@query("roi_map", f"""WITH {DETS} SELECT frame_id, count(*) AS n, round(max(confidence) FILTER (label = 'view'), 4) AS view_score, 7.0::DOUBLE AS added
+ FROM (SELECT DISTINCT frame_id, label, max(confidence) OVER (PARTITION BY frame_id, label) AS confidence
+ FROM det)
+ GROUP BY 1""")
 def _(spark, sf):
     per = T.detections(spark, sf).groupBy("frame_id", "label").agg(F.max("confidence").alias("c"))
     maps = per.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("m"))
@@ -610,7 +693,8 @@ def _(spark, sf):
     return put.select("frame_id", F.size("m").cast("long").alias("n"), r4("view_score", F.try_element_at("m", F.lit("view"))), F.element_at("m2", "added").alias("added"))
 
 
-@query("text_functions", "SELECT event_id, 'frame_' || lpad(event_id::VARCHAR, greatest(4, length(event_id::VARCHAR))::INT, '0') || '.png' AS name, len(string_split('layer2,' || event_type || ',', ','))::INT AS parts, upper(event_type) = 'CLICK' AS click FROM events")
+@query("text_functions", """SELECT event_id, 'frame_' || lpad(event_id::VARCHAR, greatest(4, length(event_id::VARCHAR))::INT, '0') || '.png' AS name, len(string_split('layer2,' || event_type || ',', ','))::INT AS parts, upper(event_type) = 'CLICK' AS click
+ FROM events""")
 def _(spark, sf):
     e = T.table(spark, sf, "events")
     return e.select("event_id", F.format_string("frame_%04d.png", "event_id").alias("name"), F.size(F.split(F.concat(F.lit("layer2,"), "event_type", F.lit(",")), ",")).alias("parts"), (F.lower("event_type") == "click").alias("click"))
@@ -630,7 +714,9 @@ def _lines(spark, sf):
     return T.table(spark, sf, "events").selectExpr("event_id", "concat_ws(' ', if(event_id % 11 = 0, 'x', if(event_id % 2 = 0, concat(event_id % 5, '.0'), string(event_id % 5))), (event_id % 13) / 10.0, 0.5, (event_id % 7 - 1) / 10.0, 0.25) as value")
 
 
-@query("label_parse", "SELECT event_id, (event_id % 5)::INT AS cls, round((event_id % 13) / 10.0, 4)::DOUBLE AS cx, round((event_id % 7 - 1) / 10.0, 4)::DOUBLE AS w FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <= 10 AND event_id % 7 > 1")
+@query("label_parse", """SELECT event_id, (event_id % 5)::INT AS cls, round((event_id % 13) / 10.0, 4)::DOUBLE AS cx, round((event_id % 7 - 1) / 10.0, 4)::DOUBLE AS w
+ FROM events
+ WHERE event_id % 11 <> 0 AND event_id % 13 <= 10 AND event_id % 7 > 1""")
 def _(spark, sf):
     from ..sources.files import parse_label_lines
 
@@ -664,12 +750,16 @@ def _(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id").join(T.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("batch_assign", "SELECT event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+@query("batch_assign", """SELECT event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch
+ FROM (SELECT event_id, row_number() OVER (ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id) AS n
+ FROM events)""")
 def _(spark, sf):
     return serving.assign_batches(T.table(spark, sf, "events").select("event_id"), "event_id", 16).select("event_id", "pos", "batch")
 
 
-@query("batch_assign_by_group", "SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id) AS n FROM events)")
+@query("batch_assign_by_group", """SELECT event_type AS shard, event_id, (n - 1)::BIGINT AS pos, ((n - 1) // 16)::BIGINT AS batch
+ FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ((event_id % 2147483648) * 1103515245 + 12345) % 2147483648, event_id) AS n
+ FROM events)""")
 def _(spark, sf):
     e = T.table(spark, sf, "events").select("event_type", "event_id")
     return serving.assign_batches(e, "event_id", 16, "event_type").select("shard", "event_id", "pos", "batch")
@@ -680,7 +770,10 @@ def _(spark, sf):
     return T.table(spark, sf, "events").select("event_id").orderBy(serving.hash_order("event_id"), "event_id").limit(100)
 
 
-@query("assign_targets", f"WITH {DETS}, s AS (SELECT det_id, cx / 640 AS cx, cy / 640 AS cy, unnest([8, 16, 32]) AS stride FROM det) SELECT det_id, stride, least(greatest(trunc(cx * 640 / stride)::INT, 0), 640 // stride - 1)::INT AS gx, least(greatest(trunc(cy * 640 / stride)::INT, 0), 640 // stride - 1)::INT AS gy FROM s")
+@query("assign_targets", f"""WITH {DETS},
+s AS (SELECT det_id, cx / 640 AS cx, cy / 640 AS cy, unnest([8, 16, 32]) AS stride
+ FROM det) SELECT det_id, stride, least(greatest(trunc(cx * 640 / stride)::INT, 0), 640 // stride - 1)::INT AS gx, least(greatest(trunc(cy * 640 / stride)::INT, 0), 640 // stride - 1)::INT AS gy
+ FROM s""")
 def _(spark, sf):
     t = T.detections(spark, sf).select("det_id", (F.col("cx") / 640).alias("cx"), (F.col("cy") / 640).alias("cy"))
     return detect.assign_targets(t).select("det_id", "stride", "gx", "gy")
@@ -707,6 +800,35 @@ def _(spark, sf):
     return serving.mosaic_boxes(_boxed(spark, sf)).select("mosaic", "idx", *[r4(c, F.col(c) + 1e-6) for c in ("cx", "cy", "w", "h")], "x1", "y1", "x2", "y2")
 
 
+_HSV = f"""WITH {PIX},
+p AS (SELECT image_id, row, col, max(v) FILTER (ch = 0) AS b, max(v) FILTER (ch = 1) AS g, max(v) FILTER (ch = 2) AS r FROM pix GROUP BY ALL),
+m AS (SELECT *, greatest(b, g, r) AS mx, greatest(b, g, r) - least(b, g, r) AS span FROM p),
+h AS (SELECT *, CASE WHEN span = 0 THEN 0.0::DOUBLE WHEN mx = r THEN 60 * (g - b) / span + CASE WHEN g < b THEN 360 ELSE 0 END WHEN mx = g THEN 60 * (b - r) / span + 120 ELSE 60 * (r - g) / span + 240 END / 2 AS hue FROM m),
+j AS (SELECT *, hue + (2 * {_CHANCE.format("image_id", 4)} - 1) * 5 AS turned,
+ greatest(0.0, least(255.0, CASE WHEN mx = 0 THEN 0.0 ELSE 255 * span / mx END * (1 + (2 * {_CHANCE.format("image_id", 5)} - 1) * 30 / 100))) AS s, greatest(0.0, least(255.0, mx * (1 + (2 * {_CHANCE.format("image_id", 6)} - 1) * 30 / 100))) AS v FROM h),
+k AS (SELECT *, (turned - 180 * floor(turned / 180)) / 30 AS sector, v * s / 255 AS c FROM j),
+t AS (SELECT image_id, row, col, (floor(sector)::INT % 6) + 1 AS i, v AS top, v - c AS low, v - c * (sector - floor(sector)) AS down, v - c * (1 - (sector - floor(sector))) AS up FROM k)
+SELECT image_id, row, col, round([low, low, up, top, top, down][i], 3) AS b, round([up, top, top, down, low, low][i], 3) AS g, round([top, down, low, low, up, top][i], 3) AS r FROM t"""
+
+
+@query("hsv_jitter", _HSV)
+def _(spark, sf):
+    bgr = T.pixels(spark, sf).groupBy("image_id", "row", "col").pivot("ch", [0, 1, 2]).agg(F.first("v")).toDF("image_id", "row", "col", "b", "g", "r")
+    return serving.hsv_jitter(bgr, "image_id").select("image_id", "row", "col", *[F.round(c, 3).alias(c) for c in "bgr"])
+
+
+@query("model_infer", f"""WITH {PIX} SELECT image_id AS frame_id, round(avg(v) FILTER (ch = 0), 4) AS blue, round(avg(v) FILTER (ch = 1), 4) AS green, round(avg(v) FILTER (ch = 2), 4) AS red, round(avg(v), 4) AS whole
+ FROM pix
+ GROUP BY 1""")
+def _(spark, sf):
+    from ..operators import model
+
+    listed = T.pixels(spark, sf).groupBy(F.col("image_id").alias("frame_id")).agg(F.sort_array(F.collect_list(F.struct("row", "col", "ch", "v")))["v"].alias("data"))
+    out = model.infer(listed.withColumn("shape", F.array(F.lit(16), F.lit(16), F.lit(3))), "means")
+    at = lambda i, j: F.get(F.get("outputs", F.lit(i))["data"], F.lit(j))
+    return out.select("frame_id", *[r4(c, at(0, j)) for j, c in enumerate(("blue", "green", "red"))], r4("whole", at(1, 0)))
+
+
 @query("collate", f"WITH {DETS} SELECT det_id // 8 AS batch, det_id % 8 AS batch_idx, 1 AS cls, round(cx / 640, 4) AS cx, round(cy / 640, 4) AS cy, round(w / 640, 4) AS w, round(h / 640, 4) AS h FROM det")
 def _(spark, sf):
     return serving.collate_targets(_boxed(spark, sf), 8).select("batch", "batch_idx", "cls", *[r4(c) for c in ("cx", "cy", "w", "h")])
@@ -772,7 +894,8 @@ def _(spark, sf):
     return serving.round_robin(T.table(spark, sf, "events").select("event_type", "event_id"), "event_id", 3, "event_type")
 
 
-@query("device_rule", "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'cpu' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 <> 1 THEN 'gpu' ELSE 'cpu' END ELSE CASE WHEN event_id % 3 = 1 OR (event_id % 3 = 2 AND value * 100 >= 9216) THEN 'gpu' ELSE 'cpu' END END AS device FROM events")
+@query("device_rule", """SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'cpu' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 <> 1 THEN 'gpu' ELSE 'cpu' END ELSE CASE WHEN event_id % 3 = 1 OR (event_id % 3 = 2 AND value * 100 >= 9216) THEN 'gpu' ELSE 'cpu' END END AS device
+ FROM events""")
 def _(spark, sf):
     i = F.col("event_id")
     mode = F.when(i % 3 == 1, "training").when(i % 3 == 2, "balanced").otherwise("inference")
@@ -791,13 +914,26 @@ def _(spark, sf):
     return P.execute(P.parse(GRAPH), T.detections(spark, sf)).groupBy("det_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dag_layers", "WITH RECURSIVE e(f, t) AS (VALUES ('low', 'all'), ('high', 'all'), ('all', 'best')), n(id) AS (VALUES ('low'), ('high'), ('all'), ('best')), d AS (SELECT id, 0 AS layer FROM n WHERE id NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, d.layer + 1 FROM d JOIN e ON e.f = d.id) SELECT id, max(layer)::INT AS layer FROM d GROUP BY id")
+@query("dag_layers", """WITH RECURSIVE e(f, t) AS (VALUES ('low', 'all'), ('high', 'all'), ('all', 'best')), n(id) AS (VALUES ('low'), ('high'), ('all'), ('best')),
+d AS (SELECT id, 0 AS layer FROM n WHERE id NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, d.layer + 1 FROM d JOIN e ON e.f = d.id) SELECT id, max(layer)::INT AS layer FROM d GROUP BY id""")
 def _(spark, sf):
     rows = [(n, i) for i, layer in enumerate(P.parse(GRAPH).layers) for n in layer]
     return spark.createDataFrame(rows, "id string, layer int")
 
 
-@query("node_metrics", f"WITH {DETS}, a AS (SELECT confidence AS c FROM det) SELECT 'low' AS node_id, count(*) AS rows FROM a WHERE c >= 0.2 UNION ALL SELECT 'high', count(*) FROM a WHERE c >= 0.9 UNION ALL SELECT 'all', sum((c >= 0.2)::INT + (c >= 0.9)::INT)::BIGINT FROM a UNION ALL SELECT 'best', (2 * count(*))::BIGINT FROM a WHERE c >= 0.95")
+@query("node_metrics", f"""WITH {DETS},
+a AS (SELECT confidence AS c
+ FROM det) SELECT 'low' AS node_id, count(*) AS rows
+ FROM a
+ WHERE c >= 0.2
+ UNION ALL SELECT 'high', count(*)
+ FROM a
+ WHERE c >= 0.9
+ UNION ALL SELECT 'all', sum((c >= 0.2)::INT + (c >= 0.9)::INT)::BIGINT
+ FROM a
+ UNION ALL SELECT 'best', (2 * count(*))::BIGINT
+ FROM a
+ WHERE c >= 0.95""")
 def _(spark, sf):
     return P.node_metrics(P.parse(GRAPH), T.detections(spark, sf))
 
@@ -817,7 +953,9 @@ def _(spark, sf):
     )
 
 
-@query("multi_roi", f"WITH {PATCH}, m AS (SELECT p.label AS g, p.vec_id AS id, min(list_distance(p.f, b.f)) AS d FROM patch p JOIN bank b ON p.label = b.label AND b.vec_id <> p.vec_id GROUP BY 1, 2), r AS (SELECT id // 16 AS image_id, g, max(d) AS s FROM m GROUP BY 1, 2) SELECT image_id, count(*) AS rois, round(max(s), 4) AS worst, bool_or(s > 8.5) AS any_anomaly FROM r GROUP BY 1")
+@query("multi_roi", f"""WITH {PATCH},
+m AS (SELECT p.label AS g, p.vec_id AS id, min(list_distance(p.f, b.f)) AS d FROM patch p JOIN bank b ON p.label = b.label AND b.vec_id <> p.vec_id GROUP BY 1, 2),
+r AS (SELECT id // 16 AS image_id, g, max(d) AS s FROM m GROUP BY 1, 2) SELECT image_id, count(*) AS rois, round(max(s), 4) AS worst, bool_or(s > 8.5) AS any_anomaly FROM r GROUP BY 1""")
 def _(spark, sf):
     nn = vectors.nn_by_group(T.probes(spark, sf), T.bank(spark, sf), "label", skip_self=True)
     per = nn.groupBy(F.expr("id div 16").alias("image_id"), "g").agg(F.max("dist").alias("s"))
@@ -914,7 +1052,12 @@ def _(spark, sf):
     return out.select("image_id", "roi_id", r4("score"), "is_anomaly", "any_anomaly")
 
 
-@query("threshold_training", f"WITH {NN}, s AS (SELECT id // 16 AS image_id, max(m.d) AS score FROM nn GROUP BY 1) SELECT m.method, round(CASE m.method WHEN 'max_score' THEN max(score) WHEN 'mean_ksigma' THEN avg(score) + 2 * stddev_pop(score) ELSE quantile_disc(score, 0.9) END, 4) AS threshold, count(*) AS num_samples FROM s, (VALUES ('max_score'), ('mean_ksigma'), ('percentile')) m(method) GROUP BY 1")
+@query("threshold_training", f"""WITH {NN},
+s AS (SELECT id // 16 AS image_id, max(m.d) AS score
+ FROM nn
+ GROUP BY 1) SELECT m.method, round(CASE m.method WHEN 'max_score' THEN max(score) WHEN 'mean_ksigma' THEN avg(score) + 2 * stddev_pop(score) ELSE quantile_disc(score, 0.9) END, 4) AS threshold, count(*) AS num_samples
+ FROM s, (VALUES ('max_score'), ('mean_ksigma'), ('percentile')) m(method)
+ GROUP BY 1""")
 def _(spark, sf):
     scores = stored(_nn(spark, sf).groupBy(F.expr("id div 16").alias("image_id")).agg(F.max("dist").alias("score")), "scores")
     return evaluate.thresholds_by_method(scores, "score", 2.0, 90.0).select("method", r4("threshold"), "num_samples")
