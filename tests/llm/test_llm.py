@@ -40,6 +40,8 @@ def make(seed=3):
     out += [(10 + i, text(rng.randint(1, 60))) for i in range(25)]
     out += [(40, base), (41, base), (42, base + " tail"), (43, base.replace("gamma", "GAMMA")), (44, text(20) + passage + text(20)), (45, passage + "\n" + text(9)), (46, text(4) + passage)]
     out += [(50, " ".join(f"w{i % 997}" for i in range(6000))), (51, "y" * 5000), (52, "ab " * 300)]
+    long = " ".join(f"v{i * i % 3989}" for i in range(45_000))  # longer than a slice, on one line
+    out += [(53, long), (54, long + " and some more words behind it")]
     out += [(60, "the same line of some length here\nother " + text(5)), (61, "the same line of some length here\nthe same line of some length hera\nshort\nshort")]
     return out
 
