@@ -197,7 +197,6 @@ def test_batches_by_size_and_delay(spark, monkeypatch):
 
 def test_stream_flushes_at_size_and_at_the_timer(spark, tmp_path):
     """A full queue goes out at once and whole; one that stays short goes out by its timer."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     put = lambda name, rows: spark.createDataFrame(rows, "model string, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     put("first", [("a", i) for i in range(40)] + [("b", i) for i in range(5)])
     source = spark.readStream.schema("model string, id long").parquet(str(tmp_path / "in"))

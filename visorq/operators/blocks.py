@@ -98,7 +98,7 @@ def grid_search(queries: DataFrame, bank: DataFrame, k: int = 1, skip_self: bool
     cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = lambda n, width: -(-n * width // (block_bytes or BLOCK_BYTES))
     blocks = {at: cut(b, width) for at, b, _, width in both}
-    shapes = [(at, blocks[at], max(cut(q, width), min(-(-cores // sum(blocks.values())), -(-q // FEW)))) for at, _, q, width in both]
+    shapes = [(at, blocks[at], max(cut(q, width), min(-(-2 * cores // sum(blocks.values())), -(-q // FEW)))) for at, _, q, width in both]
     pairs, deep = sum(b * q for _, b, q in shapes), max(blocks.values())
     if len(shapes) == 1:
         shaped = lambda x: x.withColumns({"lot": lot, "nb": F.lit(shapes[0][1]), "nq": F.lit(shapes[0][2])}).filter(F.col("lot") == shapes[0][0])

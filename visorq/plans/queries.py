@@ -964,8 +964,10 @@ def _(spark, sf):
 
 @query("windowed_requests", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS requests FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    e = T.table(spark, sf, "events")
-    return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("requests"))
+    from ..streaming import serving as stream
+
+    counted = stream.windowed_counts(T.table(spark, sf, "events"), "ts", "event_type")  # the stream's plan over the whole table
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "requests")
 
 
 # --- inspection nodes

@@ -28,9 +28,45 @@ def windowed_counts(requests: DataFrame, ts: str, key: str, window: str = "1 day
     return timed.groupBy(F.window("event_time", window), key).agg(F.count(F.lit(1)).alias("requests"))
 
 
+class Registry(StatefulProcessor):
+    """What is known of one model: version, a version that waits, references, last use, errors."""
+
+    def __init__(self, strict: bool):
+        self.strict = strict
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("model", "version long, waiting long, refs long, used long, errors long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        version, waiting, refs, used, errors = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0)
+        for op, ts, given in pd.concat(list(rows)).sort_values("ts", kind="stable")[["op", "ts", "version"]].itertuples(index=False):
+            new = int(given) if pd.notna(given) else max(version, waiting) + 1
+            if op in ("load", "replace") and not refs:
+                version, waiting = new, 0
+            elif op in ("load", "replace"):
+                waiting = new
+            elif op == "unload":
+                version = waiting = refs = 0
+            elif op == "acquire":
+                errors += int(self.strict and not version)
+                refs, used = refs + 1, max(used, int(ts))
+            elif op == "touch":
+                used = max(used, int(ts))
+            elif op == "release":
+                errors += int(not refs)
+                refs, used = max(0, refs - 1), max(used, int(ts))
+                if not refs and waiting:
+                    version, waiting = waiting, 0
+        self.state.update((version, waiting, refs, used, errors))
+        yield pd.DataFrame({"name": [key[0]], "ref_count": [refs], "last_used": [used], "version": [version], "waiting": [waiting], "errors": [errors]})
+
+    def close(self) -> None:
+        pass
+
+
 def registry_state(log: DataFrame) -> DataFrame:
     """Per model its version, references and last use, from a log (name, op, ts, and version, null where not given)
-    kept as state.
+    kept as state. It needs the RocksDB store: ``spark.sql.streaming.stateStore.providerClass``.
 
     op: load and replace (the given version, or one more than the last; a replacement waits until nobody holds
     the model), acquire and release, touch, unload. Acquiring a model that isn't loaded, and releasing one that
@@ -38,33 +74,8 @@ def registry_state(log: DataFrame) -> DataFrame:
     strict = "version" in log.columns  # a log without versions tells nothing of loading
     if not strict:
         log = log.withColumn("version", F.lit(None).cast("long"))
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        version, waiting, refs, used, errors = state.get if state.exists else (0, 0, 0, 0, 0)
-        for b in batches:
-            for op, ts, given in b.sort_values("ts", kind="stable")[["op", "ts", "version"]].itertuples(index=False):
-                new = int(given) if pd.notna(given) else max(version, waiting) + 1
-                if op in ("load", "replace") and not refs:
-                    version, waiting = new, 0
-                elif op in ("load", "replace"):
-                    waiting = new
-                elif op == "unload":
-                    version = waiting = refs = 0
-                elif op == "acquire":
-                    errors += strict and not version
-                    refs, used = refs + 1, max(used, int(ts))
-                elif op == "touch":
-                    used = max(used, int(ts))
-                elif op == "release":
-                    errors += not refs
-                    refs, used = max(0, refs - 1), max(used, int(ts))
-                    if not refs and waiting:
-                        version, waiting = waiting, 0
-        state.update((version, waiting, refs, used, errors))
-        yield pd.DataFrame({"name": [key[0]], "ref_count": [refs], "last_used": [used], "version": [version], "waiting": [waiting], "errors": [errors]})
-
-    fields = "version long, waiting long, ref_count long, last_used long, errors long"
-    return log.groupBy("name").applyInPandasWithState(update, "name string, ref_count long, last_used long, version long, waiting long, errors long", fields, "update", "NoTimeout")
+    schema = "name string, ref_count long, last_used long, version long, waiting long, errors long"
+    return log.groupBy("name").transformWithStateInPandas(Registry(strict), schema, "update", "None")
 
 
 class Batcher(StatefulProcessor):
