@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visorq.operators import blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, spatial, tables, vectors
+from visorq.operators import backbone, blocks, detect, evaluate, graph, imaging, model, patchcore, raster, serving, spatial, tables, vectors
 from visorq.plans import pipeline as P
 from visorq.plans import queries as Q
 from visorq.sources import bank_source, files
@@ -267,6 +267,30 @@ def test_processors_as_table_functions(spark):
     assert len(got) == 1 and all(g[c] == pytest.approx(want[0][c]) for g in got for c in want[0].asDict())
 
 
+def test_trained_backbone_sees_texture_that_means_do_not(spark):
+    """Filters over all patches, in tiles of any size; and a defect that leaves every channel's mean as it was."""
+    rng = np.random.default_rng(8)
+    stripes = lambda: np.tile(np.where(np.arange(16) % 2, 200.0, 50.0)[None, :, None], (16, 1, 3)) + rng.normal(0, 2, (16, 16, 3))
+    images = {i: stripes() for i in range(12)}
+    images[50] = images[0].transpose(1, 0, 2).copy()  # the stripes lie across
+    long = lambda ids: spark.createDataFrame([(i, y, x, c, float(images[i][y, x, c])) for i in ids for y in range(16) for x in range(16) for c in range(3)], "image_id long, row int, col int, ch int, v double")
+    good = long(range(12))
+    n, first, second = backbone.moments(good, 3)
+    x = np.concatenate([backbone.windows(images[i], 3).reshape(-1, 27) for i in range(12)])
+    assert n == len(x) and np.allclose(first, x.sum(0)) and np.allclose(second, x.T @ x)
+    trained = backbone.train_backbone(good)
+    _, filters = backbone.filters_of(n, first, second, 8)
+    assert np.allclose(((x - x.mean(0)) @ filters).var(0), 1, atol=1e-6)
+    blocks = patchcore.blocks_of(good)
+    bank = patchcore.extract(blocks, patchcore.tile_views(raster.image_sizes(blocks), 0), trained).select("vec_id", "features")
+    seen = long([3, 50])
+    score = lambda own, b: {r.image_id: r.anomaly_score for r in patchcore.patchcore(seen, b, 0.5, backbone=own).collect()}
+    got = score(trained, bank)
+    assert got[3] < 1e-9 < 1.0 < got[50]
+    with pytest.raises(ValueError):
+        backbone.moments(good.limit(0), 3)
+
+
 def test_ids_of_any_size(spark):
     ids = spark.createDataFrame([(i,) for i in (-5, 0, 7, 10**10, 2**50, -(2**62))], "id long")
     got = {r.id: r.o for r in ids.select("id", serving.hash_order("id").alias("o")).collect()}

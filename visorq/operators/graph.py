@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 from .blocks import matrix
 
 _EDGES = "node long, to long, dist double"
@@ -97,8 +97,11 @@ def build(rows: DataFrame, degree: int = 16, rounds: int = 5, id_col: str = "vec
         held = nodes.join(bar, "id", "left").withColumn("bar", F.coalesce("bar", far))
         near = both_ways(edges, degree).select(F.col("node").alias("g"), F.col("to").alias("id"))
         better = _compared(near.join(held, "id").select("g", "id", "v", "bar"))
-        edges = stored(_nearest_of(edges.unionByName(better), degree), "graph-edges")
-    return nodes, stored(both_ways(edges, degree), "graph")
+        before, edges = edges, stored(_nearest_of(edges.unionByName(better), degree), "graph-edges")
+        discard(before)
+    graph = stored(both_ways(edges, degree), "graph")
+    discard(edges)
+    return nodes, graph
 
 
 def save(path: str, nodes: DataFrame, edges: DataFrame) -> None:
@@ -131,12 +134,15 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = 6
         ranked = seen.withColumn("open", (F.row_number().over(best) <= beam) & ~F.col("done"))
         taken = ranked.withColumn("now", F.col("open") & (F.row_number().over(next_ones) <= wide))
         taken = stored(taken.select("id", "to", "dist", (F.col("done") | F.col("now")).alias("done"), "now"), "graph-beam")
+        discard(seen)
         frontier = taken.filter("now").select("id", F.col("to").alias("node"))
         if frontier.first() is None:
             break
         met = frontier.join(edges.select("node", "to"), "node").select("id", "to").distinct().join(taken.select("id", "to"), ["id", "to"], "left_anti")
         new = met.join(nodes.select(F.col("id").alias("to"), "v"), "to").join(asked, "id").select("id", "to", _distance("q", "v").alias("dist"), unseen)
         seen = stored(taken.drop("now").unionByName(new), "graph-seen")
+        discard(taken)
+    discard(asked)
     answers = taken.filter(F.col("to") != F.col("id")) if skip_self else taken
     counts = taken.groupBy("id").agg(F.count(F.lit(1)).alias("compared"))
     found = answers.groupBy("id").agg(F.min(F.struct("dist", F.col("to").alias("nn_id"))).alias("m"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..storage import stored
+from ..storage import discard, stored
 
 KEYS = ("frame_id", "label")
 _CORNERS = ("x1", "y1", "x2", "y2")
@@ -71,7 +71,9 @@ def suppressed(boxes: DataFrame, iou: float, keys: tuple[str, ...] = KEYS, id_co
         gone.append(lost)
         # conflicts with a box that is dropped are over, whichever side it is on; so are those of boxes that stay
         rest = left.join(lost, [*keys, "worse"], "left_anti")
-        left = stored(rest.join(lost.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti"), "conflicts")
+        before, left = left, stored(rest.join(lost.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti"), "conflicts")
+        discard(before)
+    discard(left)
     out = boxes.select(*keys, F.col(id_col)).limit(0)
     for lost in gone:
         out = out.unionByName(lost.withColumnRenamed("worse", id_col))

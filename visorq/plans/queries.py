@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import detect, evaluate, imaging, serving, spatial, vectors
 from ..sources import tables as T
-from ..storage import shared_folder, stored
+from ..storage import fresh_path, stored
 from . import pipeline as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,8 +130,6 @@ nn AS (SELECT p.vec_id AS id, min(struct_pack(d := list_distance(p.f, t.f), nn_i
  FROM probe p JOIN cell a ON a.vec_id = p.vec_id AND a.r <= 13 JOIN cell b ON b.list_id = a.list_id AND b.r = 1 AND b.vec_id <> p.vec_id JOIN patch t ON t.vec_id = b.vec_id GROUP BY 1)
 SELECT id, m.nn_id AS nn_id, round(m.d, 4) AS dist FROM nn""")
 def _(spark, sf):
-    import uuid
-
     import numpy as np
 
     rows = T.patch_features(spark, sf)
@@ -139,7 +137,7 @@ def _(spark, sf):
     means = vectors.in_cells(rows, first).select("list_id", F.posexplode("features")).groupBy("list_id", "pos").agg(F.avg("col").alias("x"))
     listed = means.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"].alias("f"))
     centers = np.array([r["f"] for r in listed.orderBy("list_id").collect()])
-    path = f"{shared_folder(spark)}/visorq-steps/index-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "index")
     vectors.save_index(path, centers, vectors.in_cells(rows, centers))
     found = vectors.search_cells(T.search_queries(spark, sf), *vectors.load_index(spark, path), nprobe=13, skip_self=True)
     return found.select("id", "nn_id", r4("dist"))
@@ -201,12 +199,10 @@ def _(spark, sf):
 
 @query("bank_source", f"WITH {PATCH} SELECT layer_idx, patch_row, patch_col, len(f)::INT AS dim, round(f[1], 4) AS first, round(f[64], 4) AS last FROM bank")
 def _(spark, sf):
-    import uuid
-
     from ..sources import bank_source
 
     bank_source.register(spark)
-    path = f"{shared_folder(spark)}/visorq-steps/banks-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "banks")
     T.bank(spark, sf).write.format("bank").option("path", path).option("recordsPerFile", 1000).mode("append").save()
     rows = spark.read.format("bank").option("path", path).option("recordsPerPartition", 100).load()
     return rows.select("layer_idx", "patch_row", "patch_col", F.size("features").alias("dim"), r4("first", F.get("features", F.lit(0))), r4("last", F.get("features", F.lit(63))))

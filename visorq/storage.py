@@ -26,8 +26,47 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+_STORED: dict[int, tuple[DataFrame, str]] = {}
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, with no lineage, safe against lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/visorq-steps/{tag}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back: computed once, with no lineage, safe against lost executors.
+
+    It stays until ``discard``, or until the process ends."""
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = out, path
+    return out
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/visorq-steps/{tag}-{uuid.uuid4().hex}"
+
+
+def _delete(path: str) -> None:
+    """Remove a stored step. A store that pyarrow can't open keeps it."""
+    from pyarrow import fs
+
+    try:
+        store, at = fs.FileSystem.from_uri(path)
+    except Exception:  # noqa: BLE001  no client for this store
+        return
+    if store.get_file_info(at).type == fs.FileType.Directory:
+        store.delete_dir(at)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete stored steps that nothing reads any more; other frames are let alone."""
+    for df in frames:
+        if df is not None and id(df) in _STORED:
+            _delete(_STORED.pop(id(df))[1])
+
+
+def clear() -> None:
+    """Delete all stored steps of this process, also those that a returned result reads."""
+    while _STORED:
+        _delete(_STORED.popitem()[1][1])
+
+
+atexit.register(clear)
