@@ -156,14 +156,15 @@ def near_duplicates(
     total = sig.count()
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("set_id", "k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n_rows"))
-    classes = materialize(classes, "classes").withColumn("node", F.col("set_id"))
+    all_classes = materialize(classes, "classes")
+    classes, clashes = all_classes.withColumn("node", F.col("set_id")), None
     banded = named.filter(F.size("bands") > 0)
     # different sets with one set_id: their whole names make the node
     clash = classes.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_id")
     if clash.first() is not None:
-        clash = materialize(clash.withColumn("clash", F.lit(True)), "clashes")
+        clashes = materialize(clash.withColumn("clash", F.lit(True)), "clashes")
         node = F.when(F.col("clash"), F.xxhash64("set_id", "k1", "k2")).otherwise(F.col("set_id"))
-        classes, banded = (x.join(clash, "set_id", "left").withColumn("node", node).drop("clash") for x in (classes, banded))
+        classes, banded = (x.join(clashes, "set_id", "left").withColumn("node", node).drop("clash") for x in (classes, banded))
     else:
         banded = banded.withColumn("node", F.col("set_id"))
     members = hub_members(banded.select(F.col("node").alias("id"), "bands"))
@@ -179,7 +180,7 @@ def near_duplicates(
     comp = ["comp", "o1", "o2"]
     whole = placed.groupBy(*comp).agg(F.min("doc").alias("component_id"), F.sum("n_rows").alias("n_comp")).filter("n_comp > 1")
     info = materialize(placed.join(whole, comp).select("set_id", "k1", "k2", "n_rows", "component_id"), "placed")
-    discard(comps, classes)
+    discard(comps, all_classes, clashes)
     out = ["doc_id", *carry, "n_shingles"]
     found = join_by_counts(sig.drop("bands").filter("n_shingles > 0 and doc_id is not null"), info, ["set_id", "k1", "k2"], "n_rows", total, "left")
     found = found.select(*out, F.coalesce("component_id", "doc_id").alias("component_id"))
