@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -839,9 +840,12 @@ def _(spark, sf):
     return out.select("run", "stop_epoch", r4("best"))
 
 
-@query("lr_warmup", "SELECT i AS epoch, round(CASE WHEN i < 3 THEN 0.01 * greatest(0.01, i / 3.0::DOUBLE) ELSE 0.01 * pow(0.5, i // 100) END, 6) AS lr FROM range(300) t(i)")
+@query("lr_warmup", """SELECT event_id // 300 AS run, event_id % 300 AS epoch,
+ round(CASE WHEN event_id % 300 < 3 THEN 0.01 * greatest(0.01, event_id % 300 / 3.0::DOUBLE) ELSE 0.01 * pow(0.5, event_id % 300 // 100) END, 6) AS lr FROM events""")
 def _(spark, sf):
-    return spark.range(300).select(F.col("id").alias("epoch"), F.round(serving.warmup_rate(F.col("id"), F.lit(10), 0.01), 6).alias("lr"))
+    # runs of 300 epochs, one per event
+    epochs = T.table(spark, sf, "events").selectExpr("event_id div 300 as run", "event_id % 300 as epoch")
+    return epochs.select("run", "epoch", F.round(serving.warmup_rate(F.col("epoch"), F.lit(10), 0.01), 6).alias("lr"))
 
 
 # --- serving and graphs
@@ -910,11 +914,17 @@ def _(spark, sf):
     return P.execute(P.parse(GRAPH), T.detections(spark, sf)).groupBy("det_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dag_layers", """WITH RECURSIVE e(f, t) AS (VALUES ('low', 'all'), ('high', 'all'), ('all', 'best')), n(id) AS (VALUES ('low'), ('high'), ('all'), ('best')),
-d AS (SELECT id, 0 AS layer FROM n WHERE id NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, d.layer + 1 FROM d JOIN e ON e.f = d.id) SELECT id, max(layer)::INT AS layer FROM d GROUP BY id""")
+@query("dag_layers", f"""WITH RECURSIVE {DETS}, e(f, t) AS (VALUES ('low', 'all'), ('high', 'all'), ('all', 'best')), n(id) AS (VALUES ('low'), ('high'), ('all'), ('best')),
+d AS (SELECT id, 0 AS layer FROM n WHERE id NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, d.layer + 1 FROM d JOIN e ON e.f = d.id),
+o AS (SELECT det_id, 'low' AS id FROM det WHERE confidence >= 0.2 UNION ALL SELECT det_id, 'high' FROM det WHERE confidence >= 0.9),
+a AS (SELECT * FROM o UNION ALL SELECT det_id, 'all' FROM o UNION ALL SELECT o.det_id, 'best' FROM o JOIN det USING (det_id) WHERE confidence >= 0.95)
+SELECT det_id, max(layer)::INT AS deepest, count(DISTINCT id) AS nodes FROM a JOIN (SELECT id, max(layer) AS layer FROM d GROUP BY id) USING (id) GROUP BY det_id""")
 def _(spark, sf):
-    rows = [(n, i) for i, layer in enumerate(P.parse(GRAPH).layers) for n in layer]
-    return spark.createDataFrame(rows, "id string, layer int")
+    graph = P.parse(GRAPH)
+    depth = {n: i for i, layer in enumerate(graph.layers) for n in layer}
+    out = P.compile_graph(graph, T.detections(spark, sf))
+    rows = reduce(DataFrame.unionAll, [d.select("det_id", F.lit(n).alias("id"), F.lit(depth[n]).alias("layer")) for n, d in out.items()])
+    return rows.groupBy("det_id").agg(F.max("layer").alias("deepest"), F.count_distinct("id").alias("nodes"))
 
 
 @query("node_metrics", f"""WITH {DETS},
