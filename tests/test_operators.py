@@ -95,6 +95,30 @@ def test_nearest_rank_without_all_values_in_one_task(spark):
     assert evaluate.score_thresholds(df.limit(0)).first().thr_percentile is None
 
 
+def test_model_inputs(spark):
+    rng, images = np.random.default_rng(3), {4: (9, 14), 5: (6, 6), 6: (1, 3)}
+    pixels = {i: rng.integers(0, 256, (*shape, 3)).astype(float) for i, shape in images.items()}
+    rows = [(i, y, x, c, float(a[y, x, c])) for i, a in pixels.items() for y, x, c in np.ndindex(a.shape)]
+    blocks = raster.pack(spark.createDataFrame(rows, "image_id long, row int, col int, ch int, v double"), 4)
+    got = {r.image_id: r for r in raster.model_inputs(blocks, 6, 4).collect()}
+    assert got.keys() == images.keys()
+
+    def at(a, y, x):
+        h, w, _ = a.shape
+        sy, sx = min(max((y + 0.5) * h / 6 - 0.5, 0), h - 1), min(max((x + 0.5) * w / 6 - 0.5, 0), w - 1)
+        y0, x0 = int(sy), int(sx)
+        y1, x1, fy, fx = min(y0 + 1, h - 1), min(x0 + 1, w - 1), sy - int(sy), sx - int(sx)
+        return (a[y0, x0] * (1 - fy) + a[y1, x0] * fy) * (1 - fx) + (a[y0, x1] * (1 - fy) + a[y1, x1] * fy) * fx
+
+    for i, a in pixels.items():
+        want = [[[(at(a, y, x)[2 - c] / 255 - (0.485, 0.456, 0.406)[c]) / (0.229, 0.224, 0.225)[c] for x in range(6)] for y in range(6)] for c in range(3)]
+        assert got[i].shape == [3, 6, 6] and np.allclose(got[i].data, np.ravel(want))
+    assert raster.model_inputs(blocks.filter("image_id < 0"), 6, 4).count() == 0
+    grey = raster.pack(spark.createDataFrame([(1, 0, 0, 0, 7.0)], "image_id long, row int, col int, ch int, v double"))
+    with pytest.raises(Exception, match="1 channels"):
+        raster.model_inputs(grey, 6).collect()
+
+
 def test_rasters_of_several_blocks(spark, monkeypatch):
     """The node over images that are cut into blocks of 5, 16 and 512 pixels, and views that reach over many of them."""
     rng = np.random.default_rng(4)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import sorted_runs
+from .imaging import MEAN, STD
 
 #: Pixels of a block a side, at most.
 BLOCK = 512
@@ -176,6 +177,33 @@ def map_views(blocks: DataFrame, views: DataFrame, kernel, schema: str, side: in
     return _dealt(pieces, "image_id", "view").mapInArrow(build, schema)
 
 
+def model_inputs(blocks: DataFrame, size: int, side: int = BLOCK) -> DataFrame:
+    """image_id, shape (3, size, size) and data in that order: each image resized, blue-green-red turned to red-green-blue,
+    over 255 and standardised. An image is read and scaled in one task; one without three channels is an error."""
+    if size <= 0:
+        raise ValueError("inputs need a positive size")
+    sizes = image_sizes(blocks, side)
+    whole = sizes.select("image_id", F.lit(0).alias("view"), F.lit(None).cast("string").alias("tag"), F.lit(1.0).alias("scale"), F.lit(0).alias("x"), F.lit(0).alias("y"),
+                         "w", "h", F.col("w").alias("img_w"), F.col("h").alias("img_h"))
+    mean, std = np.array(MEAN)[:, None, None], np.array(STD)[:, None, None]
+    # a batch of some 32 MB
+    most = max(1, 4_000_000 // (3 * size * size))
+
+    def kernel(images: Iterator[tuple[dict, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        while held := list(islice(images, most)):
+            data = []
+            for view, pixels in held:
+                if pixels.shape[2] != 3:
+                    raise ValueError(f"image {view['image_id']} has {pixels.shape[2]} channels, not 3")
+                data.append(((resized(pixels, size, size)[:, :, ::-1].transpose(2, 0, 1) / 255 - mean) / std).ravel())
+            n = len(held)
+            shapes = pa.array([[3, size, size]] * n, pa.list_(pa.int32()))
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * (3 * size * size))
+            yield pa.record_batch([pa.array([v["image_id"] for v, _ in held], pa.int64()), shapes, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(data)))], names=["image_id", "shape", "data"])
+
+    return map_views(blocks, source_rectangle(whole), kernel, "image_id long, shape array<int>, data array<double>", side)
+
+
 def _within(axis: tuple, first: int) -> tuple:
     """Taps that count from ``first``."""
     low, high, w = axis

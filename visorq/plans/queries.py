@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import detect, evaluate, imaging, serving, spatial, vectors
+from ..operators import detect, evaluate, imaging, raster, serving, spatial, vectors
 from ..sources import tables as T
 from ..storage import fresh_path, stored
 from . import pipeline as P
@@ -339,6 +339,14 @@ def _(spark, sf):
     return imaging.normalize(T.pixels(spark, sf)).select("image_id", "row", "col", "ch", r4("v"))
 
 
+@query("model_inputs", f"""WITH {PIX}, {taps('ty', 16, 12)}, {taps('tx', 16, 12)},
+ small AS (SELECT image_id, 2 - ch AS c, ty.o AS y, tx.o AS x, sum(v * ty.w * tx.w) AS v FROM pix JOIN ty ON ty.i = row JOIN tx ON tx.i = col GROUP BY ALL)
+SELECT image_id, ((c * 12 + y) * 12 + x)::INT AS place, round((v / 255 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1], 4) AS v FROM small""")
+def _(spark, sf):
+    out = raster.model_inputs(raster.pack(T.pixels(spark, sf)), 12)
+    return out.select("image_id", F.posexplode("data").alias("place", "x")).select("image_id", "place", r4("x").alias("v"))
+
+
 @query("crop", f"WITH {PIX} SELECT image_id, row - 4 AS row, col - 3 AS col, ch, v FROM pix WHERE row BETWEEN 4 AND 11 AND col BETWEEN 3 AND 12")
 def _(spark, sf):
     return imaging.crop(T.pixels(spark, sf), 3, 4, 10, 8).select("image_id", "row", "col", "ch", "v")
