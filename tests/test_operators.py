@@ -429,6 +429,25 @@ def test_average_precision_of_perfect_detections(spark):
     assert all(r.ap == 1.0 for r in detect.average_precision(det, truth).collect())
 
 
+def test_average_precision_in_stretches(spark):
+    """Many ties of confidence, stretches of a few rows, two overlaps at once: as a plain loop has it; and no frame of a window
+    runs to the end of a label's rows, which takes the square of their number."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(40)), i, "ab"[int(rng.integers(2))], float(rng.choice([0.1, 0.5, 0.5, 0.9, rng.random()])), float(rng.integers(60)), float(rng.integers(60)), 40.0, 40.0) for i in range(900)]
+    det = spark.createDataFrame(rows, detect.DET)
+    truth = det.filter("det_id % 3 = 0").select("frame_id", F.col("det_id").alias("truth_id"), "label", (F.col("cx") + 4).alias("cx"), "cy", "w", "h")
+    got = {(r.label, r.i): r.ap for r in detect.average_precisions(det, truth, (0.5, 0.75), stretch=7).collect()}
+    for i, iou in enumerate((0.5, 0.75)):
+        hits = {r.det_id for r in detect.matched(det, truth, iou).filter("tp = 1").collect()}
+        for label in "ab":
+            ranked = [r[1] in hits for r in sorted((r for r in rows if r[2] == label), key=lambda r: (-r[3], r[1]))]
+            precision = np.cumsum(ranked) / np.arange(1, len(ranked) + 1)
+            top = np.maximum.accumulate(precision[::-1])[::-1]
+            assert np.isclose(got[label, i], top[np.array(ranked)].sum() / sum(r[2] == label and r[1] % 3 == 0 for r in rows))
+    plan = detect.average_precision(det, truth)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan
+
+
 def test_upsampling_two_by_two(spark):
     pix = spark.createDataFrame([(0, 0, r, c, float(2 * r + c)) for r in range(2) for c in range(2)], "image_id int, ch int, row int, col int, v double")
     rows = {(r.row, r.col): r.v for r in imaging.resize(pix, 2, 2, 4, 4).collect()}

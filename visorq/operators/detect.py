@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..storage import stored
 from . import spatial
 
 DET = "frame_id long, det_id long, label string, confidence double, cx double, cy double, w double, h double"
@@ -188,10 +189,7 @@ def roi_text(label: Column, score: Column, is_anomaly: Column) -> Column:
 def detection_metrics(det: DataFrame, truth: DataFrame, confidence: float = 0.25, ious: tuple[float, ...] = tuple(0.5 + 0.05 * i for i in range(10))) -> DataFrame:
     """label, map50, map50_95 (the mean over the overlaps), precision and recall at the least overlap and the
     confidence. Every label of the truth has a row."""
-    each = None
-    for i, iou in enumerate(ious):
-        one = average_precision(det, truth, iou).select("label", F.lit(i).alias("i"), "ap")
-        each = one if each is None else each.unionByName(one)
+    each = average_precisions(det, truth, ious)
     maps = each.groupBy("label").agg(F.max(F.when(F.col("i") == 0, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95"))
     sure = det.filter(F.col("confidence") >= confidence)
     counted = matched(sure, truth, ious[0]).groupBy("label").agg(F.sum("tp").alias("hits"), F.count(F.lit(1)).alias("found"))
@@ -200,15 +198,21 @@ def detection_metrics(det: DataFrame, truth: DataFrame, confidence: float = 0.25
     return maps.join(total, "label").join(counted, "label", "left").select("label", "map50", "map50_95", share("hits", "found").alias("precision"), F.coalesce(F.col("hits") / F.col("truths"), F.lit(0.0)).alias("recall"))
 
 
-def matched(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
-    """det_id, label, confidence, tp: a detection goes to the truth box that it overlaps most, and a truth box to
-    its most confident detection; overlaps below ``iou`` don't count. Ids are det_id and truth_id."""
+def _best_truth(det: DataFrame, truth: DataFrame, iou: float) -> DataFrame:
+    """det_id, truth_id, confidence, iou: the truth box that a detection overlaps most, ties to the smaller id; overlaps below
+    ``iou`` don't count."""
     d, t = det.alias("d"), truth.alias("t")
     box = lambda x: G.corners(*(F.col(f"{x}.{c}") for c in ("cx", "cy", "w", "h")))
     over = d.join(t, (F.col("d.frame_id") == F.col("t.frame_id")) & (F.col("d.label") == F.col("t.label"))).select(
         F.col("d.det_id").alias("det_id"), F.col("d.confidence").alias("confidence"), F.col("t.truth_id").alias("truth_id"), G.iou_corners(box("d"), box("t")).alias("iou")
     ).filter(F.col("iou") >= iou)
-    best = over.groupBy("det_id").agg(F.max(F.struct("iou", (-F.col("truth_id")).alias("k"), "confidence")).alias("b")).select("det_id", (-F.col("b.k")).alias("truth_id"), "b.confidence")
+    return over.groupBy("det_id").agg(F.max(F.struct("iou", (-F.col("truth_id")).alias("k"), "confidence")).alias("b")).select("det_id", (-F.col("b.k")).alias("truth_id"), "b.confidence", "b.iou")
+
+
+def matched(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
+    """det_id, label, confidence, tp: a detection goes to the truth box that it overlaps most, and a truth box to
+    its most confident detection; overlaps below ``iou`` don't count. Ids are det_id and truth_id."""
+    best = _best_truth(det, truth, iou)
     hits = best.groupBy("truth_id").agg(F.max(F.struct("confidence", (-F.col("det_id")).alias("k"))).alias("b")).select((-F.col("b.k")).alias("det_id"), F.lit(1).alias("tp"))
     return det.select("det_id", "label", "confidence").join(hits, "det_id", "left").fillna(0, ["tp"])
 
@@ -217,11 +221,52 @@ def average_precision(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
     """label, ap: each truth box is matched by the most confident detection that overlaps it enough.
 
     det and truth share frame_id and label; ids are det_id and truth_id."""
-    marked = matched(det, truth, iou)
-    up = Window.partitionBy("label").orderBy(F.col("confidence").desc(), "det_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = marked.withColumns({"ctp": F.sum("tp").over(up), "n": F.row_number().over(Window.partitionBy("label").orderBy(F.col("confidence").desc(), "det_id"))})
-    later = Window.partitionBy("label").orderBy(F.col("confidence").desc(), "det_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    curve = ranked.withColumn("precision", F.max(F.col("ctp") / F.col("n")).over(later))
+    return average_precisions(det, truth, (iou,)).select("label", "ap")
+
+
+#: Detections of a stretch of the ranking, about, and stretches at most.
+STRETCH, STRETCHES = 50_000, 256
+
+
+def _stretches(det: DataFrame, stretch: int) -> tuple[Column, Column]:
+    """(c, s): the ranking by falling confidence and rising det_id cut into stretches, falling c and then rising s.
+
+    c counts quantiles of the confidence at or below a row's; rows at a quantile itself, which can be many, are cut
+    again by quantiles of det_id. No stretch holds much more than its share of all rows, whatever the ties."""
+    parts = max(2, min(STRETCHES, -(-det.count() // stretch)))
+    at = det.select(F.col("confidence").cast("double").alias("confidence"), F.col("det_id").cast("double").alias("det_id")).approxQuantile(["confidence", "det_id"], [i / parts for i in range(1, parts)], 0.25 / parts)
+    conf, ids = (F.array(*[F.lit(x) for x in sorted(set(q))]).cast("array<double>") for q in at)
+    below = lambda bounds, x: F.size(F.filter(bounds, lambda b: b <= F.col(x)))
+    return below(conf, "confidence"), F.when(F.array_contains(conf, F.col("confidence").cast("double")), below(ids, "det_id")).otherwise(-1)
+
+
+def average_precisions(det: DataFrame, truth: DataFrame, ious: tuple[float, ...], stretch: int = STRETCH) -> DataFrame:
+    """label, i, ap: the average precision at each of the overlaps, numbered from 0.
+
+    The ranking of a label is taken in stretches: running counts inside each are shifted by the totals of those before, and
+    the largest later precision is that inside the stretch or of a later one. Precision only rises at a hit, so the
+    curve is followed over hits alone, and each stretch is sorted once, whatever the number of overlaps."""
+    span = range(len(ious))
+    best = _best_truth(det, truth, min(ious)).withColumn("i", F.explode(F.filter(F.array(*[F.when(F.col("iou") >= t, F.lit(i)) for i, t in enumerate(ious)]), lambda x: x.isNotNull())))
+    hits = best.groupBy("i", "truth_id").agg(F.max(F.struct("confidence", (-F.col("det_id")).alias("k"))).alias("b")).select("i", (-F.col("b.k")).alias("det_id"))
+    c, s = _stretches(det, stretch)
+    placed = det.select("det_id", "label", "confidence", c.alias("c"), s.alias("s"))
+    own = Window.partitionBy("label", "c", "s").orderBy(F.col("confidence").desc(), "det_id")
+    marked = placed.join(hits.groupBy("det_id").agg(F.collect_set("i").alias("hits")), "det_id", "left")
+    ranked = marked.withColumn("n", F.row_number().over(own)).withColumns({f"k{i}": F.count(F.when(F.array_contains("hits", i), 1)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for i in span})
+    ranked = stored(ranked.filter(F.col("hits").isNotNull()).drop("det_id", "confidence"), "ranked")
+    # a row per stretch from here to the sums
+    key = ["label", "c", "s"]
+    order = Window.partitionBy("label").orderBy(F.col("c").desc(), "s")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    reverse = Window.partitionBy("label").orderBy(F.col("c"), F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(ranked.groupBy(*key).agg(*[F.max(f"k{i}").alias(f"k{i}") for i in span]), key, "left")
+    base = sums.select(*key, *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"b_{x}") for x in ("n", *(f"k{i}" for i in span))])
+    curve = ranked.join(base, key).select(*key, "n", *[F.when(F.array_contains("hits", i), (F.col(f"b_k{i}") + F.col(f"k{i}")) / (F.col("b_n") + F.col("n"))).alias(f"p{i}") for i in span])
+    tops = curve.groupBy(*key).agg(*[F.max(f"p{i}").alias(f"p{i}") for i in span]).select(*key, *[F.max(f"p{i}").over(reverse).alias(f"m{i}") for i in span])
+    back = Window.partitionBy(*key).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = curve.withColumns({f"t{i}": F.max(f"p{i}").over(back) for i in span}).join(tops, key)
+    area = later.groupBy("label").agg(*[F.sum(F.when(F.col(f"p{i}").isNotNull(), F.greatest(f"t{i}", f"m{i}"))).alias(f"s{i}") for i in span])
     total = truth.groupBy("label").agg(F.count(F.lit(1)).alias("truths"))
-    area = curve.filter("tp = 1").groupBy("label").agg(F.sum("precision").alias("s"))
-    return total.join(area, "label", "left").select("label", (F.coalesce("s", F.lit(0.0)) / F.col("truths")).alias("ap"))
+    each = F.posexplode(F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) / F.col("truths") for i in span])).alias("i", "ap")
+    return total.join(area, "label", "left").select("label", each)
