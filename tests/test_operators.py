@@ -37,6 +37,33 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert run() == whole
 
 
+def test_blocks_grow_with_the_rows():
+    """What a grid ships, in rows, is a few times its rows up to full blocks: here 40 pairs ship under 14 times the rows."""
+    for n in (20_000, 100_000, 600_000):
+        nb, nq = blocks._shape(n, n, 8, blocks.BLOCK_BYTES, 40)
+        assert nb * nq >= 40 and nb * n + nq * n <= 14 * n
+    assert blocks._shape(600_000, 30_000, 512, blocks.BLOCK_BYTES, 40) == (20, 2)
+
+
+@pytest.mark.parametrize("kind", ["float", "offset", "copies", "lattice", "huge", "double"])
+def test_nearest_in_tiles(kind, monkeypatch):
+    """The search in tiles of singles against all distances in doubles: values far from the origin, copies, many equal distances."""
+    monkeypatch.setattr(blocks, "TILE", 50)
+    monkeypatch.setattr(blocks, "SLICE", 20)
+    monkeypatch.setattr(blocks, "HELD", 700)
+    rng = np.random.default_rng(5)
+    b = {"float": rng.normal(size=(400, 8)), "offset": 1e4 + rng.normal(size=(400, 8)), "copies": rng.normal(size=(4, 8))[rng.integers(4, size=400)], "lattice": rng.integers(2, size=(400, 8)).astype(float),
+         "huge": rng.normal(size=(400, 8)) * 1e18, "double": rng.normal(size=(400, 8)) * 1e-3 + 1 / 3}[kind]
+    b = b if kind == "double" else b.astype(np.float32)
+    ids = rng.permutation(1000)[:400]
+    q, own = b[:90], ids[:90]
+    for k, skip in ((1, True), (3, True), (2, False), (500, True)):
+        got = [(int(own[i + r]), int(n), float(d)) for i, row, nn, dist in blocks._nearest_tiled(q, own, b, ids, k, skip) for r, n, d in zip(row, nn, dist, strict=True)]
+        full = np.sqrt(((q[:, None].astype(float) - b[None].astype(float)) ** 2).sum(2))
+        want = [(int(own[r]), i, d) for r in range(90) for d, i in sorted((float(full[r, j]), int(ids[j])) for j in range(400) if not skip or ids[j] != own[r])[:k]]
+        assert got == want
+
+
 def test_lists_of_an_index_are_pruned_and_routed(spark, tmp_path, monkeypatch):
     """A stored index: only probed lists are read, no vectors are broadcast, a long list is cut into files."""
     monkeypatch.setattr(vectors, "SUBLIST", 10)
