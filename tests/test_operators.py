@@ -439,6 +439,24 @@ def test_fast_sample_asks_all_normal_rows(spark, tmp_path):
     assert [r.id for r in got] == ids[vectors.greedy_coreset(v, 16)].tolist()
 
 
+def test_distances_of_equal_vectors(spark):
+    """3,000 queries of 7 kinds in two groups meet a bank of 2,000 rows of 5 kinds: 12 distinct vectors are searched."""
+    vec = lambda i, n: F.array((F.col(i) % n).cast("double"), (F.col(i) % n % 3).cast("double"))
+    side = lambda n, kinds: spark.range(n).select(F.col("id").alias("vec_id"), vec("id", kinds).alias("features"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("roi"))
+    q, b = side(3000, 7), side(2000, 5)
+    for group, plain in ((None, vectors.nn_exact(q, b)), ("roi", vectors.nn_by_group(q, b, "roi"))):
+        got = vectors.nn_distances(q, b, group)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select("id", "dist").collect()))
+    seen = []
+    search = vectors.grid_search
+    try:
+        vectors.grid_search = lambda x, y, **how: (seen.append((x.count(), y.count())), search(x, y, **how))[1]
+        vectors.nn_distances(q, b, "roi").count()
+    finally:
+        vectors.grid_search = search
+    assert seen == [(14, 10)]
+
+
 def test_coreset_rounds_of_groups(spark, monkeypatch):
     bank = T.bank(spark, SF)
     whole = [vectors.coreset(bank, t, g).orderBy("g", "step").collect() for t, g in ((32, None), (0.25, "label"), (10**6, None))]

@@ -164,6 +164,9 @@ def patchcore_scores(images: DataFrame, bank: DataFrame, backbone: Backbone | No
     numbers = Numbering(views, backbone.grids)
     patches = stored(extract(blocks, views, backbone, numbers), "patches")
     algorithm, path = str(params.get("search_algorithm", "brute_force")), params.get("index_path")
+    if algorithm.lower() not in ("lsh", "hnsw", "ivf"):  # any other name is brute force
+        vectors.check_bank(bank)
+        return raster.view_scores(numbers.places(vectors.nn_distances(patches, bank)), views, backbone.grids, maps)
     found = vectors.search(patches, bank, algorithm, path, int(params.get("faiss_nlist", 100)), int(params.get("faiss_nprobe", 16)), checked=True)
     return raster.view_scores(numbers.places(found), views, backbone.grids, maps)
 
@@ -205,7 +208,7 @@ def multi_roi(pixels: DataFrame, rois: DataFrame, banks: DataFrame, threshold: f
     views = stored(roi_views(rois, image_sizes(blocks), per_image), "views")
     numbers = Numbering(views, backbone.grids)
     patches = stored(extract(blocks, views, backbone, numbers), "patches")
-    found = vectors.nn_by_group(patches, banks.withColumn("tag", F.col("roi_id").cast("string")), "tag")
+    found = vectors.nn_distances(patches, banks.withColumn("tag", F.col("roi_id").cast("string")), "tag")
     per = raster.view_scores(numbers.places(found), views, backbone.grids)
     per = per.select("image_id", F.col("tag").cast(rois.schema["roi_id"].dataType).alias("roi_id"), "score", (F.col("score") > threshold).alias("is_anomaly"))
     return per.join(per.groupBy("image_id").agg(F.bool_or("is_anomaly").alias("any_anomaly")), "image_id")

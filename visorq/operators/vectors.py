@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .blocks import LOTS, grid_search
 
 #: Rows of a file of a stored index.
@@ -56,6 +57,23 @@ def nn_by_group(queries: DataFrame, bank: DataFrame, group: str, id_col: str = "
     return found.select(F.col("g").cast(queries.schema[group].dataType).alias("g"), "id", "nn_id", "dist")
 
 
+def nn_distances(queries: DataFrame, bank: DataFrame, group: str | None = None, id_col: str = "vec_id", vec: str = "features") -> DataFrame:
+    """id, dist: each query's distance to the nearest bank row (of its group), exactly.
+
+    Patches of like surfaces are equal in great numbers. Where at most half of the queries differ, distinct vectors are
+    searched, on both sides, and a query takes the distance of its vector: the comparisons grow with what differs."""
+    by = F.lit("") if group is None else F.col(group)
+    q, b = _keyed(queries, "id", id_col, vec, by), _keyed(bank, "b", id_col, vec, by)
+    lots = 1 if group is None else LOTS * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, kinds = q.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("g", "v"))).first()
+    if 2 * kinds > n:
+        return grid_search(q, b, lots=lots).select("id", "dist")
+    asked = stored(q.groupBy("g", "v").agg(F.min("id").alias("id")), "asked")
+    found = grid_search(asked, stored(b.groupBy("g", "v").agg(F.min("b").alias("b")), "kinds"), lots=lots)
+    known = asked.join(found.select("g", "id", "dist"), ["g", "id"]).select("g", "v", "dist")
+    return q.join(known, ["g", "v"]).select("id", "dist")
+
+
 def train_cells(bank: DataFrame, nlist: int = 100, seed: int = 7, id_col: str = "vec_id", vec: str = "features", sample: int = 100_000) -> tuple[np.ndarray, DataFrame]:
     """(centroids, bank rows with list_id): k-means fitted on at most ``sample`` rows by a hash of the id,
     all rows assigned."""
