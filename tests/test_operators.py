@@ -457,6 +457,19 @@ def test_distances_of_equal_vectors(spark):
     assert seen == [(14, 10)]
 
 
+def test_bank_of_all_rows_in_rounds(spark, monkeypatch):
+    """No sample before the coreset where none is asked for; candidates of rounds go to the driver as floats, same choice."""
+    monkeypatch.setattr(vectors, "HELD", 10)
+    monkeypatch.setattr(vectors, "ROUND_ROWS", 64)
+    seen, farthest = [], vectors._farthest
+    monkeypatch.setattr(vectors, "_farthest", lambda state, most, single: (seen.append(single), farthest(state, most, single))[1])
+    bank = T.bank(spark, SF)
+    rows = sorted((r.vec_id, r.features) for r in bank.collect())
+    want = vectors.greedy_coreset(np.array([v for _, v in rows]), max(1, int(len(rows) * 0.1)))
+    got = vectors.train_bank(bank, 0.1, max_features=None)[0].orderBy("step").collect()
+    assert [r.vec_id for r in got] == [rows[i][0] for i in want] and seen and all(seen)
+
+
 def test_coreset_rounds_of_groups(spark, monkeypatch):
     bank = T.bank(spark, SF)
     whole = [vectors.coreset(bank, t, g).orderBy("g", "step").collect() for t, g in ((32, None), (0.25, "label"), (10**6, None))]

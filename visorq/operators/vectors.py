@@ -264,7 +264,7 @@ def _state(rows: DataFrame, ids: list[int], centres: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, v array<double>, near double")
 
 
-def _farthest(state: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+def _farthest(state: DataFrame, most: int, single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """(ids, near, vectors, bound): the ``most`` farthest rows of each partition, sorted by id. No other row
     comes before ``bound`` = (near, -id) in the order of selection."""
 
@@ -280,11 +280,13 @@ def _farthest(state: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.n
             last[-1] = more
             yield from best.append_column("last", pa.array(last)).combine_chunks().to_batches()
 
-    held = state.mapInArrow(run, "id long, v array<double>, near double, last boolean").toArrow().sort_by("id").combine_chunks()
+    # a round's candidates are what goes to the driver: as floats where the rows are
+    kind = "array<float>" if single else "array<double>"
+    held = state.mapInArrow(run, "id long, v array<double>, near double, last boolean").withColumn("v", F.col("v").cast(kind)).toArrow().sort_by("id").combine_chunks()
     ids, near = held["id"].to_numpy(), held["near"].to_numpy().copy()
     last = np.flatnonzero(held["last"].to_numpy())
     bound = max(((near[i], -ids[i]) for i in last), default=(-np.inf, 0))
-    return ids, near, np.concatenate([_matrix(b) for b in held.to_batches()]), bound
+    return ids, near, np.concatenate([_matrix(b).astype(float) for b in held.to_batches()]), bound
 
 
 def _greedy_rounds(rows: DataFrame, want: int) -> list[int]:
@@ -297,7 +299,7 @@ def _greedy_rounds(rows: DataFrame, want: int) -> list[int]:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = rows.select("id", "v", F.lit(float("inf")).alias("near")).repartition(parts, "id").persist()
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    first = base.agg(F.max(norm)).first()[0]
+    first, single = base.agg(F.max(norm), F.bool_and(F.col("v").eqNullSafe(F.col("v").cast("array<float>").cast("array<double>")))).first()
     # Spark adds in another order than numpy: rows within rounding of the largest norm are compared by numpy
     heads = base.filter(norm >= F.lit(first * (1 - 1e-9))).select("id", "v").toArrow().sort_by("id").combine_chunks()
     v = np.concatenate([_matrix(b) for b in heads.to_batches()])
@@ -308,7 +310,7 @@ def _greedy_rounds(rows: DataFrame, want: int) -> list[int]:
         last, rounds = state, rounds + 1
         start, since = (base, 0) if last is None or rounds % REBASE == 0 else (last, len(picked) - new)
         state = _state(start, picked[since:], np.stack(centres[since:])).persist()
-        ids, near, v, bound = _farthest(state, max(8, ROUND_ROWS // parts))
+        ids, near, v, bound = _farthest(state, max(8, ROUND_ROWS // parts), single)
         if last is not None:
             last.unpersist()
         new = 0
@@ -387,8 +389,8 @@ def norm_params(pool: DataFrame, vec: str = "features") -> DataFrame:
     return dims.groupBy("dim").agg(F.avg("x").alias("mean"), F.sqrt(F.coalesce(F.var_samp("x"), F.lit(0.0)) + 1e-8).alias("std"))
 
 
-def train_bank(pool: DataFrame, fraction: float = 0.1, max_features: int = 100_000, group: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(bank rows, normalisation): hash-sample to max_features, greedy coreset, statistics."""
-    capped = hash_sample(pool, max_features, "vec_id")
+def train_bank(pool: DataFrame, fraction: float = 0.1, max_features: int | None = 100_000, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bank rows, normalisation): hash-sample to max_features (None: all rows), greedy coreset, statistics."""
+    capped = pool if max_features is None else hash_sample(pool, max_features, "vec_id")
     picked = coreset(capped, fraction, group)
     return capped.join(picked.select(F.col("id").alias("vec_id"), "g", "step"), "vec_id"), norm_params(capped)
