@@ -1,5 +1,6 @@
 import datetime
 import json
+import re
 import time
 from collections import Counter
 
@@ -845,3 +846,13 @@ def test_command_line(spark, tmp_path):
     T.bank(spark, SF).select("vec_id", "features").write.parquet(str(tmp_path / "pool"))
     main(["train", str(tmp_path / "pool"), out, "0.05"], spark)
     assert spark.read.parquet(f"{out}/bank").count() == T.bank(spark, SF).count() // 20 and spark.read.parquet(f"{out}/norm").count() == 64
+
+
+def test_tasks_of_pixels_hold_a_bounded_number_of_images(spark, monkeypatch):
+    """Images are dealt by their number, and what groups a pixel's image needs no other deal."""
+    monkeypatch.setattr(T, "IMAGES", 1)
+    pix = T.pixels(spark, "/root/testdata/sf0.01")
+    held = pix.select("image_id").distinct().groupBy(F.spark_partition_id()).count().collect()
+    assert pix.rdd.getNumPartitions() == T.table(spark, "/root/testdata/sf0.01", "supplier").count() and max(r["count"] for r in held) < 10
+    plan = imaging.letterbox_pixels(pix, 16, 16, 12, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(image_id" in plan and not re.search(r"hashpartitioning\(image_id#\d+L?, [a-z]", plan)

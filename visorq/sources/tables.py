@@ -46,9 +46,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", F.col("toxic").alias("truth"), (F.col("n_chars") / F.lit(20000.0)).alias("score"))
 
 
+#: Images of a task, about: their pixels are some 200 times the bytes of the rows that they come from.
+IMAGES = 1000
+
+
 def pixels(spark: SparkSession, sf_dir: str, side: int = 16) -> DataFrame:
-    """(image_id, row, col, ch, v): a small synthetic BGR image per supplier."""
+    """(image_id, row, col, ch, v): a small synthetic BGR image per supplier.
+
+    An image's pixels lie in one of as many partitions as the images ask for, so what groups them holds no more for more images."""
     ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    ids = ids.repartition(max(spark.sparkContext.defaultParallelism, -(-ids.count() // IMAGES)), "image_id")
     grid = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side * side * 3 - 1))).alias("p"))
     return grid.selectExpr("image_id", f"p div {side * 3} as row", f"(p div 3) % {side} as col", "p % 3 as ch").selectExpr(
         "image_id", "int(row) as row", "int(col) as col", "int(ch) as ch", "double((image_id * 7 + row * 13 + col * 29 + ch * 5) % 256) as v"
