@@ -856,3 +856,9 @@ def test_tasks_of_pixels_hold_a_bounded_number_of_images(spark, monkeypatch):
     assert pix.rdd.getNumPartitions() == T.table(spark, "/root/testdata/sf0.01", "supplier").count() and max(r["count"] for r in held) < 10
     plan = imaging.letterbox_pixels(pix, 16, 16, 12, 20)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(image_id" in plan and not re.search(r"hashpartitioning\(image_id#\d+L?, [a-z]", plan)
+
+
+def test_jittered_pixels_are_grouped_where_they_are_made(spark):
+    bgr = T.pixels(spark, SF).groupBy("image_id", "row", "col").pivot("ch", [0, 1, 2]).agg(F.first("v"))
+    plan = bgr._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(image_id" in plan
