@@ -862,3 +862,8 @@ def test_jittered_pixels_are_grouped_where_they_are_made(spark):
     bgr = T.pixels(spark, SF).groupBy("image_id", "row", "col").pivot("ch", [0, 1, 2]).agg(F.first("v"))
     plan = bgr._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(image_id" in plan
+
+
+def test_resized_pixels_are_grouped_where_they_are_made(spark):
+    plan = imaging.resize(T.pixels(spark, SF), 16, 16, 24, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 + plan.count("Exchange hashpartitioning(out") and "Exchange hashpartitioning(image_id" in plan
