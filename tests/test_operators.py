@@ -867,3 +867,11 @@ def test_jittered_pixels_are_grouped_where_they_are_made(spark):
 def test_resized_pixels_are_grouped_where_they_are_made(spark):
     plan = imaging.resize(T.pixels(spark, SF), 16, 16, 24, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 + plan.count("Exchange hashpartitioning(out") and "Exchange hashpartitioning(image_id" in plan
+
+
+def test_fused_detections_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(detect, "BOXES", 100)
+    d = T.detections(spark, SF)
+    out = detect.fuse_detections(d, Q._grid_cells(d), 0.5, 640, 640)
+    assert out.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-d.count() // 100)) > 8
+    assert out.columns == [*d.select("frame_id", "det_id").columns, *[c for c in d.columns if c not in ("frame_id", "det_id")], "anomaly_score", "is_anomaly"]

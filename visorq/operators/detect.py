@@ -114,18 +114,26 @@ def clip_to_image(width: Column | int, height: Column | int, cx: str = "cx", cy:
     }
 
 
+#: Detections of a task, about.
+BOXES = 100_000
+
+
 def fuse_detections(det: DataFrame, cells: DataFrame, threshold: float, width: int, height: int) -> DataFrame:
     """Largest anomaly score inside each detection's clipped box; empty boxes score 0; strict threshold. A box meets
-    only the cells that it touches.
+    only the cells that it touches. The detections say into how many parts each step is dealt, so a task holds no more for more.
 
     cells: frame_id, y, x, score, where a cell is ``cell`` pixels wide and high (column cell)."""
-    boxes = det.withColumns(clip_to_image(width, height)).filter("x1 <= x2 and y1 <= y2").select("frame_id", "det_id", "x1", "y1", "x2", "y2")
+    n = max(det.sparkSession.sparkContext.defaultParallelism, -(-det.count() // BOXES))
+    place, box = ["frame_id", "cell", "y", "x"], ["frame_id", "det_id"]
+    boxes = det.withColumns(clip_to_image(width, height)).filter("x1 <= x2 and y1 <= y2").select(*box, "x1", "y1", "x2", "y2")
     grids = cells.select("frame_id", "cell").distinct()
     span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("cell")), F.floor(F.col(high) / F.col("cell"))))
-    touched = boxes.join(grids, "frame_id").withColumn("y", span("y1", "y2")).withColumn("x", span("x1", "x2")).select("frame_id", "det_id", "cell", "y", "x")
-    top = touched.join(cells.select("frame_id", "cell", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "score"), ["frame_id", "cell", "y", "x"]).groupBy("frame_id", "det_id").agg(F.max("score").alias("score"))
-    best = det.select("frame_id", "det_id").join(top, ["frame_id", "det_id"], "left").select("frame_id", "det_id", F.coalesce("score", F.lit(0.0)).alias("anomaly_score"))
-    return det.join(best, ["frame_id", "det_id"]).withColumn("is_anomaly", F.col("anomaly_score") > threshold)
+    touched = boxes.repartition(n, "frame_id").join(grids.repartition(n, "frame_id"), "frame_id").withColumn("y", span("y1", "y2")).withColumn("x", span("x1", "x2")).select(*box, "cell", "y", "x")
+    scored = cells.select("frame_id", "cell", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "score")
+    met = touched.repartition(n, *place).join(scored.repartition(n, *place), place)
+    top = met.select(*box, "score").repartition(n, *box).groupBy(*box).agg(F.max("score").alias("anomaly_score"))
+    best = det.repartition(n, *box).join(top, box, "left").withColumn("anomaly_score", F.coalesce("anomaly_score", F.lit(0.0)))
+    return best.withColumn("is_anomaly", F.col("anomaly_score") > threshold)
 
 
 def merge_union(*parts: DataFrame) -> DataFrame:
