@@ -875,3 +875,12 @@ def test_fused_detections_are_dealt_by_their_number(spark, monkeypatch):
     out = detect.fuse_detections(d, Q._grid_cells(d), 0.5, 640, 640)
     assert out.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-d.count() // 100)) > 8
     assert out.columns == [*d.select("frame_id", "det_id").columns, *[c for c in d.columns if c not in ("frame_id", "det_id")], "anomaly_score", "is_anomaly"]
+
+
+def test_blocks_ship_in_proportion_to_rows():
+    """What a search of all rows ships grows with the rows while blocks are not full, not with their square."""
+    shipped = []
+    for n in (10_256, 102_564, 615_384):
+        nb, nq = blocks._shape(n * 8 // 10, n, 8 * 64, blocks.BLOCK_BYTES, 48)
+        shipped.append((n * 8 // 10 * nq + n * nb) / n)
+    assert max(shipped) <= 1.2 * shipped[0] < 20
