@@ -884,3 +884,18 @@ def test_blocks_ship_in_proportion_to_rows():
         nb, nq = blocks._shape(n * 8 // 10, n, 8 * 64, blocks.BLOCK_BYTES, 48)
         shipped.append((n * 8 // 10 * nq + n * nb) / n)
     assert max(shipped) <= 1.2 * shipped[0] < 20
+
+
+def test_a_pair_of_blocks_holds_tiles_and_not_its_whole_product():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    side = lambda n, name: pa.table({"g": [""] * n, name: np.arange(n), "v": pa.FixedSizeListArray.from_arrays(rng.normal(size=n * 8).astype(np.float32), 8).cast(pa.list_(pa.float32()))})
+    bank, queries = side(20_000, "b"), side(4_000, "id")
+    tracemalloc.start()
+    found = blocks._search_pair(bank, queries, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 12_000 and peak < 4_000 * 20_000 * 8 / 10
