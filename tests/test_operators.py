@@ -899,3 +899,11 @@ def test_a_pair_of_blocks_holds_tiles_and_not_its_whole_product():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.num_rows == 12_000 and peak < 4_000 * 20_000 * 8 / 10
+
+
+def test_average_precision_sorts_no_whole_label(spark, monkeypatch):
+    """The same precision where a label's ranking is cut into many stretches, with many equal confidences."""
+    d = T.detections(spark, SF).withColumn("confidence", F.round("confidence", 1))
+    whole = {r.label: r.ap for r in detect.average_precision(d, Q._truth(d)).collect()}
+    cut = {r.label: r.ap for r in detect.average_precisions(d, Q._truth(d), (0.5,), stretch=20).collect()}
+    assert cut.keys() == whole.keys() and all(cut[k] == pytest.approx(whole[k]) for k in whole)
