@@ -907,3 +907,15 @@ def test_average_precision_sorts_no_whole_label(spark, monkeypatch):
     whole = {r.label: r.ap for r in detect.average_precision(d, Q._truth(d)).collect()}
     cut = {r.label: r.ap for r in detect.average_precisions(d, Q._truth(d), (0.5,), stretch=20).collect()}
     assert cut.keys() == whole.keys() and all(cut[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_graph_starts_from_groups_of_bounded_size(spark, monkeypatch):
+    """A node is shipped to three groups at the start, near copies fill no group, and most of a node's links are right before any round."""
+    for name, value in (("LEAF", 20), ("GROUP", 100)):
+        monkeypatch.setattr(graph, name, value)
+    rows = T.patch_features(spark, "/root/testdata/sf0.01").select("vec_id", "features")
+    copies = spark.range(1000, 1500).select(F.col("id").alias("vec_id"), F.lit([0.5] * 64).alias("features"))
+    nodes = rows.unionByName(copies).select(F.col("vec_id").alias("id"), F.col("features").alias("v"))
+    dealt = graph._groups(nodes, nodes.count(), 1)
+    assert dealt.groupBy("id").count().filter("count <> 3").count() == 0
+    assert dealt.groupBy("g").count().agg(F.max("count")).first()[0] <= 2 * 100

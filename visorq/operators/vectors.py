@@ -89,10 +89,10 @@ def train_cells(bank: DataFrame, nlist: int = 100, seed: int = 7, id_col: str =
 
 def in_cells(bank: DataFrame, centers: np.ndarray, vec: str = "features") -> DataFrame:
     """The rows with list_id, their nearest centroid; ties to the smaller number."""
-    return bank.withColumn("list_id", F.get(_cells_of(bank.sparkSession, centers)(F.col(vec), F.lit(1)), F.lit(0)))
+    return bank.withColumn("list_id", F.get(cells_of(bank.sparkSession, centers)(F.col(vec), F.lit(1)), F.lit(0)))
 
 
-def _cells_of(spark, centers: np.ndarray):
+def cells_of(spark, centers: np.ndarray):
     """A function (vector, n): the n nearest centroids. Centroids (nlist vectors) are sent to all tasks."""
     sent = spark.sparkContext.broadcast(centers)
 
@@ -127,7 +127,7 @@ def load_index(spark, path: str) -> tuple[np.ndarray, DataFrame]:
 def probed_lists(queries: DataFrame, centers: np.ndarray, assigned: DataFrame, nprobe: int, vec: str = "features") -> tuple[DataFrame, DataFrame]:
     """(queries once per list that they probe, rows of these lists). The lists' numbers, at most nlist, go through the
     driver into the scan, so that a stored index is read no further than that."""
-    probe = _cells_of(queries.sparkSession, centers)
+    probe = cells_of(queries.sparkSession, centers)
     asked = queries.withColumn("list_id", F.explode(probe(F.col(vec), F.lit(min(nprobe, len(centers))))))
     some = sorted(r["list_id"] for r in asked.select("list_id").distinct().collect())
     return asked, assigned.filter(F.col("list_id").isin(some))
